@@ -40,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="docgrain-shared-")
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(found)
+    named = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + named[5:] if named.startswith("file:/") and not named.startswith("file://") else named
 
 
 def scratch(spark: SparkSession, what: str) -> str:
