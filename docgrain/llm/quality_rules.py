@@ -157,3 +157,11 @@ def judged(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     for v, (junk, none, fine) in zip(named.values(), weights(tables)):
         odds = odds + F.when(v == -1, F.lit(junk)).when(v == 1, F.lit(fine)).otherwise(F.lit(none))
     return rows.withColumn("base_failed", base_failed()).withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 9)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+
+
+def accept(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that are kept, all columns as they came."""
+    columns = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"dg_in{i}") for i, c in enumerate(columns)])
+    held = judged(plain, plain.columns, f"dg_in{columns.index(text)}").where("kept")
+    return held.select(*[F.col(f"dg_in{i}").alias(c) for i, c in enumerate(columns)])

@@ -1,18 +1,21 @@
 """SimHash near-duplicate classes, found by deletion-variant signatures.
 
 A text's fingerprint has bit b set if more than half of its word shingles' XXH64 hashes have it. Fingerprints link if at
-most four bits differ. Four bits over three segments leave one segment with at most one differing bit. So of every
-segment all variants with one bit deleted are indexed (22 + 21 + 21 = 64 variants): two fingerprints within four bits share
-at least one variant, found by an equality join and verified on the spot. Of the variants a pair shares only one, fixed by
-the pair, emits it, so that no pair is made twice.
-
-Only distinct fingerprints are compared: equal texts meet in one group-by, whatever their number. A variant that more
-than MOST_IN_VARIANT fingerprints share is not compared in pairs: its members are put on all points within two bits of
-them (2,081 each). Two fingerprints are within four bits exactly if they have such a point in common, and all that share a
-point are linked to its least one. That is exact, and its work is in proportion to the members.
-
-Null and empty texts have the fingerprint zero, which links like any other. Null ids are never a component's name unless
-all of its ids are null. Repeated rows come back each. Other columns are ignored by the query and kept by the filter.
+most RADIUS bits differ. Four differing bits over three segments leave one segment with at most one; so of every segment
+all variants with one bit deleted are indexed (22 + 21 + 21 = 64 variants of 64 bits), and two fingerprints within four
+bits share at least one variant. Rows are dealt by variant, and the members of a variant verified against each other.
+
+Only distinct fingerprints are compared: equal texts meet in one group-by, whatever their number. What a variant's members
+give is not pairs but links that join the same components: a walk takes a member, links all those still unmet that are
+within the radius, and goes on with these; each is met once, so a cluster of k near copies makes k - 1 links. A variant of
+more than BLOCK members is cut into blocks, and every two blocks are compared in a task of their own.
+
+The filter `first_of_classes` uses 128 bits (the second 64 from the same hashes remixed) of five-word shingles, 8 segments
+of 16 bits, and a radius of 24 bits, a cosine of cos(24 pi / 128) = 0.83. Up to 15 differing bits every pair shares a
+variant; further ones mostly do, and members of a class are joined over any of their links.
+
+Null and empty texts have the fingerprint zero, which links like any other. A null id is the least id only if all ids of a
+component are null. Repeated rows come back each, and the filter keeps one. Other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -25,115 +28,162 @@ from pyspark.sql import functions as F
 
 from .common import saved, ship, small_batches
 
-BITS, RADIUS, SEED = 64, 4, 42
-#: (lowest bit, number of bits) of the segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-MOST_IN_VARIANT = 2048
+BITS, SEED = 64, 42
+#: Of the 64-bit operator: (word, lowest bit, number of bits) of the segments, and the most differing bits.
+SEGMENTS, RADIUS = ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 4
+#: Of the filter on 128 bits.
+WIDE_SEGMENTS, WIDE_RADIUS = tuple((w, 16 * i, 16) for w in range(2) for i in range(4)), 24
+BLOCK, SMALL = 20_000, 32
+
 
+def remixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit hashes that leaves no bit alone."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """Of one text, as an unsigned 64-bit number."""
+
+def fingerprint(text: str, shingle: int = 4, words_out: int = 1) -> tuple[int, ...]:
+    """Of one text, as unsigned 64-bit numbers."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: lower-cases A-Z only, splits at 9-13 and 32
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return (0,) * words_out
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    ends = ends[min(shingle, len(words)) - 1 :]
     hash_of = xxhash.xxh64_intdigest
-    counts, n = np.zeros(BITS, np.int64), len(words) - shingle + 1
-    block = 1 << 16
+    counts, block = np.zeros((words_out, BITS), np.int64), 1 << 16
     for at in range(0, n, block):  # bounds the memory a long text takes
         stop = min(n, at + block)
-        h = np.array([hash_of(line[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at + shingle - 1 : stop + shingle - 1].tolist())], dtype=">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        h = np.array([hash_of(line[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at:stop].tolist())], np.uint64)
+        for k in range(words_out):
+            counts[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            h = remixed(h)
+    return tuple(int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts)
 
 
-def with_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 4, text: str = "text") -> DataFrame:
-    """The carried columns and dg_fp, the fingerprint as a signed long; no shuffle."""
+def with_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 4, text: str = "text", words_out: int = 1) -> DataFrame:
+    """The carried columns, dg_fp and, of 128 bits, dg_fp1: the fingerprint as signed longs; no shuffle."""
     ship(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("dg_text"), *[F.col(f"`{c}`") for c in carry])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), "dg_fp long"])
+    names = ["dg_fp", "dg_fp1"][:words_out]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), *(f"{x} long" for x in names)])
 
     def run(batches):
         for batch in small_batches(batches):
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], names=[*carry, "dg_fp"])
+            fp = np.array([fingerprint(t, shingle, words_out) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words_out))], names=[*carry, *names])
 
     return own.mapInArrow(run, schema)
 
 
-def mask(segment: tuple[int, int]) -> int:
-    return ((1 << segment[1]) - 1) << segment[0]
-
-
-def long(x: int) -> Column:
-    return F.lit(x - (1 << 64) if x >> 63 else x)
-
-
-def variants() -> Column:
-    """Array of all variant keys of dg_fp: 6 bits say which bit is deleted, and so which segment; the rest is that segment."""
+def variants(segments) -> Column:
+    """Array of all variant keys of dg_fp and dg_fp1: which bit of all is deleted, and the rest of that bit's segment."""
     keys = []
-    for low, n in SEGMENTS:
-        segment = F.shiftrightunsigned("dg_fp", low).bitwiseAND(F.lit((1 << n) - 1))
-        keys += [(segment.bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << b))) * F.lit(64) + F.lit(low + b)).cast("int") for b in range(n)]
+    for word, low, n in segments:
+        segment = F.shiftrightunsigned(("dg_fp", "dg_fp1")[word], low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+        keys += [segment.bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << b))) * F.lit(128) + F.lit(64 * word + low + b) for b in range(n)]
     return F.array(*keys)
 
 
-def pair_key(x: Column) -> Column:
-    """The deleted bit of the one variant in which a pair is emitted, from the bits in which it differs: of the first segment with one at most, that bit, or its lowest if none."""
-    out = F.lit(None).cast("int")
-    for s in reversed(SEGMENTS):
-        own = x.bitwiseAND(long(mask(s)))
-        # A single bit's place is the number of ones below it.
-        at = F.when(own == 0, F.lit(s[0])).otherwise(F.bit_count(F.when(own == long(1 << 63), long((1 << 63) - 1)).otherwise(own - F.lit(1))))
-        out = F.when(F.bit_count(own) <= 1, at).otherwise(out)
-    return out
-
+def walk(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (from, to), as places, that join the same components as all pairs within the radius do. fp: (members, words).
 
-def ball_points(fp: np.ndarray) -> np.ndarray:
-    """All points within two bits of each fingerprint: (rows, 2081)."""
-    one = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-    i, j = np.triu_indices(BITS, 1)
-    flips = np.concatenate((np.zeros(1, np.uint64), one, one[i] | one[j]))
-    return fp[:, None] ^ flips[None, :]
+    With side, only pairs of different sides count; those of one side are found elsewhere.
+    """
+    unmet, found_a, found_b = np.arange(len(fp)), [], []
+    queue: list[int] = []
+    while len(unmet):
+        if not queue:
+            queue.append(int(unmet[0]))
+            unmet = unmet[1:]
+        at = queue.pop()
+        near = np.bitwise_count(fp[unmet] ^ fp[at]).sum(axis=1) <= radius
+        if side is not None:
+            near &= side[unmet] != side[at]
+        if near.any():
+            to = unmet[near]
+            found_a.append(np.full(len(to), at))
+            found_b.append(to)
+            queue += to.tolist()
+            unmet = unmet[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
+
+
+def group_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside runs of equal keys. side: 0 of an undivided variant or a block of its own, 1 and 2 of two blocks that are compared."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    left = np.repeat(first + size, size) - np.arange(len(key))  # members from here to the end of the run
+    small = np.repeat(size <= SMALL, size) & (side == 0)
+    out_a, out_b = [], []
+    at, step = np.flatnonzero(small & (left > 1)), 1
+    while len(at):
+        near = np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1) <= radius
+        out_a.append(at[near])
+        out_b.append(at[near] + step)
+        step += 1
+        at = at[left[at] > step]
+    for i in np.flatnonzero((size > SMALL) | (side[first] > 0)):
+        a, b = first[i], first[i] + size[i]
+        found = walk(fp[a:b], radius, side[a:b] if side[a] else None)
+        out_a.append(found[0] + a)
+        out_b.append(found[1] + a)
+    none = np.zeros(0, np.int64)
+    return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+
+
+def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(a, b) of names, a < b: links that join the same components as all pairs that share a variant and are within the radius.
+
+    points: (name, dg_fp[, dg_fp1]), the names distinct.
+    """
+    spark = points.sparkSession
+    ship(spark)
+    columns = ["dg_fp", "dg_fp1"][: 1 + max(w for w, _, _ in segments)]
+    index = points.select("name", *columns, F.explode(variants(segments)).alias("key"))
+    # Variants of more members than a block, counted with sums by task; mostly none.
+    hot = saved(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-variants")
+    whole = lambda df: df.select(F.col("key").cast("long").alias("key"), F.lit(0).alias("side"), "name", *columns)
+    if hot.limit(1).count():
+        tasks = index.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("name"), "parts").cast("int"))
+        # The task of two blocks has the members of both, that of one block its own.
+        tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        split = tasks.select(F.xxhash64("key", low, high).alias("key"), side.alias("side"), "name", *columns)
+        rest = whole(index.join(hot, "key", "left_anti")).union(split)
+    else:
+        rest = whole(index)
+    dealt = rest.repartition("key").sortWithinPartitions("key", "side")
 
+    def run(batches):
+        held = None
 
-def links(points: DataFrame, most: int = MOST_IN_VARIANT) -> DataFrame:
-    """(a, b) of names, a < b: links that join the same fingerprints as all pairs within RADIUS bits do.
+        def out(key, side, name, fp):
+            a, b = group_links(key, side, fp, radius)
+            a, b = name[a], name[b]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    points: (dg_fp, name), the fingerprints distinct, the names too.
-    """
-    # Spread rows first: distinct fingerprints are few and small, and each makes 64 rows.
-    index = points.select("name", "dg_fp", F.explode(variants()).alias("key"))
-    # Hot keys are counted with sums by task; few or none.
-    hot = saved(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "hot-variants")
-    some_hot = hot.limit(1).count() > 0
-    rest = index.join(hot, "key", "left_anti") if some_hot else index
-    a, b = rest.select("key", F.col("name").alias("a"), F.col("dg_fp").alias("fa")), rest.select(F.col("key").alias("key_b"), F.col("name").alias("b"), F.col("dg_fp").alias("fb"))
-    x = F.col("fa").bitwiseXOR(F.col("fb"))
-    pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= RADIUS) & (F.pmod(F.col("key"), F.lit(64)) == pair_key(x))).select("a", "b")
-    if not some_hot:
-        return pairs
-    # A pair in a hot variant may have its emitting variant among the others; then both ways find it, which does no harm.
-    # A pair whose emitting variant is hot is in that variant, so both of its ends are among these members.
-    members = index.join(hot, "key", "left_semi").select("name", "dg_fp").distinct()
-    ship(points.sparkSession)
-
-    def spread(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                fp = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-                at_points = ball_points(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), at_points.shape[1])), pa.array(at_points.reshape(-1).view(np.int64))], names=["name", "point"])
-
-    on = members.mapInArrow(spread, "name long, point long")
-    least = on.groupBy("point").agg(F.min("name").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "a")
-    stars = on.join(least, "point").where(F.col("a") < F.col("name")).select("a", F.col("name").alias("b")).distinct()
-    return pairs.union(stars)
+            key, side, name, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            part = (key, side, name, np.stack([f.view(np.uint64) for f in fps], axis=1))
+            if not len(key):
+                continue
+            held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
+            if len(held[0]) < 1 << 16:
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last variant may go on
+            if cut:
+                yield out(*(x[:cut] for x in held))
+                held = tuple(x[cut:] for x in held)
+        if held is not None and len(held[0]):
+            yield out(*held)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,36 +214,39 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("name"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("name"), F.col("u").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, most: int = MOST_IN_VARIANT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The carried columns (doc_id unless told otherwise), dg_fp and component_id, one row for each row.
+def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The carried columns (the id unless told otherwise), the fingerprint's and component_id, one row for each row.
 
-    component_id is the least id reachable over links of at most four bits, the row's own included.
+    component_id is the least id reachable over links, the row's own included.
     """
     carry = [id_column] if carry is None else carry
     columns = list(dict.fromkeys([id_column, *carry]))
-    rows = saved(with_fingerprints(docs, columns, shingle, text), "fingerprints")
-    # A class of equal fingerprints is named by a number of its own: the fingerprint itself, as ids may be null.
-    reps = saved(rows.groupBy("dg_fp").agg(F.min(F.col(f"`{id_column}`")).alias("low")), "classes")
-    points = reps.select("dg_fp", F.col("dg_fp").alias("name"))
-    found = saved(components(links(points, most)), "components")
-    # Each class that has links takes the least id of its component; the others, most of them, keep their own.
-    low = found.join(reps, found["name"] == reps["dg_fp"]).select("name", "root", "low")
-    of_root = low.groupBy("root").agg(F.min("low").alias("root_low"))
-    moved = low.join(of_root, "root").select(F.col("name").alias("dg_name"), "root_low")
-    named = reps.join(moved, reps["dg_fp"] == moved["dg_name"], "left").select("dg_fp", F.coalesce("root_low", "low").alias("component_id"))
-    return rows.join(named, "dg_fp").select(*[F.col(f"`{c}`") for c in carry], "dg_fp", "component_id")
+    n = 1 + max(w for w, _, _ in segments)
+    fps = ["dg_fp", "dg_fp1"][:n]
+    rows = saved(with_fingerprints(docs, columns, shingle, text, n), "fingerprints")
+    # A class of equal fingerprints has a number as name, as ids may be null or repeat.
+    reps = rows.groupBy(*fps).agg(F.min(F.col(f"`{id_column}`")).alias("low"))
+    reps = saved(reps.withColumn("name", F.monotonically_increasing_id()), "classes")
+    found = saved(components(links(reps.select("name", *fps), segments, radius, block)), "components")
+    # The classes that have links, few of all, take the least id of their component.
+    low = found.join(reps.select("name", "low"), "name")
+    moved = low.join(low.groupBy("root").agg(F.min("low").alias("root_low")), "root").select("name", "root_low")
+    named = reps.join(moved, "name", "left").select(*fps, F.coalesce("root_low", "low").alias("component_id"))
+    return rows.join(named, fps).select(*[F.col(f"`{c}`") for c in carry], *fps, "component_id")
 
 
 def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, all columns kept: the one with the least id and, of repeated ids, the least text.
+    """One row of each class, all columns kept: that with the least id and, of repeated ids, the least hash of the text.
 
-    Texts are not dealt out twice: which rows stay is decided on ids, and the rows are then met by id.
+    Which rows stay is decided on ids and hashes; the rows are then met by a 64-bit hash of id and text.
     """
     keyed = docs.withColumn("dg_row", F.xxhash64(F.col(id_column), F.col(text)))
-    found = classes(keyed, [id_column, "dg_row"], shingle, MOST_IN_VARIANT, id_column, text)
+    found = classes(keyed, [id_column, "dg_row"], shingle, WIDE_SEGMENTS, WIDE_RADIUS, BLOCK, id_column, text)
+    # Null ids come last, and all of a class without any id are one group.
     keep = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("dg_row"))).alias("s"))
     keep = saved(keep.select(F.col("s.dg_row").alias("dg_row")).distinct(), "kept")
+    # Rows that repeat both id and text are one.
     columns = docs.columns
-    # Equal (id, text) rows share a key: one of them stays.
+    again = found.groupBy("dg_row").count().where("count > 1").limit(1).count() > 0
     met = keyed.join(keep, "dg_row", "left_semi")
-    return met.dropDuplicates(["dg_row"]).select(*[F.col(f"`{c}`") for c in columns])
+    return (met.dropDuplicates(["dg_row"]) if again else met).select(*[F.col(f"`{c}`") for c in columns])
