@@ -1,12 +1,432 @@
-"""The queries of the library's operators, and the SQL that gives the same rows."""
+"""The queries of the library's operators on the shared tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docgrain.functions import numbers as N
+from docgrain.operators import choice, dedup, ordered, refs, sequence, stats, xmltext
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Duplicates and references ---------------------------------------------------------------------------------------
+
+
+@query("select sha256(text) as content_hash, min(doc_id) as representative, count(*) as n from documents group by 1 having count(*) > 1")
+def dup_groups(spark, d):
+    return dedup.content_groups(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("select doc_id as duplicate, canonical from (select doc_id, min(doc_id) over (partition by sha256(text)) as canonical from documents) where doc_id <> canonical")
+def dup_reference_map(spark, d):
+    return dedup.reference_map(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("select cast(coalesce(sum(n - 1), 0) as bigint) as duplicates from (select count(*) as n from documents group by sha256(text))")
+def dup_count(spark, d):
+    return dedup.duplicate_count(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("with m as (select doc_id as k, min(doc_id) over (partition by sha256(text)) as c from documents) select l.doc_id, quality, toxic, coalesce(m.c, l.doc_id) as target from labels l left join m on l.doc_id = m.k")
+def rewrite_references(spark, d):
+    mapping = dedup.reference_map(table(spark, d, "documents"), "doc_id", "text")
+    return dedup.rewrite_references(table(spark, d, "labels"), "doc_id", mapping, "target")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return rewrite_references(spark, sf_dir)
+
+
+@query("select doc_id, sha256(text) as content_hash, row_number() over (partition by sha256(text) order by doc_id) > 1 as is_duplicate from documents")
+def hash_listing(spark, d):
+    return dedup.hash_listing(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("select p_partkey, p_name from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_returnflag = 'R')")
+def used_parts(spark, d):
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    return refs.used(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", back, "l_partkey")
+
+
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def unused_customers(spark, d):
+    return refs.unused(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", table(spark, d, "orders"), "o_custkey")
+
+
+EDGES = """
+    select 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer
+    union all select 's' || s_suppkey, 'n' || s_nationkey from supplier
+    union all select 'n' || n_nationkey, 'r' || n_regionkey from nation
+"""
+
+
+@query(f"with recursive e as ({EDGES}), w as (select src, dst, cast(1 as bigint) as depth from e union select w.src, e.dst, w.depth + 1 from w join e on w.dst = e.src where w.depth < 64) select src, dst, min(depth) as depth from w group by src, dst")
+def transitive_closure(spark, d):
+    edge = lambda t, a, x, b, y: table(spark, d, t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
+    e = edge("customer", "c", "c_custkey", "n", "c_nationkey").union(edge("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(edge("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    return refs.closure(e)
+
+
+@query("select distinct l_partkey from lineitem where l_returnflag = 'R' and l_discount > 0.08")
+def mask_set(spark, d):
+    return table(spark, d, "lineitem").where("l_returnflag = 'R' and l_discount > 0.08").select("l_partkey").distinct()
+
+
+# Statistics and classes ------------------------------------------------------------------------------------------
+
+
+@query("select case when event_type = 'signup' then 'heads' when event_type = 'error' then 'trailers' when value > 5 then 'with_stream' else 'without_stream' end as part, count(*) as n, round(sum(value), 4) as total from events group by 1")
+def partition_counts(spark, d):
+    part = stats.ladder([(F.col("event_type") == "signup", "heads"), (F.col("event_type") == "error", "trailers"), (F.col("value") > 5, "with_stream")], "without_stream")
+    return table(spark, d, "events").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+LADDER = """case when text like '%!!%' then 'shout' when regexp_matches(text, '[%$#&*]{3}') then 'symbols' when text like '% | %' then 'table'
+    when text like '%icense%' then 'licence' when length(text) < 200 then 'short' else 'prose' end"""
+
+
+@query(f"select doc_id, {LADDER} as category from documents")
+def category_ladder(spark, d):
+    t = F.col("text")
+    steps = [(t.contains("!!"), "shout"), (t.rlike("[%$#&*]{3}"), "symbols"), (t.contains(" | "), "table"), (t.contains("icense"), "licence"), (F.length(t) < 200, "short")]
+    return table(spark, d, "documents").select("doc_id", stats.ladder(steps, "prose").alias("category"))
+
+
+@query("select lang, source, count(*) as n, cast(sum(n_chars) as bigint) as chars, count(*) filter (where n_chars >= 2000) as n_long, cast(coalesce(sum(n_chars) filter (where n_chars >= 2000), 0) as bigint) as chars_long, max(n_chars) as most from documents group by lang, source")
+def document_stats(spark, d):
+    return stats.counters(table(spark, d, "documents"), ["lang", "source"], "n_chars", {"long": F.col("n_chars") >= 2000}, "chars").withColumnRenamed("largest", "most")
+
+
+@query("select lang, cast(sum(n_chars) as bigint) as total, cast(sum(n_chars) - sum(case when n_chars < 500 then n_chars else 0 end) - sum(case when n_chars >= 5000 then n_chars else 0 end) as bigint) as structures from documents group by lang")
+def structures_residual(spark, d):
+    return stats.residual(table(spark, d, "documents"), ["lang"], "n_chars", [F.col("n_chars") < 500, F.col("n_chars") >= 5000])
+
+
+@query("select o_orderkey, o_totalprice, l_linenumber, l_partkey from orders left join lineitem on o_orderkey = l_orderkey where o_orderstatus = 'P'")
+def object_info_embedded(spark, d):
+    parents = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")
+    return stats.with_embedded(parents, "o_orderkey", table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"])
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
+def upsert_last_wins(spark, d):
+    return refs.last_versions(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_id", "event_type", "value"])
+
+
+@query("select 'type' as kind, p_type as name from part union select 'brand', p_brand from part")
+def resource_distinct(spark, d):
+    return stats.distinct_names(table(spark, d, "part"), {"type": "p_type", "brand": "p_brand"})
+
+
+@query("select doc_id, round(entropy(c), 6) as shannon from (select doc_id, unnest(string_split(text, '')) as c from documents) group by doc_id")
+def shannon_entropy(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(stats.char_entropy(F.col("text")), 6).alias("shannon"))
+
+
+# Layout and naming -----------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, n_chars, cast(coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from documents")
+def layout_offsets(spark, d):
+    return ordered.prefix_sum(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", "start")
+
+
+@query("with k as (select o_orderkey as key from orders where o_orderstatus = 'F'), a as (select unnest(generate_series((select min(key) from k), (select max(key) from k))) as key) select a.key, k.key is null as is_free from a left join k on a.key = k.key")
+def layout_gap_fill(spark, d):
+    return ordered.fill_gaps(table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key")), "key")
+
+
+@query("select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey order by l_linenumber) - 1 as bigint) as ordinal from lineitem")
+def embedded_ordinals(spark, d):
+    return stats.ordinals(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+
+
+@query("select o_orderkey, cast(case when o_orderkey < 256 then 1 when o_orderkey < 65536 then 2 when o_orderkey < 16777216 then 3 when o_orderkey < 4294967296 then 4 else 5 end as bigint) as width, lower(lpad(printf('%x', o_orderkey), 16, '0')) as packed from orders")
+def byte_width(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", N.byte_width(F.col("o_orderkey")).alias("width"), F.lower(F.hex(N.int_to_bytes(F.col("o_orderkey"), 8))).alias("packed"))
+
+
+def part_names(spark, d) -> DataFrame:
+    names = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).distinct()
+    return ordered.rank_by(names, {"length": F.length("name"), "start": F.substring("name", 1, 8)}, [F.col("name")], "place")
+
+
+@query("select name, cast(row_number() over (order by length(name), name) - 1 as bigint) as place from (select distinct p_brand || ' ' || p_name as name from part)")
+def short_first_names(spark, d):
+    return part_names(spark, d)
+
+
+DIGITS = f"(select '{N.BASE62}' as s)"
+
+
+@query(
+    "select p_partkey, case when p_partkey >= 238328 then substr(s, cast(p_partkey // 238328 % 62 as int) + 1, 1) else '' end || case when p_partkey >= 3844 then substr(s, cast(p_partkey // 3844 % 62 as int) + 1, 1) else '' end"
+    f" || case when p_partkey >= 62 then substr(s, cast(p_partkey // 62 % 62 as int) + 1, 1) else '' end || substr(s, cast(p_partkey % 62 as int) + 1, 1) as short_name from part, {DIGITS}"
+)
+def base62_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", N.digits_of(F.col("p_partkey"), N.BASE62).alias("short_name"))
+
+
+@query("with n as (select name, cast(row_number() over (order by length(name), name) - 1 as bigint) as place from (select distinct p_brand || ' ' || p_name as name from part)) select p_partkey, coalesce(cast(n.place as varchar), p_brand || ' ' || p_name) as new_name from part left join n on n.name = p_brand || ' ' || p_name and n.place < 100")
+def translate_names(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("old"))
+    return refs.translate(parts, "old", part_names(spark, d).where("place < 100"), "name", "place", "new_name").select("p_partkey", "new_name")
+
+
+# Sequences -------------------------------------------------------------------------------------------------------
+
+EVENTS = sequence.Sequence("user_id", ("ts", "event_id"))
+W = "(partition by user_id order by ts, event_id)"
+
+
+def events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+
+
+def short(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("user_id", "event_id", *columns)
+
+
+@query(f"select user_id, event_id, event_type from (select *, lead(event_type) over {W} as next from events) where next is null or next <> event_type")
+def collapse_runs(spark, d):
+    return short(sequence.overwritten_removed(events(spark, d), EVENTS, "event_type"), "event_type")
+
+
+@query(f"select user_id, event_id, event_type from (select *, lag(event_type) over {W} as last from events) where last is null or last <> event_type")
+def state_changes(spark, d):
+    return short(sequence.state_changes(events(spark, d), EVENTS, "event_type"), "event_type")
+
+
+@query("select user_id, event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as paid from events")
+def last_value_state(spark, d):
+    return short(sequence.last_value(events(spark, d), EVENTS, F.when(F.col("event_type") == "purchase", F.col("value")), "paid"), "paid")
+
+
+RUNS = f"(select *, cast(sum(new) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as bigint) as run from (select *, case when lag(event_type) over {W} is not distinct from event_type then 0 else 1 end as new from events))"
+
+
+@query(f"select user_id, run, event_type, count(*) as n, string_agg(cast(event_id as varchar), ',' order by ts, event_id) as merged from {RUNS} group by user_id, run, event_type")
+def merge_runs(spark, d):
+    return sequence.merged_runs(events(spark, d), EVENTS, "event_type", F.col("event_id").cast("string"))
+
+
+@query(f"with r as (select user_id, run, event_type, count(*) as total from {RUNS} group by user_id, run, event_type), p as (select *, unnest(generate_series(0, (total - 1) // 2)) as part from r) select user_id, run, part, event_type, cast(least(2, total - part * 2) as bigint) as n from p")
+def rle_runs(spark, d):
+    return sequence.split_runs(events(spark, d), EVENTS, "event_type", 2).select("user_id", "run", "part", "event_type", "n")
+
+
+@query("select user_id, event_id, event_type from (select *, max(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between current row and unbounded following) as p from events) where p = 1")
+def ineffective(spark, d):
+    return short(sequence.effective(events(spark, d), EVENTS, F.col("event_type") == "purchase"), "event_type")
+
+
+def opens():
+    return F.col("event_type") == "signup"
+
+
+def closes():
+    return F.col("event_type") == "error"
+
+
+DEPTH = "(select *, cast(sum(case event_type when 'signup' then 1 when 'error' then -1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as bigint) as depth from events)"
+
+
+@query(f"select user_id, min(depth) as low, arg_max(depth, event_id) as last, min(depth) >= 0 and arg_max(depth, event_id) = 0 as balanced from {DEPTH} group by user_id")
+def bracket_depth(spark, d):
+    return sequence.balanced(events(spark, d), EVENTS, opens(), closes())
+
+
+@query(
+    f"with b as (select *, event_type = 'signup' as o, case when event_type = 'signup' then depth else depth + 1 end as level from {DEPTH} where event_type in ('signup', 'error')),"
+    " m as (select *, lag(event_id) over (partition by user_id, level order by ts, event_id) as e, lag(o) over (partition by user_id, level order by ts, event_id) as was from b)"
+    " select user_id, event_id, case when was then e end as open_row from m where not o"
+)
+def matching_open(spark, d):
+    return short(sequence.matching_open(events(spark, d), EVENTS, opens(), closes(), "event_id"), "open_row")
+
+
+@query(
+    "with w as (select *, case event_type when 'click' then 1 when 'view' then 2 when 'signup' then 3 end as weight from events),"
+    " r as (select *, sum(case when weight is null then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as run from w)"
+    " select user_id, event_id, cast(row_number() over (partition by user_id order by run, weight nulls first, ts, event_id) - 1 as bigint) as place from r"
+)
+def canonical_order(spark, d):
+    weight = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "signup", 3)
+    return short(sequence.canonical_order(events(spark, d), EVENTS, weight), "place")
+
+
+@query(
+    "with p as (select user_id, event_id, ts, event_id % 7 as x, cast(floor(value) as bigint) as y from events), n as (select *, lag(x) over w as x0, lag(y) over w as y0, lead(x) over w as x2, lead(y) over w as y2 from p window w as (partition by user_id order by ts, event_id))"
+    " select user_id, event_id, coalesce((x - x0) * (y2 - y0) - (y - y0) * (x2 - x0) = 0, false) as aligned from n"
+)
+def collinear_points(spark, d):
+    return short(sequence.collinear(events(spark, d), EVENTS, F.col("event_id") % 7, F.floor("value").cast("bigint")), "aligned")
+
+
+@query(
+    "with p as (select l_orderkey, l_linenumber, l_linenumber // 2 % 2 as x, (l_linenumber + 1) // 2 % 2 * 3 as y from lineitem), n as (select *, lead(x, 1) over w as x1, lead(y, 1) over w as y1, lead(x, 2) over w as x2, lead(y, 2) over w as y2, lead(x, 3) over w as x3, lead(y, 3) over w as y3 from p window w as (partition by l_orderkey order by l_linenumber))"
+    " select l_orderkey, l_linenumber, cast(x2 - x as bigint) as width, cast(y2 - y as bigint) as height from n where (y = y1 and x1 = x2 and y2 = y3 and x3 = x) or (x = x1 and y1 = y2 and x2 = x3 and y3 = y)"
+)
+def rectangle_pattern(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    s = sequence.Sequence("l_orderkey", ("l_linenumber",))
+    out = sequence.rectangles(lines, s, F.floor(F.col("l_linenumber") / 2) % 2, F.floor((F.col("l_linenumber") + 1) / 2) % 2 * 3)
+    return out.select("l_orderkey", "l_linenumber", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
+
+
+# Scalars ---------------------------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey, floor(o_totalprice * 10.0 + 0.5) / 10.0 as up, floor(-o_totalprice / 4 * 1.0 + 0.5) / 1.0 as down from orders")
+def round_half_up(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", N.round_half_up(F.col("o_totalprice"), 1).alias("up"), N.round_half_up(-F.col("o_totalprice") / 4, 0).alias("down"))
+
+
+@query("select p_partkey, case when t = '-0' then '0' else t end as shortest from (select p_partkey, regexp_replace(regexp_replace(regexp_replace(printf('%.6f', floor(v * 1000000.0 + 0.5) / 1000000.0), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''), '^(-?)0\\.', '\\1.') as t from (select p_partkey, (p_retailprice - 1000) / 1000 as v from part))")
+def shortest_number(spark, d):
+    return table(spark, d, "part").select("p_partkey", N.shortest_number((F.col("p_retailprice") - 1000) / 1000).alias("shortest"))
+
+
+@query("select s_suppkey, 2.0 * k as a, 3.0 as b, 0.0 + k * -1.0 as c, 2.0 as d, s_acctbal * 2.0 + 5.0 * -1.0 + 1.0 as e, s_acctbal * 3.0 / k + 5.0 * 2.0 / k - 7.0 as f from (select s_suppkey, s_acctbal, cast(s_suppkey % 5 + 1 as double) as k from supplier)")
+def affine_product(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_suppkey") % 5 + 1).cast("double").alias("k"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    m = [F.lit(2.0), F.lit(3.0) / F.col("k"), F.lit(-1.0), F.lit(2.0) / F.col("k"), one, F.lit(-7.0)]
+    n = [F.col("k"), zero, zero, F.col("k"), F.col("s_acctbal"), F.lit(5.0)]
+    return s.select("s_suppkey", *[F.round(c, 6).alias(x) for c, x in zip(N.affine_product(m, n), "abcdef")])
+
+
+ORACLE_SQL["affine_product"] = "select s_suppkey, round(2.0 * k, 6) as a, round(3.0 / k * k, 6) as b, round(-1.0 * k, 6) as c, round(2.0 / k * k, 6) as d, round(s_acctbal * 2.0 + 5.0 * -1.0 + 1.0, 6) as e, round(s_acctbal * (3.0 / k) + 5.0 * (2.0 / k) - 7.0, 6) as f from (select s_suppkey, s_acctbal, cast(s_suppkey % 5 + 1 as double) as k from supplier)"
+
+
+@query("select p_partkey, cast(greatest(0, ceil(log10(p_retailprice / 3000)) + 2) as bigint) as digits, cast(greatest(0, 5 - floor(log10(abs(p_retailprice / 3000)))) as bigint) as matrix_digits from part")
+def useful_precision(spark, d):
+    scale = F.col("p_retailprice") / 3000
+    return table(spark, d, "part").select("p_partkey", N.useful_precision(scale).alias("digits"), N.matrix_precision(scale).alias("matrix_digits"))
+
+
+@query("select doc_id, cast(i as bigint) as part, substr(text, cast(i as int) * 100 + 1, 100) as chunk from (select doc_id, text, unnest(generate_series(0, (greatest(length(text), 1) - 1) // 100)) as i from documents)")
+def chunks(spark, d):
+    return stats.chunks(table(spark, d, "documents"), "doc_id", "text", 100)
+
+
+@query("select doc_id, bits, components, n_chars * 8 // (bits * components) as width from documents, (select unnest([2, 4, 8, 16]) as bits), (select unnest([1, 2, 3, 4]) as components) where n_chars > 0 and n_chars * 8 % (bits * components) = 0")
+def bitmap_configs(spark, d):
+    return choice.bitmap_configurations(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars")
+
+
+
+
+@query("with c as (select doc_id, length(text) as cost, 0 as ord, 'none' as name from documents union all select doc_id, length(replace(text, ' ', '')) + 11, 1, 'spaceless' from documents union all select doc_id, length(replace(text, 'th', '')) + 40, 2, 'shortened' from documents) select doc_id, cast(cost as bigint) as cost, name from (select *, row_number() over (partition by doc_id order by cost, ord) as r from c) where r = 1")
+def best_candidate(spark, d):
+    t = F.col("text")
+    costs = {"none": F.length(t), "spaceless": F.length(F.replace(t, F.lit(" "), F.lit(""))) + 11, "shortened": F.length(F.replace(t, F.lit("th"), F.lit(""))) + 40}
+    return choice.cheapest(table(spark, d, "documents"), ["doc_id"], costs)
+
+
+@query("select p_partkey, lower(hex(p_name)) || '>' as encoded, p_name as decoded from part")
+def hex_roundtrip(spark, d):
+    encoded = F.concat(F.lower(F.hex("p_name")), F.lit(">"))
+    return table(spark, d, "part").select("p_partkey", encoded.alias("encoded"), stats.lenient_unhex(encoded).cast("string").alias("decoded"))
+
+
+@query("select distinct tag from (select unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from pages)")
+def xml_prefixes(spark, d):
+    return xmltext.names(table(spark, d, "pages"), "html", "<([a-zA-Z][a-zA-Z0-9]*)", "tag")
+
+
+@query("select page_id, regexp_replace(html, '>\\s+<', '><', 'g') as html from pages")
+def xml_strip_indent(spark, d):
+    return table(spark, d, "pages").select("page_id", xmltext.strip_indent(F.col("html")).alias("html"))
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+# Predictors over rows --------------------------------------------------------------------------------------------
+
+BYTES = "(select user_id, ts, event_id, cast(floor(value * 10) as bigint) % 256 as b from events)"
+
+
+def event_bytes(spark, d) -> DataFrame:
+    return events(spark, d).select("user_id", "ts", "event_id", (F.floor(F.col("value") * 10).cast("bigint") % 256).alias("b"))
+
+
+@query(f"select user_id, event_id, b, ((b - coalesce(lag(b) over {W}, 0)) % 256 + 256) % 256 as delta from {BYTES}")
+def delta_sub(spark, d):
+    return choice.delta(event_bytes(spark, d), EVENTS, "b", "delta").select("user_id", "event_id", "b", "delta")
+
+
+@query(f"select user_id, event_id, b as value from {BYTES}")
+def undelta(spark, d):
+    deltas = choice.delta(event_bytes(spark, d), EVENTS, "b", "delta").drop("b")
+    return choice.undelta(deltas, EVENTS, "delta", "value").select("user_id", "event_id", "value")
+
+
+PIXELS = "(select vec_id as r, i as c, ((cast(floor(e * 1000) as bigint)) % 256 + 256) % 256 as v from (select vec_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as i from embeddings))"
+
+
+def pixels(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("r"), F.posexplode("embedding").alias("c", "e"))
+    return e.select("r", F.col("c").cast("bigint").alias("c"), F.pmod(F.floor(F.col("e").cast("double") * 1000).cast("bigint"), F.lit(256)).alias("v"))
+
+
+PIXELS = PIXELS.replace("e * 1000", "cast(e as double) * 1000")
+
+
+@query(f"select r, c, v, ((v - coalesce(lag(v) over (partition by c order by r), 0)) % 256 + 256) % 256 as up from {PIXELS}")
+def delta_up(spark, d):
+    return choice.predicted(pixels(spark, d), "r", "c", "v", "up").select("r", "c", "v", "up")
+
+
+@query(
+    f"with p as (select r, c, v, coalesce(lag(v) over (partition by r order by c), 0) as a, coalesce(lag(v) over (partition by c order by r), 0) as b from {PIXELS}), q as (select *, coalesce(lag(b) over (partition by r order by c), 0) as k from p),"
+    " s as (select *, abs(b - k) as pa, abs(a - k) as pb, abs(a + b - 2 * k) as pc from q)"
+    " select r, c, ((v - case when pa <= pb and pa <= pc then a when pb <= pc then b else k end) % 256 + 256) % 256 as paeth, ((v - (a + b) // 2) % 256 + 256) % 256 as average from s"
+)
+def paeth(spark, d):
+    return choice.predicted(pixels(spark, d), "r", "c", "v", "paeth").select("r", "c", "paeth", "average")
+
+
+@query(f"select r, c % 3 as channel, c // 3 as place, v from {PIXELS}")
+def channel_split(spark, d):
+    return choice.channels(pixels(spark, d), "c", 3).select("r", "channel", "place", "v")
+
+
+# Sets ------------------------------------------------------------------------------------------------------------
+
+
+@query("select c_custkey as key from customer except select o_custkey from orders")
+def set_difference(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key")).subtract(table(spark, d, "orders").select("o_custkey"))
+
+
+@query("select s_nationkey as key from supplier union select c_nationkey from customer")
+def set_union(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")).union(table(spark, d, "customer").select("c_nationkey")).distinct()
+
+
+@query("select s_nationkey as key from supplier intersect select c_nationkey from customer where c_acctbal < 0")
+def set_intersection(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")).intersect(table(spark, d, "customer").where("c_acctbal < 0").select("c_nationkey"))
