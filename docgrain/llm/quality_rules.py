@@ -85,28 +85,30 @@ def rules() -> dict[str, Column]:
         "stops": vote((stops > 0.5) & (n >= 10), never),
         "same_lines": vote((dup > 0.3) & (F.col("n_dup_lines") > 1), never),
         "repetition": vote(repeat > 0.2, never),
-        "kinds": vote((kinds < 0.5) & (n < 60) | (kinds < 0.1) & (n < 2000), (kinds > 0.6) & (n >= 30)),
+        "kinds": vote((kinds < 0.5) & (n < 60) | (kinds < 0.1) & (n < 2000), never),
     }
 
 
 #: Before any evidence: the share of good texts, and how often a rule says junk, abstains or says good of either class.
 PRIOR_GOOD = 0.9
 PRIOR = {True: (0.004, 0.396, 0.60), False: (0.15, 0.75, 0.10)}
-PRIOR_ROWS = 50.0
+#: The prior counts as so many rows, or as this share of all if that is more.
+PRIOR_ROWS, PRIOR_SHARE = 50.0, 0.1
 #: Junk votes are made to be rarely wrong: at most this share of good texts may get one from a rule.
-MOST_FALSE = 0.03
+MOST_FALSE = 0.01
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200) -> tuple[float, list[dict[bool, tuple[float, float, float]]]]:
     """Expectation-maximisation over (votes, count): the share of good texts, and for each rule P(vote | class).
 
-    The prior counts as PRIOR_ROWS rows, so an empty table gives the prior itself. A rule whose junk votes came out more
+    An empty table gives the prior itself. A rule whose junk votes came out more
     likely for good texts than for junk, or the other way round, is held at no evidence for that vote.
     """
     good, tables = PRIOR_GOOD, [dict(PRIOR) for _ in range(n_rules)]
+    rows = max(PRIOR_ROWS, PRIOR_SHARE * sum(n for _, n in patterns))
     for _ in range(rounds):
-        mass = {True: PRIOR_ROWS * PRIOR_GOOD, False: PRIOR_ROWS * (1 - PRIOR_GOOD)}
-        sums = [{c: [PRIOR_ROWS * p for p in PRIOR[c]] for c in (True, False)} for _ in range(n_rules)]
+        mass = {True: rows * PRIOR_GOOD, False: rows * (1 - PRIOR_GOOD)}
+        sums = [{c: [rows * (PRIOR_GOOD if c else 1 - PRIOR_GOOD) * p for p in PRIOR[c]] for c in (True, False)} for _ in range(n_rules)]
         for votes, count in patterns:
             p = posterior(votes, good, tables)
             for c, share in ((True, p * count), (False, (1 - p) * count)):
@@ -131,11 +133,11 @@ def capped(p: tuple[float, float, float]) -> tuple[float, float, float]:
 
 
 def weights(tables) -> list[tuple[float, float, float]]:
-    """Log odds for good that a vote of -1, 0 or 1 of each rule adds: never for good from a junk vote, nor against from a good one."""
+    """Log odds for good that a vote of -1, 0 or 1 of each rule adds: never for good from a junk vote, nor against from a good one, and none from abstaining."""
     out = []
     for t in tables:
-        junk, none, fine = (math.log(t[True][i] / t[False][i]) for i in range(3))
-        out.append((min(0.0, junk), none, max(0.0, fine)))
+        junk, fine = (math.log(t[True][i] / t[False][i]) for i in (0, 2))
+        out.append((min(0.0, junk), 0.0, max(0.0, fine)))
     return out
 
 
