@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -32,14 +33,22 @@ def last_versions(df: DataFrame, keys: list[str], order: list[Column], columns:
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"dg_last.{c}").alias(c) for c in columns])
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the folder of spark.checkpoint.dir, to cut lineage in loops."""
-    spark: SparkSession = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else "/tmp/docgrain-checkpoints"
-    path = f"{found.rstrip('/')}/step-{uuid.uuid4().hex}"
+        found = held.get() if held.isDefined() else None
+    if not found:
+        found = tempfile.mkdtemp(prefix="docgrain-shared-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, to cut lineage in loops."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrain.cluster import ship
+from docgrain.functions import codecs, predictors
 from docgrain.functions import numbers as N
 from docgrain.operators import choice, dedup, ordered, refs, sequence, stats, xmltext
+from docgrain.sources import pdf
+from docgrain.streaming import events as events_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -430,3 +437,96 @@ def set_union(spark, d):
 @query("select s_nationkey as key from supplier intersect select c_nationkey from customer where c_acctbal < 0")
 def set_intersection(spark, d):
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")).intersect(table(spark, d, "customer").where("c_acctbal < 0").select("c_nationkey"))
+
+
+# Codecs, documents, streams --------------------------------------------------------------------------------------
+
+
+def round_trip(spark, d, codec: str) -> DataFrame:
+    raw = F.col("text").cast("binary")
+    return table(spark, d, "documents").select("doc_id", (codecs.decode(codecs.encode(raw, codec), codec) == raw).alias("same"))
+
+
+for _codec, _name in (("deflate", "zlib"), ("a85", "ascii85"), ("lzw", "lzw"), ("rle", "run_length"), ("hex", "ascii_hex")):
+
+    def _trip(spark, d, codec=_codec):
+        return round_trip(spark, d, codec)
+
+    QUERIES[f"{_name}_roundtrip"] = _trip
+    ORACLE_SQL[f"{_name}_roundtrip"] = "select doc_id, true as same from documents"
+
+
+def bitmaps(spark, d) -> DataFrame:
+    """Embeddings as one-row-a-quarter bitmaps of bytes."""
+    values = F.transform("embedding", lambda e: F.chr(F.lit(65) + F.pmod(F.floor(e.cast("double") * 100).cast("bigint"), F.lit(26))))
+    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.array_join(values, "").cast("binary").alias("data"))
+
+
+@query("select vec_id, true as optimum, true as tiff from embeddings")
+def png_predict_roundtrip(spark, d):
+    df = bitmaps(spark, d)
+    trip = lambda kind: predictors.unpredict_column(predictors.predict_column(F.col("data"), kind, 8, 1), kind, 8, 1) == F.col("data")
+    return df.where("n % 8 = 0").select("vec_id", trip("optimum").alias("optimum"), trip("tiff").alias("tiff"))
+
+
+def document_files(spark, d) -> DataFrame:
+    """Each document as a PDF file of five objects, its text in a compressed stream and, again, in a plain one."""
+    body = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]).cast("binary")
+    raw = F.col("text").cast("binary")
+    docs = table(spark, d, "documents").select(F.format_string("doc-%d", "doc_id").alias("path"), raw.alias("raw"), codecs.encode(raw, "deflate").alias("small"))
+    row = lambda num, b, s: F.struct(F.lit(num).cast("bigint").alias("num"), F.lit(0).cast("bigint").alias("gen"), b.alias("body"), s.cast("binary").alias("stream"))
+    none = F.lit(None).cast("binary")
+    rows = F.array(
+        row(1, body("<</Type/Catalog/Pages 2 0 R>>"), none),
+        row(2, body("<</Type/Pages/Count 1/Kids[3 0 R]>>"), none),
+        row(3, body("<</Type/Page/Parent 2 0 R/Contents[4 0 R 5 0 R]>>"), none),
+        row(4, body("<</Filter/FlateDecode/Length ", F.octet_length("small").cast("string"), ">>"), F.col("small")),
+        row(5, body("<</Filter/FlateDecode/Length ", F.octet_length("small").cast("string"), ">>"), F.col("small")),
+        row(7, body("<</Unused true>>"), none),
+    )
+    objects = docs.select("path", F.inline(rows))
+    trailers = docs.select("path", F.lit("trailer").alias("kind"), F.lit(0).alias("pos"), body("<</Root 1 0 R>>").alias("body"))
+    return pdf.assemble(objects, trailers)
+
+
+@query("select 'doc-' || doc_id as path, sha256(text) as hash from documents")
+def pdf_extract(spark, d):
+    found = pdf.extract(pdf.objects(document_files(spark, d)), 4)
+    return found.select("path", F.sha2("data", 256).alias("hash"))
+
+
+@query("select 'doc-' || doc_id as path, cast(2 as bigint) as streams, cast(6 as bigint) as objects, cast(1 as bigint) as duplicates from documents")
+def pdf_stat(spark, d):
+    objects = pdf.objects(document_files(spark, d))
+    marked = pdf.hashes(objects).groupBy("path").agg(F.count(F.lit(1)).alias("streams"), F.count_if("is_duplicate").alias("duplicates"))
+    return objects.where("num is not null").groupBy("path").agg(F.count(F.lit(1)).alias("objects")).join(marked, "path").select("path", "streams", "objects", "duplicates")
+
+
+@query("select 'doc-' || doc_id as path, cast(num as bigint) as num from documents, (select unnest([1, 2, 3, 4]) as num)")
+def pdf_optimize(spark, d):
+    """Objects that stay: the second stream is a duplicate, the last object unused."""
+    return pdf.optimize(pdf.objects(document_files(spark, d))).select("path", "num")
+
+
+@query(ORACLE_SQL["state_changes"])
+def stream_state_changes(spark, d):
+    """The same as state_changes, as a stream over the files of events in micro-batches."""
+    schema = table(spark, d, "events").schema
+    where = f"{d}/events.parquet"
+    files = spark.readStream.schema(schema)
+    source = files.option("pathGlobFilter", "events.parquet").parquet(d) if d and not _is_folder(spark, where) else files.parquet(where)
+    return streamed(spark, events_stream.state_changes(source), "append")
+
+
+def _is_folder(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def streamed(spark, df: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what there is now, and reads its output."""
+    path = f"{refs.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    job = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    job.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)

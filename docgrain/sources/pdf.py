@@ -197,8 +197,9 @@ def used(table: DataFrame) -> DataFrame:
     return table.join(named, ["path", "num", "gen"], "left_semi").where(~F.contains(F.col("body"), F.lit("/Linearized").cast("binary")))
 
 
-@pandas_udf("value binary, error string")
-def _unfiltered(body: pd.Series, stream: pd.Series) -> pd.DataFrame:
+def unfiltered_column(body: Column, stream: Column) -> Column:
+    """(value, error) of streams decoded by the filters that their dictionaries name."""
+
     def one(b, s):
         if s is None:
             return None, None
@@ -208,12 +209,16 @@ def _unfiltered(body: pd.Series, stream: pd.Series) -> pd.DataFrame:
         except Exception as e:
             return None, f"{type(e).__name__}: {e}"
 
-    return pd.DataFrame([one(b, s) for b, s in zip(body, stream)], columns=["value", "error"])
+    @pandas_udf("value binary, error string")
+    def run(b: pd.Series, s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x, y) for x, y in zip(b, s)], columns=["value", "error"])
+
+    return run(body, stream)
 
 
 def with_data(table: DataFrame) -> DataFrame:
     """Adds data, the decoded stream (or what the unknown filters leave of it), and data_error."""
-    got = table.withColumn("dg_d", _unfiltered("body", "stream"))
+    got = table.withColumn("dg_d", unfiltered_column(F.col("body"), F.col("stream")))
     return got.withColumn("data", F.col("dg_d.value")).withColumn("data_error", F.col("dg_d.error")).drop("dg_d")
 
 
@@ -313,14 +318,16 @@ def json_of(value: Any) -> Any:
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
-@pandas_udf("string")
-def _json(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: None if b is None else json.dumps(json_of(Reader(bytes(b)).value())))
-
-
 def as_json(table: DataFrame, column: str = "json") -> DataFrame:
     """Adds each object's value as JSON text, for variant functions."""
-    return table.withColumn(column, F.when(F.col("kind").isin("object", "stream", "objstm", "xref", "trailer"), _json("body")))
+
+
+    @pandas_udf("string")
+    def run(body: pd.Series) -> pd.Series:
+        return body.map(lambda b: None if b is None else json.dumps(json_of(Reader(bytes(b)).value())))
+
+    held = F.when(F.col("kind").isin("object", "stream", "objstm", "xref", "trailer"), F.col("body"))
+    return table.withColumn(column, run(held))
 
 
 def cheapest_stream(d: dict, data: bytes) -> tuple[dict, bytes]:
