@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-import zlib
-from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of every executor, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="docgrain-"), "docgrain_pkg.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, p.relative_to(root.parent).as_posix())
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+from docgrain.cluster import ship
 
+__all__ = ["id_crc", "quantile_bounds", "saved", "scratch", "shared_dir", "ship", "shuffle_width", "small_batches", "table"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set."""
@@ -67,15 +49,6 @@ def id_crc(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def crc_of(ids) -> np.ndarray:
-    return np.array([zlib.crc32(b"" if i is None else str(i).encode()) for i in ids], dtype=np.int64)
-
-
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Python strings; null is the empty text."""
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
 def small_batches(batches, most_bytes: int = 8 << 20):
     """The same rows in slices of about most_bytes at most, one row at least: bounds what a worker holds."""
     for batch in batches:
