@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches
+from .common import per_worker, ship, small_batches
 
 SIZE = 2048
 CUT_SENTENCE, CUT_ANYWHERE, SHORT = 8, 64, 12
@@ -37,82 +37,126 @@ BLOCK = 1 << 20
 END_ID = 1
 POWERS = (1024, 512, 256)
 STOPS = ".!?…。！？"
+CLOSERS = "\"'”’»)]"
 #: Python's split() takes these for white space, the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: A full stop or comma that belongs to a run of marks, which must not be cut.
+IN_RUN = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.))")
+#: Words of these letters only are one piece to the pre-tokenizer, and stay so in lower case.
+PLAIN = re.compile("[a-zA-Z\xe0-\xf6\xf8-\xff]+")
 
 
 class Words:
     """Token ids of texts by a tokenizers JSON that drops white space: words are encoded once and looked up after that."""
 
-    def __init__(self, tokenizer_json: str, most: int = 250_000):
+    def __init__(self, tokenizer_json: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_padding()
         self.library.no_truncation()
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        #: Whether an id ends a word; none does if words have no marked ends.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.size = np.zeros(1024, np.int32)
-        self.stop = np.zeros(1024, bool)
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > self.most:
-            self.clear()
-        at = len(self.ids)
-        while len(self.size) < at + len(words):
-            self.size, self.stop = np.concatenate((self.size, np.zeros_like(self.size))), np.concatenate((self.stop, np.zeros_like(self.stop)))
-        for i, (word, code) in enumerate(zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)), at):
-            ids = np.array(code.ids, "<u4")
-            self.place[word] = i
-            self.ids.append(ids.tobytes())
-            self.size[i] = len(ids)
-            self.stop[i] = word.rstrip("\"'”’»)]")[-1:] in STOPS and bool(word)
+        words = self
+
+        class Place(dict):
+            """Numbers of words; one that is new gets the next number, and waits to be encoded."""
+
+            def __missing__(self, word: str) -> int:
+                n = self[word] = len(self)
+                words.new.append(word)
+                return n
+
+        self.place, self.new, self.known = Place(), [], 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of all words, one after another
+        self.first, self.size, self.stop = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one after another, and how many each has. Plain ones are encoded as one text, whose ids are cut where words end."""
+        plain = np.array([PLAIN.fullmatch(w) is not None for w in words], bool)
+        parts, sizes = [], np.zeros(len(words), np.int64)
+        for at in range(0, len(words), 2000):
+            mine = slice(at, at + 2000)
+            if plain[mine].all():
+                ids = np.array(self.library.encode_batch_fast([" ".join(words[mine])], add_special_tokens=False)[0].ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(words[mine]) and last[-1] == len(ids) - 1:
+                    parts.append(ids)
+                    sizes[mine] = np.diff(last, prepend=-1)
+                    continue
+            for i, code in enumerate(self.library.encode_batch_fast(words[mine], add_special_tokens=False), at):
+                parts.append(np.array(code.ids, np.uint32))
+                sizes[i] = len(parts[-1])
+        return np.concatenate(parts), sizes
+
+    def learn(self) -> None:
+        """Encode the words that wait."""
+        if not self.new:
+            return
+        order = sorted(range(len(self.new)), key=lambda i: PLAIN.fullmatch(self.new[i]) is None)  # plain ones first
+        words = [self.new[i] for i in order]
+        ids, sizes = self.ids_of(words)
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.size) < len(self.place):
+            self.first, self.size, self.stop = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size, self.stop))
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.array(order) + self.known
+        self.first[at] = self.used + np.cumsum(sizes) - sizes
+        self.size[at] = sizes
+        self.stop[at] = [w[-1] in STOPS or w[-1] in CLOSERS and w.rstrip(CLOSERS)[-1:] in STOPS and w.rstrip(CLOSERS) != "" for w in words]
+        self.used += len(ids)
+        self.known, self.new = len(self.place), []
+
+    def split(self, text: str) -> tuple[list[str], list[int]] | None:
+        """Words, and how many there are at each line's end. None if the text must be encoded whole."""
+        if ODD_SPACE.search(text):
+            return None
+        if text.isascii():
+            text = text.lower()
+        cut = not IN_RUN.search(text)
+        if cut:  # marks after a word are words of their own, so that fewer are met
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        words, ends = [], []
+        for line in text.split("\n"):
+            if cut and line[-1:] in (".", ","):
+                line = f"{line[:-1]} {line[-1]}"
+            words += line.split()
+            ends.append(len(words))
+        return words, ends
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """For each text the ids with the end token, as little-endian 32-bit numbers, and the places of sentence ends, as counts of ids before."""
-        split = []
-        for text in texts:
-            if ODD_SPACE.search(text):
-                split.append(None)
-                continue
-            words, ends = [], []
-            for line in (text.lower() if text.isascii() else text).split("\n"):
-                words += line.split()
-                ends.append(len(words))
-            split.append((words, ends))
-        out = []
-        at = 0
-        while at < len(split):
-            # as many texts at a time as keep the words to learn well under the bound
-            stop, seen = at, set()
-            while stop < len(split) and (stop == at or len(seen) < self.most // 4):
-                if split[stop]:
-                    seen.update(split[stop][0])
-                stop += 1
-            if new := list(seen.difference(self.place)):
-                before = self.place
-                self.learn(new)
-                if self.place is not before and (again := list(seen.difference(self.place))):
-                    self.most, held = max(self.most, len(seen) + 1), self.most
-                    self.learn(again)
-                    self.most = held
-            for i in range(at, stop):
-                out.append(self.looked_up(*split[i]) if split[i] else self.whole(texts[i]))
-            at = stop
+        out: list = []
+        for at in range(0, len(texts), 256):
+            if len(self.place) > self.most:
+                self.clear()
+            found = []
+            for text in texts[at : at + 256]:
+                split = self.split(text)
+                found.append(split and (np.fromiter(map(self.place.__getitem__, split[0]), np.int64, len(split[0])), split[1]))
+            self.learn()
+            out += [self.looked_up(*x) if x else self.whole(text) for x, text in zip(found, texts[at:])]
         return out
 
-    def looked_up(self, words: list[str], ends: list[int]) -> tuple[bytes, np.ndarray]:
-        at = [*map(self.place.__getitem__, words)]
-        ids = b"".join([self.ids[i] for i in at])
-        at = np.array(at, np.int64)
-        after = np.cumsum(self.size[at])
-        stop = self.stop[at]
+    def looked_up(self, words: np.ndarray, ends: list[int]) -> tuple[bytes, np.ndarray]:
+        size = self.size[words]
+        after = np.cumsum(size)
+        n = int(after[-1]) if len(after) else 0
+        ids = np.empty(n + 1, "<u4")
+        ids[:n] = self.flat[np.repeat(self.first[words] - (after - size), size) + np.arange(n)]
+        ids[n] = END_ID
+        stop = self.stop[words]
         stop[[e - 1 for e in ends if e]] = True
-        return ids + END_ID.to_bytes(4, "little"), after[stop]
+        return ids.tobytes(), after[stop]
 
     def whole(self, text: str) -> tuple[bytes, np.ndarray]:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -122,30 +166,31 @@ class Words:
 def cuts(places: list[int], penalties: list[int], size: int = SIZE) -> list[int]:
     """The places, out of ascending ones from 0 on, at which a stream is cut at least cost; the first and last always are."""
     n = len(places)
-    cost, back = [0] * n, [0] * n
-    queue, head = [0], 0  # indexes with ascending cost + place
-    at_place = {0: 0}
-    powers = [p for p in POWERS if p < size]
+    place = np.array(places)
+    shorter: dict[int, list[int]] = {}  # of a cut, those that stand a smaller power of two before it
+    for q in POWERS:
+        if q < size:
+            at = np.searchsorted(place, place - q)
+            for j in np.flatnonzero(place[at] == place - q).tolist():
+                shorter.setdefault(j, []).append(int(at[j]))
+    key, back, cost = [0] * n, [0] * n, [0] * n  # key: cost + place
+    queue, head, none = [0], 0, ()
     for j in range(1, n):
         p = places[j]
-        while p - places[queue[head]] > size:
+        low = p - size
+        while places[queue[head]] < low:
             head += 1
         i = queue[head]
-        best = cost[i] + places[i] + size - p
-        for q in powers:
-            k = at_place.get(p - q)
-            if k is not None and cost[k] + SHORT < best:
+        best = key[i] + size - p
+        for k in shorter.get(j, none):
+            if cost[k] + SHORT < best:
                 best, i = cost[k] + SHORT, k
         best += penalties[j]
         cost[j], back[j] = best, i
-        at_place[p] = j
-        key = best + p
-        while len(queue) > head and cost[queue[-1]] + places[queue[-1]] >= key:
+        key[j] = best = best + p
+        while len(queue) > head and key[queue[-1]] >= best:
             queue.pop()
         queue.append(j)
-        if head > 4096:
-            del queue[:head]
-            head = 0
     out, j = [places[n - 1]], n - 1
     while j:
         j = back[j]
@@ -235,14 +280,16 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, text: str = "text"
     """doc_id and the columns of RESULT, one row for each piece. tokenizer: path of a tokenizers JSON on the driver."""
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(tokenizer_text(tokenizer))  # a vocabulary: its size does not follow the input
+    spec = tokenizer_text(tokenizer)
+    key = f"words-{zlib.crc32(spec.encode())}-{encoder.__name__}"
+    held = spark.sparkContext.broadcast(spec)  # a vocabulary: its size does not follow the input
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = encoder(held.value)
+        words = per_worker(key, lambda: encoder(held.value))
 
         def stream():
             for batch in small_batches(batches, 4 << 20):
