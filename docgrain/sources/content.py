@@ -100,7 +100,7 @@ def write(commands: list[Command]) -> bytes:
     for c in commands:
         parts = [inline_image(c)] if c.op == "BI" else [to_bytes(t) for t in token_list(c)]
         for part in parts:
-            if out and out[-1] not in b"()<>[]{}/%\0\t\n\f\r " and part[:1] not in (b"(", b"<", b"[", b"/", b")", b">", b"]"):
+            if out and (out[-1] not in b"()<>[]{}/%\0\t\n\f\r " or out[-1:] == b"/") and part[:1] not in (b"(", b"<", b"[", b"/", b")", b">", b"]"):
                 out += b" "
             out += part
     return bytes(out)

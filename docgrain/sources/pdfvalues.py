@@ -220,7 +220,7 @@ def spaced(values) -> bytes:
     """Values in a row, a space only where two would run together."""
     out = bytearray()
     for part in map(to_bytes, values):
-        if out and out[-1] not in DELIMITERS + WHITE and part[:1] not in DELIMITERS_BYTES:
+        if out and (out[-1] not in DELIMITERS + WHITE or out[-1:] == b"/") and part[:1] not in DELIMITERS_BYTES:
             out += b" "
         out += part
     return bytes(out)
