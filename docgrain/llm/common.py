@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from docgrain.cluster import ship
 
-__all__ = ["id_crc", "quantile_bounds", "saved", "scratch", "shared_dir", "ship", "shuffle_width", "small_batches", "table"]
+__all__ = ["id_crc", "per_worker", "quantile_bounds", "saved", "scratch", "shared_dir", "shielded", "ship", "shuffle_width", "small_batches", "table"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set."""
@@ -44,11 +45,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(docs: DataFrame):
+    """The same rows with column names that clash with none made here, the new name of each, and what gives a result its names again."""
+    names = {c: f"dg_in{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return plain, names, lambda df, *more: df.select(*[F.col(n).alias(c) for c, n in names.items()], *more)
+
+
 def id_crc(doc_id):
     """crc32 of the decimal doc_id, as a column."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+_held: list = [None, None]
+
+
+def per_worker(key: str, make):
+    """What this Python worker has made for a key, kept from one task to the next; the last key's only."""
+    if _held[0] != key:
+        _held[:] = [None, None]  # frees the last before the next is made
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 def small_batches(batches, most_bytes: int = 8 << 20):
     """The same rows in slices of about most_bytes at most, one row at least: bounds what a worker holds."""
     for batch in batches:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shielded
 
 RATIO, MIN_PAGES = 0.05, 5
 #: White space that Java's and other engines' trim agree on.
@@ -52,16 +52,18 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     it both sides are dealt by site, of which AQE splits a hot one.
     """
     drops = saved(boilerplate_lines(docs, site, text, ratio, min_pages).groupBy("dg_site").agg(F.sort_array(F.collect_set("dg_line")).alias("dg_drop")), "boilerplate")
-    whole = docs.withColumn("dg_site", F.xxhash64(F.col(site))).join(drops, "dg_site", "left")
-    return apply_drops(whole, docs.columns, text, counts)
+    plain, names, back = shielded(docs)
+    whole = plain.withColumn("dg_site", F.xxhash64(F.col(names[site]))).join(drops, "dg_site", "left")
+    out = apply_drops(whole, names[text])
+    return back(out, "dg_lines", "dg_dropped") if counts else back(out)
 
 
-def apply_drops(whole: DataFrame, columns: list[str], text: str, counts: bool) -> DataFrame:
+def apply_drops(whole: DataFrame, text: str) -> DataFrame:
     lines = lines_of(F.col(text))
     kept = F.filter("dg_all", lambda x: (F.btrim(x, F.lit(BLANK)) == "") | ~F.array_contains(F.col("dg_drop"), line_key(x)))
     filled = lambda a: F.exists(a, lambda x: F.btrim(x, F.lit(BLANK)) != "")
     split = whole.withColumn("dg_all", lines).withColumn("dg_some", F.when(F.col("dg_drop").isNotNull(), kept))
     use = F.col("dg_some").isNotNull() & (F.size("dg_some") < F.size("dg_all")) & filled(F.col("dg_some"))
-    out = split.withColumn(text, F.when(use, F.array_join("dg_some", "\n")).otherwise(F.col(text)))
-    extra = [F.size("dg_all").cast("long").alias("dg_lines"), F.when(use, F.size("dg_all") - F.size("dg_some")).otherwise(F.lit(0)).cast("long").alias("dg_dropped")] if counts else []
-    return out.select(*[F.col(f"`{c}`") for c in columns], *extra)
+    dropped = F.when(F.col("dg_use"), F.size("dg_all") - F.size("dg_some")).otherwise(F.lit(0))
+    out = split.withColumn("dg_use", use).withColumn(text, F.when(F.col("dg_use"), F.array_join("dg_some", "\n")).otherwise(F.col(text)))
+    return out.withColumn("dg_lines", F.size("dg_all").cast("long")).withColumn("dg_dropped", dropped.cast("long"))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shielded
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -163,7 +163,5 @@ def judged(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
 
 def accept(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that are kept, all columns as they came."""
-    columns = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"dg_in{i}") for i, c in enumerate(columns)])
-    held = judged(plain, plain.columns, f"dg_in{columns.index(text)}").where("kept")
-    return held.select(*[F.col(f"dg_in{i}").alias(c) for i, c in enumerate(columns)])
+    plain, names, back = shielded(docs)
+    return back(judged(plain, plain.columns, names[text]).where("kept"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, small_batches
+from .common import saved, shielded, ship, small_batches
 
 BITS, SEED = 64, 42
 #: Of the 64-bit operator: (word, lowest bit, number of bits) of the segments, and the most differing bits.
@@ -240,13 +240,14 @@ def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id
 
     Which rows stay is decided on ids and hashes; the rows are then met by a 64-bit hash of id and text.
     """
-    keyed = docs.withColumn("dg_row", F.xxhash64(F.col(id_column), F.col(text)))
-    found = classes(keyed, [id_column, "dg_row"], shingle, WIDE_SEGMENTS, WIDE_RADIUS, BLOCK, id_column, text)
+    plain, names, back = shielded(docs)
+    own, body = names[id_column], names[text]
+    keyed = plain.withColumn("dg_row", F.xxhash64(F.col(own), F.col(body)))
+    found = classes(keyed, [own, "dg_row"], shingle, WIDE_SEGMENTS, WIDE_RADIUS, BLOCK, own, body)
     # Null ids come last, and all of a class without any id are one group.
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("dg_row"))).alias("s"))
+    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), F.col("dg_row"))).alias("s"))
     keep = saved(keep.select(F.col("s.dg_row").alias("dg_row")).distinct(), "kept")
     # Rows that repeat both id and text are one.
-    columns = docs.columns
     again = found.groupBy("dg_row").count().where("count > 1").limit(1).count() > 0
     met = keyed.join(keep, "dg_row", "left_semi")
-    return (met.dropDuplicates(["dg_row"]) if again else met).select(*[F.col(f"`{c}`") for c in columns])
+    return back(met.dropDuplicates(["dg_row"]) if again else met)
