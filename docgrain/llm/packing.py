@@ -42,6 +42,8 @@ CLOSERS = "\"'”’»)]"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A full stop or comma that belongs to a run of marks, which must not be cut.
 IN_RUN = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.))")
+#: Characters other than those that stay letters, digits or marks when the tokenizer composes and lower-cases them.
+EXOTIC = re.compile("[^\0-\u012f\u0131-\u024f\u2010-\u2027\u4e00-\u9fff]")
 #: Words of these letters only are one piece to the pre-tokenizer, and stay so in lower case.
 PLAIN = re.compile("[a-zA-Z\xe0-\xf6\xf8-\xff]+")
 
@@ -122,7 +124,9 @@ class Words:
             return None
         if text.isascii():
             text = text.lower()
-        cut = not IN_RUN.search(text)
+            cut = not IN_RUN.search(text)
+        else:
+            cut = not EXOTIC.search(text) and not IN_RUN.search(text)
         if cut:  # marks after a word are words of their own, so that fewer are met
             text = text.replace(", ", " , ").replace(". ", " . ")
         words, ends = [], []

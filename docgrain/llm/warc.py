@@ -112,6 +112,8 @@ def records(file, plain: bool, filters: tuple = (), payload: bool = True) -> Ite
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no record begins at byte {at}: {line[:40]!r}")
         found = headers(file)
+        if not found.get("content-length", "").isdigit():
+            raise ValueError(f"the record at byte {at} has no length")
         length = int(found["content-length"])
         row = {c: found.get(h) for c, h in HEADER_OF.items()} | {"content_length": length, "offset": at}
         if not all(accepts(f, row) for f in filters):
