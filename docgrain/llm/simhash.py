@@ -3,12 +3,15 @@
 A text's fingerprint has bit b set if more than half of its word shingles' XXH64 hashes have it. Fingerprints link if at
 most RADIUS bits differ. Four differing bits over three segments leave one segment with at most one; so of every segment
 all variants with one bit deleted are indexed (22 + 21 + 21 = 64 variants of 64 bits), and two fingerprints within four
-bits share at least one variant. Rows are dealt by variant, and the members of a variant verified against each other.
+bits share at least one variant. A bit deleted from one half of a segment leaves the other half as it is: so fingerprints are
+dealt by halves of segments, six rows each, and the task that gets a half makes the variants of the other half, sorts
+them, and verifies the members of each against each other.
 
 Only distinct fingerprints are compared: equal texts meet in one group-by, whatever their number. What a variant's members
 give is not pairs but links that join the same components: a walk takes a member, links all those still unmet that are
-within the radius, and goes on with these; each is met once, so a cluster of k near copies makes k - 1 links. A variant of
-more than BLOCK members is cut into blocks, and every two blocks are compared in a task of their own.
+within the radius, and goes on with these; and of the links of a half only those are kept that join what was not joined,
+so that a cluster of k near copies makes k - 1 links there. A half that more than BLOCK fingerprints share is cut into
+blocks, and every two blocks are compared in a task of their own.
 
 The filter `first_of_classes` uses 128 bits (the second 64 from the same hashes remixed) of five-word shingles, 8 segments
 of 16 bits, and a radius of 24 bits, a cosine of cos(24 pi / 128) = 0.83. Up to 15 differing bits every pair shares a
@@ -33,7 +36,7 @@ BITS, SEED = 64, 42
 SEGMENTS, RADIUS = ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 4
 #: Of the filter on 128 bits.
 WIDE_SEGMENTS, WIDE_RADIUS = tuple((w, 16 * i, 16) for w in range(2) for i in range(4)), 24
-BLOCK, SMALL = 20_000, 32
+BLOCK, SMALL = 250_000, 32
 
 
 def remixed(h: np.ndarray) -> np.ndarray:
@@ -72,22 +75,64 @@ def with_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 4, text:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), *(f"{x} long" for x in names)])
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 2 << 20):
             fp = np.array([fingerprint(t, shingle, words_out) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words_out))], names=[*carry, *names])
 
     return own.mapInArrow(run, schema)
 
 
-def variants(segments) -> Column:
-    """Array of all variant keys of dg_fp and dg_fp1: which bit of all is deleted, and the rest of that bit's segment."""
-    keys = []
+def halves(segments) -> list[tuple[int, int, int, int, int]]:
+    """(word, lowest bit, bits, the other half's lowest bit, its bits) of both halves of all segments."""
+    out = []
     for word, low, n in segments:
-        segment = F.shiftrightunsigned(("dg_fp", "dg_fp1")[word], low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-        keys += [segment.bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << b))) * F.lit(128) + F.lit(64 * word + low + b) for b in range(n)]
+        m = n // 2
+        out += [(word, low, m, low + m, n - m), (word, low + m, n - m, low, m)]
+    return out
+
+
+def half_keys(segments) -> Column:
+    """Array of the halves' values of dg_fp and dg_fp1, each with the half's number above it."""
+    keys = []
+    for i, (word, low, n, _, _) in enumerate(halves(segments)):
+        value = F.shiftrightunsigned(("dg_fp", "dg_fp1")[word], low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+        keys.append(value + F.lit(i << 16))
     return F.array(*keys)
 
 
+def variants(half: np.ndarray, fp: np.ndarray, segments) -> tuple[np.ndarray, np.ndarray]:
+    """For rows with the number of the half that they are dealt by: (row, variant) of all one-bit deletions of the other half."""
+    rows, keys = [], []
+    for i, (word, _, _, low, n) in enumerate(halves(segments)):
+        at = np.flatnonzero(half == i)
+        if not len(at):
+            continue
+        value = (fp[at, word] >> np.uint64(low)) & np.uint64((1 << n) - 1)
+        for b in range(n):
+            rows.append(at)
+            keys.append((value & ~np.uint64(1 << b)) | np.uint64(b << 16))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links, in their order, join what those before them did not."""
+    parent: dict[int, int] = {}
+    keep = np.zeros(len(a), bool)
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
 def walk(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (from, to), as places, that join the same components as all pairs within the radius do. fp: (members, words).
 
@@ -114,7 +159,7 @@ def walk(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[n
 
 
 def group_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal keys. side: 0 of an undivided variant or a block of its own, 1 and 2 of two blocks that are compared."""
+    """Links inside runs of equal keys. side: 0 of an undivided half or a block of its own, 1 and 2 of two blocks that are compared; ascending in a run."""
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
     left = np.repeat(first + size, size) - np.arange(len(key))  # members from here to the end of the run
@@ -127,7 +172,7 @@ def group_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int)
         out_b.append(at[near] + step)
         step += 1
         at = at[left[at] > step]
-    for i in np.flatnonzero((size > SMALL) | (side[first] > 0)):
+    for i in np.flatnonzero((size > SMALL) & (side[first] == 0) | (side[first] != side[first + size - 1])):
         a, b = first[i], first[i] + size[i]
         found = walk(fp[a:b], radius, side[a:b] if side[a] else None)
         out_a.append(found[0] + a)
@@ -144,39 +189,46 @@ def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int
     spark = points.sparkSession
     ship(spark)
     columns = ["dg_fp", "dg_fp1"][: 1 + max(w for w, _, _ in segments)]
-    index = points.select("name", *columns, F.explode(variants(segments)).alias("key"))
-    # Variants of more members than a block, counted with sums by task; mostly none.
-    hot = saved(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-variants")
-    whole = lambda df: df.select(F.col("key").cast("long").alias("key"), F.lit(0).alias("side"), "name", *columns)
+    index = points.select("name", *columns, F.explode(half_keys(segments)).alias("half"))
+    # Halves of more fingerprints than a block, counted with sums by task; mostly none.
+    hot = saved(index.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("half", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-halves")
+    whole = lambda df: df.select(F.col("half").cast("long").alias("task"), "half", F.lit(0).alias("side"), "name", *columns)
     if hot.limit(1).count():
-        tasks = index.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("name"), "parts").cast("int"))
+        tasks = index.join(hot, "half").withColumn("own", F.pmod(F.xxhash64("name"), "parts").cast("int"))
         # The task of two blocks has the members of both, that of one block its own.
         tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         low, high = F.least("own", "other"), F.greatest("own", "other")
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        split = tasks.select(F.xxhash64("key", low, high).alias("key"), side.alias("side"), "name", *columns)
-        rest = whole(index.join(hot, "key", "left_anti")).union(split)
+        split = tasks.select(F.xxhash64("half", low, high).alias("task"), "half", side.alias("side"), "name", *columns)
+        rest = whole(index.join(hot, "half", "left_anti")).union(split)
     else:
         rest = whole(index)
-    dealt = rest.repartition("key").sortWithinPartitions("key", "side")
+    dealt = rest.repartition("task").sortWithinPartitions("task")
 
     def run(batches):
         held = None
 
-        def out(key, side, name, fp):
-            a, b = group_links(key, side, fp, radius)
-            a, b = name[a], name[b]
+        def out(task, half, side, name, fp):
+            row, key = variants(half >> 16, fp, segments)
+            order = np.lexsort((side[row], key, task[row]))
+            row, key = row[order], key[order]
+            # Runs of equal (task, variant) are told by numbers of their own.
+            new = np.concatenate(([False], (key[1:] != key[:-1]) | (task[row[1:]] != task[row[:-1]])))
+            a, b = group_links(np.cumsum(new), side[row], fp[row], radius)
+            a, b = row[a], row[b]
+            keep = spanning(a, b)
+            a, b = name[a[keep]], name[b[keep]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            key, side, name, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            part = (key, side, name, np.stack([f.view(np.uint64) for f in fps], axis=1))
-            if not len(key):
+            task, half, side, name, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            part = (task, half, side, name, np.stack([f.view(np.uint64) for f in fps], axis=1))
+            if not len(task):
                 continue
             held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
-            if len(held[0]) < 1 << 16:
+            if len(held[0]) < 1 << 15:
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last variant may go on
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last task may go on
             if cut:
                 yield out(*(x[:cut] for x in held))
                 held = tuple(x[cut:] for x in held)
