@@ -19,19 +19,28 @@ An empty training set gives every decision one half.
 
 from __future__ import annotations
 
+import json
 import math
+import os
+import shutil
+import tempfile
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_crc, saved, ship, small_batches
+from .common import id_crc, per_worker, saved, scratch, ship, shuffle_width, small_batches
+from .warc import opened
 
 DEPTH, MOST_PAIRS, TOP = 6, 1_000_000, 150_000
+#: Contexts that stand less often say nothing that shorter ones do not.
+LEAST = 2
+#: Bytes of text that a worker takes at a time; arrays made on the way take some fifty times as much.
+BATCH = 1 << 20
 END = b"\n"
 LN10 = math.log(10)
 FOLDS, HELD = 5, 1
@@ -83,27 +92,45 @@ class Slots:
 
 
 class GramCounter:
-    """Counts keys; those whose slot is taken by another go to `over`, to be summed elsewhere."""
+    """Counts keys in a table of fixed size; those whose slot is taken by another are gathered beside it."""
 
-    def __init__(self, bits: int = 20):
-        self.slots, self.counts = Slots(bits), np.zeros(1 << bits, np.int64)
+    def __init__(self, bits: int = 22, most_beside: int = 1 << 20):
+        self.slots, self.counts = Slots(bits), np.zeros(1 << bits, np.int32)
+        self.beside: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting, self.most = 0, most_beside
 
-    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Counts; gives (keys, counts) to be summed elsewhere when too many are beside the table."""
         slot, hit = self.slots.find(keys)
-        self.counts += np.bincount(slot[hit], minlength=len(self.counts))
+        # A task's texts have fewer than 2 ** 31 bytes of one kind.
+        np.add(self.counts, np.bincount(slot[hit], minlength=len(self.counts)), out=self.counts, casting="unsafe")
         new, n = np.unique(keys[~hit], return_counts=True)
         slot, _ = self.slots.find(new)
-        free = self.slots.keys[slot] == np.uint64(0xFFFFFFFFFFFFFFFF)
+        own = self.slots.keys[slot] == np.uint64(0xFFFFFFFFFFFFFFFF)
         first = np.zeros(len(new), bool)
         first[np.unique(slot, return_index=True)[1]] = True
-        own = free & first
+        own &= first
         self.slots.keys[slot[own]] = new[own]
-        self.counts[slot[own]] += n[own]
-        return new[~own], n[~own]
+        self.counts[slot[own]] += n[own].astype(np.int32)
+        self.beside.append((new[~own], n[~own]))
+        self.waiting += int((~own).sum())
+        if self.waiting <= self.most:
+            return None
+        keys, counts = self.merged()
+        if len(keys) > self.most // 2:
+            self.beside, self.waiting = [], 0
+            return keys, counts
+        self.beside, self.waiting = [(keys, counts)], len(keys)
+        return None
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in self.beside]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in self.beside]), len(keys)).astype(np.int64)
 
     def rest(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.counts)
-        return self.slots.keys[at], self.counts[at]
+        keys, counts = self.merged() if self.beside else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return np.concatenate((self.slots.keys[at], keys)), np.concatenate((self.counts[at].astype(np.int64), counts))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -120,90 +147,123 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The weighted tree: for each depth sorted node keys, the probability of a one and the weight of the node's own estimate."""
+    """The weighted tree, fixed: for each depth d the sorted contexts of d bytes and their first nodes; of each node the nodes
+    after a zero and a one, the probability of a one, the weight of this own estimate, and what stands for contexts not kept.
+    """
+
+    PARTS = ("contexts", "roots", "child", "probs")
 
-    def __init__(self, depth: int, keys: list[np.ndarray], ones: list[np.ndarray], own: list[np.ndarray], rest: list[np.ndarray]):
-        self.depth, self.keys, self.ones, self.own, self.rest = depth, keys, ones, own, rest
+    def __init__(self, depth: int, contexts, roots, child, probs):
+        self.depth, self.contexts, self.roots, self.child, self.probs = depth, contexts, roots, child, probs
 
     @staticmethod
     def built(depth: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-        """pairs: for each depth d the (context of d bytes, byte) pairs as numbers, and their counts."""
-        keys, n0, n1 = [], [], []
-        for contexts, counts in pairs:
-            context, byte = contexts >> np.uint64(8), (contexts & np.uint64(255)).astype(np.int64)
-            node, bit = [], []
-            for k in range(8):
-                node.append((context << np.uint64(8)) | ((256 | byte) >> (8 - k)).astype(np.uint64))
-                bit.append(byte >> (7 - k) & 1)
-            node, bit = np.concatenate(node), np.concatenate(bit)
-            count = np.tile(counts.astype(np.float64), 8)
-            own, at = np.unique(node, return_inverse=True)
-            keys.append(own)
-            n1.append(np.bincount(at, count * bit, len(own)))
-            n0.append(np.bincount(at, count, len(own)) - n1[-1])
-        ones, weight, rest = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
-        below = None
+        """pairs: for each depth d the (context of d bytes, byte) pairs as numbers, and their counts. A kept context's shorter ones must be kept."""
+        contexts, roots, child, probs = ([None] * (depth + 1) for _ in range(4))
+        below = None  # of the depth under this one: node keys, counts of zeros and ones, log of the weighted probability
         for d in range(depth, -1, -1):
-            pe = log_kt(n0[d], n1[d])
-            if below is None or not len(keys[d + 1]):
-                log_w, w, r = pe, np.ones(len(pe)), np.full(len(pe), 0.5)
+            grams, counts = pairs[d]
+            context, byte = grams >> np.uint64(8), (grams & np.uint64(255)).astype(np.int64)
+            node = np.concatenate([(context << np.uint64(8)) | ((256 | byte) >> (8 - k)).astype(np.uint64) for k in range(8)])
+            bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
+            keys, at = np.unique(node, return_inverse=True)
+            count = np.tile(counts.astype(np.float64), 8)
+            n1 = np.bincount(at, count * bit, len(keys))
+            n0 = np.bincount(at, count, len(keys)) - n1
+            del node, bit, at, count
+            pe = log_kt(n0, n1)
+            if below is None or not len(below[0]):
+                log_w, own, rest = pe, np.ones(len(pe)), np.full(len(pe), 0.5)
             else:
                 # A node's parent has the last byte of its context dropped and the same decision.
-                child = keys[d + 1]
-                parent = np.searchsorted(keys[d], ((child >> np.uint64(16)) << np.uint64(8)) | (child & np.uint64(255)))
-                inside = np.bincount(parent, below, len(pe))
-                r0 = np.maximum(0, n0[d] - np.bincount(parent, n0[d + 1], len(pe)))
-                r1 = np.maximum(0, n1[d] - np.bincount(parent, n1[d + 1], len(pe)))
-                inside = inside + np.where(r0 + r1 > 0, log_kt(r0, r1), 0.0)
+                lower, low0, low1, low_w = below
+                parent = np.searchsorted(keys, ((lower >> np.uint64(16)) << np.uint64(8)) | (lower & np.uint64(255)))
+                r0 = np.maximum(0, n0 - np.bincount(parent, low0, len(pe)))
+                r1 = np.maximum(0, n1 - np.bincount(parent, low1, len(pe)))
+                some = r0 + r1 > 0
+                inside = np.bincount(parent, low_w, len(pe)) + np.where(some, log_kt(r0, r1), 0.0)
                 has = np.bincount(parent, minlength=len(pe)) > 0
                 log_w = np.where(has, np.logaddexp(pe, inside) - math.log(2), pe)
-                w = np.where(has, np.exp(pe - math.log(2) - log_w), 1.0)
-                r = np.where(r0 + r1 > 0, (r1 + 0.5) / (r0 + r1 + 1), (n1[d] + 0.5) / (n0[d] + n1[d] + 1))
-            below = log_w
-            ones[d], weight[d], rest[d] = ((n1[d] + 0.5) / (n0[d] + n1[d] + 1)).astype(np.float32), w.astype(np.float32), r.astype(np.float32)
-        return Tree(depth, keys, ones, weight, rest)
+                own = np.where(has, np.exp(pe - math.log(2) - log_w), 1.0)
+                rest = np.where(some, (r1 + 0.5) / (r0 + r1 + 1), (n1 + 0.5) / (n0 + n1 + 1))
+            below = (keys, n0, n1, log_w)
+            probs[d] = np.stack([(n1 + 0.5) / (n0 + n1 + 1), own, rest], axis=1).astype(np.float32)
+            root = np.flatnonzero((keys & np.uint64(255)) == 1)
+            contexts[d], roots[d] = keys[root] >> np.uint64(8), root.astype(np.int32)
+            child[d] = np.full((len(keys), 2), -1, np.int32)
+            if len(keys):
+                for one in (0, 1):
+                    inner = np.flatnonzero((keys & np.uint64(255)) < 128)
+                    key = (keys[inner] & ~np.uint64(255)) | ((keys[inner] & np.uint64(255)) * np.uint64(2) + np.uint64(one))
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    child[d][inner, one] = np.where(keys[at] == key, at, -1)
+        return Tree(depth, contexts, roots, child, probs)
+
+    def arrays(self) -> list[np.ndarray]:
+        return [getattr(self, part)[d] for part in self.PARTS for d in range(self.depth + 1)]
+
+    @staticmethod
+    def of(depth: int, arrays) -> Tree:
+        n = depth + 1
+        return Tree(depth, *(arrays[i * n : (i + 1) * n] for i in range(4)))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's byte after its context; quickest on sorted grams."""
-        total = np.zeros(len(grams))
         byte = (grams & np.uint64(255)).astype(np.int64)
-        contexts = [(grams >> np.uint64(8 * (self.depth - d + 1))) << np.uint64(8) for d in range(self.depth + 1)]
+        rows, nodes = [], []
+        known = np.arange(len(grams))
+        for d in range(self.depth + 1):
+            held = self.contexts[d]
+            context = grams[known] >> np.uint64(8 * (self.depth - d + 1)) if d else np.zeros(len(known), np.uint64)
+            at = np.minimum(np.searchsorted(held, context), len(held) - 1) if len(held) else np.zeros(len(known), np.int64)
+            there = held[at] == context if len(held) else np.zeros(len(known), bool)
+            known = known[there]
+            rows.append(known)
+            nodes.append(self.roots[d][at[there]])
+        total = np.zeros(len(grams))
         for k in range(8):
-            node, bit = ((256 | byte) >> (8 - k)).astype(np.uint64), (byte >> (7 - k) & 1).astype(bool)
-            p = np.full(len(grams), 0.5)
-            inside = np.zeros(len(grams), bool)  # whether the child of this depth is a node
+            bit = byte >> (7 - k) & 1
+            p, inside = np.full(len(grams), 0.5, np.float32), np.zeros(len(grams), bool)
             for d in range(self.depth, -1, -1):
-                held = self.keys[d]
-                if not len(held):
+                r, node = rows[d], nodes[d]
+                if not len(r):
                     continue
-                key = contexts[d] | node
-                at = np.minimum(np.searchsorted(held, key), len(held) - 1)
-                there = held[at] == key
-                w = self.own[d][at]
-                mixed = w * self.ones[d][at] + (1 - w) * np.where(inside, p, self.rest[d][at])
-                p = np.where(there, mixed, p)
-                inside |= there
-            total += np.log(np.where(bit, p, 1 - p))
+                one, own, rest = self.probs[d][node].T
+                p[r] = own * one + (1 - own) * np.where(inside[r], p[r], rest)
+                inside[r] = True
+                after = self.child[d][node, bit[r]]
+                alive = after >= 0
+                rows[d], nodes[d] = r[alive], after[alive]
+            total += np.log(np.where(bit == 1, p, 1 - p).astype(np.float64))
         return total / LN10
 
 
 class Scorer:
-    """log10 probabilities of grams by a tree; grams met lately are kept in a table of fixed size."""
-
-    def __init__(self, tree: Tree, bits: int = 20):
-        self.tree, self.slots, self.values = tree, Slots(bits), np.zeros(1 << bits, np.float64)
+    """log10 probabilities of grams: from a table of the kept grams, else by the tree; grams met lately are kept in a table of fixed size."""
+
+    def __init__(self, tree: Tree, keys: np.ndarray, logs: np.ndarray, bits: int = 21):
+        self.tree, self.keys, self.logs = tree, keys, logs
+        self.slots, self.values = Slots(bits), np.zeros(1 << bits, np.float64)
+
+    def fresh(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams))
+        at = np.minimum(np.searchsorted(self.keys, grams), max(0, len(self.keys) - 1))
+        there = self.keys[at] == grams if len(self.keys) else np.zeros(len(grams), bool)
+        out[there] = self.logs[at[there]]
+        out[~there] = self.tree.log10(grams[~there])
+        return out
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         slot, hit = self.slots.find(keys)
         out = self.values[slot]
         if not hit.all():
             new, back = np.unique(keys[~hit], return_inverse=True)
-            value = self.tree.log10(new)
+            value = self.fresh(new)
             out[~hit] = value[back]
             slot, _ = self.slots.find(new)
+            # Of several new keys of one slot the last stays, in both tables.
             self.slots.keys[slot] = new
             self.values[slot] = value
-            # Of several new keys of one slot the last stays in both.
         return out
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
@@ -214,36 +274,88 @@ class Scorer:
         return sums[ends] - sums[ends - [len(t) + 1 for t in texts]]
 
 
-def counted(train: DataFrame, depth: int, text: str = "text") -> DataFrame:
-    """(kind, key, n): kind 0 words by hash, kind 1 grams; sums over all rows of train, written to the shared folder."""
-    ship(train.sparkSession)
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+
 
-    def rows(kind, keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(np.asarray(keys).astype(np.uint64).view(np.int64)), pa.array(np.asarray(counts, np.int64))], names=["kind", "key", "n"])
+#: Keys in one row of what counting tasks hand on.
+PACKET = 4096
 
-    def word_rows(words):
-        return rows(0, np.array([word_key(w) for w in words], np.int64), list(words.values()))
+
+def counted(train: DataFrame, depth: int, text: str = "text") -> DataFrame:
+    """(kind, key, n): kind 0 words by hash, kind 1 grams; sums over all rows of train, written to the shared folder.
+
+    Tasks hand on what they have summed in packets of sorted keys, dealt by a hash of the key; those that a bucket gets
+    are merged as arrays, as they come, so that a task holds the distinct keys of its bucket.
+    """
+    spark = train.sparkSession
+    ship(spark)
+    buckets = shuffle_width(spark)
+
+    def packets(kind: int, keys: np.ndarray, counts: np.ndarray):
+        keys, counts = np.asarray(keys).astype(np.uint64), np.asarray(counts, np.int64)
+        bucket = ((keys * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        keys, counts, bucket = keys[order], counts[order], bucket[order]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])).tolist() if len(keys) else []
+        spans = [(i, min(i + PACKET, b)) for a, b in zip(edges, edges[1:]) for i in range(a, b, PACKET)]
+        for at in range(0, len(spans), 64):
+            part = spans[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in part], pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in part], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in part], pa.binary())], names=["bucket", "kind", "keys", "counts"])
+
+    def word_packets(words):
+        yield from packets(0, np.array([word_key(w) for w in words], np.int64), np.fromiter(words.values(), np.int64, len(words)))
 
     def run(batches):
         grams, words = GramCounter(), Counter()
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 2 * BATCH):
             split = [words_of(t) for t in batch.column(0).to_pylist()]
             for s in split:
                 words.update(s)
             words[END] += len(split)
-            yield rows(1, *grams.add(gram_keys([b" ".join(s) for s in split], depth)))
-            if len(words) > 200_000:
-                yield word_rows(words)
+            if (over := grams.add(gram_keys([b" ".join(s) for s in split], depth))) is not None:
+                yield from packets(1, *over)
+            if len(words) > 250_000:
+                yield from word_packets(words)
                 words.clear()
-        yield word_rows(words)
-        yield rows(1, *grams.rest())
-
-    found = train.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "kind int, key long, n long")
-    return saved(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-
-
-def trained(counts: DataFrame, depth: int, most_pairs: int = MOST_PAIRS) -> Tree:
-    """The tree of the gram counts."""
+        yield from word_packets(words)
+        yield from packets(1, *grams.rest())
+
+    def merge(batches):
+        now, parts, waiting = None, [], 0
+
+        def out():
+            keys, counts = merged_counts(parts)
+            for i in range(0, len(keys), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), now[1], np.int32)), pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["kind", "key", "n"])
+
+        for batch in batches:
+            for bucket, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, kind) != now:
+                    if parts:
+                        yield from out()
+                    now, parts, waiting = (bucket, kind), [], 0
+                parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+                waiting += len(keys) // 8
+                if waiting > 1 << 21:
+                    parts = [merged_counts(parts)]
+                    waiting = len(parts[0][0]) // 2  # what stays grows, so merges stay rare
+        if parts:
+            yield from out()
+
+    found = train.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
+    dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return saved(dealt.mapInArrow(merge, "kind int, key long, n long"), "ctw-counts")
+
+
+def trained(counts: DataFrame, depth: int, most_pairs: int = MOST_PAIRS) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The tree of the gram counts, and the kept grams of full depth, sorted, with the log10 of their probabilities."""
     grams = counts.where("kind = 1").select("key", "n")
     levels = None
     for d in range(depth + 1):
@@ -256,16 +368,51 @@ def trained(counts: DataFrame, depth: int, most_pairs: int = MOST_PAIRS) -> Tree
     # The least count a context must have, in steps of a fortieth of a power of two, so that the pairs fit.
     step = F.floor(F.log2("total") * 40).cast("int").alias("step")
     sizes = sorted(((r["step"], r["n"]) for r in pairs.groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    kept, least = 0, 0
+    kept, least = 0, math.floor(math.log2(LEAST) * 40)
     for s, n in sizes:
         if kept + n > most_pairs:
-            least = s + 1
+            least = max(least, s + 1)
             break
         kept += n
     got = pairs.where(F.floor(F.log2("total") * 40) >= least).select("d", "context", "byte", "n").toArrow()
     d, context, byte, n = (got.column(i).to_numpy() for i in range(4))
     key = (context.astype(np.int64).view(np.uint64) << np.uint64(8)) | byte.astype(np.uint64)
-    return Tree.built(depth, [(key[d == i], n[d == i]) for i in range(depth + 1)])
+    tree = Tree.built(depth, [(key[d == i], n[d == i]) for i in range(depth + 1)])
+    grams = np.sort(key[d == depth])
+    return tree, grams, np.concatenate([np.zeros(0), *(tree.log10(grams[i : i + 200_000]) for i in range(0, len(grams), 200_000))]).astype(np.float32)
+
+
+def model_file(spark: SparkSession, arrays: list[np.ndarray]) -> str:
+    """These arrays as one file in the shared folder: its path."""
+    path = scratch(spark, "ctw-model") + ".bin"
+    spec = json.dumps([[a.dtype.str, a.shape] for a in arrays]).encode()
+    system, inside = opened(path)
+    system.create_dir(os.path.dirname(inside), recursive=True)
+    with system.open_output_stream(inside) as f:
+        f.write(len(spec).to_bytes(8, "little") + spec + b" " * (-len(spec) % 8))
+        for a in arrays:
+            f.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8))
+    return path
+
+
+def mapped(path: str) -> list[np.ndarray]:
+    """The arrays of model_file, mapped into memory: one copy for all workers of a machine. From a store that is no file system, a copy without a name is mapped."""
+    system, inside = opened(path)
+    if system.type_name == "local":
+        whole = np.memmap(inside, np.uint8, "r")
+    else:
+        with tempfile.TemporaryFile() as own, system.open_input_stream(inside) as f:
+            shutil.copyfileobj(f, own, 1 << 20)
+            own.flush()
+            whole = np.memmap(own, np.uint8, "r")
+    n = int.from_bytes(whole[:8].tobytes(), "little")
+    spec = json.loads(whole[8 : 8 + n].tobytes())
+    at, out = 8 + n + -n % 8, []
+    for kind, shape in spec:
+        size = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out.append(whole[at : at + size].view(kind).reshape(shape) if size else np.zeros(shape, kind))
+        at += size + -size % 8
+    return out
 
 
 def scores(docs: DataFrame, depth: int = DEPTH, most_pairs: int = MOST_PAIRS, top: int = TOP) -> DataFrame:
@@ -274,54 +421,64 @@ def scores(docs: DataFrame, depth: int = DEPTH, most_pairs: int = MOST_PAIRS, to
     ship(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (id_crc(F.col("doc_id")) % FOLDS == HELD).alias("held_out"))
     counts = counted(docs.where(~F.col("held_out")), depth)
-    tree = trained(counts, depth, most_pairs)
+    tree, grams, logs = trained(counts, depth, most_pairs)
+    model = model_file(spark, [*tree.arrays(), grams, logs])
+    del tree, grams, logs
     words = counts.where("kind = 0").select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("key") == END_KEY, F.col("n"))), F.lit(0)).alias("ends")).first()
     tokens, distinct, ends = sums["n"], sums["v"], sums["ends"]
     most = words.orderBy(F.desc("n"), "key").limit(top).toArrow()
-    held = spark.sparkContext.broadcast((tree.depth, tree.keys, tree.ones, tree.own, tree.rest, dict(zip(most.column(0).to_pylist(), most.column(1).to_pylist()))))
-    whole = len(held.value[-1]) == distinct  # then a word that it lacks has no count
+    held = spark.sparkContext.broadcast(dict(zip(most.column(0).to_pylist(), most.column(1).to_pylist())))
+    whole = len(held.value) == distinct  # then a word that it lacks has no count
 
     def run(batches):
-        *parts, known = held.value
-        scorer = Scorer(Tree(*parts))
-
-        class Met(dict):
-            """Of a word: its count among the top words, or none and its key."""
-
-            def __missing__(self, word):
-                key = word_key(word)
-                value = (known.get(key), key)
-                if len(self) > 300_000:
-                    self.clear()
-                if len(word) < 64:
-                    self[word] = value
-                return value
-
-        met = Met()
-        end_term = math.log10(ends + 0.5)
-        unknown = math.log10(0.5)
+        known = held.value
+        def fresh():
+            *arrays, grams, logs = mapped(model)
+            return Scorer(Tree.of(depth, arrays), grams, logs)
+
+        scorer = per_worker(model, fresh)
+
+        end_term, unknown = math.log10(ends + 0.5), math.log10(0.5)
         terms = {c: math.log10(c + 0.5) for c in set(known.values())}
-        for batch in small_batches(batches, 4 << 20):
+
+        class Places(dict):
+            """Numbers of the words met; a new one gets the next."""
+
+            def __missing__(self, word: bytes) -> int:
+                n = self[word] = len(self)
+                self.new.append(word)
+                return n
+
+        places = Places()
+        for batch in small_batches(batches, BATCH):
+            if len(places) > 300_000 or not places:
+                places.clear()
+                places.new = []
+                # By number: key, count among the top words (or 0), whether it is one, and its term.
+                key, is_known, sure, term = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
             split = [words_of(t) for t in batch.column(1).to_pylist()]
             joined = [b" ".join(s) for s in split]
+            numbers = [np.fromiter(map(places.__getitem__, s), np.int64, len(s)) for s in split]
+            more = [word_key(w) for w in places.new]
+            found = [known.get(k) for k in more]
+            places.new = []
+            key = np.concatenate((key, np.array(more, np.int64)))
+            is_known = np.concatenate((is_known, np.array([c is not None for c in found], np.int64)))
+            sure = np.concatenate((sure, np.array([whole or c is not None for c in found], bool)))
+            term = np.concatenate((term, np.array([unknown if c is None else terms[c] for c in found], np.float64)))
             base, n_known, tails, tail_counts = [], [], [], []
-            for s in split:
-                total, sure, tail, tail_n = end_term, (1 if ends else 0), [], []
-                for word, n in Counter(s).items():
-                    c, key = met[word]
-                    if c is not None:
-                        total += n * terms[c]
-                        sure += n
-                    elif whole:
-                        total += n * unknown
-                    else:
-                        tail.append(key)
-                        tail_n.append(n)
-                base.append(total)
-                n_known.append(sure)
-                tails.append(tail)
-                tail_counts.append(tail_n)
+            for at in numbers:
+                inside = sure[at]
+                base.append(end_term + float(term[at[inside]].sum()))
+                n_known.append((1 if ends else 0) + int(is_known[at].sum()))
+                if inside.all():
+                    tails.append([])
+                    tail_counts.append([])
+                else:
+                    own, n = np.unique(at[~inside], return_counts=True)
+                    tails.append(key[own])
+                    tail_counts.append(n)
             columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(s) + 1 for s in split], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scorer.texts(joined), pa.float64()), pa.array([len(t) + 1 for t in joined], pa.int64()), pa.array(tails, pa.list_(pa.int64())), pa.array(tail_counts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "tail", "tail_n"])
 

@@ -141,3 +141,14 @@ def test_empty_tables(spark, no_docs):
     one = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
     got = C.scores(spark.createDataFrame([(one, "a b")], "doc_id long, text string")).first()  # nothing to learn from
     assert got["train_tokens"] == 0 and got["n_known"] == 0 and got["base_score"] == 0 and abs(got["score"] - 4 * 8 * math.log10(0.5)) < 1e-6
+
+
+def test_merged_counts():
+    r = np.random.default_rng(2)
+    parts = [(np.unique(r.integers(0, 50, 20).astype(np.uint64)), None) for _ in range(6)]
+    parts = [(k, r.integers(1, 9, len(k))) for k, _ in parts]
+    total = Counter()
+    for k, n in parts:
+        total.update(dict(zip(k.tolist(), n.tolist())))
+    keys, counts = C.merged_counts(parts)
+    assert dict(zip(keys.tolist(), counts.tolist())) == dict(total) and keys.tolist() == sorted(keys.tolist())
