@@ -17,9 +17,11 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches
+from .common import per_worker, ship, small_batches
 
 #: The pre-tokenizer's pattern, a fixed value of this vocabulary; \s is spelled out, as libraries differ on it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 WORDS = 50_000
+#: Letters only: one word to the pattern.
+PLAIN = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,6 +57,7 @@ class Vocabulary:
             raise ValueError("only byte-level BPE without a normalizer is supported")
         self.id_of = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items()}
         self.bytes_of = {i: word for word, i in self.id_of.items()}
+        self.id_of_byte = [self.id_of[bytes((b,))] for b in range(256)]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in part) for part in (pair if isinstance(pair, list) else pair.split(" ")))
@@ -65,21 +70,26 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of least rank, leftmost first, is joined until no pair has a rank."""
-        ids = [self.id_of[bytes([b])] for b in word]
+        ids = [*map(self.id_of_byte.__getitem__, word)]
         n = len(ids)
         if n < 2:
             return ids
         merges = self.merges
-        if n < 48:  # a scan for each merge is quicker than a heap
-            while len(ids) > 1:
-                best, at, to = None, -1, -1
-                for i, pair in enumerate(zip(ids, ids[1:])):
-                    found = merges.get(pair)
-                    if found is not None and (best is None or found[0] < best):
-                        best, at, to = found[0], i, found[1]
-                if best is None:
+        if n < 48:  # the ranks of all pairs in a list: quicker than a heap
+            none = (len(merges), -1)
+            get = merges.get
+            found = [get(pair, none) for pair in zip(ids, ids[1:])]
+            while found:
+                best = min(found)
+                if best is none:
                     break
-                ids[at : at + 2] = [to]
+                at = found.index(best)
+                ids[at : at + 2] = [best[1]]
+                del found[at]
+                if at:
+                    found[at - 1] = get((ids[at - 1], ids[at]), none)
+                if at < len(found):
+                    found[at] = get((ids[at], ids[at + 1]), none)
             return ids
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
@@ -176,16 +186,20 @@ class Lexicon:
             at += size + -size % 8
         self.first, self.targets, self.adds, self.at, self.flat = (parts[i][1].cast("i") for i in (0, 2, 3, 5, 6))
         self.labels, self.final = parts[1][0], parts[4][1]
+        self.met: dict[int, int] = {}
 
     def __len__(self) -> int:
         return len(self.at) - 1
 
     def get(self, word: bytes) -> list[int] | None:
-        state, number, first, find, base = self.start, 0, self.first, self.map.find, self.labels
-        for i in range(len(word)):
-            low = first[state]
-            arc = find(word[i : i + 1], base + low, base + first[state + 1]) - base
-            if arc < low:
+        """The ids of a word, or None. Arcs are kept as they are met, those that are not there as well."""
+        state, number, met = self.start, 0, self.met
+        for byte in word:
+            at = state << 8 | byte
+            arc = met.get(at)
+            if arc is None:
+                arc = met[at] = self.arc(state, byte)
+            if arc < 0:
                 return None
             number += self.adds[arc]
             state = self.targets[arc]
@@ -193,35 +207,46 @@ class Lexicon:
             return None
         return self.flat[self.at[number] : self.at[number + 1]].tolist()
 
+    def arc(self, state: int, byte: int) -> int:
+        """The arc from a state by a byte, or -1."""
+        if len(self.met) > 1_000_000:
+            self.met.clear()
+        return max(-1, self.map.find(bytes((byte,)), self.labels + self.first[state], self.labels + self.first[state + 1]) - self.labels)
+
 
 def frequent_words(docs: DataFrame, vocabulary_json: str, words: int = WORDS, text: str = "text") -> list[str]:
-    """The words that stand most often in all texts, at most so many; ties go to the lesser word."""
+    """The words of the pre-tokenizer that stand most often in all texts, about so many; ties go to the lesser.
+
+    What stands between spaces is counted in all texts, and the most frequent of that is cut to words here.
+    """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(vocabulary_json)
 
     def count(batches):
-        vocabulary = Vocabulary(held.value)
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["chunk", "n"])
 
-        get = counts.get
         for batch in small_batches(batches, 4 << 20):
             for t in batch.column(0).to_pylist():
-                for found, _ in vocabulary.pieces(t):
-                    for w in found:
-                        counts[w] = get(w, 0) + 1
-            if len(counts) > 300_000:
+                first, *rest = t.split(" ")
+                counts[first] += 1
+                counts.update(rest)
+            if len(counts) > 500_000:
                 yield out()
                 counts.clear()
         if counts:
             yield out()
 
-    rows = docs.select(F.col(text).alias("text")).where("text is not null and text <> ''").mapInArrow(count, "word string, n long")
-    top = rows.where(F.length("word") < 64).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+    rows = docs.select(F.col(text).alias("text")).where("text is not null and text <> ''").mapInArrow(count, "chunk string, n long")
+    top = rows.where("chunk <> '' and length(chunk) < 64").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(words)
+    vocabulary, total = Vocabulary(vocabulary_json), Counter()
+    for r in top.collect():
+        for found, _ in vocabulary.pieces(" " + r["chunk"]):
+            for w in found:
+                total[w] += r["n"]
+    return sorted(sorted(total), key=lambda w: -total[w])[:words]
 
 
 def lexicon_file(docs: DataFrame, vocabulary_json: str, words: int = WORDS, text: str = "text") -> str:
@@ -236,34 +261,79 @@ def lexicon_file(docs: DataFrame, vocabulary_json: str, words: int = WORDS, text
     return name
 
 
-class Encoder:
-    """Encodes texts; words met before are looked up, others taken from the lexicon or merged."""
+class Apart(Exception):
+    """Spaces of a text don't cut it at words' ends."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int = 200_000):
 
-        class Met(dict):
-            def __missing__(self, word: str) -> str:
-                raw = word.encode("utf-8", "surrogatepass")
-                ids = lexicon.get(raw) if lexicon is not None else None
-                if ids is None:
-                    ids = vocabulary.merge(raw)
-                value = ",".join(map(str, ids))
-                if len(word) < 64:
-                    if len(self) >= most:
-                        self.clear()
-                    self[word] = value
-                return value
+class Met(dict):
+    """What was made for texts met lately; what falls out of one generation is kept for one more."""
 
-        self.vocabulary, self.met = vocabulary, Met()
+    def __init__(self, most: int):
+        self.most, self.before, self.make = most, {}, None
 
-    def encode_text(self, text: str) -> str:
-        """The ids in decimal, joined by commas."""
+    def __missing__(self, word: str) -> str:
+        value = self.before.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) < 64:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
+class Encoder:
+    """Encodes texts; words met before are looked up, others taken from the lexicon or merged.
+
+    A space between two characters that are no white space always begins a word, and no word goes across it. So texts are
+    cut at spaces, and what stands between two is looked up as a whole. Only what is new is cut by the pattern. Texts with
+    other white space beside a space are cut by the pattern as a whole.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int = 450_000):
+        met = self.met = Met(most // 6)
+        after = self.after = Met(most)
+        self.vocabulary = vocabulary
+        findall = vocabulary.words.findall
+
+        def of_word(word: str) -> str:
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = lexicon.get(raw) if lexicon is not None else None
+            return ",".join(map(str, vocabulary.merge(raw) if ids is None else ids))
+
+        def of_chunk(chunk: str) -> str:
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                raise Apart
+            if PLAIN.fullmatch(chunk):
+                return of_word(" " + chunk)
+            if chunk[-1] in ".," and PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
+                return f"{after[chunk[:-1]]},{met[chunk[-1]]}"
+            return ",".join(map(met.__getitem__, findall(" " + chunk)))
+
+        met.make, after.make = of_word, of_chunk
+
+    def parts(self, text: str) -> list[str]:
+        """The ids in decimal, joined by commas inside each part."""
+        if not text:
+            return []
+        if self.vocabulary.split is None or not any(s in text for s in self.vocabulary.special):
+            try:
+                first, *rest = text.split(" ")
+                if first and not first[-1].isspace():
+                    return [*map(self.met.__getitem__, self.vocabulary.words.findall(first)), *map(self.after.__getitem__, rest)]
+            except Apart:
+                pass
         out: list[str] = []
         for words, special in self.vocabulary.pieces(text):
             out += map(self.met.__getitem__, words)
             if special is not None:
                 out.append(str(special))
-        return ",".join(out)
+        return out
+
+    def encode_text(self, text: str) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(self.parts(text))
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_text(text)
@@ -273,14 +343,17 @@ class Encoder:
 class Decoder:
     """Texts of ids: the bytes of all tokens in a row, read as UTF-8, with U+FFFD for what is none."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.by_text = {str(i): b for i, b in vocabulary.bytes_of.items()}
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
+        by_text = {str(i): b for i, b in vocabulary.bytes_of.items()}
+        self.met = Met(most)
+        self.met.make = lambda part: b"".join(map(by_text.__getitem__, part.split(",")))
 
-    def decode_text(self, joined: str) -> str:
-        return b"".join(map(self.by_text.__getitem__, joined.split(","))).decode("utf-8", "replace") if joined else ""
+    def decode_parts(self, parts: list[str]) -> str:
+        """Parts of ids in decimal, joined by commas."""
+        return b"".join(map(self.met.__getitem__, parts)).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
-        return self.decode_text(",".join(map(str, ids)))
+        return self.decode_parts([*map(str, ids)])
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -297,15 +370,19 @@ def encoded(docs: DataFrame, tokenizer: str, words: int = WORDS, with_ids: bool
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        vocabulary = Vocabulary(held.value)
-        encoder, decoder = Encoder(vocabulary, Lexicon(SparkFiles.get(name))), Decoder(vocabulary)
+        def fresh():
+            vocabulary = Vocabulary(held.value)
+            return Encoder(vocabulary, Lexicon(SparkFiles.get(name))), Decoder(vocabulary)
+
+        encoder, decoder = per_worker(name, fresh)
         for batch in small_batches(batches, 4 << 20):
-            joined = [encoder.encode_text(t) for t in batch.column(1).to_pylist()]
+            parts = [encoder.parts(t) for t in batch.column(1).to_pylist()]
+            joined = [",".join(x) for x in parts]
             columns = [
                 batch.column(0),
                 pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()),
-                pa.array([hashlib.sha256(decoder.decode_text(x).encode("utf-8", "surrogatepass")).hexdigest() for x in joined], pa.string()),
+                pa.array([hashlib.sha256(decoder.decode_parts(x).encode("utf-8", "surrogatepass")).hexdigest() for x in parts], pa.string()),
             ]
             names = [f.split()[0] for f in RESULT.split(", ")]
             if with_ids:
