@@ -51,7 +51,7 @@ PLAIN = re.compile("[a-zA-Z\xe0-\xf6\xf8-\xff]+")
 class Words:
     """Token ids of texts by a tokenizers JSON that drops white space: words are encoded once and looked up after that."""
 
-    def __init__(self, tokenizer_json: str, most: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)

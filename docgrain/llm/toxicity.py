@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = MOST_EACH) -> Mod
         sample = part if sample is None else sample.union(part)
 
     def rows(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 1 << 20):
             ids, texts, marks = (c.to_pylist() for c in batch.columns)
             found = [gram_row(t) for t in texts]
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r[0]) for r in found]))), pa.int32()), pa.array(np.concatenate([r[i] for r in found]))) for i in range(2)]
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, most_each: int = MOST_EACH) -> Mod
 class Lookup:
     """Words met by a worker, each with a number and the logit that it adds; begun anew when there are too many."""
 
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 250_000):
         class Places(dict):
             def __missing__(self, word: str) -> int:
                 n = self[word] = len(self)
@@ -256,7 +256,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str], text: str = "text")
 
         lookup = per_worker(key, lambda: Lookup(table))
         places = lookup.places
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 1 << 20):
             lookup.trim()
             numbers = []
             for t in batch.column(0).to_pylist():
