@@ -37,6 +37,8 @@ SEGMENTS, RADIUS = ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 4
 #: Of the filter on 128 bits.
 WIDE_SEGMENTS, WIDE_RADIUS = tuple((w, 16 * i, 16) for w in range(2) for i in range(4)), 24
 BLOCK, SMALL = 250_000, 32
+#: Keys of dropped rows that are sent to every task, at most; more are joined.
+MOST_BROADCAST = 2_000_000
 
 
 def remixed(h: np.ndarray) -> np.ndarray:
@@ -298,8 +300,11 @@ def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id
     found = classes(keyed, [own, "dg_row"], shingle, WIDE_SEGMENTS, WIDE_RADIUS, BLOCK, own, body)
     # Null ids come last, and all of a class without any id are one group.
     keep = found.groupBy("component_id").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), F.col("dg_row"))).alias("s"))
-    keep = saved(keep.select(F.col("s.dg_row").alias("dg_row")).distinct(), "kept")
+    keep = keep.select(F.col("s.dg_row").alias("dg_row")).distinct()
+    # The keys of rows that go, 8 bytes each, are the smaller set: sent to all tasks up to a bound, so that texts stay where they are.
+    drop = saved(found.select("dg_row").distinct().join(keep, "dg_row", "left_anti"), "dropped")
+    few = drop.count() <= MOST_BROADCAST
     # Rows that repeat both id and text are one.
     again = found.groupBy("dg_row").count().where("count > 1").limit(1).count() > 0
-    met = keyed.join(keep, "dg_row", "left_semi")
+    met = keyed.join(F.broadcast(drop) if few else drop, "dg_row", "left_anti")
     return back(met.dropDuplicates(["dg_row"]) if again else met)
