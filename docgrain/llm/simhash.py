@@ -268,8 +268,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("name"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("name"), F.col("u").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The carried columns (the id unless told otherwise), the fingerprint's and component_id, one row for each row.
+def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK, id_column: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
+    """The carried columns (the id unless told otherwise), the fingerprint's and component_id, one row for each row; if named, also
+    dg_class, which tells components apart whose ids are null or the same.
 
     component_id is the least id reachable over links, the row's own included.
     """
@@ -284,9 +285,9 @@ def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, s
     found = saved(components(links(reps.select("name", *fps), segments, radius, block)), "components")
     # The classes that have links, few of all, take the least id of their component.
     low = found.join(reps.select("name", "low"), "name")
-    moved = low.join(low.groupBy("root").agg(F.min("low").alias("root_low")), "root").select("name", "root_low")
-    named = reps.join(moved, "name", "left").select(*fps, F.coalesce("root_low", "low").alias("component_id"))
-    return rows.join(named, fps).select(*[F.col(f"`{c}`") for c in carry], *fps, "component_id")
+    moved = low.join(low.groupBy("root").agg(F.min("low").alias("root_low")), "root").select("name", "root", "root_low")
+    of_fps = reps.join(moved, "name", "left").select(*fps, F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("root_low")).alias("component_id"), F.coalesce("root", "name").alias("dg_class"))
+    return rows.join(of_fps, fps).select(*[F.col(f"`{c}`") for c in carry], *fps, "component_id", *(["dg_class"] if named else []))
 
 
 def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,9 +298,9 @@ def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id
     plain, names, back = shielded(docs)
     own, body = names[id_column], names[text]
     keyed = plain.withColumn("dg_row", F.xxhash64(F.col(own), F.col(body)))
-    found = classes(keyed, [own, "dg_row"], shingle, WIDE_SEGMENTS, WIDE_RADIUS, BLOCK, own, body)
-    # Null ids come last, and all of a class without any id are one group.
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), F.col("dg_row"))).alias("s"))
+    found = classes(keyed, [own, "dg_row"], shingle, WIDE_SEGMENTS, WIDE_RADIUS, BLOCK, own, body, named=True)
+    # By the class and not its least id, which other classes may have as well, or none. Null ids come last.
+    keep = found.groupBy("dg_class").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), F.col("dg_row"))).alias("s"))
     keep = keep.select(F.col("s.dg_row").alias("dg_row")).distinct()
     # The keys of rows that go, 8 bytes each, are the smaller set: sent to all tasks up to a bound, so that texts stay where they are.
     drop = saved(found.select("dg_row").distinct().join(keep, "dg_row", "left_anti"), "dropped")

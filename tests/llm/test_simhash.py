@@ -108,3 +108,10 @@ def test_one_of_each_class_stays(spark, clashing, no_docs):
         copies.append((i, " ".join(words)))
     df = spark.createDataFrame(copies + [(100 + i, prose(20 + i, 200)) for i in range(10)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in S.first_of_classes(df).collect()) == [0, *range(100, 110)]
+
+
+def test_classes_without_ids_or_of_one_id_each_keep_a_row(spark):
+    texts = [prose(40 + i, 120) for i in range(8)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (7, texts[5]), (7, texts[6]), (8, texts[6]), (9, texts[7])]
+    got = S.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, t) for t in texts[:5]] + [(7, texts[5]), (7, texts[6]), (9, texts[7])], key=str)
