@@ -6,9 +6,12 @@ estimate stands for the counts of zeros and ones that the training texts gave; c
 weights of context-tree weighting: half to a node's own estimate, half to the product of its children, on all its
 training data. The mixture, fixed after training, gives the probability of each byte, and so code lengths per byte.
 
-Counts cover all training texts. They are summed in Spark as (context and byte, count). The tree keeps the contexts that
-stand most often, as many as make at most MOST_PAIRS (context, byte) pairs over all depths, so that the model has a bound
-for any input; what a kept context has in contexts that aren't kept is one further child of it.
+Counts cover all training texts, and every context counted is in the tree, which grows with the input. The tree is cut by
+the last UPPER bytes of contexts into shards: a task gets the counts of its contexts and the grams of held-out texts
+after them, builds the nodes of depth UPPER and deeper, and writes the mixture so far of each of its grams. What lies above is
+small for any input (byte triples): the driver builds it from sums over the shards, and further tasks finish the grams.
+So the model is a table of log probabilities of all grams that any text has, one file a shard in the shared folder, which
+scoring tasks map shard by shard.
 
 The unigram base score counts words by a 64-bit hash. The counts of the TOP words are sent to executors, those of all others
 are met by a join.
@@ -31,14 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import id_crc, per_worker, saved, scratch, ship, shuffle_width, small_batches
 from .warc import opened
 
-DEPTH, MOST_PAIRS, TOP = 6, 1_000_000, 150_000
-#: Contexts that stand less often say nothing that shorter ones do not.
-LEAST = 2
+DEPTH, UPPER, TOP = 6, 3, 150_000
+#: Grams of which a task builds nodes at a time, besides those of the last context of UPPER bytes; cuts none.
+MOST_PAIRS = 100_000
 #: Bytes of text that a worker takes at a time; arrays made on the way take some fifty times as much.
 BATCH = 1 << 20
 END = b"\n"
@@ -153,15 +155,21 @@ class Tree:
 
     PARTS = ("contexts", "roots", "child", "probs")
 
-    def __init__(self, depth: int, contexts, roots, child, probs):
-        self.depth, self.contexts, self.roots, self.child, self.probs = depth, contexts, roots, child, probs
+    def __init__(self, depth: int, top: int, contexts, roots, child, probs):
+        self.depth, self.top, self.contexts, self.roots, self.child, self.probs = depth, top, contexts, roots, child, probs
 
     @staticmethod
     def built(depth: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         """pairs: for each depth d the (context of d bytes, byte) pairs as numbers, and their counts. A kept context's shorter ones must be kept."""
+        return Tree.part(depth, pairs)[0]
+
+    @staticmethod
+    def part(depth: int, pairs: list, top: int = 0, inner: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Tree, tuple[np.ndarray, np.ndarray]]:
+        """The depths from top to depth, and what the part above needs as inner: its nodes that have children here, and the sums of these
+        children's logs of weighted probabilities."""
         contexts, roots, child, probs = ([None] * (depth + 1) for _ in range(4))
         below = None  # of the depth under this one: node keys, counts of zeros and ones, log of the weighted probability
-        for d in range(depth, -1, -1):
+        for d in range(depth, top - 1, -1):
             grams, counts = pairs[d]
             context, byte = grams >> np.uint64(8), (grams & np.uint64(255)).astype(np.int64)
             node = np.concatenate([(context << np.uint64(8)) | ((256 | byte) >> (8 - k)).astype(np.uint64) for k in range(8)])
@@ -172,7 +180,13 @@ class Tree:
             n0 = np.bincount(at, count, len(keys)) - n1
             del node, bit, at, count
             pe = log_kt(n0, n1)
-            if below is None or not len(below[0]):
+            if below is None and inner is not None and len(inner[0]):
+                parent = np.searchsorted(keys, inner[0])
+                inside, has = np.zeros(len(pe)), np.zeros(len(pe), bool)
+                inside[parent], has[parent] = inner[1], True
+                log_w = np.where(has, np.logaddexp(pe, inside) - math.log(2), pe)
+                own, rest = np.where(has, np.exp(pe - math.log(2) - log_w), 1.0), (n1 + 0.5) / (n0 + n1 + 1)
+            elif below is None or not len(below[0]):
                 log_w, own, rest = pe, np.ones(len(pe)), np.full(len(pe), 0.5)
             else:
                 # A node's parent has the last byte of its context dropped and the same decision.
@@ -197,7 +211,8 @@ class Tree:
                     key = (keys[inner] & ~np.uint64(255)) | ((keys[inner] & np.uint64(255)) * np.uint64(2) + np.uint64(one))
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     child[d][inner, one] = np.where(keys[at] == key, at, -1)
-        return Tree(depth, contexts, roots, child, probs)
+        parents, at = np.unique(((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255)), return_inverse=True)
+        return Tree(depth, top, contexts, roots, child, probs), (parents, np.bincount(at, log_w, len(parents)))
 
     def arrays(self) -> list[np.ndarray]:
         return [getattr(self, part)[d] for part in self.PARTS for d in range(self.depth + 1)]
@@ -205,52 +220,74 @@ class Tree:
     @staticmethod
     def of(depth: int, arrays) -> Tree:
         n = depth + 1
-        return Tree(depth, *(arrays[i * n : (i + 1) * n] for i in range(4)))
+        return Tree(depth, 0, *(arrays[i * n : (i + 1) * n] for i in range(4)))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's byte after its context; quickest on sorted grams."""
+        return log10_of(grams, self.mixed(grams, self.depth))
+
+    def mixed(self, grams: np.ndarray, whole: int, deeper: np.ndarray | None = None) -> np.ndarray:
+        """(grams, 8): the probability of a one at each decision on the way to a gram's byte, mixed over the contexts of this part, NaN where it
+        has none. The grams have whole context bytes. deeper: the same of the part below."""
         byte = (grams & np.uint64(255)).astype(np.int64)
         rows, nodes = [], []
-        known = np.arange(len(grams))
-        for d in range(self.depth + 1):
+        known, out = np.arange(len(grams)), np.full((len(grams), 8), np.nan, np.float32)
+        for d in range(self.top, self.depth + 1):
             held = self.contexts[d]
-            context = grams[known] >> np.uint64(8 * (self.depth - d + 1)) if d else np.zeros(len(known), np.uint64)
+            context = grams[known] >> np.uint64(8 * (whole - d + 1)) if d else np.zeros(len(known), np.uint64)
             at = np.minimum(np.searchsorted(held, context), len(held) - 1) if len(held) else np.zeros(len(known), np.int64)
             there = held[at] == context if len(held) else np.zeros(len(known), bool)
             known = known[there]
             rows.append(known)
             nodes.append(self.roots[d][at[there]])
-        total = np.zeros(len(grams))
         for k in range(8):
             bit = byte >> (7 - k) & 1
-            p, inside = np.full(len(grams), 0.5, np.float32), np.zeros(len(grams), bool)
-            for d in range(self.depth, -1, -1):
+            p = np.full(len(grams), np.nan, np.float32) if deeper is None else deeper[:, k].copy()
+            inside = ~np.isnan(p)
+            for d in range(self.depth - self.top, -1, -1):
                 r, node = rows[d], nodes[d]
                 if not len(r):
                     continue
-                one, own, rest = self.probs[d][node].T
+                one, own, rest = self.probs[d + self.top][node].T
                 p[r] = own * one + (1 - own) * np.where(inside[r], p[r], rest)
                 inside[r] = True
-                after = self.child[d][node, bit[r]]
+                after = self.child[d + self.top][node, bit[r]]
                 alive = after >= 0
                 rows[d], nodes[d] = r[alive], after[alive]
-            total += np.log(np.where(bit == 1, p, 1 - p).astype(np.float64))
-        return total / LN10
+            out[:, k] = p
+        return out
+
+
+def log10_of(grams: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's byte, from those of a one at its decisions; one half where no context is known."""
+    total = np.zeros(len(grams))
+    for k in range(8):
+        p = np.where(np.isnan(mixed[:, k]), np.float32(0.5), mixed[:, k])
+        total += np.log(np.where(grams >> np.uint64(7 - k) & np.uint64(1) == 1, p, 1 - p).astype(np.float64))
+    return total / LN10
+
+
+def shard_of(grams: np.ndarray, depth: int, shards: int) -> np.ndarray:
+    """By the last UPPER bytes of the context, so that a shard has all that is deeper."""
+    upper = min(UPPER, depth)
+    context = grams >> np.uint64(8 * (depth - upper + 1)) if upper else np.zeros(len(grams), np.uint64)
+    return ((context * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
 
 class Scorer:
-    """log10 probabilities of grams: from a table of the kept grams, else by the tree; grams met lately are kept in a table of fixed size."""
+    """log10 probabilities of grams, from the tables of their shards; grams met lately are kept in a table of fixed size."""
 
-    def __init__(self, tree: Tree, keys: np.ndarray, logs: np.ndarray, bits: int = 21):
-        self.tree, self.keys, self.logs = tree, keys, logs
+    def __init__(self, depth: int, folder: str, shards: int, bits: int = 21):
+        self.depth, self.folder, self.shards = depth, folder, shards
         self.slots, self.values = Slots(bits), np.zeros(1 << bits, np.float64)
 
     def fresh(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(grams))
-        at = np.minimum(np.searchsorted(self.keys, grams), max(0, len(self.keys) - 1))
-        there = self.keys[at] == grams if len(self.keys) else np.zeros(len(grams), bool)
-        out[there] = self.logs[at[there]]
-        out[~there] = self.tree.log10(grams[~there])
+        """Of distinct, ascending grams, all of which some table has."""
+        out, shard = np.zeros(len(grams)), shard_of(grams, self.depth, self.shards)
+        order = np.argsort(shard, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+            keys, logs = mapped(f"{self.folder}/{shard[at[0]]}.logs")
+            out[at] = logs[np.searchsorted(keys, grams[at])]
         return out
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
@@ -268,7 +305,7 @@ class Scorer:
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
-        value = self(gram_keys(texts, self.tree.depth))
+        value = self(gram_keys(texts, self.depth))
         ends = np.cumsum([len(t) + 1 for t in texts])
         sums = np.concatenate(([0.0], np.cumsum(value)))
         return sums[ends] - sums[ends - [len(t) + 1 for t in texts]]
@@ -287,19 +324,21 @@ def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 PACKET = 4096
 
 
-def counted(train: DataFrame, depth: int, text: str = "text") -> DataFrame:
-    """(kind, key, n): kind 0 words by hash, kind 1 grams; sums over all rows of train, written to the shared folder.
+def counted(docs: DataFrame, depth: int, folder: str, buckets: int, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """(kind, key, n, x), written to the shared folder: kind 0 words by hash, 1 the pairs of the depth above the shards, 2 its nodes and sums of
+    their children's x, 3 the shards that have grams; words and pairs over all rows that are not held out.
 
-    Tasks hand on what they have summed in packets of sorted keys, dealt by a hash of the key; those that a bucket gets
-    are merged as arrays, as they come, so that a task holds the distinct keys of its bucket.
+    Tasks hand on what they have summed in packets of sorted keys, grams dealt by shard and words by a hash; those that a bucket
+    gets are merged as arrays, as they come, so that a task holds the distinct keys of its bucket. The mixture of a shard's grams,
+    those of held-out texts too, goes to a file in the folder.
     """
-    spark = train.sparkSession
+    spark = docs.sparkSession
     ship(spark)
-    buckets = shuffle_width(spark)
+    upper = min(UPPER, depth)
 
     def packets(kind: int, keys: np.ndarray, counts: np.ndarray):
         keys, counts = np.asarray(keys).astype(np.uint64), np.asarray(counts, np.int64)
-        bucket = ((keys * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        bucket = shard_of(keys, depth, buckets) if kind else ((keys * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         keys, counts, bucket = keys[order], counts[order], bucket[order]
         edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)])).tolist() if len(keys) else []
@@ -312,36 +351,61 @@ def counted(train: DataFrame, depth: int, text: str = "text") -> DataFrame:
         yield from packets(0, np.array([word_key(w) for w in words], np.int64), np.fromiter(words.values(), np.int64, len(words)))
 
     def run(batches):
-        grams, words = GramCounter(), Counter()
+        counters, words = {1: GramCounter(), 2: GramCounter(20)}, Counter()
         for batch in small_batches(batches, 2 * BATCH):
-            split = [words_of(t) for t in batch.column(0).to_pylist()]
-            for s in split:
+            split = {1: [], 2: []}
+            for t, is_held in zip(*(c.to_pylist() for c in batch.columns)):
+                split[2 if is_held else 1].append(words_of(t))
+            for s in split[1]:
                 words.update(s)
-            words[END] += len(split)
-            if (over := grams.add(gram_keys([b" ".join(s) for s in split], depth))) is not None:
-                yield from packets(1, *over)
+            if split[1]:
+                words[END] += len(split[1])
+            for kind, grams in counters.items():
+                if split[kind] and (over := grams.add(gram_keys([b" ".join(s) for s in split[kind]], depth))) is not None:
+                    yield from packets(kind, *over)
             if len(words) > 250_000:
                 yield from word_packets(words)
                 words.clear()
         yield from word_packets(words)
-        yield from packets(1, *grams.rest())
+        for kind, grams in counters.items():
+            yield from packets(kind, *grams.rest())
 
     def merge(batches):
         now, parts, waiting = None, [], 0
 
-        def out():
-            keys, counts = merged_counts(parts)
+        def rows(kind, keys, n=None, x=None):
+            n, x = np.zeros(len(keys), np.int64) if n is None else n, np.zeros(len(keys)) if x is None else x
             for i in range(0, len(keys), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), now[1], np.int32)), pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(n[part]), pa.array(x[part])], names=["kind", "key", "n", "x"])
+
+        def out():
+            keys, counts = merged_counts(parts)
+            if not now[1]:
+                yield from rows(0, keys, counts)
+                return
+            mixed = []
+            for a, b in spans_of(keys, depth, most_pairs):
+                of_train = counts[a:b] > 0
+                train, n = keys[a:b][of_train], counts[a:b][of_train]
+                pairs = [shorter(train, n, depth, d) if d >= upper else None for d in range(depth + 1)]
+                tree, (parents, sums) = Tree.part(depth, pairs, upper)
+                mixed.append(tree.mixed(keys[a:b], depth))
+                if upper:
+                    yield from rows(1, *shorter(train, n, depth, upper - 1))
+                    yield from rows(2, parents, x=sums)
+            write_arrays(f"{folder}/{now[0]}.mixed", [keys, np.concatenate(mixed)])
+            yield from rows(3, np.array([now[0]], np.uint64))
 
         for batch in batches:
             for bucket, kind, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, kind) != now:
+                if (bucket, kind > 0) != now:
                     if parts:
                         yield from out()
-                    now, parts, waiting = (bucket, kind), [], 0
-                parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+                    now, parts, waiting = (bucket, kind > 0), [], 0
+                # What held-out texts have is scored, and does not count.
+                counts = np.frombuffer(counts, np.int64)
+                parts.append((np.frombuffer(keys, np.uint64), counts * 0 if kind == 2 else counts))
                 waiting += len(keys) // 8
                 if waiting > 1 << 21:
                     parts = [merged_counts(parts)]
@@ -349,42 +413,67 @@ def counted(train: DataFrame, depth: int, text: str = "text") -> DataFrame:
         if parts:
             yield from out()
 
-    found = train.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
+    found = docs.select("text", "held_out").mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
     dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    return saved(dealt.mapInArrow(merge, "kind int, key long, n long"), "ctw-counts")
-
-
-def trained(counts: DataFrame, depth: int, most_pairs: int = MOST_PAIRS) -> tuple[Tree, np.ndarray, np.ndarray]:
-    """The tree of the gram counts, and the kept grams of full depth, sorted, with the log10 of their probabilities."""
-    grams = counts.where("kind = 1").select("key", "n")
-    levels = None
-    for d in range(depth + 1):
-        context = F.shiftrightunsigned("key", 8 * (depth - d + 1)) if d else F.lit(0).cast("long")
-        level = grams.select(F.lit(d).alias("d"), context.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n").groupBy("d", "context", "byte").agg(F.sum("n").alias("n"))
-        levels = level if levels is None else levels.union(level)
-    # A context has at most 256 pairs, so no window is large.
-    total = F.sum("n").over(Window.partitionBy("d", "context"))
-    pairs = saved(levels.withColumn("total", total), "ctw-pairs")
-    # The least count a context must have, in steps of a fortieth of a power of two, so that the pairs fit.
-    step = F.floor(F.log2("total") * 40).cast("int").alias("step")
-    sizes = sorted(((r["step"], r["n"]) for r in pairs.groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    kept, least = 0, math.floor(math.log2(LEAST) * 40)
-    for s, n in sizes:
-        if kept + n > most_pairs:
-            least = max(least, s + 1)
-            break
-        kept += n
-    got = pairs.where(F.floor(F.log2("total") * 40) >= least).select("d", "context", "byte", "n").toArrow()
-    d, context, byte, n = (got.column(i).to_numpy() for i in range(4))
-    key = (context.astype(np.int64).view(np.uint64) << np.uint64(8)) | byte.astype(np.uint64)
-    tree = Tree.built(depth, [(key[d == i], n[d == i]) for i in range(depth + 1)])
-    grams = np.sort(key[d == depth])
-    return tree, grams, np.concatenate([np.zeros(0), *(tree.log10(grams[i : i + 200_000]) for i in range(0, len(grams), 200_000))]).astype(np.float32)
-
-
-def model_file(spark: SparkSession, arrays: list[np.ndarray]) -> str:
-    """These arrays as one file in the shared folder: its path."""
-    path = scratch(spark, "ctw-model") + ".bin"
+    return saved(dealt.mapInArrow(merge, "kind int, key long, n long, x double"), "ctw-counts")
+
+
+def spans_of(keys: np.ndarray, depth: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of sorted grams that share no context of UPPER bytes, of about most grams; one at least."""
+    upper = min(UPPER, depth)
+    context = keys >> np.uint64(8 * (depth - upper + 1)) if upper else np.zeros(len(keys), np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    cuts = [0]
+    for a in first[np.searchsorted(first, np.arange(most, len(keys), most), "left").clip(max=len(first) - 1)].tolist():
+        if a > cuts[-1]:
+            cuts.append(a)
+    return list(zip(cuts, [*cuts[1:], len(keys)]))
+
+
+def shorter(grams: np.ndarray, counts: np.ndarray, depth: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (context of d bytes, byte) pairs of grams, and their counts."""
+    context = (grams >> np.uint64(8 * (depth - d + 1))) << np.uint64(8) if d else np.uint64(0)
+    return merged_counts([(context | (grams & np.uint64(255)), counts)])
+
+
+def trained(counts: DataFrame, depth: int, folder: str) -> None:
+    """Finishes the tables of all shards in the folder: their grams, sorted, and the log10 of their probabilities."""
+    spark = counts.sparkSession
+    upper = min(UPPER, depth)
+    held = None
+    if upper:
+        got = counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        key, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        # Summed in ascending order, so that runs agree; a node has at most 256 children.
+        total = F.aggregate(F.sort_array(F.collect_list("x")), F.lit(0.0), lambda a, x: a + x)
+        got = counts.where("kind = 2").groupBy("key").agg(total.alias("x")).toArrow()
+        parents, sums = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+        order = np.argsort(parents)
+        tree, _ = Tree.part(upper - 1, [shorter(key, n, upper - 1, d) for d in range(upper)], 0, (parents[order], sums[order]))
+        held = f"{folder}/upper"
+        write_arrays(held, tree.arrays())
+
+    def run(batches):
+        tree = Tree.of(upper - 1, mapped(held)) if held else None
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                keys, mixed = mapped(f"{folder}/{shard}.mixed")
+                logs = [np.zeros(0)]
+                for i in range(0, len(keys), 100_000):
+                    some, deeper = keys[i : i + 100_000], mixed[i : i + 100_000]
+                    logs.append(log10_of(some, tree.mixed(some, depth, deeper) if tree else deeper))
+                write_arrays(f"{folder}/{shard}.logs", [keys, np.concatenate(logs).astype(np.float32)])
+                yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["n"])
+
+    some = {r["key"] for r in counts.where("kind = 3").select("key").collect()}
+    if some:  # one task a shard
+        spark.range(0, max(some) + 1, 1, max(some) + 1).where(F.col("id").isin(some)).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
+    """These arrays as one file of the shared folder."""
     spec = json.dumps([[a.dtype.str, a.shape] for a in arrays]).encode()
     system, inside = opened(path)
     system.create_dir(os.path.dirname(inside), recursive=True)
@@ -392,11 +481,10 @@ def model_file(spark: SparkSession, arrays: list[np.ndarray]) -> str:
         f.write(len(spec).to_bytes(8, "little") + spec + b" " * (-len(spec) % 8))
         for a in arrays:
             f.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8))
-    return path
 
 
 def mapped(path: str) -> list[np.ndarray]:
-    """The arrays of model_file, mapped into memory: one copy for all workers of a machine. From a store that is no file system, a copy without a name is mapped."""
+    """The arrays of write_arrays, mapped into memory: one copy for all workers of a machine. From a store that is no file system, a copy without a name is mapped."""
     system, inside = opened(path)
     if system.type_name == "local":
         whole = np.memmap(inside, np.uint8, "r")
@@ -420,10 +508,9 @@ def scores(docs: DataFrame, depth: int = DEPTH, most_pairs: int = MOST_PAIRS, to
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (id_crc(F.col("doc_id")) % FOLDS == HELD).alias("held_out"))
-    counts = counted(docs.where(~F.col("held_out")), depth)
-    tree, grams, logs = trained(counts, depth, most_pairs)
-    model = model_file(spark, [*tree.arrays(), grams, logs])
-    del tree, grams, logs
+    model, shards = scratch(spark, "ctw-model"), shuffle_width(spark)
+    counts = counted(docs, depth, model, shards, most_pairs)
+    trained(counts, depth, model)
     words = counts.where("kind = 0").select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("key") == END_KEY, F.col("n"))), F.lit(0)).alias("ends")).first()
     tokens, distinct, ends = sums["n"], sums["v"], sums["ends"]
@@ -433,12 +520,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, most_pairs: int = MOST_PAIRS, to
 
     def run(batches):
         known = held.value
-        def fresh():
-            *arrays, grams, logs = mapped(model)
-            return Scorer(Tree.of(depth, arrays), grams, logs)
-
-        scorer = per_worker(model, fresh)
-
+        scorer = per_worker(model, lambda: Scorer(depth, model, shards))
         end_term, unknown = math.log10(ends + 0.5), math.log10(0.5)
         terms = {c: math.log10(c + 0.5) for c in set(known.values())}
 

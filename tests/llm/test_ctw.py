@@ -152,3 +152,22 @@ def test_merged_counts():
         total.update(dict(zip(k.tolist(), n.tolist())))
     keys, counts = C.merged_counts(parts)
     assert dict(zip(keys.tolist(), counts.tolist())) == dict(total) and keys.tolist() == sorted(keys.tolist())
+
+
+@pytest.mark.parametrize("most_pairs", [5, 10**6])
+def test_every_counted_context_is_in_the_model(spark, most_pairs):
+    # Rows whose grams are far more than most_pairs score as by one tree of all counts, on whatever shards.
+    rows = [(i, prose(i, 30)) for i in range(40)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    joined = {k: b" ".join(C.words_of(t)) for k, t in rows}
+    for depth in (2, 5):
+        keys, counts = np.unique(C.gram_keys([t for k, t in joined.items() if not held(k)], depth), return_counts=True)
+        pairs = []
+        for d in range(depth + 1):
+            short = (keys >> np.uint64(8 * (depth - d + 1))) << np.uint64(8) | (keys & np.uint64(255))
+            k, at = np.unique(short, return_inverse=True)
+            pairs.append((k, np.bincount(at, counts).astype(np.int64)))
+        tree = C.Tree.built(depth, pairs)
+        got = C.scores(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, most_pairs=most_pairs).collect()
+        for r in got:
+            assert abs(r["score"] - tree.log10(C.gram_keys([joined[r["doc_id"]]], depth)).sum()) < 1e-2, r
