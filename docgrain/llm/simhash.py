@@ -13,9 +13,9 @@ within the radius, and goes on with these; and of the links of a half only those
 so that a cluster of k near copies makes k - 1 links there. A half that more than BLOCK fingerprints share is cut into
 blocks, and every two blocks are compared in a task of their own.
 
-The filter `first_of_classes` uses 128 bits (the second 64 from the same hashes remixed) of five-word shingles, 8 segments
-of 16 bits, and a radius of 24 bits, a cosine of cos(24 pi / 128) = 0.83. Up to 15 differing bits every pair shares a
-variant; further ones mostly do, and members of a class are joined over any of their links.
+The filter `first_of_classes` does not use fingerprints: it links texts whose sets of five-word shingles have a Jaccard likeness of 0.8
+at least, all of them. Two such sets share one of the first fifth of their hashes in any common order (common ones last, else ascending), so these are dealt, and the
+sets of those that meet are read from the shared folder and compared whole; links that join nothing new are not handed on.
 
 Null and empty texts have the fingerprint zero, which links like any other. A null id is the least id only if all ids of a
 component are null. Repeated rows come back each, and the filter keeps one. Other columns are kept whatever their names.
@@ -23,19 +23,23 @@ component are null. Repeated rows come back each, and the filter keeps one. Othe
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shielded, ship, small_batches
+from .common import saved, scratch, shielded, ship, small_batches
+from .warc import opened
 
 BITS, SEED = 64, 42
 #: Of the 64-bit operator: (word, lowest bit, number of bits) of the segments, and the most differing bits.
 SEGMENTS, RADIUS = ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 4
-#: Of the filter on 128 bits.
-WIDE_SEGMENTS, WIDE_RADIUS = tuple((w, 16 * i, 16) for w in range(2) for i in range(4)), 24
+#: Of the filter: hundredths of Jaccard likeness from which texts are near duplicates.
+SIMILAR = 80
 BLOCK, SMALL = 250_000, 32
 #: Keys of dropped rows that are sent to every task, at most; more are joined.
 MOST_BROADCAST = 2_000_000
@@ -268,9 +272,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("name"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("name"), F.col("u").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK, id_column: str = "doc_id", text: str = "text", named: bool = False) -> DataFrame:
-    """The carried columns (the id unless told otherwise), the fingerprint's and component_id, one row for each row; if named, also
-    dg_class, which tells components apart whose ids are null or the same.
+def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The carried columns (the id unless told otherwise), the fingerprint's and component_id, one row for each row.
 
     component_id is the least id reachable over links, the row's own included.
     """
@@ -286,8 +289,167 @@ def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, s
     # The classes that have links, few of all, take the least id of their component.
     low = found.join(reps.select("name", "low"), "name")
     moved = low.join(low.groupBy("root").agg(F.min("low").alias("root_low")), "root").select("name", "root", "root_low")
-    of_fps = reps.join(moved, "name", "left").select(*fps, F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("root_low")).alias("component_id"), F.coalesce("root", "name").alias("dg_class"))
-    return rows.join(of_fps, fps).select(*[F.col(f"`{c}`") for c in carry], *fps, "component_id", *(["dg_class"] if named else []))
+    of_fps = reps.join(moved, "name", "left").select(*fps, F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("root_low")).alias("component_id"))
+    return rows.join(of_fps, fps).select(*[F.col(f"`{c}`") for c in carry], *fps, "component_id")
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, ascending; a text of fewer words is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs)))
+
+
+class Sets:
+    """Shingle sets in files of the shared folder, read by place: a file's number and, in the low 40 bits, the first hash in it."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, {}
+
+    def read(self, place: int, n: int) -> np.ndarray:
+        number = place >> 40
+        if number not in self.files:
+            if len(self.files) >= 64:
+                self.files.pop(next(iter(self.files))).close()
+            system, inside = opened(f"{self.folder}/{number}.sets")
+            self.files[number] = system.open_input_file(inside)
+        return np.frombuffer(self.files[number].read_at(8 * n, 8 * (place & ((1 << 40) - 1))), np.uint64)
+
+
+def common_shingles(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
+    """Hashes of shingles that many texts have, by a sample: these come last in the order of sets. What the sample misses costs time and no links."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in small_batches(batches, 2 << 20):
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], names=["h"])
+
+    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(16)) == 0).distinct()
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(200_000).toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def with_sets(docs: DataFrame, carry: list[str], shingle: int, text: str, folder: str) -> DataFrame:
+    """The carried columns, dg_a and dg_b (a 128-bit hash of the shingle set), dg_n (its size) and dg_place. The sets go to files, one of each task attempt."""
+    ship(docs.sparkSession)
+    own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("dg_text"), *[F.col(f"`{c}`") for c in carry])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), "dg_a long, dg_b long, dg_n long, dg_place long"])
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle, text))
+
+    def run(batches):
+        number, at = TaskContext.get().taskAttemptId(), 0
+        system, inside = opened(f"{folder}/{number}.sets")
+        system.create_dir(os.path.dirname(inside), recursive=True)
+        with system.open_output_stream(inside) as f:
+            for batch in small_batches(batches, 2 << 20):
+                rows = []
+                for t in batch.column(0).to_pylist():
+                    held = shingle_set(t, shingle)
+                    last = np.isin(held, common.value)
+                    held = np.concatenate((held[~last], held[last]))
+                    f.write(held.tobytes())
+                    h = xxhash.xxh3_128_digest(held.tobytes())
+                    rows.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), len(held), number << 40 | at))
+                    at += len(held)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(list(c), pa.int64()) for c in zip(*rows))], names=[*carry, "dg_a", "dg_b", "dg_n", "dg_place"])
+
+    return own.mapInArrow(run, schema)
+
+
+def alike(least: int, n: int) -> int:
+    """Of sets of n, the fewest shared members that a likeness of SIMILAR hundredths allows: at least that share of the larger set."""
+    return -(-least * n // 100)
+
+
+def run_links(names: np.ndarray, sizes: np.ndarray, sets: Sets, least: int, root) -> list[tuple[int, int]]:
+    """Links of the members of one run that join the same components as all its pairs of a Jaccard likeness of least hundredths, given what root knows as joined."""
+    out, unmet, queue = [], np.arange(len(names)), []
+    while len(unmet):
+        if not queue:
+            queue.append(int(unmet[0]))
+            unmet = unmet[1:]
+        at = queue.pop()
+        mine, n, met = None, int(sizes[at]), np.zeros(len(unmet), bool)
+        for i, other in enumerate(unmet.tolist()):
+            if root(int(names[other])) == root(int(names[at])):
+                met[i] = True  # joined already, and goes on
+                continue
+            m = int(sizes[other])
+            if 100 * min(n, m) < least * max(n, m):
+                continue
+            mine = sets.read(int(names[at]), n) if mine is None else mine
+            shared = n + m - len(np.union1d(mine, sets.read(int(names[other]), m)))
+            if 100 * shared >= least * (n + m - shared):
+                met[i] = True
+                out.append((int(names[at]), int(names[other])))
+        queue += unmet[met].tolist()
+        unmet = unmet[~met]
+    return out
+
+
+def set_links(reps: DataFrame, folder: str, least: int = SIMILAR) -> DataFrame:
+    """(a, b) of names, a < b: links that join the same components as all pairs of a Jaccard likeness of least hundredths at least.
+
+    Two such sets share so many members that they share one of the first n - alike(n) + 1 of each in any common order; these are dealt, and
+    the sets of those that meet are read and compared whole. reps: (name, dg_n), the name a place in the folder.
+    """
+
+    def prefixes(batches):
+        sets = Sets(folder)
+        for batch in small_batches(batches, 1 << 16):
+            names, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            first = [sets.read(int(x), int(n) - alike(least, int(n)) + 1) for x, n in zip(names, sizes)]
+            k = [len(x) for x in first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(names, k)), pa.array(np.repeat(sizes, k))], names=["token", "name", "dg_n"])
+
+    def run(batches):
+        sets, parent = Sets(folder), {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def out(held):
+            token, name, size = held
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(token)) + 1, [len(token)]))
+            found = []
+            for i in np.flatnonzero(np.diff(edges) > 1).tolist():
+                a, b = edges[i], edges[i + 1]
+                for x, y in run_links(name[a:b], size[a:b], sets, least, root):
+                    p, q = root(x), root(y)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        found.append((min(x, y), max(x, y)))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            part = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last run may go on
+            if cut:
+                yield out(tuple(x[:cut] for x in held))
+                held = tuple(x[cut:] for x in held)
+        if held is not None and len(held[0]):
+            yield out(held)
+
+    dealt = reps.where("dg_n > 0").select("name", "dg_n").sortWithinPartitions("name").mapInArrow(prefixes, "token long, name long, dg_n long")
+    return dealt.repartition("token").sortWithinPartitions("token", "name").mapInArrow(run, "a long, b long")
+
+
+def alike_classes(docs: DataFrame, carry: list[str], shingle: int, id_column: str, text: str) -> DataFrame:
+    """The carried columns and dg_class, a number for each component of texts whose shingle sets are alike."""
+    folder = scratch(docs.sparkSession, "shingle-sets")
+    rows = saved(with_sets(docs, carry, shingle, text, folder), "shingled")
+    # One of each set.
+    reps = saved(rows.groupBy("dg_a", "dg_b", "dg_n").agg(F.min("dg_place").alias("name")), "classes")
+    found = components(set_links(reps, folder)).select("name", "root")
+    # Few sets have links; a set without any is a class by itself.
+    named = reps.join(found, "name", "left").select("dg_a", "dg_b", F.coalesce("root", F.when(F.col("dg_n") > 0, F.col("name")).otherwise(F.lit(-1))).alias("dg_class"))
+    return rows.join(named, ["dg_a", "dg_b"]).select(*[F.col(f"`{c}`") for c in carry], "dg_class")
 
 
 def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,7 +460,7 @@ def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id
     plain, names, back = shielded(docs)
     own, body = names[id_column], names[text]
     keyed = plain.withColumn("dg_row", F.xxhash64(F.col(own), F.col(body)))
-    found = classes(keyed, [own, "dg_row"], shingle, WIDE_SEGMENTS, WIDE_RADIUS, BLOCK, own, body, named=True)
+    found = alike_classes(keyed, [own, "dg_row"], shingle, own, body)
     # By the class and not its least id, which other classes may have as well, or none. Null ids come last.
     keep = found.groupBy("dg_class").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), F.col("dg_row"))).alias("s"))
     keep = keep.select(F.col("s.dg_row").alias("dg_row")).distinct()

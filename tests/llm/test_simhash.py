@@ -115,3 +115,20 @@ def test_classes_without_ids_or_of_one_id_each_keep_a_row(spark):
     rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (7, texts[5]), (7, texts[6]), (8, texts[6]), (9, texts[7])]
     got = S.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, t) for t in texts[:5]] + [(7, texts[5]), (7, texts[6]), (9, texts[7])], key=str)
+
+
+def test_filter_links_all_texts_of_likeness_from_four_fifths(spark):
+    runs = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    rows, expected = [], []
+    for i in range(60):  # pairs of copies, about 0.7 to 0.9 alike
+        base = [f"w{i}x{k}" for k in range(200)]
+        other = base[:]
+        for k in range(2 + i % 6):
+            other[10 + 25 * k] = "changed"
+        a, b = " ".join(base), " ".join(other)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        x, y = runs(a), runs(b)
+        expected += [2 * i] if len(x & y) >= 0.8 * len(x | y) else [2 * i, 2 * i + 1]
+    assert 60 < len(expected) < 120
+    got = S.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == expected
