@@ -40,3 +40,10 @@ def test_every_query_has_sql_and_the_entry_imports():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_png_predict_roundtrip_keeps_vectors_of_any_length(spark, tmp_path):
+    rows = [(i, [0.01 * k - 0.1 for k in range(n)]) for i, n in enumerate((8, 5, 64, 1, 13))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["png_predict_roundtrip"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, True, True) for i in range(5)]
