@@ -1,10 +1,15 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
-Each rule votes good (1), junk (-1) or abstains (0) on a text. What each rule's votes say about the hidden class is
-estimated by expectation-maximisation over the counts of vote patterns, without labels; a text is kept if the posterior
-probability that it is good is at least one half and a hard base rule does not reject it.
+Each rule votes good (1), junk (-1) or abstains (0) on a text, and rules vote both ways. A hidden class, good or junk, is
+assumed of which each vote is a noisy sign: a rule that votes says junk with one probability on good texts and another on junk. These
+and the share of good texts are estimated by expectation-maximisation over the counts of vote patterns, without labels; that a
+rule abstains says nothing, in the estimate and in the verdict. A text is kept if the posterior probability that it is good is at
+least one half and the hard base rule does not reject it. What the base rule rejects is not in the estimate.
 
-The counts of patterns, at most 3 ** len(RULES), are all that reaches the driver. Null text has no words and fails the
+One junk vote does not reject a text, nor do all good votes but one keep it: what a vote weighs is learned. The prior counts as
+PRIOR_ROWS texts, so it decides on empty and tiny tables only.
+
+The counts of patterns, at most 3 ** len(rules()), are all that reaches the driver. Null text has no words and fails the
 base rule. A null doc_id stays null; repeated rows count each; other columns are carried if asked for by name.
 """
 
@@ -74,75 +79,62 @@ def rules() -> dict[str, Column]:
     lines = F.greatest(F.col("n_filled_lines"), F.lit(1))
     symbols, upper, stops = F.col("n_symbols") / n, F.col("n_upper") / chars, F.col("n_stops") / n
     dup, repeat, kinds = F.col("n_dup_lines") / lines, F.col("n_repeat_words") / n, F.col("n_distinct") / n
-    mean = chars / n
-    never = F.lit(False)
+    mean, short, long = chars / n, n < 20, n >= 30
     return {
-        "prose": vote(never, (symbols < 0.05) & (upper < 0.25) & (stops < 0.45) & (repeat <= 0.2) & (dup < 0.3) & (mean >= 2) & (mean <= 15)),
-        "length": vote(F.col("n_words") < 10, never),
-        "word_length": vote((mean < 2) | (mean > 15), never),
-        "symbols": vote(symbols > 0.1, never),
-        "shouting": vote(upper > 0.3, never),
-        "stops": vote((stops > 0.5) & (n >= 10), never),
-        "same_lines": vote((dup > 0.3) & (F.col("n_dup_lines") > 1), never),
-        "repetition": vote(repeat > 0.2, never),
-        "kinds": vote((kinds < 0.5) & (n < 60) | (kinds < 0.1) & (n < 2000), never),
+        "length": vote(short, n >= 60),
+        "word_length": vote((mean < 3) | (mean > 6.5), (mean >= 4.3) & (mean <= 6)),
+        "symbols": vote(symbols > 0.1, symbols < 0.02),
+        "shouting": vote(upper > 0.3, upper < 0.1),
+        "stops": vote(~short & ((stops < 0.03) | (stops > 0.4)), (stops >= 0.05) & (stops <= 0.2)),
+        "same_lines": vote((dup > 0.3) & (F.col("n_dup_lines") > 1), (lines >= 4) & (F.col("n_dup_lines") == 0)),
+        "repetition": vote(repeat > 0.1, long & (repeat < 0.02)),
+        "kinds": vote(long & (n < 2000) & (kinds < 0.55), long & (kinds > 0.65)),
     }
 
 
-#: Before any evidence: the share of good texts, and how often a rule says junk, abstains or says good of either class.
-PRIOR_GOOD = 0.9
-PRIOR = {True: (0.004, 0.396, 0.60), False: (0.15, 0.75, 0.10)}
-#: The prior counts as so many rows, or as this share of all if that is more.
-PRIOR_ROWS, PRIOR_SHARE = 50.0, 0.1
-#: Junk votes are made to be rarely wrong: at most this share of good texts may get one from a rule.
-MOST_FALSE = 0.01
+#: Before any evidence: the share of good texts, and how often a vote of any rule says junk of either class.
+PRIOR_GOOD, PRIOR_JUNK_VOTE = 0.9, {True: 0.05, False: 0.5}
+#: The prior counts as so many texts, whatever the size of the table.
+PRIOR_ROWS = 20.0
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 200) -> tuple[float, list[dict[bool, tuple[float, float, float]]]]:
-    """Expectation-maximisation over (votes, count): the share of good texts, and for each rule P(vote | class).
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 1000) -> tuple[float, list[dict[bool, float]]]:
+    """Expectation-maximisation over (votes, count): the share of good texts, and for each rule the share of junk votes among its votes on either class.
 
-    An empty table gives the prior itself. A rule whose junk votes came out more
-    likely for good texts than for junk, or the other way round, is held at no evidence for that vote.
+    Both steps are of one model: votes are independent given the class, abstentions ignored. An empty table gives the prior itself.
     """
-    good, tables = PRIOR_GOOD, [dict(PRIOR) for _ in range(n_rules)]
-    rows = max(PRIOR_ROWS, PRIOR_SHARE * sum(n for _, n in patterns))
+    prior_mass = {True: PRIOR_ROWS * PRIOR_GOOD, False: PRIOR_ROWS * (1 - PRIOR_GOOD)}
+    good, tables = PRIOR_GOOD, [dict(PRIOR_JUNK_VOTE) for _ in range(n_rules)]
     for _ in range(rounds):
-        mass = {True: rows * PRIOR_GOOD, False: rows * (1 - PRIOR_GOOD)}
-        sums = [{c: [rows * (PRIOR_GOOD if c else 1 - PRIOR_GOOD) * p for p in PRIOR[c]] for c in (True, False)} for _ in range(n_rules)]
+        mass = dict(prior_mass)
+        junk = [{c: PRIOR_ROWS * PRIOR_JUNK_VOTE[c] for c in (True, False)} for _ in range(n_rules)]
+        cast = [{c: PRIOR_ROWS for c in (True, False)} for _ in range(n_rules)]
         for votes, count in patterns:
             p = posterior(votes, good, tables)
             for c, share in ((True, p * count), (False, (1 - p) * count)):
                 mass[c] += share
                 for r, v in enumerate(votes):
-                    sums[r][c][v + 1] += share
-        before = (good, tables)
-        good = min(0.999, max(0.001, mass[True] / (mass[True] + mass[False])))
-        tables = [{c: tuple(x / sum(s[c]) for x in s[c]) for c in (True, False)} for s in sums]
-        tables = [{True: capped(t[True]), False: t[False]} for t in tables]
-        if abs(good - before[0]) < 1e-9 and all(abs(a - b) < 1e-9 for t, u in zip(tables, before[1]) for c in t for a, b in zip(t[c], u[c])):
+                    if v:
+                        cast[r][c] += share
+                        junk[r][c] += share * (v < 0)
+        before, good = good, mass[True] / (mass[True] + mass[False])
+        after = [{c: j[c] / n[c] for c in (True, False)} for j, n in zip(junk, cast)]
+        moved = max([abs(good - before), *(abs(a[c] - b[c]) for a, b in zip(after, tables) for c in a)])
+        tables = after
+        if moved < 1e-9:
             break
     return good, tables
 
 
-def capped(p: tuple[float, float, float]) -> tuple[float, float, float]:
-    """The same with the share of junk votes at MOST_FALSE, or less; the others keep their proportion."""
-    if p[0] <= MOST_FALSE:
-        return p
-    scale = (1 - MOST_FALSE) / (p[1] + p[2])
-    return MOST_FALSE, p[1] * scale, p[2] * scale
-
-
-def weights(tables) -> list[tuple[float, float, float]]:
-    """Log odds for good that a vote of -1, 0 or 1 of each rule adds: never for good from a junk vote, nor against from a good one, and none from abstaining."""
-    out = []
-    for t in tables:
-        junk, fine = (math.log(t[True][i] / t[False][i]) for i in (0, 2))
-        out.append((min(0.0, junk), 0.0, max(0.0, fine)))
-    return out
+def weights(tables) -> list[tuple[float, float]]:
+    """Log odds for good that a junk vote and a good vote of each rule add."""
+    return [(math.log(t[True] / t[False]), math.log((1 - t[True]) / (1 - t[False]))) for t in tables]
 
 
 def posterior(votes, good: float, tables) -> float:
-    x = math.log(good / (1 - good)) + sum(w[v + 1] for w, v in zip(weights(tables), votes))
+    x = math.log(good / (1 - good))
+    for v, (junk, fine) in zip(votes, weights(tables)):
+        x += junk if v < 0 else fine if v > 0 else 0.0
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
@@ -153,11 +145,11 @@ def judged(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     rows = saved(with_features(docs, carry, text), "quality")
     votes = [v.alias(f"dg_v{i}") for i, v in enumerate(named.values())]
     keys = [f"dg_v{i}" for i in range(len(named))]
-    patterns = [(tuple(x[k] for k in keys), x["dg_n"]) for x in rows.select(*votes).groupBy(*keys).agg(F.count(F.lit(1)).alias("dg_n")).collect()]
+    patterns = [(tuple(x[k] for k in keys), x["dg_n"]) for x in rows.where(~base_failed()).select(*votes).groupBy(*keys).agg(F.count(F.lit(1)).alias("dg_n")).collect()]
     good, tables = estimate(sorted(patterns), len(named))
     odds = F.lit(math.log(good / (1 - good)))
-    for v, (junk, none, fine) in zip(named.values(), weights(tables)):
-        odds = odds + F.when(v == -1, F.lit(junk)).when(v == 1, F.lit(fine)).otherwise(F.lit(none))
+    for v, (junk, fine) in zip(named.values(), weights(tables)):
+        odds = odds + F.when(v == -1, F.lit(junk)).when(v == 1, F.lit(fine)).otherwise(F.lit(0.0))
     return rows.withColumn("base_failed", base_failed()).withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 9)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
