@@ -3,7 +3,9 @@
 The frequent words of the corpus are compiled, with the ids that merging gives them, into a minimal acyclic automaton:
 words share their beginnings and, as equal right languages are one state, their endings. Each arc carries the number of
 words that come before it in its state; the sum along a word's path is its number, and its ids stand at that number in a
-flat list. The whole is one file that workers map into memory. Words that it does not hold are merged exactly.
+flat list. The whole is one file in the shared folder that workers map into memory. Words that it does not hold are merged
+exactly, all that are new in a batch at once. A worker keeps what it has met lately, so the lexicon and the merger are asked for
+each distinct word about once a worker.
 
 Texts are split into words as the vocabulary's pre-tokenizer does, and
 strings of special tokens are tokens, as the tokenizers library has it. Null and empty texts have no tokens. Repeated rows
@@ -19,18 +21,15 @@ import mmap
 import os
 import re
 import struct
-import tempfile
-import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, ship, small_batches
+from .common import mapped_file, per_worker, put_file, saved, scratch, ship, small_batches
 
 #: The pre-tokenizer's pattern, a fixed value of this vocabulary; \s is spelled out, as libraries differ on it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -62,6 +61,11 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in part) for part in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merges[self.id_of[a], self.id_of[b]] = (rank, self.id_of[a + b])
+        pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pair_keys, self.pair_ranks = pairs[order], np.array([rank for rank, _ in self.merges.values()], np.int64)[order]
+        self.merged_to = np.zeros(len(model["merges"]), np.int64)
+        self.merged_to[self.pair_ranks] = np.array([to for _, to in self.merges.values()], np.int64)[order]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
         found = "|".join(regex.escape(x) for x in sorted(self.special, key=lambda x: (-len(x), x)))
@@ -108,6 +112,51 @@ class Vocabulary:
                     heapq.heappush(heap, (found[0], x, ids[x], ids[y], found[1]))
         return [i for i in ids if i >= 0]
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """The same of each word, all words of a length at once: each round joins one pair of each, so that they stay of equal length."""
+        out: list = [None] * len(words)
+        of_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            of_length.setdefault(len(word), []).append(i)
+        none, letter = len(self.merged_to), np.array(self.id_of_byte, np.int64)
+
+        def ranks_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            return np.where(self.pair_keys[at] == key, self.pair_ranks[at], none)
+
+        for n, rows in of_length.items():
+            if len(rows) < 8 or n > 64 or n < 2 or not len(self.pair_keys):
+                for i in rows:
+                    out[i] = self.merge(words[i])
+                continue
+            row = np.array(rows)
+            ids = letter[np.frombuffer(b"".join([words[i] for i in rows]), np.uint8).reshape(-1, n)]
+            ranks = ranks_of(ids[:, :-1], ids[:, 1:])
+            while len(row):
+                here = np.arange(len(row))
+                best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(row), np.int64)
+                rank = ranks[here, best] if ranks.shape[1] else np.full(len(row), none)
+                over = rank == none
+                if over.any():
+                    for i, found in zip(row[over].tolist(), ids[over].tolist()):
+                        out[i] = found
+                    row, ids, ranks, best, rank = row[~over], ids[~over], ranks[~over], best[~over], rank[~over]
+                    here = np.arange(len(row))
+                    if not len(row):
+                        break
+                size = ids.shape[1]
+                ids[here, best] = self.merged_to[rank]
+                stays = np.ones(ids.shape, bool)
+                stays[here, best + 1] = False
+                ids = ids[stays].reshape(len(row), size - 1)
+                ranks = ranks[stays[:, 1:]].reshape(len(row), size - 2)
+                for place in (best - 1, best):  # the pairs on both sides of what was joined
+                    inside = (place >= 0) & (place < size - 2)
+                    at, place = here[inside], place[inside]
+                    ranks[at, place] = ranks_of(ids[at, place], ids[at, place + 1])
+        return out
+
     def pieces(self, text: str):
         """(words, id of the special token after them or None) in order."""
         if self.split is None or not any(s in text for s in self.special):
@@ -171,13 +220,12 @@ def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, mapped from its file."""
+    """A compiled lexicon, mapped into memory."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    def __init__(self, held: mmap.mmap):
+        self.map = held
         if self.map[:8] != MAGIC:
-            raise ValueError(f"{path} is no lexicon")
+            raise ValueError("this is no lexicon")
         self.start = struct.unpack_from("<q", self.map, 8)[0]
         sizes = struct.unpack_from("<7q", self.map, 16)
         view, at, parts = memoryview(self.map), 72, []
@@ -214,10 +262,15 @@ class Lexicon:
         return max(-1, self.map.find(bytes((byte,)), self.labels + self.first[state], self.labels + self.first[state + 1]) - self.labels)
 
 
+#: Counts below are told apart each, those above by 64 bins an octave.
+EXACT_COUNTS = 1024
+
+
 def frequent_words(docs: DataFrame, vocabulary_json: str, words: int = WORDS, text: str = "text") -> list[str]:
-    """The words of the pre-tokenizer that stand most often in all texts, about so many; ties go to the lesser.
+    """The words of the pre-tokenizer that stand most often in all texts, words of them at most.
 
-    What stands between spaces is counted in all texts, and the most frequent of that is cut to words here.
+    What stands between spaces is counted in all texts. A histogram of the counts (some thousand rows) gives the least count that
+    no more than this many have; what has it goes to the driver and is cut to words here. What stands once is no frequent word.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -240,25 +293,30 @@ def frequent_words(docs: DataFrame, vocabulary_json: str, words: int = WORDS, te
             yield out()
 
     rows = docs.select(F.col(text).alias("text")).where("text is not null and text <> ''").mapInArrow(count, "chunk string, n long")
-    top = rows.where("chunk <> '' and length(chunk) < 64").groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(words)
-    vocabulary, total = Vocabulary(vocabulary_json), Counter()
-    for r in top.collect():
-        for found, _ in vocabulary.pieces(" " + r["chunk"]):
-            for w in found:
-                total[w] += r["n"]
-    return sorted(sorted(total), key=lambda w: -total[w])[:words]
+    total = rows.where("chunk <> '' and length(chunk) < 64").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
+    bin_of = F.when(F.col("n") < EXACT_COUNTS, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + F.lit(EXACT_COUNTS - 640))
+    held = saved(total.withColumn("bin", bin_of.cast("long")), "word-counts")
+    least, room = None, words
+    for r in held.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")).collect():
+        room -= r["k"]
+        if room < 0:
+            break
+        least = r["bin"]
+    vocabulary, found = Vocabulary(vocabulary_json), Counter()
+    for r in held.where(F.col("bin") >= least).select("chunk", "n").collect() if least is not None else ():
+        for parts, _ in vocabulary.pieces(" " + r["chunk"]):
+            for w in parts:
+                found[w] += r["n"]
+    return sorted(sorted(found), key=lambda w: -found[w])[:words]
 
 
 def lexicon_file(docs: DataFrame, vocabulary_json: str, words: int = WORDS, text: str = "text") -> str:
-    """Name under which every executor finds the lexicon of the frequent words of these texts by SparkFiles."""
+    """Path in the shared folder of the lexicon of the frequent words of these texts."""
     vocabulary = Vocabulary(vocabulary_json)
-    entries = [(w, vocabulary.merge(w)) for w in (x.encode("utf-8", "surrogatepass") for x in frequent_words(docs, vocabulary_json, words, text))]
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="docgrain-"), name)
-    with open(path, "wb") as f:
-        f.write(compile_lexicon(entries))
-    docs.sparkSession.sparkContext.addFile(path)  # the driver serves it to executors, which keep one copy a machine
-    return name
+    found = [x.encode("utf-8", "surrogatepass") for x in frequent_words(docs, vocabulary_json, words, text)]
+    path = scratch(docs.sparkSession, "lexicon")
+    put_file(path, compile_lexicon(list(zip(found, vocabulary.merge_many(found)))))
+    return path
 
 
 class Apart(Exception):
@@ -294,13 +352,17 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int = 450_000):
         met = self.met = Met(most // 6)
         after = self.after = Met(most)
-        self.vocabulary = vocabulary
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.ready: dict[str, str] = {}  # of words that these texts have and none before
+        self.from_lexicon = self.merged = 0
         findall = vocabulary.words.findall
 
         def of_word(word: str) -> str:
-            raw = word.encode("utf-8", "surrogatepass")
-            ids = lexicon.get(raw) if lexicon is not None else None
-            return ",".join(map(str, vocabulary.merge(raw) if ids is None else ids))
+            found = self.ready.get(word)
+            if found is None:
+                self.look_up([word])
+                found = self.ready.pop(word)
+            return found
 
         def of_chunk(chunk: str) -> str:
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
@@ -313,6 +375,38 @@ class Encoder:
 
         met.make, after.make = of_word, of_chunk
 
+    def look_up(self, words: list[str]) -> None:
+        """Makes the ids of words ready: from the lexicon or, of those that it lacks, by merging all at once."""
+        lacks, raws = [], []
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = self.lexicon.get(raw) if self.lexicon is not None else None
+            if ids is None:
+                lacks.append(word)
+                raws.append(raw)
+            else:
+                self.ready[word] = ",".join(map(str, ids))
+        for word, ids in zip(lacks, self.vocabulary.merge_many(raws)):
+            self.ready[word] = ",".join(map(str, ids))
+        self.from_lexicon += len(words) - len(lacks)
+        self.merged += len(lacks)
+
+    def prepare(self, texts: list[str]) -> None:
+        """Looks up together what is new between the spaces of these texts. What it leaves out is looked up when it is met."""
+        self.ready, new = {}, set()
+        for text in texts:
+            new.update(text.split(" "))
+        after, met = self.after, self.met
+        words = set()
+        for chunk in new.difference(after):
+            if chunk in after.before:
+                continue
+            if PLAIN.fullmatch(chunk) or chunk[-1:] in (".", ",") and PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
+                words.add(" " + chunk.rstrip(".,"))
+            else:
+                words.update(self.vocabulary.words.findall(" " + chunk))
+        self.look_up([w for w in words if w not in met and w not in met.before])
+
     def parts(self, text: str) -> list[str]:
         """The ids in decimal, joined by commas inside each part."""
         if not text:
@@ -365,18 +459,20 @@ def encoded(docs: DataFrame, tokenizer: str, words: int = WORDS, with_ids: bool
     ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
-    name = lexicon_file(docs, spec, words)
+    path = lexicon_file(docs, spec, words)
     held = spark.sparkContext.broadcast(spec)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         def fresh():
             vocabulary = Vocabulary(held.value)
-            return Encoder(vocabulary, Lexicon(SparkFiles.get(name))), Decoder(vocabulary)
+            return Encoder(vocabulary, Lexicon(mapped_file(path))), Decoder(vocabulary)
 
-        encoder, decoder = per_worker(name, fresh)
+        encoder, decoder = per_worker(path, fresh)
         for batch in small_batches(batches, 4 << 20):
-            parts = [encoder.parts(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            encoder.prepare(texts)
+            parts = [encoder.parts(t) for t in texts]
             joined = [",".join(x) for x in parts]
             columns = [
                 batch.column(0),

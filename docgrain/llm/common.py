@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import mmap
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docgrain.cluster import ship
 
-__all__ = ["id_crc", "per_worker", "quantile_bounds", "saved", "scratch", "shared_dir", "shielded", "ship", "shuffle_width", "small_batches", "table"]
+__all__ = ["id_crc", "mapped_file", "opened", "per_worker", "put_file", "quantile_bounds", "saved", "scratch", "shared_dir", "shielded", "ship", "shuffle_width", "small_batches", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +60,32 @@ def id_crc(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def opened(path: str):
+    """(file system, path inside it) for a local path or a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def put_file(path: str, data: bytes) -> None:
+    system, inside = opened(path)
+    system.create_dir(os.path.dirname(inside), recursive=True)
+    with system.open_output_stream(inside) as f:
+        f.write(data)
+
+
+def mapped_file(path: str) -> mmap.mmap:
+    """A file mapped into memory, one copy for all workers of a machine. From a store that is no file system, a copy without a name is mapped."""
+    system, inside = opened(path)
+    if system.type_name == "local":
+        with open(inside, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    with tempfile.TemporaryFile() as own, system.open_input_stream(inside) as f:
+        shutil.copyfileobj(f, own, 1 << 20)
+        own.flush()
+        return mmap.mmap(own.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 _held: list = [None, None]
 
 

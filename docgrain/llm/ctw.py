@@ -35,8 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, per_worker, saved, scratch, ship, shuffle_width, small_batches
-from .warc import opened
+from .common import opened, id_crc, per_worker, saved, scratch, ship, shuffle_width, small_batches
 
 DEPTH, UPPER, TOP = 6, 3, 150_000
 #: Grams of which a task builds nodes at a time, besides those of the last context of UPPER bytes; cuts none.

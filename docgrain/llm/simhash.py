@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, shielded, ship, small_batches
-from .warc import opened
+from .common import opened, saved, scratch, shielded, ship, small_batches
 
 BITS, SEED = 64, 42
 #: Of the 64-bit operator: (word, lowest bit, number of bits) of the segments, and the most differing bits.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
-from .common import saved, scratch, ship
+from .common import opened, saved, scratch, ship
 
 MIN_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,13 +38,6 @@ class Files(InputPartition):
     paths: list[str]
 
 
-def opened(path: str):
-    """(file system, path inside it) for a local path or a URI."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def accepts(f: Filter, row: dict) -> bool:
     value = row.get(f.attribute[0])
     if isinstance(f, IsNotNull):

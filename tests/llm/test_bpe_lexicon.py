@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from docgrain.llm import bpe_lexicon as B
+from docgrain.llm.common import mapped_file
 
 from .conftest import prose
 
@@ -35,7 +36,7 @@ def test_long_words_and_lone_bytes():
 def test_lexicon_is_a_map(tmp_path_factory, entries, others):
     path = tmp_path_factory.mktemp("lex") / "l.bin"
     path.write_bytes(B.compile_lexicon(list(entries.items())))
-    lexicon = B.Lexicon(str(path))
+    lexicon = B.Lexicon(mapped_file(str(path)))
     assert len(lexicon) == len(entries)
     for w, ids in entries.items():
         assert lexicon.get(w) == ids
@@ -48,7 +49,7 @@ def test_lexicon_shares_endings(tmp_path):
     words = [a + b for a in (b"w", b"t", b"s") for b in (b"alking", b"alked", b"alks")]
     blob = B.compile_lexicon([(w, [1]) for w in words])
     (tmp_path / "l").write_bytes(blob)
-    lexicon = B.Lexicon(str(tmp_path / "l"))
+    lexicon = B.Lexicon(mapped_file(str(tmp_path / "l")))
     arcs = len(lexicon.targets)
     assert arcs == 3 + 3 + len(b"ies") + len(b"ng") + 1  # one way in each of: first letter, alk, what follows, its rest
 
@@ -67,3 +68,38 @@ def test_table_with_and_without_lexicon(spark, clashing, no_docs):
         assert by == sorted(expected, key=str)
         assert all(len(r["ids"]) == r["n_tokens"] for r in got)
     assert B.encoded(no_docs, PATH).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(min_size=1, max_size=12) | st.text("abthein ", min_size=1, max_size=30), max_size=60), st.booleans())
+def test_words_merged_together_are_those_merged_apart(words, repeat):
+    raw = [w.encode("utf-8", "surrogatepass") for w in words * (12 if repeat else 1)]
+    assert VOCABULARY.merge_many(raw) == [VOCABULARY.merge(w) for w in raw]
+
+
+def test_encoding_after_preparing_a_batch_and_the_lexicon_path(tmp_path):
+    texts = [prose(i, 200) + f" end{i}. a,b x\u00a0y\n z <|endoftext|>q" for i in range(60)]
+    found = sorted({w.encode() for t in texts[:3] for parts, _ in VOCABULARY.pieces(t) for w in parts})
+    (tmp_path / "l").write_bytes(B.compile_lexicon([(w, VOCABULARY.merge(w)) for w in found]))
+    encoder = B.Encoder(VOCABULARY, B.Lexicon(mapped_file(str(tmp_path / "l"))), most=300)
+    for at in range(0, 60, 20):
+        encoder.prepare(texts[at : at + 20])
+        assert [encoder.encode(t) for t in texts[at : at + 20]] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
+    assert encoder.from_lexicon > 100 and encoder.merged > 100
+
+
+def test_frequent_words_are_the_most_frequent(spark):
+    from collections import Counter
+
+    texts = [prose(i, 300) for i in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = Counter(w for t in texts for w in t.split(" ") if w)
+    got = B.frequent_words(df, SPEC, 40)
+    pieces = Counter()
+    for w, n in counts.items():
+        if n >= sorted(counts.values())[-40]:
+            for p, _ in VOCABULARY.pieces(" " + w):
+                for x in p:
+                    pieces[x] += n
+    assert got and set(got) <= set(pieces) and len(got) <= 40
+    assert B.frequent_words(df, SPEC, 0) == []
