@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped_file, per_worker, put_file, saved, scratch, ship, small_batches
+from .common import mapped_file, no_cycles, per_worker, put_file, saved, scratch, ship, small_batches
 
 #: The pre-tokenizer's pattern, a fixed value of this vocabulary; \s is spelled out, as libraries differ on it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -68,6 +68,7 @@ class Vocabulary:
         self.merged_to[self.pair_ranks] = np.array([to for _, to in self.merges.values()], np.int64)[order]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
+        self.names = {i: str(i) for i in range(1 + max(self.bytes_of, default=0))}
         found = "|".join(regex.escape(x) for x in sorted(self.special, key=lambda x: (-len(x), x)))
         self.split = regex.compile(f"({found})") if found else None
         self.words = regex.compile(PATTERN)
@@ -235,6 +236,9 @@ class Lexicon:
         self.first, self.targets, self.adds, self.at, self.flat = (parts[i][1].cast("i") for i in (0, 2, 3, 5, 6))
         self.labels, self.final = parts[1][0], parts[4][1]
         self.met: dict[int, int] = {}
+        # Arcs stand by state and, of one state, by byte: ascending, to be searched for many words at once.
+        first, labels = np.frombuffer(self.first, np.int32), np.frombuffer(parts[1][1], np.uint8)
+        self.arcs = np.repeat(np.arange(len(first) - 1, dtype=np.int64) << 8, np.diff(first)) | labels
 
     def __len__(self) -> int:
         return len(self.at) - 1
@@ -255,6 +259,27 @@ class Lexicon:
             return None
         return self.flat[self.at[number] : self.at[number + 1]].tolist()
 
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """The same of each word; all words go one byte further at a time, until they end or have no arc."""
+        out: list = [None] * len(words)
+        if not words or not len(self.arcs):
+            return [self.get(w) for w in words]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw, begins = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        targets, adds, final = (np.frombuffer(x, kind) for x, kind in ((self.targets, np.int32), (self.adds, np.int32), (self.final, np.uint8)))
+        row, state, number, at = np.arange(len(words)), np.full(len(words), self.start, np.int64), np.zeros(len(words), np.int64), 0
+        while len(row):
+            ended = sizes[row] == at
+            for i, n in zip(row[ended & (final[state] > 0)].tolist(), number[ended & (final[state] > 0)].tolist()):
+                out[i] = self.flat[self.at[n] : self.at[n + 1]].tolist()
+            row, state, number = row[~ended], state[~ended], number[~ended]
+            key = state << 8 | raw[begins[row] + at]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            there = self.arcs[arc] == key
+            row, number, arc, at = row[there], number[there], arc[there], at + 1
+            number, state = number + adds[arc], targets[arc].astype(np.int64)
+        return out
+
     def arc(self, state: int, byte: int) -> int:
         """The arc from a state by a byte, or -1."""
         if len(self.met) > 1_000_000:
@@ -334,12 +359,15 @@ class Met(dict):
         if value is None:
             value = self.make(word)
         if len(word) < 64:
-            if len(self) >= self.most:
-                self.before = dict(self)
-                self.clear()
-            self[word] = value
+            self.put(word, value)
         return value
 
+    def put(self, word: str, value) -> None:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[word] = value
+
 
 class Encoder:
     """Encodes texts; words met before are looked up, others taken from the lexicon or merged.
@@ -377,35 +405,56 @@ class Encoder:
 
     def look_up(self, words: list[str]) -> None:
         """Makes the ids of words ready: from the lexicon or, of those that it lacks, by merging all at once."""
-        lacks, raws = [], []
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            ids = self.lexicon.get(raw) if self.lexicon is not None else None
-            if ids is None:
-                lacks.append(word)
-                raws.append(raw)
-            else:
-                self.ready[word] = ",".join(map(str, ids))
-        for word, ids in zip(lacks, self.vocabulary.merge_many(raws)):
-            self.ready[word] = ",".join(map(str, ids))
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        found = self.lexicon.get_many(raws) if self.lexicon is not None else [None] * len(words)
+        lacks = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(lacks, self.vocabulary.merge_many([raws[i] for i in lacks])):
+            found[i] = ids
+        name = self.vocabulary.names.__getitem__
+        self.ready.update((w, ",".join(map(name, ids))) for w, ids in zip(words, found))
         self.from_lexicon += len(words) - len(lacks)
         self.merged += len(lacks)
 
-    def prepare(self, texts: list[str]) -> None:
-        """Looks up together what is new between the spaces of these texts. What it leaves out is looked up when it is met."""
-        self.ready, new = {}, set()
+    def batch(self, texts: list[str]) -> list[list[str]]:
+        """The parts of each text. What stands between spaces is looked up once; all that is new is cut, looked up and merged together."""
+        self.ready = {}
+        get, before, met, words = self.after.get, self.after.before, self.met, self.vocabulary.words
+        out, holes, new = [], [], {}
         for text in texts:
-            new.update(text.split(" "))
-        after, met = self.after, self.met
-        words = set()
-        for chunk in new.difference(after):
-            if chunk in after.before:
+            first, *rest = text.split(" ")
+            if not first or first[-1].isspace() or self.vocabulary.split is not None and any(s in text for s in self.vocabulary.special):
+                out.append(None)
                 continue
-            if PLAIN.fullmatch(chunk) or chunk[-1:] in (".", ",") and PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
-                words.add(" " + chunk.rstrip(".,"))
+            found = [*map(get, rest)]
+            if None in found:
+                empty = [i for i, ids in enumerate(found) if ids is None]
+                chunks = [rest[i] for i in empty]
+                if any(not c or c[0].isspace() or c[-1].isspace() for c in chunks):
+                    out.append(None)
+                    continue
+                holes.append((found, empty, chunks))
+                new.update(dict.fromkeys(chunks))
+            out.append((first, found))
+        cut = {}
+        for c in new:
+            if (ids := before.get(c)) is not None:
+                new[c] = ids
             else:
-                words.update(self.vocabulary.words.findall(" " + chunk))
-        self.look_up([w for w in words if w not in met and w not in met.before])
+                cut[c] = [" " + c] if PLAIN.fullmatch(c) else [" " + c[:-1], c[-1]] if c[-1] in ".," and PLAIN.fullmatch(c, 0, len(c) - 1) else words.findall(" " + c)
+        self.look_up([w for w in {w for found in cut.values() for w in found} if w not in met and w not in met.before])
+        ready = self.ready
+        for c, found in cut.items():
+            new[c] = ",".join([ready[w] if w in ready else met[w] for w in found])
+        for c, ids in new.items():
+            if len(c) < 64:
+                self.after.put(c, ids)
+        for found, empty, chunks in holes:
+            for i, c in zip(empty, chunks):
+                found[i] = new[c]
+        parts = []
+        for text, done in zip(texts, out):
+            parts.append(self.parts(text) if done is None else [*map(met.__getitem__, words.findall(done[0])), *done[1]])
+        return parts
 
     def parts(self, text: str) -> list[str]:
         """The ids in decimal, joined by commas inside each part."""
@@ -470,9 +519,8 @@ def encoded(docs: DataFrame, tokenizer: str, words: int = WORDS, with_ids: bool
 
         encoder, decoder = per_worker(path, fresh)
         for batch in small_batches(batches, 4 << 20):
-            texts = batch.column(1).to_pylist()
-            encoder.prepare(texts)
-            parts = [encoder.parts(t) for t in texts]
+            with no_cycles():
+                parts = encoder.batch(batch.column(1).to_pylist())
             joined = [",".join(x) for x in parts]
             columns = [
                 batch.column(0),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import mmap
 import os
 import shutil
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docgrain.cluster import ship
 
-__all__ = ["id_crc", "mapped_file", "opened", "per_worker", "put_file", "quantile_bounds", "saved", "scratch", "shared_dir", "shielded", "ship", "shuffle_width", "small_batches", "table"]
+__all__ = ["id_crc", "mapped_file", "no_cycles", "opened", "per_worker", "put_file", "quantile_bounds", "saved", "scratch", "shared_dir", "shielded", "ship", "shuffle_width", "small_batches", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,6 +99,18 @@ def per_worker(key: str, make):
     return _held[1]
 
 
+@contextlib.contextmanager
+def no_cycles():
+    """For code that makes many objects and no reference cycles: the search for cycles rests."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def small_batches(batches, most_bytes: int = 8 << 20):
     """The same rows in slices of about most_bytes at most, one row at least: bounds what a worker holds."""
     for batch in batches:

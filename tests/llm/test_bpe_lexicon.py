@@ -43,6 +43,7 @@ def test_lexicon_is_a_map(tmp_path_factory, entries, others):
     for w in others:
         if w not in entries:
             assert lexicon.get(w) is None
+    assert lexicon.get_many([*entries, *others]) == [lexicon.get(w) for w in [*entries, *others]]
 
 
 def test_lexicon_shares_endings(tmp_path):
@@ -77,15 +78,15 @@ def test_words_merged_together_are_those_merged_apart(words, repeat):
     assert VOCABULARY.merge_many(raw) == [VOCABULARY.merge(w) for w in raw]
 
 
-def test_encoding_after_preparing_a_batch_and_the_lexicon_path(tmp_path):
+def test_encoding_after_in_batches_and_the_lexicon_path(tmp_path):
     texts = [prose(i, 200) + f" end{i}. a,b x\u00a0y\n z <|endoftext|>q" for i in range(60)]
     found = sorted({w.encode() for t in texts[:3] for parts, _ in VOCABULARY.pieces(t) for w in parts})
     (tmp_path / "l").write_bytes(B.compile_lexicon([(w, VOCABULARY.merge(w)) for w in found]))
     encoder = B.Encoder(VOCABULARY, B.Lexicon(mapped_file(str(tmp_path / "l"))), most=300)
     for at in range(0, 60, 20):
-        encoder.prepare(texts[at : at + 20])
-        assert [encoder.encode(t) for t in texts[at : at + 20]] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
-    assert encoder.from_lexicon > 100 and encoder.merged > 100
+        got = [[int(i) for part in parts for i in part.split(",")] for parts in encoder.batch(texts[at : at + 20])]
+        assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
+    assert encoder.from_lexicon > 100 and encoder.merged > 20
 
 
 def test_frequent_words_are_the_most_frequent(spark):
@@ -103,3 +104,10 @@ def test_frequent_words_are_the_most_frequent(spark):
                     pieces[x] += n
     assert got and set(got) <= set(pieces) and len(got) <= 40
     assert B.frequent_words(df, SPEC, 0) == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.lists(st.sampled_from([*"ab'tsr  ,.\n\t\x1c\x85\xa001é中😀", "<|endoftext|>", "'re", "  ", " word", " Wörd,", " end."]), max_size=30).map("".join), max_size=8))
+def test_a_batch_is_as_each_text(texts):
+    got = [[int(i) for part in parts for i in part.split(",")] for parts in B.Encoder(VOCABULARY, None, most=12).batch(texts)]
+    assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
