@@ -369,37 +369,42 @@ class Met(dict):
         self[word] = value
 
 
+def joined(pieces: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return ",".join([ids for ids, _ in pieces]), b"".join([raw for _, raw in pieces])
+
+
 class Encoder:
     """Encodes texts; words met before are looked up, others taken from the lexicon or merged.
 
     A space between two characters that are no white space always begins a word, and no word goes across it. So texts are
     cut at spaces, and what stands between two is looked up as a whole. Only what is new is cut by the pattern. Texts with
-    other white space beside a space are cut by the pattern as a whole.
+    other white space beside a space are cut by the pattern as a whole. A piece is kept as its ids and the bytes that these ids
+    decode to.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int = 450_000):
         met = self.met = Met(most // 6)
         after = self.after = Met(most)
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.ready: dict[str, str] = {}  # of words that these texts have and none before
+        self.ready: dict[str, tuple[str, bytes]] = {}  # of words that these texts have and none before
         self.from_lexicon = self.merged = 0
         findall = vocabulary.words.findall
 
-        def of_word(word: str) -> str:
+        def of_word(word: str) -> tuple[str, bytes]:
             found = self.ready.get(word)
             if found is None:
                 self.look_up([word])
                 found = self.ready.pop(word)
             return found
 
-        def of_chunk(chunk: str) -> str:
+        def of_chunk(chunk: str) -> tuple[str, bytes]:
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 raise Apart
             if PLAIN.fullmatch(chunk):
                 return of_word(" " + chunk)
             if chunk[-1] in ".," and PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
-                return f"{after[chunk[:-1]]},{met[chunk[-1]]}"
-            return ",".join(map(met.__getitem__, findall(" " + chunk)))
+                return joined([after[chunk[:-1]], met[chunk[-1]]])
+            return joined([*map(met.__getitem__, findall(" " + chunk))])
 
         met.make, after.make = of_word, of_chunk
 
@@ -410,13 +415,13 @@ class Encoder:
         lacks = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(lacks, self.vocabulary.merge_many([raws[i] for i in lacks])):
             found[i] = ids
-        name = self.vocabulary.names.__getitem__
-        self.ready.update((w, ",".join(map(name, ids))) for w, ids in zip(words, found))
+        name, raw_of = self.vocabulary.names.__getitem__, self.vocabulary.bytes_of.__getitem__
+        self.ready.update((w, (",".join(map(name, ids)), b"".join(map(raw_of, ids)))) for w, ids in zip(words, found))
         self.from_lexicon += len(words) - len(lacks)
         self.merged += len(lacks)
 
-    def batch(self, texts: list[str]) -> list[list[str]]:
-        """The parts of each text. What stands between spaces is looked up once; all that is new is cut, looked up and merged together."""
+    def batch(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
+        """The pieces of each text. What stands between spaces is looked up once; all that is new is cut, looked up and merged together."""
         self.ready = {}
         get, before, met, words = self.after.get, self.after.before, self.met, self.vocabulary.words
         out, holes, new = [], [], {}
@@ -444,7 +449,8 @@ class Encoder:
         self.look_up([w for w in {w for found in cut.values() for w in found} if w not in met and w not in met.before])
         ready = self.ready
         for c, found in cut.items():
-            new[c] = ",".join([ready[w] if w in ready else met[w] for w in found])
+            pieces = [ready[w] if w in ready else met[w] for w in found]
+            new[c] = pieces[0] if len(pieces) == 1 else joined(pieces)
         for c, ids in new.items():
             if len(c) < 64:
                 self.after.put(c, ids)
@@ -456,8 +462,8 @@ class Encoder:
             parts.append(self.parts(text) if done is None else [*map(met.__getitem__, words.findall(done[0])), *done[1]])
         return parts
 
-    def parts(self, text: str) -> list[str]:
-        """The ids in decimal, joined by commas inside each part."""
+    def parts(self, text: str) -> list[tuple[str, bytes]]:
+        """The pieces of a text in order: ids in decimal, joined by commas, and what they decode to."""
         if not text:
             return []
         if self.vocabulary.split is None or not any(s in text for s in self.vocabulary.special):
@@ -467,36 +473,29 @@ class Encoder:
                     return [*map(self.met.__getitem__, self.vocabulary.words.findall(first)), *map(self.after.__getitem__, rest)]
             except Apart:
                 pass
-        out: list[str] = []
+        out: list[tuple[str, bytes]] = []
         for words, special in self.vocabulary.pieces(text):
             out += map(self.met.__getitem__, words)
             if special is not None:
-                out.append(str(special))
+                out.append((str(special), self.vocabulary.bytes_of[special]))
         return out
 
     def encode_text(self, text: str) -> str:
         """The ids in decimal, joined by commas."""
-        return ",".join(self.parts(text))
+        return joined(self.parts(text))[0]
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_text(text)
         return [int(x) for x in joined.split(",")] if joined else []
 
 
-class Decoder:
-    """Texts of ids: the bytes of all tokens in a row, read as UTF-8, with U+FFFD for what is none."""
-
-    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
-        by_text = {str(i): b for i, b in vocabulary.bytes_of.items()}
-        self.met = Met(most)
-        self.met.make = lambda part: b"".join(map(by_text.__getitem__, part.split(",")))
+def decoded(raw: bytes) -> str:
+    """The text of the bytes of all tokens in a row: read as UTF-8, with U+FFFD for what is none."""
+    return raw.decode("utf-8", "replace")
 
-    def decode_parts(self, parts: list[str]) -> str:
-        """Parts of ids in decimal, joined by commas."""
-        return b"".join(map(self.met.__getitem__, parts)).decode("utf-8", "replace")
 
-    def decode(self, ids: list[int]) -> str:
-        return self.decode_parts([*map(str, ids)])
+def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
+    return decoded(b"".join([vocabulary.bytes_of[i] for i in ids]))
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -515,22 +514,21 @@ def encoded(docs: DataFrame, tokenizer: str, words: int = WORDS, with_ids: bool
     def run(batches):
         def fresh():
             vocabulary = Vocabulary(held.value)
-            return Encoder(vocabulary, Lexicon(mapped_file(path))), Decoder(vocabulary)
+            return Encoder(vocabulary, Lexicon(mapped_file(path)))
 
-        encoder, decoder = per_worker(path, fresh)
+        encoder = per_worker(path, fresh)
         for batch in small_batches(batches, 4 << 20):
             with no_cycles():
-                parts = encoder.batch(batch.column(1).to_pylist())
-            joined = [",".join(x) for x in parts]
+                found = [joined(pieces) for pieces in encoder.batch(batch.column(1).to_pylist())]
             columns = [
                 batch.column(0),
-                pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined], pa.string()),
-                pa.array([hashlib.sha256(decoder.decode_parts(x).encode("utf-8", "surrogatepass")).hexdigest() for x in parts], pa.string()),
+                pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in found], pa.int64()),
+                pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in found], pa.string()),
+                pa.array([hashlib.sha256(decoded(raw).encode("utf-8", "surrogatepass")).hexdigest() for _, raw in found], pa.string()),
             ]
             names = [f.split()[0] for f in RESULT.split(", ")]
             if with_ids:
-                columns.append(pa.array([[int(i) for i in x.split(",")] if x else [] for x in joined], pa.list_(pa.int32())))
+                columns.append(pa.array([[int(i) for i in ids.split(",")] if ids else [] for ids, _ in found], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

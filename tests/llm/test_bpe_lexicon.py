@@ -14,7 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 SPEC = open(PATH, encoding="utf-8").read()
 LIBRARY = Tokenizer.from_str(SPEC)
 VOCABULARY = B.Vocabulary(SPEC)
-PLAIN, DECODER = B.Encoder(VOCABULARY, None), B.Decoder(VOCABULARY)
+PLAIN = B.Encoder(VOCABULARY, None)
 
 
 @settings(max_examples=400, deadline=None)
@@ -22,13 +22,13 @@ PLAIN, DECODER = B.Encoder(VOCABULARY, None), B.Decoder(VOCABULARY)
 def test_ids_and_texts_are_the_librarys(text):
     expected = LIBRARY.encode(text, add_special_tokens=False).ids
     assert PLAIN.encode(text) == expected
-    assert DECODER.decode(expected) == LIBRARY.decode(expected, skip_special_tokens=False)
+    assert B.decode(VOCABULARY, expected) == LIBRARY.decode(expected, skip_special_tokens=False)
 
 
 def test_long_words_and_lone_bytes():
     for text in ("ab" * 3000 + "aaaaa" * 200, "the" * 100, "é" * 500, " " * 300 + "x"):
         assert PLAIN.encode(text) == LIBRARY.encode(text).ids
-    assert DECODER.decode([255, 100]) == LIBRARY.decode([255, 100], skip_special_tokens=False)
+    assert B.decode(VOCABULARY, [255, 100]) == LIBRARY.decode([255, 100], skip_special_tokens=False)
 
 
 @settings(max_examples=100, deadline=None)
@@ -84,7 +84,7 @@ def test_encoding_after_in_batches_and_the_lexicon_path(tmp_path):
     (tmp_path / "l").write_bytes(B.compile_lexicon([(w, VOCABULARY.merge(w)) for w in found]))
     encoder = B.Encoder(VOCABULARY, B.Lexicon(mapped_file(str(tmp_path / "l"))), most=300)
     for at in range(0, 60, 20):
-        got = [[int(i) for part in parts for i in part.split(",")] for parts in encoder.batch(texts[at : at + 20])]
+        got = [[int(i) for ids, _ in parts for i in ids.split(",")] for parts in encoder.batch(texts[at : at + 20])]
         assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
     assert encoder.from_lexicon > 100 and encoder.merged > 20
 
@@ -109,5 +109,5 @@ def test_frequent_words_are_the_most_frequent(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=40) | st.lists(st.sampled_from([*"ab'tsr  ,.\n\t\x1c\x85\xa001é中😀", "<|endoftext|>", "'re", "  ", " word", " Wörd,", " end."]), max_size=30).map("".join), max_size=8))
 def test_a_batch_is_as_each_text(texts):
-    got = [[int(i) for part in parts for i in part.split(",")] for parts in B.Encoder(VOCABULARY, None, most=12).batch(texts)]
+    got = [[int(i) for ids, _ in parts for i in ids.split(",")] for parts in B.Encoder(VOCABULARY, None, most=12).batch(texts)]
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
