@@ -96,15 +96,14 @@ class GramCounter:
     """Counts keys in a table of fixed size; those whose slot is taken by another are gathered beside it."""
 
     def __init__(self, bits: int = 22, most_beside: int = 1 << 20):
-        self.slots, self.counts = Slots(bits), np.zeros(1 << bits, np.int32)
+        self.slots, self.counts = Slots(bits), np.zeros(1 << bits, np.int64)
         self.beside: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting, self.most = 0, most_beside
 
     def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Counts; gives (keys, counts) to be summed elsewhere when too many are beside the table."""
         slot, hit = self.slots.find(keys)
-        # A task's texts have fewer than 2 ** 31 bytes of one kind.
-        np.add(self.counts, np.bincount(slot[hit], minlength=len(self.counts)), out=self.counts, casting="unsafe")
+        self.counts += np.bincount(slot[hit], minlength=len(self.counts))
         new, n = np.unique(keys[~hit], return_counts=True)
         slot, _ = self.slots.find(new)
         own = self.slots.keys[slot] == np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,7 +111,7 @@ class GramCounter:
         first[np.unique(slot, return_index=True)[1]] = True
         own &= first
         self.slots.keys[slot[own]] = new[own]
-        self.counts[slot[own]] += n[own].astype(np.int32)
+        self.counts[slot[own]] += n[own]
         self.beside.append((new[~own], n[~own]))
         self.waiting += int((~own).sum())
         if self.waiting <= self.most:
@@ -131,7 +130,7 @@ class GramCounter:
     def rest(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.counts)
         keys, counts = self.merged() if self.beside else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return np.concatenate((self.slots.keys[at], keys)), np.concatenate((self.counts[at].astype(np.int64), counts))
+        return np.concatenate((self.slots.keys[at], keys)), np.concatenate((self.counts[at], counts))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -149,7 +148,9 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 class Tree:
     """The weighted tree, fixed: for each depth d the sorted contexts of d bytes and their first nodes; of each node the nodes
-    after a zero and a one, the probability of a one, the weight of this own estimate, and what stands for contexts not kept.
+    after a zero and a one, the probabilities of a zero and of a one, the same that stand for contexts not kept, and the weight of its own.
+
+    Both probabilities are held, as the lesser of the two is lost in the rounding of the greater.
     """
 
     PARTS = ("contexts", "roots", "child", "probs")
@@ -184,9 +185,9 @@ class Tree:
                 inside, has = np.zeros(len(pe)), np.zeros(len(pe), bool)
                 inside[parent], has[parent] = inner[1], True
                 log_w = np.where(has, np.logaddexp(pe, inside) - math.log(2), pe)
-                own, rest = np.where(has, np.exp(pe - math.log(2) - log_w), 1.0), (n1 + 0.5) / (n0 + n1 + 1)
+                own, rest0, rest1 = np.where(has, np.exp(pe - math.log(2) - log_w), 1.0), n0, n1
             elif below is None or not len(below[0]):
-                log_w, own, rest = pe, np.ones(len(pe)), np.full(len(pe), 0.5)
+                log_w, own, rest0, rest1 = pe, np.ones(len(pe)), np.zeros(len(pe)), np.zeros(len(pe))
             else:
                 # A node's parent has the last byte of its context dropped and the same decision.
                 lower, low0, low1, low_w = below
@@ -198,9 +199,9 @@ class Tree:
                 has = np.bincount(parent, minlength=len(pe)) > 0
                 log_w = np.where(has, np.logaddexp(pe, inside) - math.log(2), pe)
                 own = np.where(has, np.exp(pe - math.log(2) - log_w), 1.0)
-                rest = np.where(some, (r1 + 0.5) / (r0 + r1 + 1), (n1 + 0.5) / (n0 + n1 + 1))
+                rest0, rest1 = np.where(some, r0, n0), np.where(some, r1, n1)
             below = (keys, n0, n1, log_w)
-            probs[d] = np.stack([(n1 + 0.5) / (n0 + n1 + 1), own, rest], axis=1).astype(np.float32)
+            probs[d] = np.stack([*((x + 0.5) / (a + b + 1) for a, b in ((n0, n1), (rest0, rest1)) for x in (a, b)), own], axis=1).astype(np.float32)
             root = np.flatnonzero((keys & np.uint64(255)) == 1)
             contexts[d], roots[d] = keys[root] >> np.uint64(8), root.astype(np.int32)
             child[d] = np.full((len(keys), 2), -1, np.int32)
@@ -223,10 +224,10 @@ class Tree:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's byte after its context; quickest on sorted grams."""
-        return log10_of(grams, self.mixed(grams, self.depth))
+        return log10_of(self.mixed(grams, self.depth))
 
     def mixed(self, grams: np.ndarray, whole: int, deeper: np.ndarray | None = None) -> np.ndarray:
-        """(grams, 8): the probability of a one at each decision on the way to a gram's byte, mixed over the contexts of this part, NaN where it
+        """(grams, 8): the probability of each decision on the way to a gram's byte, mixed over the contexts of this part, NaN where it
         has none. The grams have whole context bytes. deeper: the same of the part below."""
         byte = (grams & np.uint64(255)).astype(np.int64)
         rows, nodes = [], []
@@ -247,23 +248,20 @@ class Tree:
                 r, node = rows[d], nodes[d]
                 if not len(r):
                     continue
-                one, own, rest = self.probs[d + self.top][node].T
-                p[r] = own * one + (1 - own) * np.where(inside[r], p[r], rest)
+                held, taken = self.probs[d + self.top][node], bit[r]
+                own = held[:, 4]
+                p[r] = own * np.where(taken, held[:, 1], held[:, 0]) + (1 - own) * np.where(inside[r], p[r], np.where(taken, held[:, 3], held[:, 2]))
                 inside[r] = True
-                after = self.child[d + self.top][node, bit[r]]
+                after = self.child[d + self.top][node, taken]
                 alive = after >= 0
                 rows[d], nodes[d] = r[alive], after[alive]
             out[:, k] = p
         return out
 
 
-def log10_of(grams: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each gram's byte, from those of a one at its decisions; one half where no context is known."""
-    total = np.zeros(len(grams))
-    for k in range(8):
-        p = np.where(np.isnan(mixed[:, k]), np.float32(0.5), mixed[:, k])
-        total += np.log(np.where(grams >> np.uint64(7 - k) & np.uint64(1) == 1, p, 1 - p).astype(np.float64))
-    return total / LN10
+def log10_of(mixed: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's byte, from those of its decisions; one half where no context is known."""
+    return np.log10(np.where(np.isnan(mixed), 0.5, mixed.astype(np.float64))).sum(axis=1)
 
 
 def shard_of(grams: np.ndarray, depth: int, shards: int) -> np.ndarray:
@@ -462,7 +460,7 @@ def trained(counts: DataFrame, depth: int, folder: str) -> None:
                 logs = [np.zeros(0)]
                 for i in range(0, len(keys), 100_000):
                     some, deeper = keys[i : i + 100_000], mixed[i : i + 100_000]
-                    logs.append(log10_of(some, tree.mixed(some, depth, deeper) if tree else deeper))
+                    logs.append(log10_of(tree.mixed(some, depth, deeper) if tree else deeper))
                 write_arrays(f"{folder}/{shard}.logs", [keys, np.concatenate(logs).astype(np.float32)])
                 yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["n"])
 

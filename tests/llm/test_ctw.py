@@ -171,3 +171,18 @@ def test_every_counted_context_is_in_the_model(spark, most_pairs):
         got = C.scores(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, most_pairs=most_pairs).collect()
         for r in got:
             assert abs(r["score"] - tree.log10(C.gram_keys([joined[r["doc_id"]]], depth)).sum()) < 1e-2, r
+
+
+@pytest.mark.parametrize("depth", [0, 2])
+def test_huge_counts_leave_every_byte_a_probability(depth):
+    # One byte seen four thousand million times after one context: the others are rare, and not impossible.
+    gram = lambda context, byte: np.uint64((context & ((1 << 8 * depth) - 1)) << 8 | byte)
+    keys, counts = np.array(sorted([gram(0x6161, 97), gram(0x6162, 98)]), np.uint64), None
+    keys = np.unique(keys)
+    counts = np.where(keys == gram(0x6161, 97), 4_000_000_000, 7)
+    tree = C.Tree.built(depth, [C.shorter(keys, counts, depth, d) for d in range(depth + 1)])
+    for context in (0x6161, 0x6162, 0x7A7A):
+        logs = tree.log10(np.array([gram(context, b) for b in range(256)], np.uint64))
+        assert np.isfinite(logs).all() and abs((10**logs).sum() - 1) < 1e-5
+    rare = tree.log10(np.array([gram(0x6161, 200)], np.uint64))[0]
+    assert -40 < rare < -8
