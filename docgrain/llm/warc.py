@@ -59,8 +59,11 @@ def accepts(f: Filter, row: dict) -> bool:
     return value <= f.value
 
 
-def skip(file, n: int, plain: bool) -> None:
+def skip(file, n: int, plain: bool, size: int | None = None) -> None:
+    """Step over n bytes; size is that of a plain file, beyond whose end nothing can be stepped over."""
     if plain:
+        if size is not None and file.tell() + n > size:
+            raise ValueError("the archive ends inside a record")
         file.seek(n, io.SEEK_CUR)
         return
     while n:
@@ -76,11 +79,16 @@ def exactly(file, n: int) -> bytes:
     return data
 
 
-def headers(file) -> dict[str, str]:
-    """Header fields up to the empty line, names in lower case; continued lines are joined."""
+def headers(file, most: int | None = None) -> tuple[dict[str, str], int]:
+    """Header fields up to the empty line or most bytes, and the bytes taken; names in lower case, continued lines joined."""
     out: dict[str, str] = {}
-    name = None
-    while (line := file.readline().rstrip(b"\r\n")) != b"":
+    name, taken = None, 0
+    while most is None or taken < most:
+        raw = file.readline(-1 if most is None else most - taken)
+        taken += len(raw)
+        line = raw.rstrip(b"\r\n")
+        if not line:
+            break
         text = line.decode("utf-8", "replace")
         if text[0] in " \t" and name:
             out[name] += " " + text.strip()
@@ -88,12 +96,20 @@ def headers(file) -> dict[str, str]:
         name, _, value = text.partition(":")
         name = name.strip().lower()
         out[name] = value.strip()
-    return out
+    return out, taken
 
 
 def records(file, plain: bool, filters: tuple = (), payload: bool = True) -> Iterator[dict]:
-    """Records of one archive whose headers pass the filters. Payloads of others, or all without payload, are stepped over."""
-    at = 0
+    """Records of one archive whose headers pass the filters. Payloads of others, or all without payload, are stepped over.
+
+    The payload of an HTTP response is what follows its status line and fields, inside the record; of all other records it is the whole
+    block, so that of a request has its first line.
+    """
+    at, size = 0, None
+    if plain:
+        at = file.tell()
+        size = file.seek(0, io.SEEK_END)
+        file.seek(at)
     while True:
         at = file.tell()
         line = file.readline()
@@ -104,26 +120,27 @@ def records(file, plain: bool, filters: tuple = (), payload: bool = True) -> Ite
             return
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no record begins at byte {at}: {line[:40]!r}")
-        found = headers(file)
+        found, _ = headers(file)
         if not found.get("content-length", "").isdigit():
             raise ValueError(f"the record at byte {at} has no length")
-        length = int(found["content-length"])
-        row = {c: found.get(h) for c, h in HEADER_OF.items()} | {"content_length": length, "offset": at}
+        left = int(found["content-length"])
+        row = {c: found.get(h) for c, h in HEADER_OF.items()} | {"content_length": left, "offset": at}
         if not all(accepts(f, row) for f in filters):
-            skip(file, length, plain)
+            skip(file, left, plain, size)
             continue
-        row["http_length"], body = None, length
+        row["http_length"], first = None, b""
         if (row["content_type"] or "").replace(" ", "").startswith("application/http"):
-            begin = file.tell()
-            if file.readline().startswith(b"HTTP/"):
-                sent = headers(file).get("content-length", "")
-                row["http_length"] = int(sent) if sent.isdigit() else None
-            body = length - (file.tell() - begin)
+            first = file.readline(left) if left else b""
+            left -= len(first)
+            if first.startswith(b"HTTP/"):
+                sent, taken = headers(file, left)
+                first, left = b"", left - taken
+                row["http_length"] = int(sent["content-length"]) if sent.get("content-length", "").isdigit() else None
         if payload:
-            row["payload"] = exactly(file, body)
+            row["payload"] = first + exactly(file, left)
         else:
             row["payload"] = None
-            skip(file, body, plain)
+            skip(file, left, plain, size)
         yield row
 
 

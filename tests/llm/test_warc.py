@@ -63,3 +63,34 @@ def test_foreign_archives_plain_and_gzip():
         list(W.records(io.BytesIO(data[:-20]), True))
     with pytest.raises(ValueError):
         list(W.records(io.BytesIO(b"GARBAGE\r\n" + data), True))
+
+
+def test_http_heads_stay_inside_their_records():
+    kind = "Content-Type: application/http;msgtype={}\r\n".format
+    data = (
+        record("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", kind("request"))
+        + record("response", b"", kind("response"))
+        + record("response", b"HTTP/1.1 200 OK", kind("response"))
+        + record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 0\r\n\r\n", kind("response"))
+        + record("response", b"no status line, no line end", kind("response"))
+        + record("response", b"HTTP/1.1 204\r\nX: y", kind("response"))
+        + record("resource", b"after")
+    )
+    want = [b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", b"", b"", b"", b"no status line, no line end", b"", b"after"]
+    for zipped in (False, True):
+        file = gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(data))) if zipped else io.BytesIO(data)
+        got = list(W.records(file, not zipped))
+        assert [r["payload"] for r in got] == want and [r["http_length"] for r in got] == [None, None, None, 0, None, None, None]
+        file.seek(0)
+        assert len(list(W.records(file, not zipped, payload=False))) == 7
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_cut_archives_raise_with_and_without_payloads(zipped):
+    data = record("resource", b"x" * 500) + record("resource", b"y" * 500)
+    for cut in (100, 700):
+        part = data[:cut]
+        for payload in (True, False):
+            file = gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(part))) if zipped else io.BytesIO(part)
+            with pytest.raises(ValueError):
+                list(W.records(file, not zipped, payload=payload))
