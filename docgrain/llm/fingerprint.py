@@ -17,12 +17,14 @@ A null or empty text has the zero vector. Texts are read whole. Ties, repeated r
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .common import quantile_bounds, ship, shuffle_width, small_batches
 
@@ -49,6 +51,34 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Bytes of text that are counted at a time, one word at least.
+BLOCK = 4 << 20
+WORD = re.compile(rb"[^\t-\r ]+")
+
+
+def blocks_of(text: bytes, most: int = BLOCK):
+    """A text in blocks that together have its runs of words, each once: whole lines, or parts of a longer line that share SHINGLE - 1 words."""
+    at = 0
+    while len(text) - at > most:
+        end = text.rfind(b"\n", at, at + most) + 1
+        if end:
+            yield text[at:end]
+            at = end
+            continue
+        stop = text.find(b"\n", at + most)
+        stop = len(text) if stop < 0 else stop
+        starts, words, before = deque(maxlen=SHINGLE - 1), 0, at
+        for word in WORD.finditer(text, at, stop):
+            if before - at > most and words >= SHINGLE:
+                yield text[at:before]
+                at, words = starts[0], SHINGLE - 1
+            starts.append(word.start())
+            words, before = words + 1, word.end()
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 class Hasher:
     """Fingerprints of many texts at once; holds the powers it has needed so far."""
 
@@ -68,21 +98,35 @@ class Hasher:
             for line in text.split(b"\n"):
                 if line := line.strip():
                     exact[i] += np.frombuffer(hashlib.blake2b(line, digest_size=8 * EXACT).digest(), "<u8")
+        # Counters add up, so long texts are counted in blocks: what a call holds does not grow with a text.
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for block in blocks_of(text):
+                held.append((i, block))
+                size += len(block)
+                if size > BLOCK:
+                    self.count(held, wide)
+                    held, size = [], 0
+        if held:
+            self.count(held, wide)
+        return exact, (wide + MODULUS // 2) % MODULUS - MODULUS // 2
+
+    def count(self, held: list[tuple[int, bytes]], wide: np.ndarray) -> None:
+        """Adds the runs of words of (row, bytes) to the rows' counters."""
+        texts, rows = [t for _, t in held], np.array([i for i, _ in held])
         raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        if not len(raw):
-            return exact, wide
         self.grow(len(raw) + 1)
         space = SPACE[raw]
         edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if not len(starts):
-            return exact, wide
+            return
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
         words = mix((sums[ends] - sums[starts]) * self.down[starts])
         lines = np.cumsum(raw == 10)[starts]  # a word holds no line end
         first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        doc = np.searchsorted(first, starts, side="right") - 1
+        doc = rows[np.searchsorted(first, starts, side="right") - 1]
         h = words.copy()
         m = len(words)
         whole = np.ones(m, bool)  # runs of SHINGLE words; a shorter line is one run
@@ -98,8 +142,7 @@ class Hasher:
         h, doc = mix(h[whole]), doc[whole]
         sign = 1 - 2 * ((h >> np.uint64(63)).astype(np.int64))
         slot = doc * WIDE + (h & np.uint64(WIDE - 1)).astype(np.int64)
-        wide += np.bincount(slot, weights=sign, minlength=n * WIDE).astype(np.int64).reshape(n, WIDE)
-        return exact, (wide + MODULUS // 2) % MODULUS - MODULUS // 2
+        wide += np.bincount(slot, weights=sign, minlength=wide.size).astype(np.int64).reshape(wide.shape)
 
 
 def insert(a, b):
@@ -177,35 +220,80 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
+#: Rows of one doc_id, or of none, that are still one range.
+HOT_ROWS = 50_000
+
+
+class Ranges:
+    """Ranges of rows by (doc_id, a hash of the text for hot ids), from sorted bounds: null ids first, hot ids in parts by hash.
+
+    ids: bounds, each the least id of a range; hot: parts of each hot id, whose first part begins a range as well; nulls: parts of the null id.
+    heads, for each range that has rows: its number, least id and least hash there.
+    """
+
+    def __init__(self, ids: list[int], hot: dict[int, int], nulls: int):
+        # Hot ids have a bound for each part; the id after one opens a range too.
+        self.ids = np.array(sorted([x for x in {*ids, *(h + 1 for h in hot if h < 2**63 - 1)} if x not in hot] + [h for h, k in hot.items() for _ in range(k)]), np.int64)
+        self.hot_ids = np.array(sorted(hot), np.int64)
+        self.hot_parts = np.array([hot[int(x)] for x in self.hot_ids], np.int64)
+        self.nulls, self.heads = nulls, None
+
+    def place(self, ids: pa.Array, hashes: pa.Array) -> pa.StructArray:
+        """range, the hash (0 but for hot ids) and, for what opens a range, the range before it (the last for the first)."""
+        null = np.asarray(ids.is_null())
+        key = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        tie = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.searchsorted(self.hot_ids, key)
+        is_hot = ~null & (self.hot_ids[np.minimum(at, len(self.hot_ids) - 1)] == key) if len(self.hot_ids) else np.zeros(len(key), bool)
+        parts = np.where(null, max(1, self.nulls), np.where(is_hot, self.hot_parts[np.minimum(at, len(self.hot_parts) - 1)] if len(self.hot_parts) else 1, 1))
+        split = is_hot | null & (self.nulls > 1)
+        tie = np.where(split, tie >> np.uint64(1), np.uint64(0)).astype(np.int64)
+        part = (tie >> 31) * parts >> 32
+        low = np.searchsorted(self.ids, key, side="left")
+        high = np.searchsorted(self.ids, key, side="right")
+        number = np.where(null, part, self.nulls + np.where(is_hot, low + part + 1, high))
+        opens = pa.nulls(len(key), pa.int64())
+        if self.heads is not None:
+            numbers, head_null, head_id, head_tie = self.heads
+            number = np.searchsorted(numbers, number)
+            first = (head_null[number] == null) & (null | (head_id[number] == key)) & (head_tie[number] == tie)
+            opens = pa.array(np.where(number > 0, number - 1, len(numbers) - 1), pa.int64(), mask=~first)
+        return pa.StructArray.from_arrays([pa.array(number, pa.int64()), pa.array(tie), opens], names=["range", "tie", "opens"])
+
+
+def edited_fingerprints(docs: DataFrame, parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each text's fingerprint beside those of its edited text and of the next text by (doc_id, text); the last is followed by the first.
 
-    Rows are dealt once, by ranges of doc_id whose bounds (parts - 1 longs) are known before. The first row of each range
-    also goes to the end of the range before it, so that every row meets the one after it without another pass. A null
-    doc_id comes first.
+    Rows are dealt once, by ranges of doc_id, as many as the input has splits or more, each to a task of its own. The first row of each
+    range also goes to the end of the range before it, so that every row meets the one after it without another pass. A null
+    doc_id comes first. An id of more than hot_rows rows and of more than a range's share (the null id too) is cut into ranges by a hash of
+    the text, and its rows follow each other by that hash; so no range grows with an id, but for rows that repeat both id and text.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rough = np.array(quantile_bounds(docs, "doc_id", parts or shuffle_width(spark)), np.int64)
-
-    def range_by(cuts: np.ndarray):
-        @pandas_udf("long")
-        def range_of(ids):
-            return ids.map(lambda x: 0 if x is None or x != x else int(np.searchsorted(cuts, int(x), side="right"))).astype("int64")
-
-        return range_of(F.col("doc_id").cast("string"))
-
-    # The least doc_id of each range that has rows opens it: parts longs at most.
-    heads = docs.select("doc_id").groupBy(range_by(rough).alias("range")).agg(F.min("doc_id").alias("low"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("n")).collect()
-    lows = sorted(x["low"] for x in heads if x["low"] is not None)
-    nulls, bounds = any(x["known"] < x["n"] for x in heads), lows[1:]
-    last = len(bounds)
-    own = docs.withColumn("range", range_by(np.array(bounds, np.int64)))
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(lows[0]) if lows else F.lit(False)
-    opens = F.when(first, F.lit(last)).when(F.col("doc_id").isin(bounds) if bounds else F.lit(False), F.col("range") - 1)
-    own = own.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("guest")), F.struct(opens.alias("r"), F.lit(1).alias("guest"))), lambda x: x["r"].isNotNull())).alias("to"))
-    dealt = own.select("doc_id", "text", F.col("to.r").alias("range"), F.col("to.guest").alias("guest")).repartition(last + 1, "range").sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    parts = parts or max(shuffle_width(spark), docs.rdd.getNumPartitions())
+    total = docs.count()
+    share = max(1, -(-total // parts))
+    often = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(hot_rows, share)).collect()  # parts rows at most
+    some_null = docs.where("doc_id is null").limit(1).count()
+    pieces = {x["doc_id"]: -(-x["n"] // share) for x in often}
+    ranges = Ranges(quantile_bounds(docs, "doc_id", parts), {k: n for k, n in pieces.items() if k is not None}, pieces.get(None, some_null))
+
+    def placed(held):
+        @arrow_udf("struct<range: bigint, tie: bigint, opens: bigint>")
+        def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+            return held.value.place(ids, hashes)
+
+        return docs.withColumn("to", place("doc_id", F.xxhash64("text")))
+
+    # The least key of each range that has rows opens it.
+    heads = placed(spark.sparkContext.broadcast(ranges)).groupBy("to.range").agg(F.min(F.struct("doc_id", "to.tie")).alias("head")).select("range", "head.*").orderBy("range").collect()
+    ranges.heads = (np.array([x["range"] for x in heads], np.int64), np.array([x["doc_id"] is None for x in heads], bool), np.array([x["doc_id"] or 0 for x in heads], np.int64), np.array([x["tie"] for x in heads], np.int64))
+    own = placed(spark.sparkContext.broadcast(ranges))
+    both = F.filter(F.array(F.struct(F.col("to.range").alias("r"), F.lit(0).alias("guest")), F.struct(F.col("to.opens").alias("r"), F.lit(1).alias("guest"))), lambda x: x["r"].isNotNull())
+    own = own.select("doc_id", "text", F.col("to.tie").alias("tie"), F.explode(both).alias("at")).select("doc_id", "text", "tie", F.col("at.r").cast("int").alias("range"), F.col("at.guest").alias("guest"))
+    dealt = own.repartitionById(max(1, len(heads)), "range").sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", "text", "range", "guest")
 
     def run(batches):
         hasher, held, done = Hasher(), None, set()

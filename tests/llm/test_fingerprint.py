@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -86,3 +87,32 @@ def test_empty_one_row_and_large_ids(spark, no_docs):
     got = P.edited_fingerprints(many, 6).collect()
     assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(brute([(r["doc_id"], r["text"]) for r in many.collect()]))
     assert len(edge_texts()) == 13
+
+
+def test_long_texts_in_blocks_are_as_whole(monkeypatch):
+    texts = [prose(1, 900), "one line " + " ".join(f"w{i}" for i in range(400)) + "\nshort\n\n" + "x" * 700 + " y", "a" * 500, " " * 300 + "z", "a b " * 200]
+    raw = [t.encode() for t in texts]
+    whole = P.Hasher()(raw)
+    for most in (40, 64, 200):
+        monkeypatch.setattr(P, "BLOCK", most)
+        monkeypatch.setattr(P.blocks_of, "__defaults__", (most,))
+        got = P.Hasher()(raw)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+
+
+def test_hot_and_null_ids_are_split_and_keep_all_rows(spark):
+    rows = [(None, prose(i, 12)) for i in range(60)] + [(7, prose(100 + i, 12)) for i in range(50)] + [(i, prose(200 + i, 12)) for i in range(8, 30)] + [(-3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = P.edited_fingerprints(df, 8, hot_rows=10).collect()
+    edits = Counter(r["edited_sha256"] for r in got)
+    assert len(got) == len(rows) and sorted(str(r["doc_id"]) for r in got) == sorted(str(k) for k, _ in rows)
+    # Cold ids follow each other as ever; the rows of a hot id are each followed by another of it, but for one.
+    by_id = {k: [t or "" for i, t in rows if i == k] for k, _ in rows}
+    order = [None, -3, 7, *range(8, 30)]
+    for k, after in zip(order, [*order[1:], None]):
+        own = [r for r in got if r["doc_id"] == k]
+        inside = {hashlib.sha256(P.edited(a, b).encode()).hexdigest() for a in by_id[k] for b in by_id[k]}
+        across = {hashlib.sha256(P.edited(a, b).encode()).hexdigest() for a in by_id[k] for b in by_id[after]}
+        assert all(r["edited_sha256"] in inside | across for r in own)
+        assert sum(r["edited_sha256"] not in inside for r in own) <= 1
+    assert sum(edits.values()) == len(rows)
