@@ -13,9 +13,13 @@ within the radius, and goes on with these; and of the links of a half only those
 so that a cluster of k near copies makes k - 1 links there. A half that more than BLOCK fingerprints share is cut into
 blocks, and every two blocks are compared in a task of their own.
 
-The filter `first_of_classes` does not use fingerprints: it links texts whose sets of five-word shingles have a Jaccard likeness of 0.8
-at least, all of them. Two such sets share one of the first fifth of their hashes in any common order (common ones last, else ascending), so these are dealt, and the
-sets of those that meet are read from the shared folder and compared whole; links that join nothing new are not handed on.
+The filter `first_of_classes` links texts whose sets of five-word shingles have a Jaccard likeness of 0.8 at least. Such sets differ
+in 15 % of their fingerprints' bits, so its fingerprints are wider, and cut into as many segments as it takes for a pair of likeness
+0.8 to have one with at most one differing bit in RECALL of all cases (more for likelier pairs); segments get longer with the number of texts, so that
+chance meetings stay few. What meets by a variant of a segment is verified: by 128 bits of the fingerprints, which pass all such pairs but
+one in ten thousand, and then by the whole sets, read from the shared folder. `exact` finds all links without fingerprints: two such sets
+share one of the first fifth of their hashes in any common order (common ones last, else ascending), so these are dealt. Links that join nothing
+new are not handed on.
 
 Null and empty texts have the fingerprint zero, which links like any other. A null id is the least id only if all ids of a
 component are null. Repeated rows come back each, and the filter keeps one. Other columns are kept whatever their names.
@@ -23,6 +27,7 @@ component are null. Repeated rows come back each, and the filter keeps one. Othe
 
 from __future__ import annotations
 
+import math
 import os
 
 import numpy as np
@@ -39,9 +44,11 @@ BITS, SEED = 64, 42
 SEGMENTS, RADIUS = ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 4
 #: Of the filter: hundredths of Jaccard likeness from which texts are near duplicates.
 SIMILAR = 80
+#: How many in one of the pairs of that likeness meet, and the most differing ones of 128 bits of such a pair.
+RECALL, CHECKED_BITS = 0.99, 40
 BLOCK, SMALL = 250_000, 32
 #: Keys of dropped rows that are sent to every task, at most; more are joined.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 1_000_000
 
 
 def remixed(h: np.ndarray) -> np.ndarray:
@@ -51,42 +58,67 @@ def remixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str, shingle: int = 4, words_out: int = 1) -> tuple[int, ...]:
-    """Of one text, as unsigned 64-bit numbers."""
+def bits_over_half(h: np.ndarray, words_out: int, counts: np.ndarray) -> None:
+    """Adds to counts (words_out, 64) how many of these hashes have each bit; words after the first take remixed hashes."""
+    for k in range(words_out):
+        counts[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        h = remixed(h)
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """Of one text, as an unsigned 64-bit number."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: lower-cases A-Z only, splits at 9-13 and 32
     if not words:
-        return (0,) * words_out
+        return 0
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     ends = ends[min(shingle, len(words)) - 1 :]
     hash_of = xxhash.xxh64_intdigest
-    counts, block = np.zeros((words_out, BITS), np.int64), 1 << 16
+    counts, block = np.zeros((1, BITS), np.int64), 1 << 16
     for at in range(0, n, block):  # bounds the memory a long text takes
         stop = min(n, at + block)
-        h = np.array([hash_of(line[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at:stop].tolist())], np.uint64)
-        for k in range(words_out):
-            counts[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            h = remixed(h)
-    return tuple(int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts)
+        bits_over_half(np.array([hash_of(line[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at:stop].tolist())], np.uint64), 1, counts)
+    return int.from_bytes(np.packbits(2 * counts[0] > n).tobytes(), "big")
+
+
+def wide_fingerprint(hashes: np.ndarray, words_out: int) -> np.ndarray:
+    """Of a set of hashes, as words_out unsigned 64-bit numbers."""
+    counts = np.zeros((words_out, BITS), np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits_over_half(hashes[at : at + (1 << 16)], words_out, counts)
+    return np.packbits(2 * counts > len(hashes), axis=1).view(">u8").astype(np.uint64).reshape(words_out)
 
 
-def with_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 4, text: str = "text", words_out: int = 1) -> DataFrame:
-    """The carried columns, dg_fp and, of 128 bits, dg_fp1: the fingerprint as signed longs; no shuffle."""
+def with_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 4, text: str = "text") -> DataFrame:
+    """The carried columns and dg_fp: the fingerprint as a signed long; no shuffle."""
     ship(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("dg_text"), *[F.col(f"`{c}`") for c in carry])
-    names = ["dg_fp", "dg_fp1"][:words_out]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), *(f"{x} long" for x in names)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), "dg_fp long"])
 
     def run(batches):
         for batch in small_batches(batches, 2 << 20):
-            fp = np.array([fingerprint(t, shingle, words_out) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words_out))], names=[*carry, *names])
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp)], names=[*carry, "dg_fp"])
 
     return own.mapInArrow(run, schema)
 
 
+def planned(n: int, least: int = SIMILAR, recall: float = RECALL) -> tuple[tuple[tuple[int, int, int], ...], int]:
+    """Segments for n texts, and the words of the fingerprints that they cut.
+
+    A bit of two sets differs with the probability of their angle. A segment is three bits longer than n needs to tell texts apart, so
+    that a text meets a few by chance, whatever n.
+    """
+    alike_ = least / 100
+    differs = math.acos(2 * alike_ / (1 + alike_)) / math.pi
+    m = min(32, max(20, math.ceil(math.log2(max(2, n))) + 3))
+    meets = (1 - differs) ** m + m * differs * (1 - differs) ** (m - 1)
+    count, each = math.ceil(math.log(1 - recall) / math.log(1 - meets)), BITS // m
+    return tuple((i // each, i % each * m, m) for i in range(count)), max(2, -(-count // each))
+
+
 def halves(segments) -> list[tuple[int, int, int, int, int]]:
     """(word, lowest bit, bits, the other half's lowest bit, its bits) of both halves of all segments."""
     out = []
@@ -97,22 +129,19 @@ def halves(segments) -> list[tuple[int, int, int, int, int]]:
 
 
 def half_keys(segments) -> Column:
-    """Array of the halves' values of dg_fp and dg_fp1, each with the half's number above it."""
-    keys = []
-    for i, (word, low, n, _, _) in enumerate(halves(segments)):
-        value = F.shiftrightunsigned(("dg_fp", "dg_fp1")[word], low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-        keys.append(value + F.lit(i << 16))
-    return F.array(*keys)
+    """Array of the halves' values of dg_w, each with the half's number above it, and the values of the other halves."""
+    cut = lambda word, low, n: F.shiftrightunsigned(F.get("dg_w", F.lit(word)), low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    return F.array(*[F.struct((cut(word, low, n) + F.lit(i << 16)).alias("half"), cut(word, other, m).alias("other")) for i, (word, low, n, other, m) in enumerate(halves(segments))])
 
 
-def variants(half: np.ndarray, fp: np.ndarray, segments) -> tuple[np.ndarray, np.ndarray]:
-    """For rows with the number of the half that they are dealt by: (row, variant) of all one-bit deletions of the other half."""
+def variants(half: np.ndarray, other: np.ndarray, segments) -> tuple[np.ndarray, np.ndarray]:
+    """For rows with the number of the half that they are dealt by, and the other half: (row, variant) of all one-bit deletions of the latter."""
     rows, keys = [], []
-    for i, (word, _, _, low, n) in enumerate(halves(segments)):
+    for i, (_, _, _, _, n) in enumerate(halves(segments)):
         at = np.flatnonzero(half == i)
         if not len(at):
             continue
-        value = (fp[at, word] >> np.uint64(low)) & np.uint64((1 << n) - 1)
+        value = other[at].astype(np.uint64)
         for b in range(n):
             rows.append(at)
             keys.append((value & ~np.uint64(1 << b)) | np.uint64(b << 16))
@@ -138,10 +167,11 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def walk(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def walk(fp: np.ndarray, radius: int, side: np.ndarray | None = None, verify=None) -> tuple[np.ndarray, np.ndarray]:
     """Links (from, to), as places, that join the same components as all pairs within the radius do. fp: (members, words).
 
-    With side, only pairs of different sides count; those of one side are found elsewhere.
+    With side, only pairs of different sides count; those of one side are found elsewhere. With verify, of pairs within the radius those count
+    that it takes, given a place and an array of places.
     """
     unmet, found_a, found_b = np.arange(len(fp)), [], []
     queue: list[int] = []
@@ -153,6 +183,8 @@ def walk(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[n
         near = np.bitwise_count(fp[unmet] ^ fp[at]).sum(axis=1) <= radius
         if side is not None:
             near &= side[unmet] != side[at]
+        if verify is not None and near.any():
+            near[near] = verify(at, unmet[near])
         if near.any():
             to = unmet[near]
             found_a.append(np.full(len(to), at))
@@ -163,7 +195,7 @@ def walk(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[n
     return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
 
 
-def group_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def group_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, verify=None) -> tuple[np.ndarray, np.ndarray]:
     """Links inside runs of equal keys. side: 0 of an undivided half or a block of its own, 1 and 2 of two blocks that are compared; ascending in a run."""
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
@@ -172,29 +204,36 @@ def group_links(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int)
     out_a, out_b = [], []
     at, step = np.flatnonzero(small & (left > 1)), 1
     while len(at):
-        near = np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1) <= radius
-        out_a.append(at[near])
-        out_b.append(at[near] + step)
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1) <= radius]
+        if verify is not None and len(near):
+            near = near[np.concatenate([verify(x, np.array([x + step])) for x in near.tolist()])]
+        out_a.append(near)
+        out_b.append(near + step)
         step += 1
         at = at[left[at] > step]
     for i in np.flatnonzero((size > SMALL) & (side[first] == 0) | (side[first] != side[first + size - 1])):
         a, b = first[i], first[i] + size[i]
-        found = walk(fp[a:b], radius, side[a:b] if side[a] else None)
+        inside = None if verify is None else lambda i, others, a=a: verify(i + a, others + a)
+        found = walk(fp[a:b], radius, side[a:b] if side[a] else None, inside)
         out_a.append(found[0] + a)
         out_b.append(found[1] + a)
     none = np.zeros(0, np.int64)
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
-def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int = BLOCK, folder: str | None = None, least: int = SIMILAR) -> DataFrame:
     """(a, b) of names, a < b: links that join the same components as all pairs that share a variant and are within the radius.
 
-    points: (name, dg_fp[, dg_fp1]), the names distinct.
+    points: (name, dg_w), the names distinct, dg_w the words of the fingerprint; the radius is of the first two. With a folder, names are
+    places of sets there, dg_n the sizes, and such pairs count that have a Jaccard likeness of least hundredths.
     """
     spark = points.sparkSession
     ship(spark)
-    columns = ["dg_fp", "dg_fp1"][: 1 + max(w for w, _, _ in segments)]
-    index = points.select("name", *columns, F.explode(half_keys(segments)).alias("half"))
+    words = 1 + max(w for w, _, _ in segments)
+    columns = [f"dg_w{i}" for i in range(min(2, words))] + ["dg_n"] * (folder is not None)
+    index = points.select("name", *[F.get("dg_w", F.lit(i)).alias(f"dg_w{i}") for i in range(min(2, words))], *["dg_n"] * (folder is not None), F.explode(half_keys(segments)).alias("at"))
+    index = index.select("name", *columns, "at.half", "at.other")
+    columns = [*columns, "other"]
     # Halves of more fingerprints than a block, counted with sums by task; mostly none.
     hot = saved(index.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("half", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-halves")
     whole = lambda df: df.select(F.col("half").cast("long").alias("task"), "half", F.lit(0).alias("side"), "name", *columns)
@@ -211,24 +250,51 @@ def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int
     dealt = rest.repartition("task").sortWithinPartitions("task")
 
     def run(batches):
-        held = None
+        held, sets = None, Sets(folder) if folder else None
+        parent: dict[int, int] = {}  # of what this task has joined
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
 
-        def out(task, half, side, name, fp):
-            row, key = variants(half >> 16, fp, segments)
+        def out(task, half, side, name, *rest):
+            *words, other = rest
+            sizes = words.pop() if folder else None
+            row, key = variants(half >> 16, other, segments)
             order = np.lexsort((side[row], key, task[row]))
             row, key = row[order], key[order]
             # Runs of equal (task, variant) are told by numbers of their own.
             new = np.concatenate(([False], (key[1:] != key[:-1]) | (task[row[1:]] != task[row[:-1]])))
-            a, b = group_links(np.cumsum(new), side[row], fp[row], radius)
+            verify = None
+            if folder:
+                own = np.stack((name, sizes), axis=1)[row]
+
+                def verify(i: int, others: np.ndarray) -> np.ndarray:
+                    a, n = own[i].tolist()
+                    took = np.zeros(len(others), bool)
+                    for k, (b, m) in enumerate(own[others].tolist()):
+                        p, q = root(a), root(b)
+                        if p != q and 100 * min(n, m) >= least * max(n, m):
+                            x, y = sets.read(a, n), sets.read(b, m)
+                            shared = n + m - len(np.union1d(x, y))
+                            if 100 * shared >= least * (n + m - shared):
+                                parent[max(p, q)] = min(p, q)
+                                p = q
+                        took[k] = p == q
+                    return took
+
+            fp = np.stack([w.view(np.uint64) for w in words], axis=1)
+            a, b = group_links(np.cumsum(new), side[row], fp[row], radius, verify)
             a, b = row[a], row[b]
             keep = spanning(a, b)
             a, b = name[a[keep]], name[b[keep]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            task, half, side, name, *fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            part = (task, half, side, name, np.stack([f.view(np.uint64) for f in fps], axis=1))
-            if not len(task):
+            part = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(part[0]):
                 continue
             held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
             if len(held[0]) < 1 << 15:
@@ -278,18 +344,16 @@ def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, s
     """
     carry = [id_column] if carry is None else carry
     columns = list(dict.fromkeys([id_column, *carry]))
-    n = 1 + max(w for w, _, _ in segments)
-    fps = ["dg_fp", "dg_fp1"][:n]
-    rows = saved(with_fingerprints(docs, columns, shingle, text, n), "fingerprints")
+    rows = saved(with_fingerprints(docs, columns, shingle, text), "fingerprints")
     # A class of equal fingerprints has a number as name, as ids may be null or repeat.
-    reps = rows.groupBy(*fps).agg(F.min(F.col(f"`{id_column}`")).alias("low"))
+    reps = rows.groupBy("dg_fp").agg(F.min(F.col(f"`{id_column}`")).alias("low"))
     reps = saved(reps.withColumn("name", F.monotonically_increasing_id()), "classes")
-    found = saved(components(links(reps.select("name", *fps), segments, radius, block)), "components")
+    found = saved(components(links(reps.select("name", F.array("dg_fp").alias("dg_w")), segments, radius, block)), "components")
     # The classes that have links, few of all, take the least id of their component.
     low = found.join(reps.select("name", "low"), "name")
     moved = low.join(low.groupBy("root").agg(F.min("low").alias("root_low")), "root").select("name", "root", "root_low")
-    of_fps = reps.join(moved, "name", "left").select(*fps, F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("root_low")).alias("component_id"))
-    return rows.join(of_fps, fps).select(*[F.col(f"`{c}`") for c in carry], *fps, "component_id")
+    of_fps = reps.join(moved, "name", "left").select("dg_fp", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("root_low")).alias("component_id"))
+    return rows.join(of_fps, "dg_fp").select(*[F.col(f"`{c}`") for c in carry], "dg_fp", "component_id")
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -329,12 +393,13 @@ def common_shingles(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
     return np.sort(counts.orderBy(F.desc("n"), "h").limit(200_000).toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def with_sets(docs: DataFrame, carry: list[str], shingle: int, text: str, folder: str) -> DataFrame:
-    """The carried columns, dg_a and dg_b (a 128-bit hash of the shingle set), dg_n (its size) and dg_place. The sets go to files, one of each task attempt."""
+def with_sets(docs: DataFrame, carry: list[str], shingle: int, text: str, folder: str, words_out: int, common: np.ndarray | None = None) -> DataFrame:
+    """The carried columns, dg_a and dg_b (a 128-bit hash of the shingle set), dg_n (its size), dg_place and, with words_out, the words dg_w of
+    its fingerprint. The sets go to files, one of each task attempt. common: hashes that come last in the sets' order."""
     ship(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("dg_text"), *[F.col(f"`{c}`") for c in carry])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), "dg_a long, dg_b long, dg_n long, dg_place long"])
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle, text))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]), "dg_a long, dg_b long, dg_n long, dg_place long, dg_w array<bigint>"])
+    last_ones = None if common is None else docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         number, at = TaskContext.get().taskAttemptId(), 0
@@ -342,16 +407,18 @@ def with_sets(docs: DataFrame, carry: list[str], shingle: int, text: str, folder
         system.create_dir(os.path.dirname(inside), recursive=True)
         with system.open_output_stream(inside) as f:
             for batch in small_batches(batches, 2 << 20):
-                rows = []
+                rows, wide = [], []
                 for t in batch.column(0).to_pylist():
                     held = shingle_set(t, shingle)
-                    last = np.isin(held, common.value)
-                    held = np.concatenate((held[~last], held[last]))
+                    wide.append(wide_fingerprint(held, words_out).view(np.int64) if words_out else np.zeros(0, np.int64))
+                    if last_ones is not None:
+                        last = np.isin(held, last_ones.value)
+                        held = np.concatenate((held[~last], held[last]))
                     f.write(held.tobytes())
                     h = xxhash.xxh3_128_digest(held.tobytes())
                     rows.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), len(held), number << 40 | at))
                     at += len(held)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(list(c), pa.int64()) for c in zip(*rows))], names=[*carry, "dg_a", "dg_b", "dg_n", "dg_place"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(list(c), pa.int64()) for c in zip(*rows)), pa.array(wide, pa.list_(pa.int64()))], names=[*carry, "dg_a", "dg_b", "dg_n", "dg_place", "dg_w"])
 
     return own.mapInArrow(run, schema)
 
@@ -439,34 +506,37 @@ def set_links(reps: DataFrame, folder: str, least: int = SIMILAR) -> DataFrame:
     return dealt.repartition("token").sortWithinPartitions("token", "name").mapInArrow(run, "a long, b long")
 
 
-def alike_classes(docs: DataFrame, carry: list[str], shingle: int, id_column: str, text: str) -> DataFrame:
+def alike_classes(docs: DataFrame, carry: list[str], shingle: int, id_column: str, text: str, exact: bool = False, block: int = BLOCK) -> DataFrame:
     """The carried columns and dg_class, a number for each component of texts whose shingle sets are alike."""
     folder = scratch(docs.sparkSession, "shingle-sets")
-    rows = saved(with_sets(docs, carry, shingle, text, folder), "shingled")
+    segments, words = planned(docs.count())
+    rows = saved(with_sets(docs, carry, shingle, text, folder, 0 if exact else words, common_shingles(docs, shingle, text) if exact else None), "shingled")
     # One of each set.
-    reps = saved(rows.groupBy("dg_a", "dg_b", "dg_n").agg(F.min("dg_place").alias("name")), "classes")
-    found = components(set_links(reps, folder)).select("name", "root")
+    reps = saved(rows.groupBy("dg_a", "dg_b", "dg_n").agg(F.min(F.struct("dg_place", "dg_w")).alias("s")).select("dg_a", "dg_b", "dg_n", F.col("s.dg_place").alias("name"), F.col("s.dg_w").alias("dg_w")), "classes")
+    linked = set_links(reps, folder) if exact else links(reps.where("dg_n > 0").select("name", "dg_w", "dg_n"), segments, CHECKED_BITS, block, folder)
+    found = components(linked).select("name", "root")
     # Few sets have links; a set without any is a class by itself.
     named = reps.join(found, "name", "left").select("dg_a", "dg_b", F.coalesce("root", F.when(F.col("dg_n") > 0, F.col("name")).otherwise(F.lit(-1))).alias("dg_class"))
     return rows.join(named, ["dg_a", "dg_b"]).select(*[F.col(f"`{c}`") for c in carry], "dg_class")
 
 
-def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_classes(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """One row of each class, all columns kept: that with the least id and, of repeated ids, the least hash of the text.
 
-    Which rows stay is decided on ids and hashes; the rows are then met by a 64-bit hash of id and text.
+    Which rows stay is decided on ids and hashes; the rows are then met by a 128-bit hash of id and text.
     """
     plain, names, back = shielded(docs)
     own, body = names[id_column], names[text]
-    keyed = plain.withColumn("dg_row", F.xxhash64(F.col(own), F.col(body)))
-    found = alike_classes(keyed, [own, "dg_row"], shingle, own, body)
+    key = ["dg_row", "dg_row2"]
+    keyed = plain.withColumn("dg_row", F.xxhash64(F.col(own), F.col(body))).withColumn("dg_row2", F.xxhash64(F.lit(1), F.col(body), F.col(own)))
+    found = alike_classes(keyed, [own, *key], shingle, own, body, exact)
     # By the class and not its least id, which other classes may have as well, or none. Null ids come last.
-    keep = found.groupBy("dg_class").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), F.col("dg_row"))).alias("s"))
-    keep = keep.select(F.col("s.dg_row").alias("dg_row")).distinct()
-    # The keys of rows that go, 8 bytes each, are the smaller set: sent to all tasks up to a bound, so that texts stay where they are.
-    drop = saved(found.select("dg_row").distinct().join(keep, "dg_row", "left_anti"), "dropped")
+    keep = found.groupBy("dg_class").agg(F.min(F.struct(F.col(own).isNull(), F.col(own), *key)).alias("s"))
+    keep = keep.select(*[F.col(f"s.{k}").alias(k) for k in key]).distinct()
+    # The keys of rows that go, 16 bytes each, are the smaller set: sent to all tasks up to a bound, so that texts stay where they are.
+    drop = saved(found.select(*key).distinct().join(keep, key, "left_anti"), "dropped")
     few = drop.count() <= MOST_BROADCAST
     # Rows that repeat both id and text are one.
-    again = found.groupBy("dg_row").count().where("count > 1").limit(1).count() > 0
-    met = keyed.join(F.broadcast(drop) if few else drop, "dg_row", "left_anti")
-    return back(met.dropDuplicates(["dg_row"]) if again else met)
+    again = found.groupBy(*key).count().where("count > 1").limit(1).count() > 0
+    met = keyed.join(F.broadcast(drop) if few else drop, key, "left_anti")
+    return back(met.dropDuplicates(key) if again else met)

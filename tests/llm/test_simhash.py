@@ -37,7 +37,7 @@ def brute_components(values, radius):
 
 def test_fingerprint_is_the_plain_one():
     for t in [None, "", " ", "A", "a b c", "A b C d", prose(3, 5), prose(4, 400), "É x É x É x"]:
-        assert S.fingerprint(t or "")[0] == plain_fingerprint(t)
+        assert S.fingerprint(t or "") == plain_fingerprint(t)
 
 
 def clustered(n, seed, spread):
@@ -57,7 +57,7 @@ def clustered(n, seed, spread):
 def test_links_join_the_same_components_as_all_pairs(spark, block):
     values = list(enumerate(clustered(600, block, 7)))
     signed = [(n, x - (1 << 64) if x >> 63 else x) for n, x in values]
-    df = spark.createDataFrame(signed, "name long, dg_fp long")
+    df = spark.createDataFrame([(n, [x]) for n, x in signed], "name long, dg_w array<bigint>")
     found = {r["name"]: r["root"] for r in S.components(S.links(df, block=block)).collect()}
     expected = brute_components(values, 4)
     assert {n: found.get(n, n) for n, _ in values} == expected
@@ -117,18 +117,71 @@ def test_classes_without_ids_or_of_one_id_each_keep_a_row(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, t) for t in texts[:5]] + [(7, texts[5]), (7, texts[6]), (9, texts[7])], key=str)
 
 
-def test_filter_links_all_texts_of_likeness_from_four_fifths(spark):
-    runs = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+def plain_runs(t):
+    return frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4)))
+
+
+def plain_alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def copies_of_all_likenesses():
     rows, expected = [], []
-    for i in range(60):  # pairs of copies, about 0.7 to 0.9 alike
+    for i in range(150):  # pairs of copies, about 0.7 to 0.95 alike
         base = [f"w{i}x{k}" for k in range(200)]
         other = base[:]
-        for k in range(2 + i % 6):
+        for k in range(1 + i % 7):
             other[10 + 25 * k] = "changed"
         a, b = " ".join(base), " ".join(other)
         rows += [(2 * i, a), (2 * i + 1, b)]
-        x, y = runs(a), runs(b)
-        expected += [2 * i] if len(x & y) >= 0.8 * len(x | y) else [2 * i, 2 * i + 1]
-    assert 60 < len(expected) < 120
-    got = S.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r["doc_id"] for r in got) == expected
+        expected += [2 * i] if plain_alike(plain_runs(a), plain_runs(b)) else [2 * i, 2 * i + 1]
+    return rows, expected
+
+
+def test_exact_filter_links_all_texts_of_likeness_from_four_fifths(spark):
+    rows, expected = copies_of_all_likenesses()
+    got = S.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).collect()
+    assert 150 < len(expected) < 300 and sorted(r["doc_id"] for r in got) == expected
+
+
+def test_filter_links_no_other_texts_and_nearly_all_of_these(spark):
+    rows, expected = copies_of_all_likenesses()
+    kept = {r["doc_id"] for r in S.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(expected) <= kept  # what is less alike stays
+    alike = {2 * i + 1 for i in range(150)} - set(expected)
+    assert len(alike) > 80 and len(alike - kept) >= 0.98 * len(alike)
+
+
+def test_planned_segments_meet_at_every_likeness():
+    # By brute force on the fingerprints themselves, over random sets of a given likeness.
+    r = np.random.default_rng(4)
+    for n, alike in ((1000, 0.8), (10**6, 0.8), (10**6, 0.9)):
+        segments, words = S.planned(n)
+        met, near, trials = 0, 0, 150
+        for _ in range(trials):
+            size = 120
+            shared = round(2 * size * alike / (1 + alike))
+            both = r.integers(0, 2**63, 2 * size - shared).astype(np.uint64)
+            a, b = S.wide_fingerprint(np.sort(both[:size]), words), S.wide_fingerprint(np.sort(both[size - shared :]), words)
+            met += any(int(a[w] ^ b[w]) >> low & ((1 << m) - 1) in {0, *(1 << k for k in range(m))} for w, low, m in segments)
+            near += int(np.bitwise_count(a[:2] ^ b[:2]).sum()) <= S.CHECKED_BITS
+        assert met >= 0.95 * trials and near >= 0.99 * trials
+        assert all(low + m <= 64 and w < words for w, low, m in segments)
+
+
+def test_filter_in_blocks_and_of_a_large_cluster(spark):
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(300):  # near copies of one text, each by a word of its own
+        words = base[:]
+        words[(7 * i) % 150] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, prose(500 + i, 90)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = {k: plain_runs(t) for k, t in rows}
+    found = S.alike_classes(df, ["doc_id"], 5, "doc_id", "text", block=20).collect()
+    named = {}
+    for x in found:
+        named.setdefault(x["dg_class"], set()).add(x["doc_id"])
+    assert sorted(map(len, named.values())) == [1] * 40 + [300]
+    assert plain_alike(runs[0], runs[1])
