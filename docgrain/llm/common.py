@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import mmap
 import os
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docgrain.cluster import ship
 
-__all__ = ["id_crc", "mapped_file", "no_cycles", "opened", "per_worker", "put_file", "quantile_bounds", "saved", "scratch", "shared_dir", "shielded", "ship", "shuffle_width", "small_batches", "table"]
+__all__ = ["id_crc", "mapped_file", "no_cycles", "opened", "per_worker", "put_file", "quantile_bounds", "removed", "saved", "scratch", "shared_dir", "shielded", "ship", "shuffle_width", "small_batches", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,12 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what was written to a path of the shared folder and is needed no more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,10 +98,18 @@ def mapped_file(path: str) -> mmap.mmap:
 _held: list = [None, None]
 
 
+def released() -> None:
+    """Gives memory that is free inside this worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_worker(key: str, make):
     """What this Python worker has made for a key, kept from one task to the next; the last key's only."""
     if _held[0] != key:
         _held[:] = [None, None]  # frees the last before the next is made
+        released()
         _held[:] = [key, make()]
     return _held[1]
 

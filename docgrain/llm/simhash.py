@@ -37,15 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import opened, saved, scratch, shielded, ship, small_batches
+from .common import opened, removed, saved, scratch, shielded, ship, small_batches
 
 BITS, SEED = 64, 42
 #: Of the 64-bit operator: (word, lowest bit, number of bits) of the segments, and the most differing bits.
 SEGMENTS, RADIUS = ((0, 0, 22), (0, 22, 21), (0, 43, 21)), 4
 #: Of the filter: hundredths of Jaccard likeness from which texts are near duplicates.
 SIMILAR = 80
-#: How many in one of the pairs of that likeness meet, and the most differing ones of 128 bits of such a pair.
-RECALL, CHECKED_BITS = 0.99, 40
+#: How many in one of the pairs of that likeness meet, the most differing ones of 128 bits of such a pair, and by how many standard
+#: deviations all its bits may differ more than they should.
+RECALL, CHECKED_BITS, CHECKED_SIGMA = 0.99, 40, 3.5
 BLOCK, SMALL = 250_000, 32
 #: Keys of dropped rows that are sent to every task, at most; more are joined.
 MOST_BROADCAST = 1_000_000
@@ -105,15 +106,19 @@ def with_fingerprints(docs: DataFrame, carry: list[str], shingle: int = 4, text:
     return own.mapInArrow(run, schema)
 
 
+def bit_differs(least: int) -> float:
+    """The probability that a fingerprint's bit differs between sets of a Jaccard likeness of least hundredths."""
+    return math.acos(2 * least / (100 + least)) / math.pi
+
+
 def planned(n: int, least: int = SIMILAR, recall: float = RECALL) -> tuple[tuple[tuple[int, int, int], ...], int]:
     """Segments for n texts, and the words of the fingerprints that they cut.
 
     A bit of two sets differs with the probability of their angle. A segment is three bits longer than n needs to tell texts apart, so
     that a text meets a few by chance, whatever n.
     """
-    alike_ = least / 100
-    differs = math.acos(2 * alike_ / (1 + alike_)) / math.pi
-    m = min(32, max(20, math.ceil(math.log2(max(2, n))) + 3))
+    differs = bit_differs(least)
+    m = min(32, max(21, math.ceil(math.log2(max(2, n))) + 3))
     meets = (1 - differs) ** m + m * differs * (1 - differs) ** (m - 1)
     count, each = math.ceil(math.log(1 - recall) / math.log(1 - meets)), BITS // m
     return tuple((i // each, i % each * m, m) for i in range(count)), max(2, -(-count // each))
@@ -234,6 +239,8 @@ def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int
     index = points.select("name", *[F.get("dg_w", F.lit(i)).alias(f"dg_w{i}") for i in range(min(2, words))], *["dg_n"] * (folder is not None), F.explode(half_keys(segments)).alias("at"))
     index = index.select("name", *columns, "at.half", "at.other")
     columns = [*columns, "other"]
+    differs = bit_differs(least)
+    most_bits = BITS * words * differs + CHECKED_SIGMA * math.sqrt(BITS * words * differs * (1 - differs))
     # Halves of more fingerprints than a block, counted with sums by task; mostly none.
     hot = saved(index.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("half", F.ceil(F.col("n") / block).cast("int").alias("parts")), "hot-halves")
     whole = lambda df: df.select(F.col("half").cast("long").alias("task"), "half", F.lit(0).alias("side"), "name", *columns)
@@ -250,7 +257,7 @@ def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int
     dealt = rest.repartition("task").sortWithinPartitions("task")
 
     def run(batches):
-        held, sets = None, Sets(folder) if folder else None
+        held, sets = None, Sets(folder, words) if folder else None
         parent: dict[int, int] = {}  # of what this task has joined
 
         def root(x: int) -> int:
@@ -260,8 +267,8 @@ def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int
             return x
 
         def out(task, half, side, name, *rest):
-            *words, other = rest
-            sizes = words.pop() if folder else None
+            *prints, other = rest
+            sizes = prints.pop() if folder else None
             row, key = variants(half >> 16, other, segments)
             order = np.lexsort((side[row], key, task[row]))
             row, key = row[order], key[order]
@@ -274,7 +281,10 @@ def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int
                 def verify(i: int, others: np.ndarray) -> np.ndarray:
                     a, n = own[i].tolist()
                     took = np.zeros(len(others), bool)
-                    for k, (b, m) in enumerate(own[others].tolist()):
+                    places = own[others, 0].tolist()
+                    close = np.bitwise_count(sets.wide(places) ^ sets.wide([a])).sum(axis=1) <= most_bits
+                    for k in np.flatnonzero(close).tolist():
+                        b, m = own[others[k]].tolist()
                         p, q = root(a), root(b)
                         if p != q and 100 * min(n, m) >= least * max(n, m):
                             x, y = sets.read(a, n), sets.read(b, m)
@@ -285,7 +295,7 @@ def links(points: DataFrame, segments=SEGMENTS, radius: int = RADIUS, block: int
                         took[k] = p == q
                     return took
 
-            fp = np.stack([w.view(np.uint64) for w in words], axis=1)
+            fp = np.stack([w.view(np.uint64) for w in prints], axis=1)
             a, b = group_links(np.cumsum(new), side[row], fp[row], radius, verify)
             a, b = row[a], row[b]
             keep = spanning(a, b)
@@ -359,17 +369,28 @@ def classes(docs: DataFrame, carry: list[str] | None = None, shingle: int = 4, s
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """Distinct hashes of a text's word shingles, ascending; a text of fewer words is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs)))
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    ends, hash_of = ends[min(shingle, len(words)) - 1 :].tolist(), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hash_of(line[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(ends)))
 
 
 class Sets:
-    """Shingle sets in files of the shared folder, read by place: a file's number and, in the low 40 bits, the first hash in it."""
+    """Shingle sets in files of the shared folder, read by place: a file's number and, in the low 40 bits, the first hash in it.
 
-    def __init__(self, folder: str):
-        self.folder, self.files = folder, {}
+    The words of a set's fingerprint stand before its hashes. What was read last is kept, up to a bound.
+    """
 
-    def read(self, place: int, n: int) -> np.ndarray:
+    def __init__(self, folder: str, words: int = 0):
+        self.folder, self.words, self.files = folder, words, {}
+        self.sets: dict[int, np.ndarray] = {}
+        self.prints: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def get(self, place: int, n: int) -> np.ndarray:
         number = place >> 40
         if number not in self.files:
             if len(self.files) >= 64:
@@ -378,6 +399,25 @@ class Sets:
             self.files[number] = system.open_input_file(inside)
         return np.frombuffer(self.files[number].read_at(8 * n, 8 * (place & ((1 << 40) - 1))), np.uint64)
 
+    def read(self, place: int, n: int) -> np.ndarray:
+        found = self.sets.get(place)
+        if found is None or len(found) < n:
+            if self.held > 1 << 22:
+                self.sets.clear()
+                self.held = 0
+            found = self.sets[place] = self.get(place, n)
+            self.held += n
+        return found[:n]
+
+    def wide(self, places: list[int]) -> np.ndarray:
+        """The fingerprints of these sets, a row each."""
+        if len(self.prints) > 100_000:
+            self.prints.clear()
+        for x in places:
+            if x not in self.prints:
+                self.prints[x] = self.get(x - self.words, self.words)
+        return np.stack([self.prints[x] for x in places])
+
 
 def common_shingles(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
     """Hashes of shingles that many texts have, by a sample: these come last in the order of sets. What the sample misses costs time and no links."""
@@ -414,7 +454,9 @@ def with_sets(docs: DataFrame, carry: list[str], shingle: int, text: str, folder
                     if last_ones is not None:
                         last = np.isin(held, last_ones.value)
                         held = np.concatenate((held[~last], held[last]))
+                    f.write(wide[-1].tobytes())
                     f.write(held.tobytes())
+                    at += words_out
                     h = xxhash.xxh3_128_digest(held.tobytes())
                     rows.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), len(held), number << 40 | at))
                     at += len(held)
@@ -507,14 +549,15 @@ def set_links(reps: DataFrame, folder: str, least: int = SIMILAR) -> DataFrame:
 
 
 def alike_classes(docs: DataFrame, carry: list[str], shingle: int, id_column: str, text: str, exact: bool = False, block: int = BLOCK) -> DataFrame:
-    """The carried columns and dg_class, a number for each component of texts whose shingle sets are alike."""
+    """The carried columns and dg_class, a number for each component of texts whose shingle sets are alike; the sets are deleted at the end."""
     folder = scratch(docs.sparkSession, "shingle-sets")
     segments, words = planned(docs.count())
     rows = saved(with_sets(docs, carry, shingle, text, folder, 0 if exact else words, common_shingles(docs, shingle, text) if exact else None), "shingled")
     # One of each set.
     reps = saved(rows.groupBy("dg_a", "dg_b", "dg_n").agg(F.min(F.struct("dg_place", "dg_w")).alias("s")).select("dg_a", "dg_b", "dg_n", F.col("s.dg_place").alias("name"), F.col("s.dg_w").alias("dg_w")), "classes")
     linked = set_links(reps, folder) if exact else links(reps.where("dg_n > 0").select("name", "dg_w", "dg_n"), segments, CHECKED_BITS, block, folder)
-    found = components(linked).select("name", "root")
+    found = saved(components(linked).select("name", "root"), "components")
+    removed(docs.sparkSession, folder)
     # Few sets have links; a set without any is a class by itself.
     named = reps.join(found, "name", "left").select("dg_a", "dg_b", F.coalesce("root", F.when(F.col("dg_n") > 0, F.col("name")).otherwise(F.lit(-1))).alias("dg_class"))
     return rows.join(named, ["dg_a", "dg_b"]).select(*[F.col(f"`{c}`") for c in carry], "dg_class")
