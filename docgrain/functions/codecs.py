@@ -163,6 +163,11 @@ def inflate(data: bytes) -> bytes:
     return out + job.flush()
 
 
+try:
+    import brotli
+except ImportError:  # its codec is there only where the module is
+    brotli = None
+
 ENCODERS: dict[str, Callable[[bytes], bytes]] = {
     "deflate": lambda b: zlib.compress(b, 9),
     "store": lambda b: zlib.compress(b, 0),
@@ -173,6 +178,10 @@ ENCODERS: dict[str, Callable[[bytes], bytes]] = {
 }
 DECODERS: dict[str, Callable[[bytes], bytes]] = {"deflate": inflate, "store": inflate, "rle": rle_decode, "lzw": lzw_decode, "a85": ascii85_decode, "hex": ascii_hex_decode}
 
+if brotli is not None:
+    ENCODERS["brotli"] = lambda b: brotli.compress(b, quality=11, lgwin=24)
+    DECODERS["brotli"] = brotli.decompress
+
 
 def _column(functions: dict[str, Callable[[bytes], bytes]], codec: str):
     if codec not in functions:

@@ -64,3 +64,32 @@ def affine_product(m: list[Column], n: list[Column]) -> list[Column]:
 def row_bytes(width: Column, components: Column, bits: Column) -> Column:
     """Bytes of a bitmap row, padded to whole bytes."""
     return F.ceil(width * components * bits / F.lit(8)).cast("bigint")
+
+
+def matrix_scale(m: list[Column], x: Column, y: Column) -> tuple[Column, Column]:
+    """A vector under the linear part of a matrix [a, b, c, d, e, f]."""
+    a, b, c, d = m[:4]
+    return a * x + c * y, b * x + d * y
+
+
+def useful_text_precision(scale: Column) -> Column:
+    """Digits after the point that can matter to a text at a scale: one more than to a path."""
+    return F.when(scale < 1e-6, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(F.log10(scale)).cast("int") + F.lit(3))).cast("bigint")
+
+
+def useful_color_precision() -> Column:
+    """Digits that matter to a color component, a fixed value."""
+    return F.lit(2)
+
+
+def interleaved(parts: list[Column]) -> Column:
+    """Binary columns of one length each woven together, a byte of each in turn."""
+    pieces = F.arrays_zip(*[F.split(F.hex(p), "(?<=\\G..)").alias(f"p{i}") for i, p in enumerate(parts)])
+    return F.unhex(F.array_join(F.transform(pieces, lambda z: F.concat(*[z[f"p{i}"] for i in range(len(parts))])), ""))
+
+
+def hex_dump(data: Column, start: Column | int = 0, size: int = 256) -> Column:
+    """The bytes from a place on as pairs of hex digits, 16 a line."""
+    start = F.lit(start) if isinstance(start, int) else start
+    pairs = F.regexp_replace(F.lower(F.hex(F.substring(data, start + 1, F.lit(size)))), "(..)", "$1 ")
+    return F.rtrim(F.regexp_replace(pairs, "((?:.. ){15}..) ", "$1\n"))

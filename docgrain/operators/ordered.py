@@ -18,11 +18,11 @@ def _starts(df: DataFrame, buckets: list[str], value: Column) -> DataFrame:
 
 
 def prefix_sum(df: DataFrame, order: str, value: str, out: str, width: int = 65536) -> DataFrame:
-    """Adds the sum of value over all rows before this one by an integer column, which tells rows apart."""
+    """Adds the sum of value over all rows before this one by an integer column, which tells rows apart. A null key comes first."""
     own = df.withColumn("dg_bucket", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
     starts = _starts(own, ["dg_bucket"], F.col(value))
     inside = Window.partitionBy("dg_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    met = own.join(starts, own["dg_bucket"] == starts["dg_dg_bucket"])
+    met = own.join(starts, own["dg_bucket"].eqNullSafe(starts["dg_dg_bucket"]))
     return met.withColumn(out, (F.col("dg_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("bigint")).drop("dg_bucket", "dg_dg_bucket", "dg_start")
 
 

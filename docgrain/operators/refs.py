@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,10 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rounds of a fixpoint, a fixed value.
-ROUNDS = 64
-
-
 def used(targets: DataFrame, key: str, refs: DataFrame, ref: str) -> DataFrame:
     return targets.join(refs.select(F.col(ref).alias("dg_ref")).distinct(), F.col(key) == F.col("dg_ref"), "left_semi")
 
@@ -40,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
-        found = tempfile.mkdtemp(prefix="docgrain-shared-")
+        found = "file://" + tempfile.mkdtemp(prefix="docgrain-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -53,11 +50,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def until_no_change(step: Callable[[DataFrame], DataFrame], start: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Apply a step until it gives no new rows, at most so many times. Each result is written, so plans stay short."""
+def until_no_change(step: Callable[[DataFrame], DataFrame], start: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Apply a step until it gives no new rows or, if asked, so many times at most. Each result is written, so plans stay short."""
     now = written(start)
     count = now.count()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         then = written(step(now))
         grown = then.count()
         if grown == count:
@@ -66,15 +63,15 @@ def until_no_change(step: Callable[[DataFrame], DataFrame], start: DataFrame, ro
     return now
 
 
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = ROUNDS) -> DataFrame:
-    """(src, dst, depth): all that is reachable over edges, with the least number of steps.
+def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int | None = None) -> DataFrame:
+    """(src, dst, depth): all that is reachable over edges (in rounds + 1 steps at most, if asked), with the least number of steps.
 
     Each round joins only the pairs that the round before found, so no pair is extended twice; cycles end it.
     """
     e = edges.select(F.col(src).alias("e_src"), F.col(dst).alias("e_dst")).distinct()
     found = written(e.select(F.col("e_src").alias("src"), F.col("e_dst").alias("dst"), F.lit(1).cast("bigint").alias("depth")))
     last = found
-    for depth in range(2, rounds + 2):
+    for depth in itertools.count(2) if rounds is None else range(2, rounds + 2):
         more = last.join(e, last["dst"] == e["e_src"]).select("src", F.col("e_dst").alias("dst")).distinct()
         new = written(more.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
         if new.isEmpty():

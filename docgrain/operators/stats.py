@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,12 +49,20 @@ def distinct_names(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy of a text's characters in bits: the sorted characters' run lengths give the counts."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    packed = F.array_join(chars, "")
-    lengths = F.transform(F.filter(F.regexp_extract_all(packed, F.lit(r"(?s)((.)\2*)"), F.lit(1)), lambda r: r != ""), lambda r: F.length(r))
-    n = F.length(text)
-    return F.coalesce(-F.aggregate(lengths, F.lit(0.0), lambda a, k: a + k / n * F.log2(k / n)), F.lit(0.0)) + F.lit(0.0)
+    """Shannon entropy of a text's characters in bits, 0 for null and empty texts."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        def one(t):
+            if not t:
+                return 0.0
+            _, n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+            share = n / n.sum()
+            return float(-(share * np.log2(share)).sum()) + 0.0
+
+        return x.map(one, na_action=None)
+
+    return run(text)
 
 
 def chunks(df: DataFrame, key: str, text: str, width: int) -> DataFrame:

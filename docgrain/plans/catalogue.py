@@ -11,7 +11,7 @@ from docgrain.cluster import ship
 from docgrain.functions import codecs, predictors
 from docgrain.functions import numbers as N
 from docgrain.operators import choice, dedup, ordered, refs, sequence, stats, xmltext
-from docgrain.sources import pdf
+from docgrain.sources import content, fonts, pdf
 from docgrain.streaming import events as events_stream
 
 QUERIES: dict = {}
@@ -500,7 +500,7 @@ def pdf_extract(spark, d):
 
 @query("select 'doc-' || doc_id as path, cast(2 as bigint) as streams, cast(6 as bigint) as objects, cast(1 as bigint) as duplicates from documents")
 def pdf_stat(spark, d):
-    objects = pdf.objects(document_files(spark, d))
+    objects = refs.written(pdf.objects(document_files(spark, d)).select("path", "pos", "num", "stream"))  # files are parsed once
     marked = pdf.hashes(objects).groupBy("path").agg(F.count(F.lit(1)).alias("streams"), F.count_if("is_duplicate").alias("duplicates"))
     return objects.where("num is not null").groupBy("path").agg(F.count(F.lit(1)).alias("objects")).join(marked, "path").select("path", "streams", "objects", "duplicates")
 
@@ -511,6 +511,129 @@ def pdf_optimize(spark, d):
     return pdf.optimize(pdf.objects(document_files(spark, d))).select("path", "num")
 
 
+@query("select 'doc-' || doc_id as path, cast(6 as bigint) as objects, cast(6 + 2 as bigint) as streamed, sha256(text) as hash from documents")
+def pdf_compact(spark, d):
+    """Files with object streams and a cross-reference stream, read back: all plain objects are inside, and the text is what it was."""
+    files = document_files(spark, d)
+    own = refs.written(pdf.objects(files).select("path", "pos", "kind", "num", "gen", "body", "stream"))
+    back = refs.written(pdf.objects(pdf.assemble(own.where("num is not null"), own, compact=True)))
+    inside = back.where("num is not null").groupBy("path").agg(F.count_if(F.col("kind").isin("object", "stream")).alias("objects"), F.count(F.lit(1)).alias("streamed"))
+    return inside.join(pdf.extract(back, 4), "path").select("path", "objects", "streamed", F.sha2("data", 256).alias("hash"))
+
+
+@query("select 'doc-' || doc_id as path, cast(8 as bigint) as num, sha256(' ' || text || ' ' || text) as hash from documents")
+def pdf_merge_contents(spark, d):
+    """The two content streams of each page as one new object."""
+    found = pdf.merged_contents(pdf.objects(document_files(spark, d)))
+    return found.where("num = 8").select("path", "num", F.sha2("stream", 256).alias("hash"))
+
+
+@query("""
+    select 'doc-' || doc_id as path, cast(num as bigint) as num, case when num in (4, 5) then 'vector' else 'object' end as category,
+        case when num in (4, 5) then cast(octet_length(encode(text)) as bigint) end as uncompressed,
+        case num when 1 then 'Catalog' when 2 then 'Pages' when 3 then 'Page' else '' end as description
+    from documents, (select unnest([1, 2, 3, 4, 5, 7]) as num)
+""")
+def pdf_info(spark, d):
+    return pdf.info(pdf.objects(document_files(spark, d))).select("path", "num", "category", F.col("uncompressed").cast("bigint").alias("uncompressed"), "description")
+
+
+@query("""
+    select 'doc-' || doc_id as path, cast(2 as bigint) as vector_count, cast(0 as bigint) as font_count, true as sizes_add_up from documents
+""")
+def pdf_stat_sizes(spark, d):
+    files = document_files(spark, d).select("path", "content", F.octet_length("content").alias("length"))
+    got = pdf.stat(pdf.objects(files), files.select("path", "length"))
+    known = sum((F.col(f"{c}_size") for c in pdf.CATEGORIES), F.lit(0))
+    return got.select("path", F.col("vector_count").cast("bigint").alias("vector_count"), F.col("font_count").cast("bigint").alias("font_count"), ((known + F.col("structures") == F.col("length")) & (F.col("structures") > 0)).alias("sizes_add_up"))
+
+
+def record_files(spark, d) -> DataFrame:
+    """Each customer as a file of three objects that name each other in a circle."""
+    body = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).cast("binary")
+    rows = table(spark, d, "customer").select(F.format_string("c-%d", "c_custkey").alias("path"), F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("n"))
+    row = lambda num, b: F.struct(F.lit(num).cast("bigint").alias("num"), F.lit(0).cast("bigint").alias("gen"), b.alias("body"), F.lit(None).cast("binary").alias("stream"))
+    objects = rows.select("path", F.inline(F.array(row(1, body("<</Type/Catalog/Items 2 0 R>>")), row(2, body("[3 0 R 3 0 R]")), row(3, body("<</Id ", F.col("k"), "/Nation ", F.col("n"), "/Up 1 0 R>>")))))
+    trailers = rows.select("path", F.lit("trailer").alias("kind"), F.lit(0).alias("pos"), body("<</Root 1 0 R>>").alias("body"))
+    return pdf.assemble(objects, trailers)
+
+
+_ITEM = "'<<' || chr(10) || '      /Id ' || c_custkey || chr(10) || '      /Nation ' || c_nationkey || chr(10) || '      /Up 1 0 R' || chr(10) || '    >>'"
+
+
+@query(f"select 'c-' || c_custkey as path, '<<' || chr(10) || '  /Items [' || {_ITEM} || ' ' || {_ITEM} || ']' || chr(10) || '  /Type /Catalog' || chr(10) || '>>' as text from customer")
+def pdf_get(spark, d):
+    return pdf.get(pdf.objects(record_files(spark, d)), 1)
+
+
+def drawings(spark, d) -> DataFrame:
+    """A content stream for each supplier, with what rewriting takes out."""
+    k = (F.col("s_suppkey") + 1).cast("string")
+    text = F.concat(F.lit("q 1 0 0 1 0 0 cm "), k, F.lit("5 w "), k, F.lit("5 w 0 0 m 10 "), k, F.lit(" l S Q BT ET .5 .5 .5 rg "), k, F.lit(" 0 m 9 9 l S"))
+    return table(spark, d, "supplier").select(F.lit("s").alias("path"), F.col("s_suppkey").cast("bigint").alias("num"), text.cast("binary").alias("data"))
+
+
+@query("select cast(s_suppkey as bigint) as num, 'q ' || (s_suppkey + 1) || '5 w 0 0 m 10 ' || (s_suppkey + 1) || ' l S Q .5 g ' || (s_suppkey + 1) || ' 0 m 9 9 l S' as program from supplier")
+def content_optimize(spark, d):
+    """Drawings after the rules: the identity matrix, the width that is set already and the empty text go, equal components are gray."""
+    return drawings(spark, d).select("num", content.rewritten_column(F.col("data")).cast("string").alias("program"))
+
+
+@query("""
+    select 's' as path, cast(s_suppkey as bigint) as num, cast(x.i as bigint) as seq, x.op as op, x.n as n from supplier, (
+        select unnest([{'i': 0, 'op': 'q', 'n': 0}, {'i': 1, 'op': 'cm', 'n': 6}, {'i': 2, 'op': 'w', 'n': 1}, {'i': 3, 'op': 'w', 'n': 1}, {'i': 4, 'op': 'm', 'n': 2},
+            {'i': 5, 'op': 'l', 'n': 2}, {'i': 6, 'op': 'S', 'n': 0}, {'i': 7, 'op': 'Q', 'n': 0}, {'i': 8, 'op': 'BT', 'n': 0}, {'i': 9, 'op': 'ET', 'n': 0},
+            {'i': 10, 'op': 'rg', 'n': 3}, {'i': 11, 'op': 'm', 'n': 2}, {'i': 12, 'op': 'l', 'n': 2}, {'i': 13, 'op': 'S', 'n': 0}]) as x)
+""")
+def content_commands(spark, d):
+    return content.commands(drawings(spark, d)).select("path", "num", "seq", "op", F.size("params").alias("n"))
+
+
+@query("select cast(s_suppkey as bigint) as num, 'q' || chr(10) || '  1 0 0 1 0 0 cm' || chr(10) || '  ' || (s_suppkey + 1) || '5 w' || chr(10) || '  ' || (s_suppkey + 1) || '5 w' || chr(10) || '  0 0 m' || chr(10) || '  10 ' || (s_suppkey + 1) || ' l' || chr(10) || '  S' || chr(10) || 'Q' || chr(10) || 'BT' || chr(10) || 'ET' || chr(10) || '.5 .5 .5 rg' || chr(10) || (s_suppkey + 1) || ' 0 m' || chr(10) || '9 9 l' || chr(10) || 'S' as lines from supplier")
+def content_human(spark, d):
+    return drawings(spark, d).select("num", content.human_column(F.col("data")).alias("lines"))
+
+
+@query("select cast(c_custkey as bigint) as num, 'glyf' as tag, cast(octet_length(encode(c_name)) as bigint) as length, cast(28 as bigint) as start, true as sound from customer")
+def font_table_list(spark, d):
+    """Fonts of two tables, rebuilt without the one that may go."""
+    data = fonts.built_column(F.lit("glyf"), F.col("c_name").cast("binary"), F.lit("DSIG"), F.col("c_mktsegment").cast("binary"))
+    own = table(spark, d, "customer").select(F.lit("c").alias("path"), F.col("c_custkey").cast("bigint").alias("num"), data.alias("data"))
+    got = fonts.font_tables(own).where("tag = 'glyf'")
+    return got.select("num", "tag", "length", F.col("offset").alias("start"), (F.col("checksum") == F.col("computed")).alias("sound"))
+
+
+@query("select doc_id, lower(hex(encode(text))) || '>' as coded from documents")
+def ascii_hex_encoded(spark, d):
+    return table(spark, d, "documents").select("doc_id", codecs.encode(F.col("text").cast("binary"), "hex").cast("string").alias("coded"))
+
+
+#: Known pairs of data and code in hex, fixed values of the formats.
+VECTORS = {
+    "a85": [("4d616e20", "396a716f5e7e3e"), ("00000000", "7a7e3e"), ("4d", "39607e3e")],
+    "rle": [("6161616161", "fc61"), ("616263", "02616263")],
+    "lzw": [("2d2d2d2d2d412d2d2d42", "800b6050220c0c8501")],
+    "hex": [("00ff", "303066663e")],
+}
+
+
+@query(" union all ".join(f"select '{c}' as codec, '{a}' as data, '{b}' as coded, '{a}' as back" for c, pairs in VECTORS.items() for a, b in pairs))
+def codec_vectors(spark, d):
+    """What the codecs make of known data, and of known code."""
+    ship(spark)
+    out = None
+    for codec, pairs in VECTORS.items():
+        df = spark.createDataFrame([(codec, a, b) for a, b in pairs], "codec string, data string, code string")
+        df = df.select("codec", "data", F.lower(F.hex(codecs.encode(F.unhex("data"), codec))).alias("coded"), F.lower(F.hex(codecs.decode(F.unhex("code"), codec))).alias("back"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
+def windowed_event_counts(spark, d):
+    return events_stream.windowed_counts(table(spark, d, "events")).select("start", "event_type", "n")
+
+
 @query(ORACLE_SQL["state_changes"])
 def stream_state_changes(spark, d):
     """The same as state_changes, as a stream over the files of events in micro-batches."""

@@ -328,7 +328,49 @@ def without_unchanged(program: list[Command]) -> list[Command]:
     return out
 
 
-RULES = (without_idle_saves, rectangles, without_ineffective, without_overwritten, merged_text, merged_matrices, shorter_paths, without_unchanged)
+def without_doubled_marks(program: list[Command]) -> list[Command]:
+    """Two equal BDC in a row, closed by two EMC in a row with no EMC between: one of each."""
+    out, i = [], 0
+    while i < len(program):
+        c = program[i]
+        if c.op == "BDC" and i + 1 < len(program) and program[i + 1] == c:
+            end = next((k for k in range(i + 2, len(program)) if program[k].op == "EMC"), None)
+            if end is not None and end + 1 < len(program) and program[end + 1].op == "EMC":
+                out += [c, *program[i + 2 : end + 1]]
+                i = end + 2
+                continue
+            out += [c, program[i + 1]]
+            i += 2
+            continue
+        out.append(c)
+        i += 1
+    return out
+
+
+def moved_texts(program: list[Command]) -> list[Command]:
+    """A text matrix that differs in its translation alone from the one before, with nothing that moves the line between, as Td."""
+    out, last = [], None
+    for c in program:
+        if c.op == "Tm" and len(c.args) == 6 and all(isinstance(x, float) for x in c.args):
+            if last is not None and c.args[:4] == last[:4]:
+                a, b, p, q = c.args[:4]
+                det, x, y = a * q - b * p, c.args[4] - last[4], c.args[5] - last[5]
+                moved = (rounded((x * q - y * p) / det, 4), rounded((y * a - x * b) / det, 4)) if det else None
+                # Only where the shorter numbers lead to the same place.
+                if moved and abs(moved[0] * a + moved[1] * p - x) < 1e-6 and abs(moved[0] * b + moved[1] * q - y) < 1e-6:
+                    shorter = Command("Td", moved)
+                    if len(write([shorter])) < len(write([c])):
+                        out.append(shorter)
+                        last = c.args
+                        continue
+            last = c.args
+        elif c.op in ("BT", "ET", "Td", "TD", "T*", "'", '"', "q", "Q", "cm"):
+            last = None
+        out.append(c)
+    return out
+
+
+RULES = (without_idle_saves, without_doubled_marks, moved_texts, rectangles, without_ineffective, without_overwritten, merged_text, merged_matrices, shorter_paths, without_unchanged)
 
 
 def optimized(program: list[Command], rounds: int = ROUNDS) -> list[Command]:
@@ -437,3 +479,35 @@ def optimized_column(data: Column) -> Column:
     return run(data)
 
 
+
+
+def rewritten_column(data: Column) -> Column:
+    """Streams after all rules, at the scale they have; those that can't be read stay."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        def one(b):
+            try:
+                return None if b is None else write(optimized(parse(bytes(b))))
+            except ValueError:
+                return bytes(b)
+
+        return x.map(one)
+
+    return run(data)
+
+
+def human_column(data: Column) -> Column:
+    """Streams as text, a line a command; null where they can't be read."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        def one(b):
+            try:
+                return None if b is None else human(parse(bytes(b)))
+            except ValueError:
+                return None
+
+        return x.map(one)
+
+    return run(data)

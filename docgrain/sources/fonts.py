@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Scaler types, and tables that a font embedded in a document does without.
 SCALERS = (0x00010000, 0x74727565, 0x4F54544F, 0x74797031)
@@ -122,3 +123,17 @@ def font_tables(streams: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return streams.select("path", "num", "data").mapInPandas(run, SCHEMA)
+
+
+def built_column(*parts: Column) -> Column:
+    """Font files of tables given as tag, data, tag, data, ..., without those that may go; null data is no table."""
+
+    @F.pandas_udf("binary")
+    def run(*columns: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(*columns):
+            tables = [Table(tag, 0, 0, bytes(data)) for tag, data in zip(row[::2], row[1::2]) if data is not None]
+            out.append(build(SCALERS[0], without(tables)))
+        return pd.Series(out)
+
+    return run(*parts)

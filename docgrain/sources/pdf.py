@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window
 
 from docgrain.functions import codecs, predictors
 from docgrain.operators import dedup, refs
+from docgrain.sources import content, fonts
 from docgrain.sources.pdfvalues import Keyword, Name, ParseError, Reader, Ref, deep_map, plain_string, reduced, to_bytes, walk
 
 SCHEMA = "path string, pos long, num long, gen long, kind string, type string, subtype string, body binary, stream binary, filters array<string>, container long, offset long, refs array<struct<num:long,gen:long>>, error string"
@@ -266,23 +268,26 @@ def hashes(table: DataFrame) -> DataFrame:
 
 def extract(table: DataFrame, num: int) -> DataFrame:
     """(path, data, error): the decoded stream of an object of each file; why there is none else."""
-    found = with_data(latest(table).where(F.col("num") == num))
+    # Files are parsed once: what both sides read is written.
+    table = refs.written(table.where(F.col("num").isNull() | (F.col("num") == num)).select("path", "pos", "num", "body", "stream"))
+    found = with_data(latest(table))
     paths = table.select("path").distinct()
     got = paths.join(found.select("path", "stream", "data", "data_error", F.lit(1).alias("there")), "path", "left")
     why = F.when(F.col("there").isNull(), "object not found").when(F.col("stream").isNull(), "object has no stream").otherwise(F.col("data_error"))
     return got.select("path", "data", why.alias("error"))
 
 
-def get(table: DataFrame, num: int, depth: int = 64) -> DataFrame:
+def get(table: DataFrame, num: int) -> DataFrame:
     """(path, text): an object as text, references replaced by what they name, once on each way down; /Parent is not followed.
 
     Only the objects that it reaches are gathered, level by level.
     """
-    own = latest(table).select("path", "num", "body", F.transform("refs", lambda r: r["num"]).alias("to"))
+    # Written, as every level reads it.
+    own = refs.written(latest(table.select("path", "pos", "num", "body", "refs")).select("path", "num", "body", F.transform("refs", lambda r: r["num"]).alias("to")))
     edges = own.select("path", "num", F.explode("to").alias("dst"))
     reached = own.where(F.col("num") == num).select("path", "num")
     step = lambda now: now.union(now.join(edges, ["path", "num"]).select("path", F.col("dst").alias("num"))).distinct()
-    reached = refs.until_no_change(step, reached, depth)
+    reached = refs.until_no_change(step, reached)
     met = own.join(reached, ["path", "num"], "left_semi")
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
@@ -330,6 +335,135 @@ def as_json(table: DataFrame, column: str = "json") -> DataFrame:
     return table.withColumn(column, run(held))
 
 
+def has_key(body: Column, key: str) -> Column:
+    """Whether an object is a dictionary with a key."""
+
+    @pandas_udf("boolean")
+    def run(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: x is not None and isinstance(d := Reader(bytes(x)).value(), dict) and key in d)
+
+    return run(body)
+
+
+def is_info() -> Column:
+    return F.col("num").isNotNull() & has_key(F.col("body"), "Author")
+
+
+def is_catalog() -> Column:
+    return F.coalesce(F.col("type") == "Catalog", F.lit(False))
+
+
+def is_plain() -> Column:
+    """An object with a number and no stream: it can be embedded, and stand in an object stream."""
+    return F.col("num").isNotNull() & F.col("stream").isNull()
+
+
+def has_content() -> Column:
+    return F.col("stream").isNotNull() & (F.col("kind") != "trailer")
+
+
+def optimizable() -> Column:
+    """Whether all filters of a stream are known."""
+    return F.forall(F.coalesce("filters", F.array().cast("array<string>")), lambda f: f.isin(sorted(FILTERS)))
+
+
+def partition(table: DataFrame) -> dict[str, DataFrame]:
+    """Objects with streams, plain objects, and trailers."""
+    return {"streams": table.where(has_content()), "plain": table.where(is_plain()), "trailers": table.where("kind = 'trailer'")}
+
+
+def masks(table: DataFrame) -> DataFrame:
+    """(path, num): objects that some dictionary names as its /SMask."""
+
+    @pandas_udf("array<bigint>")
+    def named(b: pd.Series) -> pd.Series:
+        def one(x):
+            found = [] if x is None else [v.num for p, v in walk(Reader(bytes(x)).value()) if p and p[-1] == "SMask" and isinstance(v, Ref) and v.num]
+            return sorted(set(found))
+
+        return b.map(one, na_action=None)
+
+    return table.where(F.contains("body", F.lit(bytearray(b"/SMask")))).select("path", F.explode(named("body")).alias("num")).distinct()
+
+
+def shape(table: DataFrame) -> DataFrame:
+    """(path, is_empty, has_version, xref_entries) of each file: whether it has no objects, a header, and the entries of its tables."""
+
+    @pandas_udf("bigint")
+    def entries(kind: pd.Series, body: pd.Series) -> pd.Series:
+        return pd.Series([sum(len(part[1]) for part in Reader(bytes(b)).value()) if k == "xreftable" else 0 for k, b in zip(kind, body)], dtype="int64")
+
+    n = entries("kind", "body")
+    return table.select("path", "num", "kind", n.alias("n")).groupBy("path").agg((F.count("num") == 0).alias("is_empty"), (F.count_if(F.col("kind") == "version") > 0).alias("has_version"), F.sum("n").alias("xref_entries"))
+
+
+def put(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Objects (path, num, gen, kind, body, stream) with others in place of those of their numbers, or beside them."""
+    columns = ["path", "num", "gen", "kind", "body", "stream"]
+    kept = table.select(*columns).join(rows.select("path", "num").distinct(), ["path", "num"], "left_anti")
+    return kept.unionByName(rows.select(*columns))
+
+
+def put_new(table: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """Objects with further ones (path, body, stream and the order's columns), numbered after the last of their file."""
+    last = table.groupBy("path").agg(F.max("num").alias("dg_last"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy(*order))
+    new = rows.join(last, "path", "left").withColumn("num", (F.coalesce("dg_last", F.lit(0)) + place).cast("bigint"))
+    kind = F.when(F.col("stream").isNull(), "object").otherwise("stream")
+    return put(table, new.select("path", "num", F.lit(0).cast("bigint").alias("gen"), kind.alias("kind"), "body", "stream"))
+
+
+def merged_contents(table: DataFrame) -> DataFrame:
+    """Objects in which each page with several content streams has one new stream instead: their decoded data in order, a space before each.
+
+    A page with a stream that can't be decoded, or that is missing, stays as it is. A page's streams are gathered, not a file's.
+    """
+    own = refs.written(with_data(latest(table)).where("kind not in ('objstm', 'xref')"))
+
+    @pandas_udf("array<bigint>")
+    def parts_of(body: pd.Series) -> pd.Series:
+        def one(b):
+            d = Reader(bytes(b)).value()
+            held = d.get("Contents") if isinstance(d, dict) else None
+            return [x.num for x in held] if isinstance(held, list) and len(held) > 1 and all(isinstance(x, Ref) for x in held) else []
+
+        return body.map(one)
+
+    pages = own.where("type = 'Page'").select("path", F.col("num").alias("page"), F.posexplode(parts_of("body")).alias("at", "num"))
+    streams = own.where("stream is not null and data is not null and data_error is null").select("path", "num", "data")
+    met = pages.join(streams, ["path", "num"], "left").groupBy("path", "page").agg(F.count(F.lit(1)).alias("n"), F.count("data").alias("known"), F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
+    whole = F.unhex(F.array_join(F.transform("parts", lambda p: F.concat(F.lit("20"), F.hex(p["data"]))), ""))
+    new = met.where("n = known").select("path", "page", whole.alias("stream"))
+    new = new.withColumn("body", F.concat(F.lit("<</Length "), F.octet_length("stream").cast("string"), F.lit(">>")).cast("binary"))
+    added = put_new(own, new, ["page"])
+    # The page of the n-th new stream of a file names it.
+    last = own.groupBy("path").agg(F.max("num").alias("dg_last"))
+    to = new.join(last, "path").select("path", F.col("page").alias("num"), (F.col("dg_last") + F.row_number().over(Window.partitionBy("path").orderBy("page"))).alias("to"))
+
+    @pandas_udf("binary")
+    def pointed(body: pd.Series, to: pd.Series) -> pd.Series:
+        return pd.Series([b if t != t or t is None else to_bytes(Reader(bytes(b)).value() | {"Contents": Ref(int(t), 0)}) for b, t in zip(body, to)])
+
+    return added.join(to, ["path", "num"], "left").select("path", "num", "gen", "kind", pointed("body", "to").alias("body"), "stream")
+
+
+def shorter_data(kind: str | None, value: dict, data: bytes) -> tuple[dict, bytes]:
+    """A decoded stream by its category: content rewritten, white space between tags gone, removable tables of fonts gone, RGB of equal components as gray."""
+    try:
+        if kind == "vector":
+            return value, content.shortest(data)
+        if kind == "xml":
+            return value, re.sub(rb">\s+<", b"><", data)
+        if kind == "font":
+            scaler, tables = fonts.parse(data)
+            return value, min(data, fonts.build(scaler, fonts.without(tables)), key=len)
+        if kind == "bitmap" and value.get("ColorSpace") == "DeviceRGB" and value.get("BitsPerComponent") == 8 and data and not {"SMask", "Mask", "Decode"} & set(value) and predictors.only_gray(data):
+            return value | {"ColorSpace": Name("DeviceGray")}, predictors.to_gray(data)
+    except ValueError:
+        pass  # what can't be read stays
+    return value, data
+
+
 def cheapest_stream(d: dict, data: bytes) -> tuple[dict, bytes]:
     """A decoded stream encoded by the cheapest of: none, deflate, run lengths, run lengths and deflate, and predictors where the rows are known."""
     keep = {k: v for k, v in d.items() if k not in ("Filter", "DecodeParms", "Length")}
@@ -356,8 +490,9 @@ def cheapest_stream(d: dict, data: bytes) -> tuple[dict, bytes]:
 
 
 def optimize(table: DataFrame) -> DataFrame:
-    """(path, num, gen, kind, body, stream): objects without duplicates and unused ones, references to the kept, numbers rounded, strings plain, streams at their cheapest."""
-    own = with_data(latest(table)).where("kind not in ('objstm', 'xref')")
+    """(path, num, gen, kind, body, stream): objects without duplicates and unused ones, references to the kept, numbers rounded, strings plain, streams rewritten by what they are and at their cheapest."""
+    table = refs.written(table)  # parsed once
+    own = with_data(latest(table)).where("kind not in ('objstm', 'xref')").withColumn("category", category())
     keyed = own.where("stream is not null and data is not null").withColumn("key", F.struct("path", "num"))
     groups = keyed.groupBy("path", F.sha2("data", 256).alias("hash"), F.sha2("body", 256).alias("of")).agg(F.min("num").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     moved = keyed.select("path", "num", F.sha2("data", 256).alias("hash"), F.sha2("body", 256).alias("of")).join(groups, ["path", "hash", "of"]).where("num <> kept").select("path", "num", "kept")
@@ -373,7 +508,7 @@ def optimize(table: DataFrame) -> DataFrame:
                 value = deep_map(Reader(bytes(r.body)).value(), lambda _, x: Ref(int(to[x.num]), 0) if isinstance(x, Ref) and x.num in to else plain_string(x))  # noqa: B023
                 value, stream = reduced(value), r.stream
                 if stream is not None and r.data is not None and r.data_error is None and isinstance(value, dict):
-                    better, raw = cheapest_stream(value, bytes(r.data))
+                    better, raw = cheapest_stream(*shorter_data(r.category, value, bytes(r.data)))
                     if len(to_bytes(better)) + len(raw) < len(to_bytes(value)) + len(stream):
                         value, stream = better, raw
                 rows.append((r.path, r.num, r.gen, r.kind, to_bytes(value), stream, [{"num": x.num, "gen": x.gen} for _, x in walk(value) if isinstance(x, Ref)]))
@@ -385,15 +520,61 @@ def optimize(table: DataFrame) -> DataFrame:
     return done.join(named, ["path", "num"], "left_semi").drop("refs")
 
 
-def assemble(table: DataFrame, trailers: DataFrame) -> DataFrame:
+def object_stream(num: int, items: list[tuple[int, bytes]]) -> tuple[dict, bytes]:
+    """The dictionary and the stream, deflated, of an object stream of these (number, body)."""
+    index, at = [], 0
+    for n, body in items:
+        index.append(b"%d %d" % (n, at))
+        at += len(body) + 1
+    head = b" ".join(index) + b"\n"
+    raw = codecs.ENCODERS["deflate"](head + b"\n".join(body for _, body in items))
+    return {"Type": Name("ObjStm"), "N": float(len(items)), "First": float(len(head)), "Filter": Name("FlateDecode"), "Length": float(len(raw))}, raw
+
+
+def xref_stream(entries: dict[int, tuple[int, int, int]], trailer: dict) -> tuple[dict, bytes]:
+    """The dictionary and the stream, deflated, of a cross-reference stream: (type, field, field) by number, gaps free; with the trailer's entries."""
+    size = max(entries, default=0) + 1
+    rows = [entries.get(n, (0, 0, 65535 if n == 0 else 0)) for n in range(size)]
+    widths = [1, *(max(1, (max(r[i] for r in rows).bit_length() + 7) // 8) for i in (1, 2))]
+    raw = codecs.ENCODERS["deflate"](b"".join(x.to_bytes(w, "big") for r in rows for x, w in zip(r, widths)))
+    kept = {k: v for k, v in trailer.items() if k in ("Root", "Info", "ID")}
+    return kept | {"Type": Name("XRef"), "W": [float(w) for w in widths], "Index": [0.0, float(size)], "Size": float(size), "Filter": Name("FlateDecode"), "Length": float(len(raw))}, raw
+
+
+#: Objects in one object stream at most.
+EMBEDDED = 200
+
+
+def assemble(table: DataFrame, trailers: DataFrame, compact: bool = False) -> DataFrame:
     """(path, content): whole files of objects (path, num, gen, body, stream) and trailers (path, body): each file's last trailer counts.
 
-    Objects stand in order of numbers, then a cross-reference table with free entries for the numbers that are missing.
+    Objects stand in order of numbers, then a cross-reference table with free entries for the numbers that are missing. Compact files have
+    their plain objects in object streams, and a cross-reference stream.
     """
     last = refs.last_versions(trailers.where("kind in ('trailer', 'xref')"), ["path"], [F.col("pos")], ["body"]).select("path", F.col("body").alias("trailer"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         out, offsets = bytearray(b"%PDF-1.7\n%\xb5\xb5\xb5\xb5\n"), {}
+        found = part["trailer"].iloc[0]
+        trailer = Reader(bytes(found)).value() if found is not None else {}
+        if compact:
+            entries, last = {}, int(part["num"].max())
+            plain = [(int(r.num), bytes(r.body)) for r in part.sort_values("num").itertuples(index=False) if r.stream is None and not r.gen]
+            streams = [(int(r.num), int(r.gen), bytes(r.body), None if r.stream is None else bytes(r.stream)) for r in part.sort_values("num").itertuples(index=False) if r.stream is not None or r.gen]
+            for i in range(0, len(plain), EMBEDDED):
+                last += 1
+                some = plain[i : i + EMBEDDED]
+                entries |= {n: (2, last, k) for k, (n, _) in enumerate(some)}
+                d, raw = object_stream(last, some)
+                streams.append((last, 0, to_bytes(d), raw))
+            for n, gen, body, raw in streams:
+                entries[n] = (1, len(out), gen)
+                out += b"%d %d obj\n" % (n, gen) + body + (b"" if raw is None else b"\nstream\n" + raw + b"\nendstream") + b"\nendobj\n"
+            entries[last + 1] = (1, len(out), 0)
+            at = len(out)
+            d, raw = xref_stream(entries, trailer)
+            out += b"%d 0 obj\n" % (last + 1) + to_bytes(d) + b"\nstream\n" + raw + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % at
+            return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [bytes(out)]})
         for r in part.sort_values("num").itertuples(index=False):
             offsets[int(r.num)] = len(out)
             out += b"%d %d obj\n" % (r.num, r.gen) + bytes(r.body)
@@ -406,8 +587,6 @@ def assemble(table: DataFrame, trailers: DataFrame) -> DataFrame:
         out += b"xref\n0 %d\n" % size
         for n in range(size):
             out += b"%010d 00000 n\r\n" % offsets[n] if n in offsets else b"%010d 65535 f\r\n" % following[n]
-        found = part["trailer"].iloc[0]
-        trailer = Reader(bytes(found)).value() if found is not None else {}
         trailer = {k: v for k, v in trailer.items() if k in ("Root", "Info", "ID")} | {"Size": float(size)}
         out += b"trailer\n" + to_bytes(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at
         return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [bytes(out)]})

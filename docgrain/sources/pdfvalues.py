@@ -267,15 +267,41 @@ def reduced(value: Any) -> Any:
     return deep_map(value, lambda path, x: math.floor(x * 10 ** (d := 6 if "Matrix" in path else 4) + 0.5) / 10**d if isinstance(x, float) else x)
 
 
+#: The characters of PDFDocEncoding that differ from Latin-1, from 0x18 and 0x80 on, and the one at 0xA0.
+PDFDOC_18 = "\u02d8\u02c7\u02c6\u02d9\u02dd\u02db\u02da\u02dc"
+PDFDOC_80 = "\u2022\u2020\u2021\u2026\u2014\u2013\u0192\u2044\u2039\u203a\u2212\u2030\u201e\u201c\u201d\u2018\u2019\u201a\u2122\ufb01\ufb02\u0141\u0152\u0160\u0178\u017d\u0131\u0142\u0153\u0161\u017e"
+PDFDOC_A0 = "\u20ac"
+PDFDOC = {
+    **{chr(c): c for c in (9, 10, 13, *range(32, 127), *range(161, 256)) if c != 0xAD},
+    **{c: 0x18 + i for i, c in enumerate(PDFDOC_18)},
+    **{c: 0x80 + i for i, c in enumerate(PDFDOC_80)},
+    PDFDOC_A0: 0xA0,
+}
+
+
+def is_utf16(data: bytes) -> bool:
+    return data[:2] == b"\xfe\xff"
+
+
+def is_ascii(data: bytes) -> bool:
+    return data.isascii()
+
+
+def to_pdfdoc(text: str) -> bytes | None:
+    """A text in PDFDocEncoding, None if it has a character that this lacks."""
+    codes = [PDFDOC.get(c) for c in text]
+    return None if None in codes else bytes(codes)
+
+
 def plain_string(value: Any) -> Any:
-    """Hex strings as strings in parentheses, UTF-16 with nothing beyond Latin-1 as one byte a character."""
+    """Hex strings as strings in parentheses, UTF-16 as one byte a character where PDFDocEncoding has all of them."""
     if isinstance(value, Hex):
         value = Text(value)
-    if isinstance(value, Text) and value[:2] == b"\xfe\xff":
+    if isinstance(value, Text) and is_utf16(value):
         try:
-            text = value[2:].decode("utf-16-be")
+            short = to_pdfdoc(value[2:].decode("utf-16-be"))
         except UnicodeDecodeError:
             return value
-        if all(c in "\t\n\r" or " " <= c <= "~" or "\xa1" <= c <= "\xff" and c != "\xad" for c in text):
-            return Text(text.encode("latin-1"))
+        if short is not None:
+            return Text(short)
     return value

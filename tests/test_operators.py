@@ -103,3 +103,22 @@ def test_windows_and_watermarks(spark, sf_dir, tmp_path):
     every = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert 0 < spark.read.parquet(str(tmp_path / "w")).agg(F.sum("n")).first()[0] <= every.count()
     assert spark.read.parquet(str(tmp_path / "d")).count() == every.select("user_id", "event_type").distinct().count()
+
+
+def test_prefix_sum_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 5), (1, 2), (70_000, 3)], "k long, v long")
+    assert sorted((r["k"] or 0, r["start"]) for r in ordered.prefix_sum(df, "k", "v", "start").collect()) == [(0, 0), (1, 5), (70_000, 7)]
+
+
+def test_loops_go_to_the_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(67)], "src long, dst long").coalesce(1)
+    assert refs.closure(chain).agg(F.max("depth")).first()[0] == 67
+    assert refs.closure(chain, rounds=2).agg(F.max("depth")).first()[0] == 3
+
+
+def test_small_numbers_and_dumps(spark):
+    df = spark.createDataFrame([(b"abc", b"xyz", 3.0, 4.0)], "a binary, b binary, x double, y double")
+    m = [F.lit(2.0), F.lit(1.0), F.lit(0.0), F.lit(3.0), F.lit(9.0), F.lit(9.0)]
+    sx, sy = N.matrix_scale(m, F.col("x"), F.col("y"))
+    got = df.select(N.interleaved([F.col("a"), F.col("b")]).alias("w"), N.hex_dump(F.col("a"), 1).alias("h"), sx.alias("sx"), sy.alias("sy"), N.useful_text_precision(F.lit(10.0)).alias("t"), N.useful_color_precision().alias("c")).first()
+    assert (bytes(got["w"]), got["h"], got["sx"], got["sy"], got["t"], got["c"]) == (b"axbycz", "62 63", 6.0, 15.0, 4, 2)

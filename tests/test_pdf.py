@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -30,7 +31,7 @@ def test_syntax():
     assert to_bytes([1.0, Name("a"), Text(b"x"), 2.0, 3.0, Ref(1, 0)]) == b"[1/a(x)2 3 1 0 R]"
     assert [number_text(x) for x in (0.5, -0.25, 3.0, -0.0000001, 100.10, 1e6)] == [b".5", b"-.25", b"3", b"0", b"100.1", b"1000000"]
     assert reduced({"Matrix": [0.1234567], "W": [0.1234567]}) == {"Matrix": [0.123457], "W": [0.1235]}
-    assert plain_string(Hex(b"\xfe\xff\0A\0\xe9")) == b"A\xe9" and plain_string(Hex(b"\xfe\xff\x20\xac")) == b"\xfe\xff\x20\xac"
+    assert plain_string(Hex(b"\xfe\xff\0A\0\xe9")) == b"A\xe9" and plain_string(Hex(b"\xfe\xff\x20\xac")) == b"\xa0" and plain_string(Hex(b"\xfe\xff\x4e\x2d")) == b"\xfe\xff\x4e\x2d"
     assert list(find_all({"a": [1.0, {"b": 2.0}]}, lambda v: isinstance(v, dict) and "b" in v)) == [{"b": 2.0}]
 
 
@@ -89,7 +90,7 @@ def test_optimize_and_assemble(table, spark):
     whole = pdf.assemble(done, table.where("path = 'a.pdf'"))
     again = pdf.objects(whole)
     assert again.where("kind = 'error'").count() == 0
-    assert bytes(pdf.extract(again, 4).first()["data"]) == b"BT (Hello) Tj ET"
+    assert bytes(pdf.extract(again, 4).first()["data"]) == b"BT(Hello)Tj ET"
     raw = bytes(whole.first()["content"])
     assert b"xref\n0 5\n" in raw and raw[int(raw.split(b"startxref\n")[1].split()[0]) :].startswith(b"xref")
 
@@ -146,3 +147,65 @@ def test_tiff():
     data = tiff.simple_tiff(2, 1, "rgb", b"abcdef")
     assert data[:4] == b"II*\0" and data.endswith(b"abcdef") and struct.unpack_from("<H", data, 8) == (12,)
     assert tiff.simple_tiff(1, 1, "lab", b"abc") == b""
+
+
+def test_compact_files_read_back(table, spark):
+    own = table.where("path = 'a.pdf'")
+    done = pdf.optimize(own)
+    whole = pdf.assemble(done, own, compact=True)
+    again = pdf.objects(whole)
+    assert again.where("kind = 'error'").count() == 0 and {r["kind"] for r in again.collect()} >= {"objstm", "xref", "stream", "object"}
+    before = {r["num"]: bytes(r["body"]) for r in done.where("stream is null").collect()}
+    inside = {r["num"]: bytes(r["body"]) for r in again.where("container is not null").collect()}
+    assert inside == before
+    raw = bytes(whole.first()["content"])
+    at = int(raw.split(b"startxref\n")[1].split()[0])
+    xref = again.where("kind = 'xref'").first()
+    assert xref["offset"] == at
+    d = Reader(bytes(xref["body"])).value()
+    rows = pdf.unfiltered(d, bytes(xref["stream"]))[0]
+    widths = [int(w) for w in d["W"]]
+    entries = [rows[i : i + sum(widths)] for i in range(0, len(rows), sum(widths))]
+    assert len(entries) == int(d["Size"]) and d["Root"] == Ref(1, 0)
+    places = {r["num"]: r["offset"] for r in again.where("container is null and num is not null").collect()}
+    for n, e in enumerate(entries):
+        if e[0] == 1:
+            assert int.from_bytes(e[1 : 1 + widths[1]], "big") == places[n]
+        assert e[0] == (2 if n in inside else 1 if n in places else 0)
+
+
+def test_pages_get_one_content_stream(spark):
+    row = lambda path, num, body, stream=None: (path, num, num, 0, "object" if stream is None else "stream", b"Page".decode() if b"/Type/Page" in body else None, None, body, stream)
+    schema = "path string, pos long, num long, gen long, kind string, type string, subtype string, body binary, stream binary"
+    rows = [
+        row("f", 1, b"<</Contents[2 0 R 3 0 R 2 0 R]/Type/Page>>"), row("f", 2, b"<</Length 1>>", b"q"), row("f", 3, b"<</Filter/ASCIIHexDecode/Length 3>>", b"51>"),
+        row("f", 5, b"<</Contents[2 0 R 4 0 R]/Type/Page>>"), row("f", 6, b"<</Contents 2 0 R/Type/Page>>"), row("f", 7, b"<</Contents[3 0 R 3 0 R]/Type/Page>>"),
+        row("g", 1, b"<</Contents[2 0 R]/Type/Page>>"), row("g", 2, b"<</Length 1>>", b"q"),
+    ]
+    got = {(r["path"], r["num"]): (bytes(r["body"]), r["stream"] and bytes(r["stream"])) for r in pdf.merged_contents(spark.createDataFrame(rows, schema)).collect()}
+    assert got["f", 8] == (b"<</Length 6>>", b" q Q q") and got["f", 9] == (b"<</Length 4>>", b" Q Q")
+    assert got["f", 1][0] == b"<</Contents 8 0 R/Type/Page>>" and got["f", 7][0] == b"<</Contents 9 0 R/Type/Page>>"
+    assert len(got) == 10 and all(got[r[0], r[2]][0] == r[7] for r in rows if (r[0], r[2]) not in {("f", 1), ("f", 7)})
+
+
+def test_predicates_shapes_masks_and_new_objects(table, spark):
+    own = table.where("path = 'a.pdf'")
+    shapes = {r["path"]: (r["is_empty"], r["has_version"]) for r in pdf.shape(table).collect()}
+    assert shapes["a.pdf"] == (False, True)
+    parts = pdf.partition(own)
+    assert parts["streams"].where("stream is null").count() == 0 and parts["plain"].where("stream is not null or num is null").count() == 0
+    assert own.where(pdf.is_catalog()).count() == 1 and own.where(pdf.is_info()).count() == own.where(F.contains("body", F.lit(bytearray(b"/Author")))).count()
+    assert own.where(pdf.has_content() & ~pdf.optimizable()).count() <= own.where("stream is not null").count()
+    masked = spark.createDataFrame([("m", 1, b"<</SMask 7 0 R/X<</SMask 8 0 R>>>>"), ("m", 2, b"<</SMask/None>>")], "path string, num long, body binary")
+    assert sorted(r["num"] for r in pdf.masks(masked).collect()) == [7, 8]
+    objects = spark.createDataFrame([("a", 3, 0, "object", b"1", None), ("b", 9, 0, "object", b"2", None)], "path string, num long, gen long, kind string, body binary, stream binary")
+    more = spark.createDataFrame([("a", b"x", None, 1), ("a", b"y", b"s", 2), ("b", b"z", None, 1)], "path string, body binary, stream binary, at int")
+    assert sorted((r["path"], r["num"], bytes(r["body"]), r["kind"]) for r in pdf.put_new(objects, more, ["at"]).collect()) == [("a", 3, b"1", "object"), ("a", 4, b"x", "object"), ("a", 5, b"y", "stream"), ("b", 9, b"2", "object"), ("b", 10, b"z", "object")]
+    assert sorted((r["num"], bytes(r["body"])) for r in pdf.put(objects, objects.withColumn("body", F.lit(b"new")).where("num = 9")).collect()) == [(3, b"1"), (9, b"new")]
+
+
+def test_marks_and_text_matrices():
+    assert ops(b"/P <</M 1>> BDC /P <</M 1>> BDC 0 0 m 1 1 l S EMC EMC") == b"/P<</M 1>>BDC 0 0 m 1 1 l S EMC"
+    assert ops(b"/P <</M 1>> BDC /P <</M 2>> BDC 0 0 m 1 1 l S EMC EMC") == b"/P<</M 1>>BDC/P<</M 2>>BDC 0 0 m 1 1 l S EMC EMC"
+    assert ops(b"BT /F 9 Tf 2 0 0 2 10 700 Tm (a) Tj 2 0 0 2 10 690 Tm (b) Tj ET") == b"BT/F 9 Tf 2 0 0 2 10 700 Tm(a)Tj 0 -5 Td(b)Tj ET"
+    assert b"Td" not in ops(b"BT /F 9 Tf 2 0 0 2 10 700 Tm (a) Tj T* 2 0 0 2 10 690 Tm (b) Tj ET")
