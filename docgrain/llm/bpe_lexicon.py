@@ -382,8 +382,8 @@ class Encoder:
     decode to.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int = 200_000):
-        met = self.met = Met(most // 4)
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int = 340_000):
+        met = self.met = Met(most // 6)
         after = self.after = Met(most)
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.ready: dict[str, tuple[str, bytes]] = {}  # of words that these texts have and none before
