@@ -10,7 +10,7 @@ all that scoring needs and has that size for any input.
 
 Null and empty texts have no words and get the softmax of its bias. Null ids and repeated rows are scored like others;
 labels without a value, or for ids that no document has, aren't used. Without a label of each class every score is the
-share of toxic labels, 0 if there are none.
+share of toxic labels, kept a millionth away from 0 and 1 (a millionth if there are no labels).
 """
 
 from __future__ import annotations
