@@ -30,7 +30,7 @@ from .common import id_crc, per_worker, scratch, shielded, ship, small_batches
 from .warc import opened
 
 BUCKET_BITS, DIM, SHORTEST, LONGEST = 17, 4, 3, 6
-MOST_EACH = 2000
+MOST_EACH = 3000
 EPOCHS, BATCH, RATE, SHRINK, SEED = 20, 256, 0.2, 0.9, 7
 FOLDS = 5
 
