@@ -603,6 +603,31 @@ def font_table_list(spark, d):
     return got.select("num", "tag", "length", F.col("offset").alias("start"), (F.col("checksum") == F.col("computed")).alias("sound"))
 
 
+def glyphs(spark, d) -> DataFrame:
+    """A glyph of three points and three bytes of hints for each customer; the flag of the points is written once, with repeats."""
+    two = lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")
+    k = F.col("c_custkey")
+    digits = F.concat(F.lit("0001" + "0000" * 4 + "0002" + "0003" + "b0b1b2" + "0902"), two(k % 1000), F.lit("0001ffff0005"), two(k % 7), F.lit("0000"))
+    return table(spark, d, "customer").select(F.lit("c").alias("path"), k.cast("bigint").alias("num"), F.unhex(digits).alias("data"))
+
+
+@query("""
+    select cast(c_custkey as bigint) as num, cast(i as bigint) as seq, cast(c_custkey % 1000 + case i when 1 then 1 else 0 end as bigint) as x,
+        cast(5 + case i when 0 then 0 else c_custkey % 7 end as bigint) as y, true as on_curve
+    from customer, (select unnest([0, 1, 2]) as i)
+""")
+def glyph_points(spark, d):
+    return fonts.glyph_points(glyphs(spark, d)).select("num", "seq", "x", "y", "on_curve")
+
+
+@query("""
+    select cast(c_custkey as bigint) as num, '0001' || repeat('0000', 4) || '0002' || '0000' || '0902' || lpad(lower(hex(c_custkey % 1000)), 4, '0') || '0001ffff0005' || lpad(lower(hex(c_custkey % 7)), 4, '0') || '0000' as glyph
+    from customer
+""")
+def glyph_without_hints(spark, d):
+    return glyphs(spark, d).select("num", F.lower(F.hex(fonts.without_hints_column(F.col("data")))).alias("glyph"))
+
+
 @query("select doc_id, lower(hex(encode(text))) || '>' as coded from documents")
 def ascii_hex_encoded(spark, d):
     return table(spark, d, "documents").select("doc_id", codecs.encode(F.col("text").cast("binary"), "hex").cast("string").alias("coded"))

@@ -429,6 +429,43 @@ def resources_used(commands: list[Command]) -> list[tuple[str, str]]:
     return sorted(found)
 
 
+def kept_resources(resources: dict, used: set[tuple[str, str]]) -> dict:
+    """Resources by kind and name, without those that no command names; kinds left empty go, and what is no dictionary stays."""
+    out = {}
+    for kind, names in resources.items():
+        if isinstance(names, dict):
+            left = {n: v for n, v in names.items() if (str(kind), str(n)) in used}
+            if left:
+                out[kind] = left
+        else:
+            out[kind] = names
+    return out
+
+
+def text_scales(program: list[Command]) -> list[tuple[Matrix, Matrix, float]]:
+    """Before each command: the map from user space, the text matrix, and the horizontal scale as a fraction."""
+    now: tuple[Matrix, Matrix, float] = (IDENTITY, IDENTITY, 1.0)
+    saved, out = [], []
+    for c in program:
+        out.append(now)
+        space, text, wide = now
+        if c.op == "q":
+            saved.append(now)
+        elif c.op == "Q":
+            now = saved.pop() if saved else (IDENTITY, IDENTITY, 1.0)
+        elif c.op == "cm" and len(c.args) == 6:
+            now = (product(space, c.args), text, wide)
+        elif c.op == "BT":
+            now = (space, IDENTITY, wide)
+        elif c.op == "Tm" and len(c.args) == 6:
+            now = (space, tuple(c.args), wide)
+        elif c.op in ("Td", "TD") and len(c.args) == 2:
+            now = (space, product(text, (1.0, 0.0, 0.0, 1.0, *c.args)), wide)
+        elif c.op == "Tz" and c.args:
+            now = (space, text, c.args[0] / 100)
+    return out
+
+
 def renamed(commands: list[Command], names: dict[tuple[str, str], str]) -> list[Command]:
     """Resource names by a table; names that it does not have stay."""
     out = []

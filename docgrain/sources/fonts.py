@@ -105,6 +105,131 @@ def glyph(data: bytes) -> dict:
     return {"kind": "simple" if n >= 0 else "composite", "contours": n, "box": box, "points": ends[-1] + 1 if ends else 0}
 
 
+#: Bits of a point's flag (for x and y: one byte, and same as before or positive), and of a component's.
+ON_CURVE, REPEATED, ONE_BYTE, SAME = 1, 8, (2, 4), (16, 32)
+WORDS, MORE, SCALE, TWO_SCALES, MATRIX, HINTED = 1, 32, 8, 64, 128, 256
+
+
+def flags_at(data: bytes, at: int, points: int) -> tuple[list[int], int]:
+    """Flags of so many points, with repeats written out, and where they end."""
+    out: list[int] = []
+    while len(out) < points:
+        flag, at = data[at], at + 1
+        times = 1
+        if flag & REPEATED:
+            times, at = 1 + data[at], at + 1
+        out += [flag] * times
+    return out[:points], at
+
+
+def coordinates_at(data: bytes, at: int, flags: list[int], axis: int) -> tuple[list[int], int]:
+    """Coordinates of points along an axis (0 or 1), and where they end; a flag says how its difference is written."""
+    out, now = [], 0
+    for flag in flags:
+        if flag & ONE_BYTE[axis]:
+            now += data[at] if flag & SAME[axis] else -data[at]
+            at += 1
+        elif not flag & SAME[axis]:
+            now += struct.unpack_from(">h", data, at)[0]
+            at += 2
+        out.append(now)
+    return out, at
+
+
+def outline(data: bytes) -> dict:
+    """Ends of contours, points as (x, y, on curve) and the hints of a simple glyph; others have no points."""
+    n = struct.unpack_from(">h", data)[0] if data else -1
+    if n <= 0:
+        return {"ends": [], "points": [], "hints": b""}
+    ends = list(struct.unpack_from(f">{n}H", data, 10))
+    at = 10 + 2 * n
+    size = struct.unpack_from(">H", data, at)[0]
+    hints, at = data[at + 2 : at + 2 + size], at + 2 + size
+    flags, at = flags_at(data, at, ends[-1] + 1)
+    xs, at = coordinates_at(data, at, flags, 0)
+    ys, at = coordinates_at(data, at, flags, 1)
+    return {"ends": ends, "points": [(x, y, bool(f & ON_CURVE)) for x, y, f in zip(xs, ys, flags)], "hints": bytes(hints)}
+
+
+def without_hints(data: bytes) -> bytes:
+    """A glyph without its instructions: their size is 0, and components no longer say that any follow."""
+    if not data:
+        return data
+    n = struct.unpack_from(">h", data)[0]
+    if n >= 0:
+        at = 10 + 2 * n
+        size = struct.unpack_from(">H", data, at)[0] if len(data) >= at + 2 else 0
+        return data[:at] + b"\0\0" + data[at + 2 + size :] if size else data
+    out, at, more = bytearray(data), 10, True
+    while more:
+        flags = struct.unpack_from(">H", data, at)[0]
+        struct.pack_into(">H", out, at, flags & ~HINTED)
+        at += 4 + (4 if flags & WORDS else 2) + (2 if flags & SCALE else 4 if flags & TWO_SCALES else 8 if flags & MATRIX else 0)
+        more = bool(flags & MORE)
+    return bytes(out[:at])
+
+
+def relocated(glyphs: list[bytes]) -> tuple[bytes, bytes, bool]:
+    """Glyphs one after another on even places, their location table, and whether that needs 32 bits."""
+    offsets = [0]
+    for g in glyphs:
+        offsets.append(offsets[-1] + len(g) + len(g) % 2)
+    long = not short_fits(offsets)
+    table = np.array(offsets, ">u4") if long else (np.array(offsets) // 2).astype(">u2")
+    return b"".join(g + b"\0" * (len(g) % 2) for g in glyphs), table.tobytes(), long
+
+
+def unhinted(tables: list[Table]) -> list[Table]:
+    """Tables with glyphs that have no hints, and their locations anew; fonts without such tables stay."""
+    by_tag = {t.tag: t for t in tables}
+    if not {"glyf", "loca", "head", "maxp"} <= set(by_tag):
+        return tables
+    glyf, first = by_tag["glyf"].data, head(by_tag["head"].data)
+    count = struct.unpack_from(">H", by_tag["maxp"].data, 4)[0]
+    spans = slices(locations(by_tag["loca"].data, bool(first["long_locations"]), count))
+    data, places, long = relocated([without_hints(glyf[a : a + n]) for a, n in spans])
+    changed = bytearray(by_tag["head"].data)
+    struct.pack_into(">h", changed, 50, int(long))
+    new = {"glyf": data, "loca": places, "head": bytes(changed)}
+    return [Table(t.tag, 0, 0, new[t.tag]) if t.tag in new else t for t in tables]
+
+
+POINTS = "path string, num long, seq long, x long, y long, on_curve boolean"
+
+
+def glyph_points(glyphs: DataFrame) -> DataFrame:
+    """A row for each point of simple glyphs given as (path, num, data); what is cut short has no rows."""
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for path, num, data in zip(part["path"], part["num"], part["data"]):
+                try:
+                    found = outline(bytes(data or b""))["points"]
+                except (struct.error, IndexError):
+                    continue
+                rows += [(path, num, i, *p) for i, p in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in POINTS.split(", ")])
+
+    return glyphs.select("path", "num", "data").mapInPandas(run, POINTS)
+
+
+def without_hints_column(data: Column) -> Column:
+    """Glyphs without instructions; those cut short stay."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        def one(b):
+            try:
+                return None if b is None else without_hints(bytes(b))
+            except struct.error:
+                return bytes(b)
+
+        return x.map(one)
+
+    return run(data)
+
+
 SCHEMA = "path string, num long, tag string, checksum long, computed long, offset long, length long"
 
 

@@ -209,3 +209,39 @@ def test_marks_and_text_matrices():
     assert ops(b"/P <</M 1>> BDC /P <</M 2>> BDC 0 0 m 1 1 l S EMC EMC") == b"/P<</M 1>>BDC/P<</M 2>>BDC 0 0 m 1 1 l S EMC EMC"
     assert ops(b"BT /F 9 Tf 2 0 0 2 10 700 Tm (a) Tj 2 0 0 2 10 690 Tm (b) Tj ET") == b"BT/F 9 Tf 2 0 0 2 10 700 Tm(a)Tj 0 -5 Td(b)Tj ET"
     assert b"Td" not in ops(b"BT /F 9 Tf 2 0 0 2 10 700 Tm (a) Tj T* 2 0 0 2 10 690 Tm (b) Tj ET")
+
+
+def test_glyph_outlines_and_hints():
+    # One byte up, one byte down, two bytes, and the same as before.
+    flags = bytes([1 | 2 | 16 | 4 | 32, 2 | 4, 1 | 32, 1 | 16 | 32])
+    simple = struct.pack(">5hHH", 1, 0, 0, 9, 9, 3, 2) + b"hh" + flags + b"\x05\x02" + struct.pack(">h", -300) + b"\x07\x03"
+    got = fonts.outline(simple)
+    assert got["points"] == [(5, 7, True), (3, 4, False), (-297, 4, True), (-297, 4, True)] and got["hints"] == b"hh" and got["ends"] == [3]
+    bare = fonts.without_hints(simple)
+    assert len(bare) == len(simple) - 2 and fonts.outline(bare) == got | {"hints": b""} and fonts.without_hints(bare) == bare
+    composite = struct.pack(">5h", -1, 0, 0, 9, 9) + struct.pack(">HHbb", 32, 4, 1, 1) + struct.pack(">HHhhh", 1 | 8 | 256, 5, 1, 1, 2) + struct.pack(">H", 3) + b"abc"
+    bare = fonts.without_hints(composite)
+    assert bare == composite[:16] + struct.pack(">HHhhh", 1 | 8, 5, 1, 1, 2) and fonts.outline(composite)["points"] == []
+    assert fonts.without_hints(b"") == b"" and fonts.flags_at(b"\x09\x02\x01", 0, 4) == ([9, 9, 9, 1], 3)
+
+
+def test_fonts_without_hints_have_their_locations_anew():
+    a = struct.pack(">5hHH", 1, 0, 0, 9, 9, 0, 3) + b"hhh" + bytes([1 | 16 | 32])
+    head = struct.pack(">iiIIHHqqhhhhHHhhh", 65536, 65536, 0, 0x5F0F3CF5, 0, 1000, 0, 0, 0, 0, 0, 0, 0, 8, 2, 1, 0)
+    tables = [fonts.Table("glyf", 0, 0, a + a), fonts.Table("loca", 0, 0, struct.pack(">4I", 0, len(a), len(a), 2 * len(a))), fonts.Table("head", 0, 0, head), fonts.Table("maxp", 0, 0, struct.pack(">IH", 65536, 3))]
+    now = {t.tag: t.data for t in fonts.unhinted(tables)}
+    assert fonts.head(now["head"])["long_locations"] == 0
+    spans = fonts.slices(fonts.locations(now["loca"], False, 3))
+    assert [n for _, n in spans] == [16, 0, 16] and all(fonts.outline(now["glyf"][o : o + n])["points"] == [(0, 0, True)] for o, n in spans if n)
+    assert fonts.unhinted(tables[:1]) == tables[:1]
+    assert fonts.relocated([b"x" * 140_000])[2] is True
+
+
+def test_resources_and_text_states():
+    program = content.parse(b"/G gs BT /F 9 Tf 50 Tz 2 0 0 2 1 1 Tm 3 4 Td (x) Tj ET q 2 0 0 2 0 0 cm 1 0 0 1 5 5 cm Q /X Do")
+    used = set(content.resources_used(program))
+    kept = content.kept_resources({"Font": {"F": 1, "H": 2}, "ExtGState": {"G": 3}, "Pattern": {"P": 4}, "ProcSet": [1]}, used)
+    assert kept == {"Font": {"F": 1}, "ExtGState": {"G": 3}, "ProcSet": [1]}
+    states = dict(zip([c.op for c in program], content.text_scales(program)))
+    assert states["Tj"] == (content.IDENTITY, (2, 0, 0, 2, 7, 9), 0.5)
+    assert states["Q"][0] == (2, 0, 0, 2, 10, 10) and states["Do"][0] == content.IDENTITY
