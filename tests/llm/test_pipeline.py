@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from docgrain.llm import queries, toxicity
 
@@ -41,3 +43,20 @@ def test_run_gives_the_pieces(spark, sf_dir):
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert zlib.crc32(b"x")
+
+
+def test_stages_take_nulls_empty_texts_and_no_rows(spark, sf_dir, edge_docs, no_docs):
+    """Each stage but the last keeps the columns and brings no row that it was not given; extra columns stay as they are."""
+    extra = edge_docs.withColumn("score", F.lit("x")).withColumn("line", F.lit("y"))
+    for docs in (extra, no_docs):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            rows = now.count()
+            now = stage(spark, now, sf_dir).cache()
+            assert now.columns == docs.columns and now.count() <= rows, name
+        if docs is extra:
+            assert now.where("score != 'x' or line != 'y'").count() == 0
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
+        assert packed.columns[0] == "doc_id" and (docs is extra or packed.count() == 0)
+        ids = {r["doc_id"] for r in now.select("doc_id").collect()}
+        assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from docgrain.llm import toxicity as T
 
 from .conftest import prose
@@ -59,3 +61,34 @@ def test_edges(spark, clashing, no_docs):
         assert len(got) == clashing.count() and all(0 <= r["score"] <= 1 for r in got)
         assert T.accept(clashing, labels).columns == clashing.columns
     assert T.toxicity(no_docs, y).count() == 0
+
+
+def test_scores_are_those_of_a_plain_reading(spark, edge_docs):
+    """Every score is the softmax of the mean over words of the mean over each word's n-grams, read one by one."""
+    import math
+
+    docs, labels = corpus(400)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.train(d, y)
+
+    def plain(text):
+        words = (text or "").lower().split()
+        logits = []
+        for w in words:
+            buckets = T.grams_of([w])[0]
+            logits.append(sum(float(model.logits[b]) for b in buckets) / len(buckets))
+        return 1 / (1 + math.exp(-(model.bias + (sum(logits) / len(logits) if logits else 0))))
+
+    few = d.where("doc_id < 60").union(edge_docs.where("length(text) < 1000 or text is null").select("doc_id", "text"))
+    for r in T.scored(few, model, ["doc_id", "text"]).collect():
+        assert abs(r["dg_score"] - plain(r["text"])) < 1e-6
+
+
+def test_the_sample_holds_no_more_than_its_bound(spark):
+    docs, labels = corpus(400)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, bounded = T.train(d, y, 10_000), T.train(d, y, 40)
+    assert abs(whole.logits).sum() != abs(bounded.logits).sum()
+    # Rows beyond the bound do not matter, nor does the order of rows.
+    again = T.train(d.orderBy(F.desc("doc_id")), y.orderBy(F.desc("doc_id")), 40)
+    assert (again.logits == bounded.logits).all() and again.bias == bounded.bias
