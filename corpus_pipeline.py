@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 again as the next one's docs. All but the last return the columns of documents. Documents that the classifier calls toxic
 and those that the quality rules reject go; lines common on a site go from texts; of near duplicates the document of the
 least id stays; what is left is packed into token windows.
+
+Null and empty texts are documents without words: the classifier scores them by its bias, and the quality rules reject them
+(fewer than ten words). Null and repeated ids are rows like others; of rows equal in text one stays, null ids included. An
+empty table gives an empty one at each stage. Columns that documents do not have, also those named like an operator's own,
+go through all stages but packing unchanged.
 """
 
 from __future__ import annotations
