@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -24,3 +27,10 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def released() -> None:
+    """Gives memory that is free inside this worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -552,10 +552,10 @@ def record_files(spark, d) -> DataFrame:
     """Each customer as a file of three objects that name each other in a circle."""
     body = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).cast("binary")
     rows = table(spark, d, "customer").select(F.format_string("c-%d", "c_custkey").alias("path"), F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("n"))
+    rows = rows.repartition("path")  # a megabyte of these keys is many files
     row = lambda num, b: F.struct(F.lit(num).cast("bigint").alias("num"), F.lit(0).cast("bigint").alias("gen"), b.alias("body"), F.lit(None).cast("binary").alias("stream"))
-    objects = rows.select("path", F.inline(F.array(row(1, body("<</Type/Catalog/Items 2 0 R>>")), row(2, body("[3 0 R 3 0 R]")), row(3, body("<</Id ", F.col("k"), "/Nation ", F.col("n"), "/Up 1 0 R>>")))))
-    trailers = rows.select("path", F.lit("trailer").alias("kind"), F.lit(0).alias("pos"), body("<</Root 1 0 R>>").alias("body"))
-    return pdf.assemble(objects, trailers)
+    objects = F.array(row(1, body("<</Type/Catalog/Items 2 0 R>>")), row(2, body("[3 0 R 3 0 R]")), row(3, body("<</Id ", F.col("k"), "/Nation ", F.col("n"), "/Up 1 0 R>>")))
+    return pdf.assembled(rows.select("path", objects.alias("objects"), body("<</Root 1 0 R>>").alias("trailer")))
 
 
 _ITEM = "'<<' || chr(10) || '      /Id ' || c_custkey || chr(10) || '      /Nation ' || c_nationkey || chr(10) || '      /Up 1 0 R' || chr(10) || '    >>'"

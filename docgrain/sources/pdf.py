@@ -10,22 +10,37 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
+from docgrain.cluster import released
 from docgrain.functions import codecs, predictors
 from docgrain.operators import dedup, refs
 from docgrain.sources import content, fonts
-from docgrain.sources.pdfvalues import Keyword, Name, ParseError, Reader, Ref, deep_map, plain_string, reduced, to_bytes, walk
+from docgrain.sources.pdfvalues import Keyword, Name, ParseError, Reader, Ref, deep_map, plain_string, reduced, references_of, to_bytes, walk
 
 SCHEMA = "path string, pos long, num long, gen long, kind string, type string, subtype string, body binary, stream binary, filters array<string>, container long, offset long, refs array<struct<num:long,gen:long>>, error string"
 OBJECT = re.compile(rb"(\d+)[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+obj")
 ENTRY = re.compile(rb"(\d{10}) (\d{5}) ([nf])")
+SPACE = re.compile(rb"[\0\t\n\f\r ]*")
+LINE = re.compile(rb"[^\r\n]*")
+NOTHING = re.compile(rb"[\0\t\n\f\r ]*endobj")
+CLOSED = re.compile(rb"[\0\t\n\f\r ]*endstream")
+AFTER_ENTRY = re.compile(rb"[\t ]*[\r\n]*")
+SUBSECTION = re.compile(rb"[\0\t\n\f\r ]*(\d+) (\d+)[\t ]*[\r\n]+")
+STOP = re.compile(rb"endobj|stream")
+#: Texts of values up to so many bytes are kept with what they are read as, so many of them a worker: most files have the same small objects.
+SHORT, KEPT = 512, 4096
+#: Rows and bytes of a batch that goes back to Spark, and bytes of what is taken of one that came.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 5000, 4_000_000, 2_000_000
 
 #: Filter names, short and long, and their codecs.
 FILTERS = {"FlateDecode": "deflate", "Fl": "deflate", "RunLengthDecode": "rle", "RL": "rle", "LZWDecode": "lzw", "LZW": "lzw", "ASCII85Decode": "a85", "A85": "a85", "ASCIIHexDecode": "hex", "AHx": "hex"}
@@ -63,7 +78,7 @@ def stream_at(data: bytes, at: int, d: dict) -> tuple[bytes, int]:
     elif data[at : at + 1] in (b"\n", b"\r"):
         at += 1
     n = d.get("Length")
-    if isinstance(n, float) and (m := re.compile(rb"[\0\t\n\f\r ]*endstream").match(data, at + int(n))):
+    if isinstance(n, float) and (m := CLOSED.match(data, at + int(n))):
         return data[at : at + int(n)], m.end()
     end = data.find(b"endstream", at)
     if end < 0:
@@ -79,14 +94,41 @@ def embedded(container: int, d: dict, stream: bytes) -> list[tuple[int, Any]]:
         raise ParseError(0, f"object stream {container} has an unknown filter")
     first = int(d.get("First", 0))
     index = [int(x) for x in data[:first].split()]
-    return [(num, Reader(data, first + offset).value()) for num, offset in zip(index[::2], index[1::2])]
+    nums, places = index[::2], [first + offset for offset in index[1::2]]
+    out = []
+    for num, at, after in zip(nums, places, [*places[1:], len(data)]):
+        text = data[at:after].rstrip() if at < after <= at + SHORT else b""
+        # A value that closes at its end is read the same with what follows or without.
+        out.append((num, kept_value(text) if text[:1] in (b"<", b"[") and text[-1:] in (b">", b"]") and closes(text) else Reader(data, at).value()))
+    return out
+
+
+@lru_cache(KEPT)
+def kept_value(text: bytes) -> Any:
+    """The value that a short text begins with; not to be changed."""
+    return Reader(text).value()
+
+
+@lru_cache(KEPT)
+def closes(text: bytes) -> bool:
+    """Whether a text is one value to its end."""
+    try:
+        r = Reader(text)
+        r.value()
+        return r.at == len(text)
+    except (ValueError, RecursionError):
+        return False
+
+
+def value_of(body: bytes) -> Any:
+    """The value of an object's body; not to be changed."""
+    return kept_value(body) if len(body) <= SHORT else Reader(body).value()
 
 
 def xref_entries(reader: Reader) -> list:
     """Subsections of a classic cross-reference table: [start, [[offset, generation, state], ...]]."""
     out = []
-    head = re.compile(rb"[\0\t\n\f\r ]*(\d+) (\d+)[\t ]*[\r\n]+")
-    while m := head.match(reader.data, reader.at):
+    while m := SUBSECTION.match(reader.data, reader.at):
         reader.at = m.end()
         entries = []
         for _ in range(int(m[2])):
@@ -95,57 +137,93 @@ def xref_entries(reader: Reader) -> list:
                 raise ParseError(reader.at, "a cross-reference entry was expected")
             entries.append([int(e[1]), int(e[2]), e[3].decode()])
             reader.at = e.end()
-            reader.at = re.compile(rb"[\t ]*[\r\n]*").match(reader.data, reader.at).end()
+            reader.at = AFTER_ENTRY.match(reader.data, reader.at).end()
         out.append([int(m[1]), entries])
     return out
 
 
+def facts(value: Any) -> tuple:
+    """What a row tells of a value: type, subtype, body, the filters if it is a stream's, and references."""
+    if isinstance(value, Keyword):
+        return None, None, to_bytes(value), [], []
+    kind = subtype = None
+    filters: list[str] = []
+    if isinstance(value, dict):
+        kind, subtype = (str(x) if isinstance(x := value.get(k), Name) else None for k in ("Type", "Subtype"))
+        filters = [n for n, _ in filters_of(value)]
+    return kind, subtype, to_bytes(value), filters, references_of(value)
+
+
+@lru_cache(KEPT)
+def short_value(text: bytes, tail: int) -> tuple | None:
+    """(value, facts) of a text that is one value up to the word of so many bytes at its end; None if it is not."""
+    r = Reader(text)
+    try:
+        value = r.value() if not NOTHING.match(text) else None
+        r.blank()
+        return (value, facts(value)) if r.at == len(text) - tail else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def table_body(sections: list) -> bytes:
+    """What to_bytes makes of the subsections of a cross-reference table."""
+    return b"[%b]" % b"".join(b"[%d[%b]]" % (s, b"".join(b"[%d %d %b]" % (o, g, k.encode()) for o, g, k in e)) for s, e in sections)
+
+
 def parse(data: bytes) -> list[dict]:
     """All objects of a file in order, and those of its object streams after their container."""
     out: list[dict] = []
 
-    def add(kind: str, offset: int, value: Any = None, num=None, gen=None, stream=None, container=None, error=None):
-        d = value if isinstance(value, dict) else {}
+    def add(kind: str, offset: int, value: Any = None, num=None, gen=None, stream=None, container=None, error=None, known=None):
+        of, subtype, body, filters, named = known or facts(value)
         out.append({
-            "pos": len(out), "num": num, "gen": gen, "kind": kind, "offset": offset, "container": container, "error": error,
-            "type": str(d["Type"]) if isinstance(d.get("Type"), Name) else None, "subtype": str(d["Subtype"]) if isinstance(d.get("Subtype"), Name) else None,
-            "body": to_bytes(value), "stream": stream, "filters": [n for n, _ in filters_of(d)] if stream is not None else None,
-            "refs": [x for _, x in walk(value) if isinstance(x, Ref)],
+            "pos": len(out), "num": num, "gen": gen, "kind": kind, "offset": offset, "container": container, "error": error, "type": of, "subtype": subtype,
+            "body": body, "stream": stream, "filters": filters if stream is not None else None, "refs": named,
         })
 
     at = 0
-    space = re.compile(rb"[\0\t\n\f\r ]*")
-    while (at := space.match(data, at).end()) < len(data):
+    while (at := SPACE.match(data, at).end()) < len(data):
         begin = at
         try:
             if data[at : at + 1] == b"%":
-                end = re.compile(rb"[^\r\n]*").match(data, at).end()
+                end = LINE.match(data, at).end()
                 line = data[at:end]
                 add("version" if line.startswith(b"%PDF-") else "eof" if line.startswith(b"%%EOF") else "comment", begin, Keyword(line.decode("latin-1")))
                 at = end
             elif m := OBJECT.match(data, at):
                 r = Reader(data, m.end())
-                value = r.value() if not re.compile(rb"[\0\t\n\f\r ]*endobj").match(data, r.at) else None
-                r.blank()
+                stop = STOP.search(data, r.at, r.at + SHORT)
+                if stop and (short := short_value(data[r.at : stop.end()], 6)):
+                    value, known = short
+                    r.at = stop.start()
+                else:
+                    value, known = r.value() if not NOTHING.match(data, r.at) else None, None
+                    r.blank()
                 stream = None
                 if data[r.at : r.at + 6] == b"stream" and isinstance(value, dict):
                     stream, r.at = stream_at(data, r.at + 6, value)
                     r.blank()
                 num, gen = int(m[1]), int(m[2])
                 kind = {"ObjStm": "objstm", "XRef": "xref"}.get(str(value.get("Type"))) if stream is not None else None
-                add(kind or ("stream" if stream is not None else "object"), begin, value, num, gen, stream)
+                add(kind or ("stream" if stream is not None else "object"), begin, value, num, gen, stream, known=known)
                 if kind == "objstm":
                     for inner, v in embedded(num, value, stream):
                         add("object", begin, v, inner, 0, container=num)
                 at = r.at + 6 if data[r.at : r.at + 6] == b"endobj" else r.at
             elif data.startswith(b"xref", at):
                 r = Reader(data, at + 4)
-                add("xreftable", begin, [[float(s), [[float(o), float(g), Keyword(k)] for o, g, k in e]] for s, e in xref_entries(r)])
+                add("xreftable", begin, known=(None, None, table_body(xref_entries(r)), [], []))
                 at = r.at
             elif data.startswith(b"trailer", at):
                 r = Reader(data, at + 7)
-                add("trailer", begin, r.value())
-                at = r.at
+                end = data.find(b"startxref", r.at, r.at + SHORT)
+                if end > 0 and (short := short_value(data[r.at : end + 9], 9)):
+                    add("trailer", begin, known=short[1])
+                    at = end
+                else:
+                    add("trailer", begin, r.value())
+                    at = r.at
             elif data.startswith(b"startxref", at):
                 r = Reader(data, at + 9)
                 add("startxref", begin, r.value())
@@ -161,21 +239,86 @@ def parse(data: bytes) -> list[dict]:
     return out
 
 
+REFS = pa.list_(pa.struct([("num", pa.int64()), ("gen", pa.int64())]))
+ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<struct<num:long,gen:long>>": REFS}
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    return pa.schema([(name, ARROW[kind]) for name, _, kind in (f.partition(" ") for f in schema.split(", "))])
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of many files in batches of bounded rows and bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of the same rows as lists, of a few megabytes at a time; a batch is let go before the next is read."""
+    batches = iter(batches)
+    while (batch := next(batches, None)) is not None:
+        step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield [listed(c) for c in batch.slice(i, step).columns]
+        batch = None
+        released()
+
+
+def listed(column: pa.Array) -> list:
+    """A column as a list; lists of structs as lists of tuples."""
+    if not (pa.types.is_list(column.type) and pa.types.is_struct(column.type.value_type)):
+        return column.to_pylist()
+    offsets = column.offsets.to_pylist()
+    inner = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    rows = list(zip(*(inner.field(k).to_pylist() for k in range(inner.type.num_fields))))
+    return [rows[i - offsets[0] : j - offsets[0]] for i, j in zip(offsets, offsets[1:])]
+
+
+def by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]]]:
+    """(path, rows without it) of each file, from rows that are sorted by path, their first column."""
+    path, held = None, []
+    for columns in slices(batches):
+        for row in zip(*columns):
+            if row[0] != path and held:
+                yield path, held
+                held = []
+            path = row[0]
+            held.append(row[1:])
+    if held:
+        yield path, held
+
+
+def map_files(table: DataFrame, order: list[str], one: Callable[[str, list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that a function makes of each file: its path, and its rows of the other columns in order. A file is gathered, many go through a task one after another."""
+
+    def run(batches):
+        yield from batched((row for path, rows in by_file(batches) for row in one(path, rows)), arrow_schema(schema))
+
+    return table.repartition("path").sortWithinPartitions("path", *order).mapInArrow(run, schema)
+
+
 def objects(files: DataFrame) -> DataFrame:
     """The objects of files given as (path, content)."""
-    names = [f.split(" ", 1)[0] for f in SCHEMA.replace("struct<num:long,gen:long>", "s").split(", ")]
+    schema = arrow_schema(SCHEMA)
+    names = schema.names[1:]
 
-    def run(parts):
-        for part in parts:
-            for path, content in zip(part["path"], part["content"]):
-                rows = [{"path": path, **r, "refs": [{"num": x.num, "gen": x.gen} for x in r["refs"]]} for r in parse(bytes(content))]
-                for i in range(0, len(rows), 1000):
-                    frame = pd.DataFrame(rows[i : i + 1000], columns=names)
-                    for c in ("num", "gen", "container"):
-                        frame[c] = frame[c].astype("Int64")
-                    yield frame
+    def rows(batches):
+        for paths, contents in slices(batches):
+            for path, content in zip(paths, contents):
+                for r in parse(content):
+                    yield (path, *[r[n] for n in names])
+
+    def run(batches):
+        yield from batched(rows(batches), schema)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -268,11 +411,10 @@ def hashes(table: DataFrame) -> DataFrame:
 
 def extract(table: DataFrame, num: int) -> DataFrame:
     """(path, data, error): the decoded stream of an object of each file; why there is none else."""
-    # Files are parsed once: what both sides read is written.
-    table = refs.written(table.where(F.col("num").isNull() | (F.col("num") == num)).select("path", "pos", "num", "body", "stream"))
-    found = with_data(latest(table))
-    paths = table.select("path").distinct()
-    got = paths.join(found.select("path", "stream", "data", "data_error", F.lit(1).alias("there")), "path", "left")
+    mine = F.col("num") == num
+    last = F.max_by(F.struct("body", "stream", F.lit(1).alias("there")), F.when(mine, F.col("pos"))).alias("last")
+    held = table.select("path", "num", "pos", F.when(mine, F.col("body")).alias("body"), F.when(mine, F.col("stream")).alias("stream"))
+    got = with_data(held.groupBy("path").agg(last).select("path", "last.*"))
     why = F.when(F.col("there").isNull(), "object not found").when(F.col("stream").isNull(), "object has no stream").otherwise(F.col("data_error"))
     return got.select("path", "data", why.alias("error"))
 
@@ -280,32 +422,32 @@ def extract(table: DataFrame, num: int) -> DataFrame:
 def get(table: DataFrame, num: int) -> DataFrame:
     """(path, text): an object as text, references replaced by what they name, once on each way down; /Parent is not followed.
 
-    Only the objects that it reaches are gathered, level by level.
+    The bodies of a file are gathered, without its streams; those that the object reaches are read.
     """
-    # Written, as every level reads it.
-    own = refs.written(latest(table.select("path", "pos", "num", "body", "refs")).select("path", "num", "body", F.transform("refs", lambda r: r["num"]).alias("to")))
-    edges = own.select("path", "num", F.explode("to").alias("dst"))
-    reached = own.where(F.col("num") == num).select("path", "num")
-    step = lambda now: now.union(now.join(edges, ["path", "num"]).select("path", F.col("dst").alias("num"))).distinct()
-    reached = refs.until_no_change(step, reached)
-    met = own.join(reached, ["path", "num"], "left_semi")
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        bodies = {int(n): Reader(bytes(b)).value() for n, b in zip(part["num"], part["body"])}
-
-        def show(value, seen, pad, key=None):
-            if isinstance(value, Ref) and key != "Parent" and value.num not in seen and value.num in bodies:
-                return show(bodies[value.num], seen | {value.num}, pad, key)
+
+    def one(path, rows):
+        bodies = {n: b for n, _, b in rows}  # of a number's rows the last counts
+        values: dict[int, Any] = {}
+
+        def value(n):
+            if n not in values:
+                values[n] = value_of(bodies[n])
+            return values[n]
+
+        def show(v, seen, pad, key=None):
+            if isinstance(v, Ref) and key != "Parent" and v.num not in seen and v.num in bodies:
+                return show(value(v.num), seen | {v.num}, pad, key)
             inner = pad + "  "
-            if isinstance(value, dict):
-                return "<<\n" + "".join(f"{inner}/{k} {show(v, seen, inner, k)}\n" for k, v in sorted(value.items())) + pad + ">>"
-            if isinstance(value, list):
-                return "[" + " ".join(show(v, seen, inner, key) for v in value) + "]"
-            return to_bytes(value).decode("latin-1")
+            if isinstance(v, dict):
+                return "<<\n" + "".join(f"{inner}/{k} {show(x, seen, inner, k)}\n" for k, x in sorted(v.items())) + pad + ">>"
+            if isinstance(v, list):
+                return "[" + " ".join(show(x, seen, inner, key) for x in v) + "]"
+            return to_bytes(v).decode("latin-1")
 
-        return pd.DataFrame({"path": [part["path"].iloc[0]], "text": [show(bodies[num], {num}, "") if num in bodies else None]})
+        if num in bodies:
+            yield path, show(value(num), {num}, "")
 
-    return met.groupBy("path").applyInPandas(one, "path string, text string")
+    return map_files(table.where("num is not null").select("path", "num", "pos", "body"), ["num", "pos"], one, "path string, text string")
 
 
 def json_of(value: Any) -> Any:
@@ -545,53 +687,83 @@ def xref_stream(entries: dict[int, tuple[int, int, int]], trailer: dict) -> tupl
 EMBEDDED = 200
 
 
-def assemble(table: DataFrame, trailers: DataFrame, compact: bool = False) -> DataFrame:
-    """(path, content): whole files of objects (path, num, gen, body, stream) and trailers (path, body): each file's last trailer counts.
+def file_bytes(items: list[tuple[int, int, bytes, bytes | None]], found: bytes | None, compact: bool) -> bytes:
+    """A whole file of objects (num, gen, body, stream) in order of numbers and of a trailer's body."""
+    out, offsets = bytearray(b"%PDF-1.7\n%\xb5\xb5\xb5\xb5\n"), {}
+    trailer = value_of(found) if found is not None else {}
+    if compact:
+        entries, last = {}, max(n for n, *_ in items)
+        plain = [(n, body) for n, gen, body, raw in items if raw is None and not gen]
+        streams = [x for x in items if x[3] is not None or x[1]]
+        for i in range(0, len(plain), EMBEDDED):
+            last += 1
+            some = plain[i : i + EMBEDDED]
+            entries |= {n: (2, last, k) for k, (n, _) in enumerate(some)}
+            d, raw = object_stream(last, some)
+            streams.append((last, 0, to_bytes(d), raw))
+        for n, gen, body, raw in streams:
+            entries[n] = (1, len(out), gen)
+            out += b"%d %d obj\n" % (n, gen) + body + (b"" if raw is None else b"\nstream\n" + raw + b"\nendstream") + b"\nendobj\n"
+        entries[last + 1] = (1, len(out), 0)
+        at = len(out)
+        d, raw = xref_stream(entries, trailer)
+        out += b"%d 0 obj\n" % (last + 1) + to_bytes(d) + b"\nstream\n" + raw + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % at
+        return bytes(out)
+    for n, gen, body, raw in items:
+        offsets[n] = len(out)
+        out += b"%d %d obj\n" % (n, gen) + body
+        if raw is not None:
+            out += b"\nstream\n" + raw + b"\nendstream"
+        out += b"\nendobj\n"
+    size, at = max(offsets, default=0) + 1, len(out)
+    free = [n for n in range(size) if n not in offsets]
+    following = dict(zip(free, [*free[1:], 0]))
+    out += b"xref\n0 %d\n" % size
+    for n in range(size):
+        out += b"%010d 00000 n\r\n" % offsets[n] if n in offsets else b"%010d 65535 f\r\n" % following[n]
+    trailer = {k: v for k, v in trailer.items() if k in ("Root", "Info", "ID")} | {"Size": float(size)}
+    out += b"trailer\n" + to_bytes(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at
+    return bytes(out)
+
+
+def assemble(table: DataFrame, trailers: DataFrame | None = None, compact: bool = False) -> DataFrame:
+    """(path, content): whole files of objects (path, num, gen, body, stream) and trailers (path, kind, pos, body): each file's last trailer counts.
 
     Objects stand in order of numbers, then a cross-reference table with free entries for the numbers that are missing. Compact files have
-    their plain objects in object streams, and a cross-reference stream.
+    their plain objects in object streams, and a cross-reference stream. Without trailers, those among the table's rows count, so that it is read once.
     """
-    last = refs.last_versions(trailers.where("kind in ('trailer', 'xref')"), ["path"], [F.col("pos")], ["body"]).select("path", F.col("body").alias("trailer"))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out, offsets = bytearray(b"%PDF-1.7\n%\xb5\xb5\xb5\xb5\n"), {}
-        found = part["trailer"].iloc[0]
-        trailer = Reader(bytes(found)).value() if found is not None else {}
-        if compact:
-            entries, last = {}, int(part["num"].max())
-            plain = [(int(r.num), bytes(r.body)) for r in part.sort_values("num").itertuples(index=False) if r.stream is None and not r.gen]
-            streams = [(int(r.num), int(r.gen), bytes(r.body), None if r.stream is None else bytes(r.stream)) for r in part.sort_values("num").itertuples(index=False) if r.stream is not None or r.gen]
-            for i in range(0, len(plain), EMBEDDED):
-                last += 1
-                some = plain[i : i + EMBEDDED]
-                entries |= {n: (2, last, k) for k, (n, _) in enumerate(some)}
-                d, raw = object_stream(last, some)
-                streams.append((last, 0, to_bytes(d), raw))
-            for n, gen, body, raw in streams:
-                entries[n] = (1, len(out), gen)
-                out += b"%d %d obj\n" % (n, gen) + body + (b"" if raw is None else b"\nstream\n" + raw + b"\nendstream") + b"\nendobj\n"
-            entries[last + 1] = (1, len(out), 0)
-            at = len(out)
-            d, raw = xref_stream(entries, trailer)
-            out += b"%d 0 obj\n" % (last + 1) + to_bytes(d) + b"\nstream\n" + raw + b"\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % at
-            return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [bytes(out)]})
-        for r in part.sort_values("num").itertuples(index=False):
-            offsets[int(r.num)] = len(out)
-            out += b"%d %d obj\n" % (r.num, r.gen) + bytes(r.body)
-            if r.stream is not None:
-                out += b"\nstream\n" + bytes(r.stream) + b"\nendstream"
-            out += b"\nendobj\n"
-        size, at = max(offsets, default=0) + 1, len(out)
-        free = [n for n in range(size) if n not in offsets]
-        following = dict(zip(free, [*free[1:], 0]))
-        out += b"xref\n0 %d\n" % size
-        for n in range(size):
-            out += b"%010d 00000 n\r\n" % offsets[n] if n in offsets else b"%010d 65535 f\r\n" % following[n]
-        trailer = {k: v for k, v in trailer.items() if k in ("Root", "Info", "ID")} | {"Size": float(size)}
-        out += b"trailer\n" + to_bytes(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at
-        return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [bytes(out)]})
-
-    return table.join(last, "path", "left").groupBy("path").applyInPandas(one, "path string, content binary")
+    place = F.when(F.col("kind").isin("trailer", "xref"), F.coalesce(F.col("pos").cast("bigint"), F.lit(-1)))
+    columns = ["path", F.col("num").cast("bigint").alias("num"), F.col("gen").cast("bigint").alias("gen"), "body", "stream"]
+    if trailers is None:
+        rows = table.select(*columns, place.alias("place")).where("num is not null or place is not null")
+    else:
+        none = lambda kind: F.lit(None).cast(kind)
+        last = trailers.select("path", none("bigint").alias("num"), none("bigint").alias("gen"), "body", none("binary").alias("stream"), place.alias("place"))
+        rows = table.select(*columns, none("bigint").alias("place")).unionByName(last.where("place is not null"))
+
+    def one(path, rows):
+        items = [r[:4] for r in rows if r[0] is not None]
+        if items:
+            yield path, file_bytes(items, max(((r[4], r[2]) for r in rows if r[4] is not None), default=(0, None))[1], compact)
+
+    return map_files(rows, ["num"], one, "path string, content binary")
+
+
+def assembled(rows: DataFrame, compact: bool = False) -> DataFrame:
+    """As assemble, of files whose objects stand together: (path, objects, trailer), an array of (num, gen, body, stream) and the trailer's body."""
+    schema = arrow_schema("path string, content binary")
+
+    def files(batches):
+        for columns in slices(batches):
+            for path, items, trailer in zip(*columns):
+                if items:
+                    yield path, file_bytes(sorted(items, key=lambda x: x[0]), trailer, compact)
+
+    def run(batches):
+        yield from batched(files(batches), schema)
+
+    objects = F.transform("objects", lambda o: F.struct(*[o[k].alias(k) for k in ("num", "gen", "body", "stream")]))
+    return rows.select("path", objects.alias("objects"), "trailer").mapInArrow(run, "path string, content binary")
 
 
 def duplicates(table: DataFrame) -> DataFrame:

@@ -245,3 +245,40 @@ def test_resources_and_text_states():
     states = dict(zip([c.op for c in program], content.text_scales(program)))
     assert states["Tj"] == (content.IDENTITY, (2, 0, 0, 2, 7, 9), 0.5)
     assert states["Q"][0] == (2, 0, 0, 2, 10, 10) and states["Do"][0] == content.IDENTITY
+
+
+def test_files_go_through_a_task_one_after_another(spark):
+    rows = [(f"f{i % 700}", n, 0, b"[%d 0 R]" % i if n != 2 else b"<</R %d 0 R>>" % i, b"s" * i if n == 2 else None) for i in range(700) for n in (3, 1, 2)]
+    objects = spark.createDataFrame(rows, "path string, num long, gen long, body binary, stream binary")
+    trailers = objects.select("path", F.lit("trailer").alias("kind"), F.lit(0).alias("pos"), F.lit(b"<</Root 1 0 R>>").alias("body")).distinct()
+    together = objects.groupBy("path").agg(F.collect_list(F.struct("stream", "num", "gen", "body")).alias("objects")).withColumn("trailer", F.lit(b"<</Root 1 0 R>>"))
+    for compact in (False, True):
+        dealt = pdf.assemble(objects, trailers, compact)
+        assert "FlatMapGroupsInPandas" not in dealt._jdf.queryExecution().toString()
+        files = {r["path"]: bytes(r["content"]) for r in dealt.collect()}
+        assert len(files) == 700 and files == {r["path"]: bytes(r["content"]) for r in pdf.assembled(together, compact).collect()}
+        again = pdf.objects(spark.createDataFrame([(p, bytearray(c)) for p, c in files.items()], "path string, content binary"))
+        if not compact:
+            assert files == {r["path"]: bytes(r["content"]) for r in pdf.assemble(again).collect()}
+        assert {(r["path"], r["num"]): bytes(r["body"]) for r in again.where("kind in ('object', 'stream')").collect()} == {(p, n): b for p, n, _, b, _ in rows}
+        texts = {r["path"]: r["text"] for r in pdf.get(again, 1).where("path not in ('f4', 'f5')").collect()}
+        assert texts == {f"f{i}": {2: "[<<\n    /R 2 0 R\n  >>]", 3: "[[3 0 R]]"}.get(i, f"[{i} 0 R]") for i in range(700) if i not in (4, 5)}
+
+
+def test_get_reads_files_once_and_writes_nothing(spark):
+    table = pdf.objects(spark.createDataFrame([("a.pdf", bytearray(sample())), ("none.pdf", bytearray(b"%PDF-1.4\n2 0 obj 5 endobj"))], "path string, content binary"))
+    got = pdf.get(table, 8)
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("step-") == 0
+    assert [(r["path"], r["text"]) for r in got.collect()] == [("a.pdf", "(new)")]
+
+
+def test_short_objects_are_read_as_long_ones(monkeypatch):
+    odd = b"1 0 obj (endobj) endobj 2 0 obj <</A/stream>> endobj 3 0 obj % endobj\n7 endobj 4 0 obj endobj 5 0 obj <</Length 1>>stream\nx\nendstream endobj 6 0 obj [1 0 R<</B 2 0 R>>]endobj trailer<</Root 1 0 R>>startxref 5 8 0 obj null"
+    for data in (sample(), odd, sample()[:-60]):
+        short = pdf.parse(data)
+        with monkeypatch.context() as m:
+            m.setattr(pdf, "short_value", lambda *_: None)
+            m.setattr(pdf, "SHORT", 0)
+            assert pdf.parse(data) == short
+    assert [bytes(r["body"]) for r in pdf.parse(odd) if r["num"]] == [b"(endobj)", b"<</A/stream>>", b"7", b"null", b"<</Length 1>>", b"[1 0 R<</B 2 0 R>>]", b"null"]
