@@ -479,17 +479,16 @@ def document_files(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(F.format_string("doc-%d", "doc_id").alias("path"), raw.alias("raw"), codecs.encode(raw, "deflate").alias("small"))
     row = lambda num, b, s: F.struct(F.lit(num).cast("bigint").alias("num"), F.lit(0).cast("bigint").alias("gen"), b.alias("body"), s.cast("binary").alias("stream"))
     none = F.lit(None).cast("binary")
+    packed = body("<</Filter/FlateDecode/Length ", F.octet_length("small").cast("string"), ">>")
     rows = F.array(
         row(1, body("<</Type/Catalog/Pages 2 0 R>>"), none),
         row(2, body("<</Type/Pages/Count 1/Kids[3 0 R]>>"), none),
         row(3, body("<</Type/Page/Parent 2 0 R/Contents[4 0 R 5 0 R]>>"), none),
-        row(4, body("<</Filter/FlateDecode/Length ", F.octet_length("small").cast("string"), ">>"), F.col("small")),
-        row(5, body("<</Filter/FlateDecode/Length ", F.octet_length("small").cast("string"), ">>"), F.col("small")),
+        row(4, packed, F.col("small")),
+        row(5, packed, F.col("small")),
         row(7, body("<</Unused true>>"), none),
     )
-    objects = docs.select("path", F.inline(rows))
-    trailers = docs.select("path", F.lit("trailer").alias("kind"), F.lit(0).alias("pos"), body("<</Root 1 0 R>>").alias("body"))
-    return pdf.assemble(objects, trailers)
+    return pdf.assembled(docs.select("path", rows.alias("objects"), body("<</Root 1 0 R>>").alias("trailer")))
 
 
 @query("select 'doc-' || doc_id as path, sha256(text) as hash from documents")
@@ -514,11 +513,12 @@ def pdf_optimize(spark, d):
 @query("select 'doc-' || doc_id as path, cast(6 as bigint) as objects, cast(6 + 2 as bigint) as streamed, sha256(text) as hash from documents")
 def pdf_compact(spark, d):
     """Files with object streams and a cross-reference stream, read back: all plain objects are inside, and the text is what it was."""
-    files = document_files(spark, d)
-    own = refs.written(pdf.objects(files).select("path", "pos", "kind", "num", "gen", "body", "stream"))
-    back = refs.written(pdf.objects(pdf.assemble(own.where("num is not null"), own, compact=True)))
-    inside = back.where("num is not null").groupBy("path").agg(F.count_if(F.col("kind").isin("object", "stream")).alias("objects"), F.count(F.lit(1)).alias("streamed"))
-    return inside.join(pdf.extract(back, 4), "path").select("path", "objects", "streamed", F.sha2("data", 256).alias("hash"))
+    own = pdf.objects(document_files(spark, d))
+    back = pdf.with_data(pdf.objects(pdf.assemble(own, compact=True)).where("num is not null"))  # files are parsed once, and their texts not dealt out again
+    each = back.select("path", "kind", "num", "pos", F.sha2("data", 256).alias("hash"))
+    last = lambda n: F.max_by("hash", F.when(F.col("num") == n, F.col("pos"))).alias(f"hash_{n}")
+    inside = each.groupBy("path").agg(F.count_if(F.col("kind").isin("object", "stream")).alias("objects"), F.count(F.lit(1)).alias("streamed"), last(4))
+    return inside.select("path", "objects", "streamed", F.col("hash_4").alias("hash"))
 
 
 @query("select 'doc-' || doc_id as path, cast(8 as bigint) as num, sha256(' ' || text || ' ' || text) as hash from documents")
