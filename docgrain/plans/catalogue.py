@@ -472,20 +472,21 @@ def png_predict_roundtrip(spark, d):
     return df.select("vec_id", trip("optimum").alias("optimum"), trip("tiff").alias("tiff"))
 
 
-def document_files(spark, d) -> DataFrame:
-    """Each document as a PDF file of five objects, its text in a compressed stream and, again, in a plain one."""
+def document_files(spark, d, plain: bool = False) -> DataFrame:
+    """Each document as a PDF file of six objects, one of them unused, its text in a compressed stream and, again, in the same or in a plain one."""
     body = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]).cast("binary")
     raw = F.col("text").cast("binary")
     docs = table(spark, d, "documents").select(F.format_string("doc-%d", "doc_id").alias("path"), raw.alias("raw"), codecs.encode(raw, "deflate").alias("small"))
     row = lambda num, b, s: F.struct(F.lit(num).cast("bigint").alias("num"), F.lit(0).cast("bigint").alias("gen"), b.alias("body"), s.cast("binary").alias("stream"))
     none = F.lit(None).cast("binary")
     packed = body("<</Filter/FlateDecode/Length ", F.octet_length("small").cast("string"), ">>")
+    again = row(5, body("<</Length ", F.octet_length("raw").cast("string"), ">>"), F.col("raw")) if plain else row(5, packed, F.col("small"))
     rows = F.array(
         row(1, body("<</Type/Catalog/Pages 2 0 R>>"), none),
         row(2, body("<</Type/Pages/Count 1/Kids[3 0 R]>>"), none),
         row(3, body("<</Type/Page/Parent 2 0 R/Contents[4 0 R 5 0 R]>>"), none),
         row(4, packed, F.col("small")),
-        row(5, packed, F.col("small")),
+        again,
         row(7, body("<</Unused true>>"), none),
     )
     return pdf.assembled(docs.select("path", rows.alias("objects"), body("<</Root 1 0 R>>").alias("trailer")))
@@ -512,13 +513,13 @@ def pdf_optimize(spark, d):
 
 @query("select 'doc-' || doc_id as path, cast(6 as bigint) as objects, cast(6 + 2 as bigint) as streamed, sha256(text) as hash from documents")
 def pdf_compact(spark, d):
-    """Files with object streams and a cross-reference stream, read back: all plain objects are inside, and the text is what it was."""
-    own = pdf.objects(document_files(spark, d))
+    """Files with object streams and a cross-reference stream, read back: all plain objects are inside, and the text is what it was in the compressed stream and in the plain one."""
+    own = pdf.objects(document_files(spark, d, plain=True))
     back = pdf.with_data(pdf.objects(pdf.assemble(own, compact=True)).where("num is not null"))  # files are parsed once, and their texts not dealt out again
     each = back.select("path", "kind", "num", "pos", F.sha2("data", 256).alias("hash"))
     last = lambda n: F.max_by("hash", F.when(F.col("num") == n, F.col("pos"))).alias(f"hash_{n}")
-    inside = each.groupBy("path").agg(F.count_if(F.col("kind").isin("object", "stream")).alias("objects"), F.count(F.lit(1)).alias("streamed"), last(4))
-    return inside.select("path", "objects", "streamed", F.col("hash_4").alias("hash"))
+    inside = each.groupBy("path").agg(F.count_if(F.col("kind").isin("object", "stream")).alias("objects"), F.count(F.lit(1)).alias("streamed"), last(4), last(5))
+    return inside.select("path", "objects", "streamed", F.when(F.col("hash_4") == F.col("hash_5"), F.col("hash_4")).alias("hash"))
 
 
 @query("select 'doc-' || doc_id as path, cast(8 as bigint) as num, sha256(' ' || text || ' ' || text) as hash from documents")

@@ -282,3 +282,12 @@ def test_short_objects_are_read_as_long_ones(monkeypatch):
             m.setattr(pdf, "SHORT", 0)
             assert pdf.parse(data) == short
     assert [bytes(r["body"]) for r in pdf.parse(odd) if r["num"]] == [b"(endobj)", b"<</A/stream>>", b"7", b"null", b"<</Length 1>>", b"[1 0 R<</B 2 0 R>>]", b"null"]
+
+
+def test_documents_have_their_text_in_a_plain_stream_too(spark, sf_dir):
+    from docgrain.plans import catalogue
+
+    texts = {f"doc-{r['doc_id']}": r["text"].encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    again = pdf.objects(catalogue.document_files(spark, sf_dir, plain=True)).where("num in (4, 5)")
+    got = {(r["path"], r["num"]): (r["filters"], bytes(r["stream"])) for r in again.collect()}
+    assert len(got) == 2 * len(texts) and all(got[p, 5] == ([], t) and got[p, 4][0] == ["FlateDecode"] for p, t in texts.items())
