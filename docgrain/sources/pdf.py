@@ -7,6 +7,7 @@ in parallel; what can't be read of a file is a row of kind `error`.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -342,21 +343,23 @@ def used(table: DataFrame) -> DataFrame:
     return table.join(named, ["path", "num", "gen"], "left_semi").where(~F.contains(F.col("body"), F.lit("/Linearized").cast("binary")))
 
 
+def decoded(body: bytes, stream: bytes | None) -> tuple[bytes | None, str | None]:
+    """(value, error) of a stream decoded by the filters that its dictionary names."""
+    if stream is None:
+        return None, None
+    try:
+        data, left = unfiltered(value_of(bytes(body)), bytes(stream))
+        return data, f"filters left: {', '.join(n for n, _ in left)}" if left else None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def unfiltered_column(body: Column, stream: Column) -> Column:
     """(value, error) of streams decoded by the filters that their dictionaries name."""
 
-    def one(b, s):
-        if s is None:
-            return None, None
-        try:
-            data, left = unfiltered(Reader(bytes(b)).value(), bytes(s))
-            return data, f"filters left: {', '.join(n for n, _ in left)}" if left else None
-        except Exception as e:
-            return None, f"{type(e).__name__}: {e}"
-
     @pandas_udf("value binary, error string")
     def run(b: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x, y) for x, y in zip(b, s)], columns=["value", "error"])
+        return pd.DataFrame([decoded(x, y) for x, y in zip(b, s)], columns=["value", "error"])
 
     return run(body, stream)
 
@@ -381,6 +384,28 @@ def category() -> Column:
     )
 
 
+def category_of(kind: str | None, subtype: str | None, data: bytes | None) -> str:
+    """The same as category, of one stream."""
+    d = data or b""
+    if subtype == "XML":
+        return "xml"
+    if kind in ("ObjStm", "XRef"):
+        return kind.lower()
+    if d[36:40] == b"acsp":
+        return "icc"
+    if d.startswith(b"\xff\xd8"):
+        return "jpeg"
+    if d.startswith(b"\0\0\0\x0cjP  \r\n\x87\n"):
+        return "jpeg2000"
+    if subtype == "Image":
+        return "bitmap"
+    if d.startswith((b"\0\1\0\0", b"true")):
+        return "font"
+    if kind == "Metadata":
+        return "xml"
+    return "vector" if kind is None or kind == "Pattern" or subtype == "Form" else "other"
+
+
 def info(table: DataFrame) -> DataFrame:
     """A line for each object: category, number, offset, stored and decoded size, container, description."""
     d = with_data(table.where("num is not null"))
@@ -632,34 +657,38 @@ def cheapest_stream(d: dict, data: bytes) -> tuple[dict, bytes]:
 
 
 def optimize(table: DataFrame) -> DataFrame:
-    """(path, num, gen, kind, body, stream): objects without duplicates and unused ones, references to the kept, numbers rounded, strings plain, streams rewritten by what they are and at their cheapest."""
-    table = refs.written(table)  # parsed once
-    own = with_data(latest(table)).where("kind not in ('objstm', 'xref')").withColumn("category", category())
-    keyed = own.where("stream is not null and data is not null").withColumn("key", F.struct("path", "num"))
-    groups = keyed.groupBy("path", F.sha2("data", 256).alias("hash"), F.sha2("body", 256).alias("of")).agg(F.min("num").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    moved = keyed.select("path", "num", F.sha2("data", 256).alias("hash"), F.sha2("body", 256).alias("of")).join(groups, ["path", "hash", "of"]).where("num <> kept").select("path", "num", "kept")
-    # A file's moves go beside its objects; a file is a unit of work here, its duplicates are few.
-    moves = moved.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("num", "kept"))).alias("moves"))
-    kept = own.join(moved.select("path", "num"), ["path", "num"], "left_anti").join(moves, "path", "left")
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                to = dict(r.moves or {})
-                value = deep_map(Reader(bytes(r.body)).value(), lambda _, x: Ref(int(to[x.num]), 0) if isinstance(x, Ref) and x.num in to else plain_string(x))  # noqa: B023
-                value, stream = reduced(value), r.stream
-                if stream is not None and r.data is not None and r.data_error is None and isinstance(value, dict):
-                    better, raw = cheapest_stream(*shorter_data(r.category, value, bytes(r.data)))
+    """(path, num, gen, kind, body, stream): objects without duplicates and unused ones, references to the kept, numbers rounded, strings plain, streams rewritten by what they are and at their cheapest.
+
+    The objects of a file are gathered, its streams as they are stored and one at a time decoded.
+    """
+
+    def one(path, rows):
+        last = {r[0]: r for r in rows if r[0] is not None}  # of a number's rows the last counts
+        first: dict[tuple[bytes, bytes], int] = {}
+        to: dict[int, int] = {}
+        for num, _, _, kind, _, _, body, stream in last.values():  # in order of numbers
+            if kind not in (None, "objstm", "xref") and stream is not None and (data := decoded(body, stream)[0]) is not None:
+                kept = first.setdefault((hashlib.sha256(data).digest(), hashlib.sha256(body).digest()), num)
+                if kept != num:
+                    to[num] = kept
+        named = {x.num for r in rows if r[3] in ("trailer", "xref") for x in references_of(value_of(r[6]))}
+        done = []
+        for num, _, gen, kind, of, subtype, body, stream in last.values():
+            if kind in (None, "objstm", "xref") or num in to:
+                continue
+            value = reduced(deep_map(value_of(body), lambda _, x: Ref(to[x.num], 0) if isinstance(x, Ref) and x.num in to else plain_string(x)))
+            if stream is not None and isinstance(value, dict):
+                data, error = decoded(body, stream)
+                if data is not None and error is None:
+                    better, raw = cheapest_stream(*shorter_data(category_of(of, subtype, data), value, data))
                     if len(to_bytes(better)) + len(raw) < len(to_bytes(value)) + len(stream):
                         value, stream = better, raw
-                rows.append((r.path, r.num, r.gen, r.kind, to_bytes(value), stream, [{"num": x.num, "gen": x.gen} for _, x in walk(value) if isinstance(x, Ref)]))
-            yield pd.DataFrame(rows, columns=["path", "num", "gen", "kind", "body", "stream", "refs"])
+            named.update(x.num for x in references_of(value))
+            done.append((path, num, gen, kind, to_bytes(value), stream))
+        yield from (r for r in done if r[1] in named)
 
-    done = kept.mapInPandas(run, "path string, num long, gen long, kind string, body binary, stream binary, refs array<struct<num:long,gen:long>>")
-    roots = table.where("kind in ('trailer', 'xref')").select("path", F.explode("refs").alias("r")).select("path", F.col("r.num").alias("num")).distinct()
-    named = references(done).select("path", "num").union(roots).distinct()
-    return done.join(named, ["path", "num"], "left_semi").drop("refs")
+    rows = table.where("num is not null or kind in ('trailer', 'xref')").select("path", "num", "pos", "gen", "kind", "type", "subtype", "body", "stream")
+    return map_files(rows, ["num", "pos"], one, "path string, num long, gen long, kind string, body binary, stream binary")
 
 
 def object_stream(num: int, items: list[tuple[int, bytes]]) -> tuple[dict, bytes]:

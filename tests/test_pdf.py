@@ -291,3 +291,22 @@ def test_documents_have_their_text_in_a_plain_stream_too(spark, sf_dir):
     again = pdf.objects(catalogue.document_files(spark, sf_dir, plain=True)).where("num in (4, 5)")
     got = {(r["path"], r["num"]): (r["filters"], bytes(r["stream"])) for r in again.collect()}
     assert len(got) == 2 * len(texts) and all(got[p, 5] == ([], t) and got[p, 4][0] == ["FlateDecode"] for p, t in texts.items())
+
+
+def test_optimize_gathers_files_once_and_writes_nothing(spark):
+    small = zlib.compress(b"q 0 0 m 1 1 l S Q")
+    streams = [b"%d 0 obj<</Filter/FlateDecode/Length %d 0 R>>stream\n" % (n, 9) + small + b"\nendstream endobj\n" for n in (4, 5)]
+    data = b"%PDF-1.5\n1 0 obj<</Type/Catalog/P 3 0 R>>endobj 3 0 obj<</Contents[5 0 R 4 0 R 8 0 R]>>endobj\n" + b"".join(streams)
+    data += b"8 0 obj 1 endobj 8 0 obj[6 0 R]endobj 6 0 obj<</T<41>>>endobj 7 0 obj 7 endobj 9 0 obj %d endobj trailer<</Root 1 0 R>>startxref" % len(small)
+    done = pdf.optimize(pdf.objects(spark.createDataFrame([(f"f{i}", bytearray(data)) for i in range(50)], "path string, content binary")))
+    plan = done._jdf.queryExecution().toString()
+    assert "step-" not in plan and "Join" not in plan
+    got = {(r["path"], r["num"]): bytes(r["body"]) for r in done.collect()}
+    assert {k for k in got if k[0] == "f7"} == {("f7", n) for n in (1, 3, 4, 6, 8)} and len(got) == 250
+    assert got["f7", 3] == b"<</Contents[4 0 R 4 0 R 8 0 R]>>" and got["f7", 8] == b"[6 0 R]" and got["f7", 6] == b"<</T(A)>>" and b"9 0 R" not in got["f7", 4]
+
+
+def test_words_of_content_are_read_at_once():
+    program = content.parse(b"a true b % c\n1 d BI /W 2 ID xy EI null 3rd -e (f) g")
+    assert [(c.op, c.args) for c in program] == [("a", ()), ("b", (True,)), ("d", (1.0,)), ("BI", ({"W": 2.0}, b"xy")), ("rd", (None, 3.0)), ("-e", ()), ("g", (b"f",))]
+    assert content.bare(b"a") is content.parse(b"a")[0] and content.write(content.parse(b"a  b\n(c) d")) == b"a b(c)d"
