@@ -5,7 +5,7 @@ words share their beginnings and, as equal right languages are one state, their
 words that come before it in its state; the sum along a word's path is its number, and its ids stand at that number in a
 flat list. The whole is one file in the shared folder that workers map into memory. Words that it does not hold are merged
 exactly, all that are new in a batch at once. A worker keeps what it has met lately, so the lexicon and the merger are asked for
-each distinct word about once a worker.
+most distinct words about once a worker. Texts are cut, looked up and written as Arrow and numpy arrays, distinct words once a batch.
 
 Texts are split into words as the vocabulary's pre-tokenizer does, and
 strings of special tokens are tokens, as the tokenizers library has it. Null and empty texts have no tokens. Repeated rows
@@ -19,12 +19,13 @@ import heapq
 import json
 import mmap
 import os
-import re
 import struct
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,7 @@ from .common import mapped_file, no_cycles, per_worker, put_file, saved, scratch
 #: The pre-tokenizer's pattern, a fixed value of this vocabulary; \s is spelled out, as libraries differ on it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 WORDS = 50_000
-#: Letters only: one word to the pattern.
-PLAIN = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+SLOT_BITS = 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,6 +45,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of these sizes that begin at these places, in a row."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def laid(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an Arrow array of strings in a row, where each begins in them, and how many it has."""
+    kind = np.int64 if words.type in (pa.large_string(), pa.large_binary()) else np.int32
+    at = np.frombuffer(words.buffers()[1] or b"", kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), at[:-1], np.diff(at)
+
+
 class Vocabulary:
     """What a byte-level BPE tokenizers JSON says: ids of byte strings, ranks of merges, special tokens."""
 
@@ -66,9 +79,16 @@ class Vocabulary:
         self.pair_keys, self.pair_ranks = pairs[order], np.array([rank for rank, _ in self.merges.values()], np.int64)[order]
         self.merged_to = np.zeros(len(model["merges"]), np.int64)
         self.merged_to[self.pair_ranks] = np.array([to for _, to in self.merges.values()], np.int64)[order]
+        # Each pair stands in the slot that its hash gives, unless another has it: then it is searched for in pair_keys.
+        slot = self.slots_of(self.pair_keys)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
-        self.names = {i: str(i) for i in range(1 + max(self.bytes_of, default=0))}
+        most = 1 + max(self.bytes_of, default=0)
+        self.names = pa.array(map(str, range(most)), pa.large_string())
+        self.raw = pa.array([self.bytes_of.get(i, b"") for i in range(most)], pa.large_binary())
         found = "|".join(regex.escape(x) for x in sorted(self.special, key=lambda x: (-len(x), x)))
         self.split = regex.compile(f"({found})") if found else None
         self.words = regex.compile(PATTERN)
@@ -114,34 +134,45 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
     def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """The same of each word, all words of a length at once: each round joins one pair of each, so that they stay of equal length."""
-        out: list = [None] * len(words)
-        of_length: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            of_length.setdefault(len(word), []).append(i)
-        none, letter = len(self.merged_to), np.array(self.id_of_byte, np.int64)
-
-        def ranks_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            key = a << 32 | b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            return np.where(self.pair_keys[at] == key, self.pair_ranks[at], none)
+        """The same of each word."""
+        flat, sizes = self.merged(*laid(pa.array(words, pa.large_binary())))
+        ids, ends = flat.tolist(), np.cumsum(sizes).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    @staticmethod
+    def slots_of(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        slot = self.slots_of(key)
+        at = self.slots[slot]
+        there = (at >= 0) & (self.pair_keys[at] == key)
+        out = np.where(there, self.pair_ranks[at], len(self.merged_to))
+        left = np.nonzero(self.crowded[slot] & ~there)
+        if len(left[0]):
+            at = np.minimum(np.searchsorted(self.pair_keys, key[left]), len(self.pair_keys) - 1)
+            out[left] = np.where(self.pair_keys[at] == key[left], self.pair_ranks[at], len(self.merged_to))
+        return out
 
-        for n, rows in of_length.items():
+    def merged(self, raw: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, which stand at these places of raw, in a row and how many each has. Words of a length go together: each round joins one pair of each, so that they stay of equal length."""
+        none, letter = len(self.merged_to), np.array(self.id_of_byte, np.int64)
+        order, found = np.argsort(lengths, kind="stable"), []  # of found: rows and their ids, a line each
+        for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else ():
+            n = int(lengths[rows[0]])
             if len(rows) < 8 or n > 64 or n < 2 or not len(self.pair_keys):
-                for i in rows:
-                    out[i] = self.merge(words[i])
+                found += [(np.array([i]), np.array([self.merge(raw[begins[i] : begins[i] + n].tobytes())], np.int64).reshape(1, -1)) for i in rows.tolist()]
                 continue
-            row = np.array(rows)
-            ids = letter[np.frombuffer(b"".join([words[i] for i in rows]), np.uint8).reshape(-1, n)]
-            ranks = ranks_of(ids[:, :-1], ids[:, 1:])
+            row, ids = rows, letter[raw[begins[rows][:, None] + np.arange(n)]]
+            ranks = self.ranks_of(ids[:, :-1], ids[:, 1:])
             while len(row):
                 here = np.arange(len(row))
                 best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(row), np.int64)
                 rank = ranks[here, best] if ranks.shape[1] else np.full(len(row), none)
                 over = rank == none
                 if over.any():
-                    for i, found in zip(row[over].tolist(), ids[over].tolist()):
-                        out[i] = found
+                    found.append((row[over], ids[over]))
                     row, ids, ranks, best, rank = row[~over], ids[~over], ranks[~over], best[~over], rank[~over]
                     here = np.arange(len(row))
                     if not len(row):
@@ -155,8 +186,15 @@ class Vocabulary:
                 for place in (best - 1, best):  # the pairs on both sides of what was joined
                     inside = (place >= 0) & (place < size - 2)
                     at, place = here[inside], place[inside]
-                    ranks[at, place] = ranks_of(ids[at, place], ids[at, place + 1])
-        return out
+                    ranks[at, place] = self.ranks_of(ids[at, place], ids[at, place + 1])
+        sizes = np.zeros(len(order), np.int64)
+        for rows, ids in found:
+            sizes[rows] = ids.shape[1]
+        starts = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.int32)
+        for rows, ids in found:
+            flat[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return flat, sizes
 
     def pieces(self, text: str):
         """(words, id of the special token after them or None) in order."""
@@ -260,18 +298,21 @@ class Lexicon:
         return self.flat[self.at[number] : self.at[number + 1]].tolist()
 
     def get_many(self, words: list[bytes]) -> list[list[int] | None]:
-        """The same of each word; all words go one byte further at a time, until they end or have no arc."""
-        out: list = [None] * len(words)
-        if not words or not len(self.arcs):
-            return [self.get(w) for w in words]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        raw, begins = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        """The same of each word."""
+        return [self.flat[self.at[n] : self.at[n + 1]].tolist() if n >= 0 else None for n in self.numbers(*laid(pa.array(words, pa.large_binary()))).tolist()]
+
+    def numbers(self, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each word, which stand at these places of raw, or -1; all go one byte further at a time, until they end or have no arc."""
+        out = np.full(len(sizes), -1, np.int64)
+        if not len(self.arcs):  # no word, or the empty one only
+            out[sizes == 0] = len(self) - 1
+            return out
         targets, adds, final = (np.frombuffer(x, kind) for x, kind in ((self.targets, np.int32), (self.adds, np.int32), (self.final, np.uint8)))
-        row, state, number, at = np.arange(len(words)), np.full(len(words), self.start, np.int64), np.zeros(len(words), np.int64), 0
+        row, state, number, at = np.arange(len(sizes)), np.full(len(sizes), self.start, np.int64), np.zeros(len(sizes), np.int64), 0
         while len(row):
             ended = sizes[row] == at
-            for i, n in zip(row[ended & (final[state] > 0)].tolist(), number[ended & (final[state] > 0)].tolist()):
-                out[i] = self.flat[self.at[n] : self.at[n + 1]].tolist()
+            there = ended & (final[state] > 0)
+            out[row[there]] = number[there]
             row, state, number = row[~ended], state[~ended], number[~ended]
             key = state << 8 | raw[begins[row] + at]
             arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
@@ -280,6 +321,12 @@ class Lexicon:
             number, state = number + adds[arc], targets[arc].astype(np.int64)
         return out
 
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of these numbers in a row, and how many each has."""
+        at = np.frombuffer(self.at, np.int32).astype(np.int64)
+        sizes = at[numbers + 1] - at[numbers]
+        return gathered(np.frombuffer(self.flat, np.int32), at[numbers], sizes), sizes
+
     def arc(self, state: int, byte: int) -> int:
         """The arc from a state by a byte, or -1."""
         if len(self.met) > 1_000_000:
@@ -301,20 +348,19 @@ def frequent_words(docs: DataFrame, vocabulary_json: str, words: int = WORDS, te
     ship(spark)
 
     def count(batches):
-        counts: Counter[str] = Counter()
+        held, size = [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["chunk", "n"])
-
-        for batch in small_batches(batches, 4 << 20):
-            for t in batch.column(0).to_pylist():
-                first, *rest = t.split(" ")
-                counts[first] += 1
-                counts.update(rest)
-            if len(counts) > 500_000:
+            counts = pc.value_counts(pc.list_flatten(pc.split_pattern(pa.chunked_array(held), " ")))
+            return pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], names=["chunk", "n"])
+
+        for batch in small_batches(batches, 32 << 20):
+            held.append(batch.column(0))
+            size += batch.nbytes
+            if size > 16 << 20:
                 yield out()
-                counts.clear()
-        if counts:
+                held, size = [], 0
+        if held:
             yield out()
 
     rows = docs.select(F.col(text).alias("text")).where("text is not null and text <> ''").mapInArrow(count, "chunk string, n long")
@@ -344,154 +390,197 @@ def lexicon_file(docs: DataFrame, vocabulary_json: str, words: int = WORDS, text
     return path
 
 
-class Apart(Exception):
-    """Spaces of a text don't cut it at words' ends."""
-
-
-class Met(dict):
-    """What was made for texts met lately; what falls out of one generation is kept for one more."""
+class Met:
+    """Ids of texts met lately; what falls out of one generation is kept for one more. The ids of a generation stand in one array."""
 
     def __init__(self, most: int):
-        self.most, self.before, self.make = most, {}, None
-
-    def __missing__(self, word: str) -> str:
-        value = self.before.get(word)
-        if value is None:
-            value = self.make(word)
-        if len(word) < 64:
-            self.put(word, value)
-        return value
-
-    def put(self, word: str, value) -> None:
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        self[word] = value
-
+        self.most, self.now, self.then = most, {}, {}
+        self.ids, self.ids_then, self.used = np.empty(1 << 12, np.int32), np.empty(0, np.int32), 0
+
+    def find(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys in a row and how many each has: -1 if the key is unknown."""
+        at = np.fromiter(map(self.now.get, keys, repeat(-1)), np.int64, len(keys))
+        flat, lacks = self.ids[: self.used], np.flatnonzero(at < 0)
+        if not len(lacks) or not self.then:
+            sizes = np.where(at < 0, 0, at & 255)
+            return gathered(flat, at >> 8, sizes), np.where(at < 0, -1, sizes)
+        old = [keys[i] for i in lacks.tolist()]
+        at_then = np.fromiter(map(self.then.get, old, repeat(-1)), np.int64, len(old))
+        known = np.flatnonzero(at_then >= 0)
+        at[lacks[known]] = at_then[known] + (self.used << 8)
+        sizes = np.where(at < 0, 0, at & 255)
+        out = gathered(np.concatenate([flat, self.ids_then]), at >> 8, sizes), np.where(at < 0, -1, sizes)
+        kept = at_then[known]
+        self.put([old[i] for i in known.tolist()], gathered(self.ids_then, kept >> 8, kept & 255), kept & 255)
+        return out
 
-def joined(pieces: list[tuple[str, bytes]]) -> tuple[str, bytes]:
-    return ",".join([ids for ids, _ in pieces]), b"".join([raw for _, raw in pieces])
+    def put(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Keeps the ids of keys, 255 each at most."""
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        for a in range(0, len(keys), self.most):
+            b = min(a + self.most, len(keys))
+            if len(self.now) + b - a > self.most:
+                self.then, self.ids_then = self.now, self.ids[: self.used].copy()
+                self.now, self.used = {}, 0
+            more = flat[begins[a] : ends[b - 1]]
+            need = self.used + len(more)
+            if need > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], np.empty(need + need // 4 - self.used, np.int32)])
+            self.ids[self.used : need] = more
+            self.now.update(zip(keys[a:b], ((self.used + begins[a:b] - begins[a]) << 8 | sizes[a:b]).tolist()))
+            self.used = need
+
+
+def unspaced(chunk: str) -> bool:
+    """Whether spaces on both sides of it cut a text at words' ends."""
+    return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
+
+
+def doubtful(chunks: pa.Array) -> np.ndarray:
+    """Of which chunks the first or last byte leaves open whether they are unspaced: control characters, spaces, bytes of others beyond ASCII, or none."""
+    raw, begins, sizes = laid(chunks)
+    out = sizes == 0
+    there = np.flatnonzero(~out)
+    first, last = raw[begins[there]], raw[begins[there] + sizes[there] - 1]
+    out[there] = (first <= 32) | (last <= 32) | (last >= 128) | np.isin(first, (0xC2, 0xE1, 0xE2, 0xE3))
+    return out
 
 
 class Encoder:
-    """Encodes texts; words met before are looked up, others taken from the lexicon or merged.
+    """Encodes texts, many at once; what was met before is looked up, the rest taken from the lexicon or merged.
 
     A space between two characters that are no white space always begins a word, and no word goes across it. So texts are
-    cut at spaces, and what stands between two is looked up as a whole. Only what is new is cut by the pattern. Texts with
-    other white space beside a space are cut by the pattern as a whole. A piece is kept as its ids and the bytes that these ids
-    decode to.
+    cut at spaces, and what stands between two is looked up as a whole, each distinct one once. Only what is new is cut by the
+    pattern. Texts with other white space beside a space, or with a special token, are cut by the pattern as a whole, and their
+    distinct words are not kept but asked for with each batch. Ids of all that was looked up stand in one array, from which those of the
+    texts are gathered.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int = 340_000):
-        met = self.met = Met(most // 6)
-        after = self.after = Met(most)
+        self.met = Met(most)
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.ready: dict[str, tuple[str, bytes]] = {}  # of words that these texts have and none before
         self.from_lexicon = self.merged = 0
-        findall = vocabulary.words.findall
-
-        def of_word(word: str) -> tuple[str, bytes]:
-            found = self.ready.get(word)
-            if found is None:
-                self.look_up([word])
-                found = self.ready.pop(word)
-            return found
-
-        def of_chunk(chunk: str) -> tuple[str, bytes]:
-            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                raise Apart
-            if PLAIN.fullmatch(chunk):
-                return of_word(" " + chunk)
-            if chunk[-1] in ".," and PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
-                return joined([after[chunk[:-1]], met[chunk[-1]]])
-            return joined([*map(met.__getitem__, findall(" " + chunk))])
-
-        met.make, after.make = of_word, of_chunk
-
-    def look_up(self, words: list[str]) -> None:
-        """Makes the ids of words ready: from the lexicon or, of those that it lacks, by merging all at once."""
-        raws = [w.encode("utf-8", "surrogatepass") for w in words]
-        found = self.lexicon.get_many(raws) if self.lexicon is not None else [None] * len(words)
-        lacks = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(lacks, self.vocabulary.merge_many([raws[i] for i in lacks])):
-            found[i] = ids
-        name, raw_of = self.vocabulary.names.__getitem__, self.vocabulary.bytes_of.__getitem__
-        self.ready.update((w, (",".join(map(name, ids)), b"".join(map(raw_of, ids)))) for w, ids in zip(words, found))
-        self.from_lexicon += len(words) - len(lacks)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row and how many each has: from the lexicon or, of those that it lacks, by merging all at once."""
+        raw, begins, lengths = laid(words)
+        numbers = self.lexicon.numbers(raw, begins, lengths) if self.lexicon is not None else np.full(len(words), -1, np.int64)
+        has, lacks = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        flat, sizes = self.vocabulary.merged(raw, begins[lacks], lengths[lacks])
+        self.from_lexicon += len(has)
         self.merged += len(lacks)
+        if not len(has):
+            return flat, sizes
+        more, more_sizes = self.lexicon.ids(numbers[has])
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate([lacks, has])] = np.arange(len(words))
+        sizes = np.concatenate([sizes, more_sizes])
+        starts = np.cumsum(sizes) - sizes
+        return gathered(np.concatenate([flat, more]), starts[order], sizes[order]), sizes[order]
+
+    def made(self, chunks: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of what is unknown, in a row, and how many each has: of chunks that stand behind a space, and of other texts as they are."""
+        findall = self.vocabulary.words.findall
+        words = findall(" " + " ".join(chunks)) if chunks else []
+        count, more = len(words), []
+        for x in others:
+            more.append(len(words))
+            words += findall(x)
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        raw, begins, _ = laid(coded.dictionary)
+        flat, sizes = self.look_up(coded.dictionary)
+        # No word has a space in it but before it, and each chunk begins with such a word.
+        first = np.concatenate([np.flatnonzero(raw[begins][which[:count]] == 32), more]).astype(np.int64)
+        starts, sizes_of = np.cumsum(sizes) - sizes, sizes[which]
+        return gathered(flat, starts[which], sizes_of), np.add.reduceat(sizes_of, first) if words else np.zeros(0, np.int64)
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. No text is null."""
+        vocabulary = self.vocabulary
+        whole = np.zeros(len(texts), bool)  # to be cut by the pattern as a whole
+        for s in vocabulary.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(~whole)
+        lists = pc.split_pattern(texts.take(pa.array(rows)) if whole.any() else texts, " ")
+        coded, bounds = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+        kinds = len(coded.dictionary)
+        chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, kinds], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ") if kinds else []
+        flat, sizes = self.met.find(chunks)
+        new = np.flatnonzero(sizes < 0)
+        bad = np.array([i for i in new[doubtful(coded.dictionary)[new]].tolist() if not unspaced(chunks[i])], np.int64)
+        cuts = np.ones(kinds + 1, bool)
+        cuts[bad] = False
+        # What a text begins with has no space before it.
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes[bounds[:-1]] = kinds
+        begins_with = pc.list_element(lists, 0).to_pylist()
+        fits = np.logical_and.reduceat(cuts[codes], bounds[:-1]) if len(rows) else np.zeros(0, bool)
+        fits &= np.fromiter((bool(x) and not x[-1].isspace() for x in begins_with), bool, len(rows))
+        whole[rows[~fits]] = True
+        others: dict[str, int] = {}  # texts besides the chunks, numbered after them
+        number = others.setdefault
+        codes[bounds[:-1]] = [number(x, kinds + len(others)) if fit else kinds for x, fit in zip(begins_with, fits.tolist())]
+        codes = codes[np.repeat(fits, np.diff(bounds))]
+        counts = np.zeros(len(texts), np.int64)
+        counts[rows[fits]] = np.diff(bounds)[fits]
+        more = []
+        for i in np.flatnonzero(whole).tolist():
+            before = len(more)
+            for words, special in vocabulary.pieces(texts[i].as_py()):
+                more += [number(w, kinds + len(others)) for w in words]
+                if special is not None:
+                    more.append(-1 - special)
+            counts[i] = len(more) - before
+        if more:
+            order = np.argsort(whole[np.repeat(np.arange(len(texts)), counts)], kind="stable")
+            apart = np.concatenate([codes, more])
+            codes = np.empty(len(order), np.int64)
+            codes[order] = apart
+        # Special tokens are one id each, behind all others.
+        lone = np.flatnonzero(codes < 0)
+        specials, at = np.unique(-1 - codes[lone], return_inverse=True)
+        codes[lone] = kinds + len(others) + at
+        new = new[cuts[new]]
+        names = [chunks[i] for i in new.tolist()]
+        new_flat, new_sizes = self.made(names, [*others])
+        new_begins = np.cumsum(new_sizes) - new_sizes
+        short = np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) < 64)
+        self.met.put([names[i] for i in short.tolist()], gathered(new_flat, new_begins[short], new_sizes[short]), new_sizes[short])
+        known = np.maximum(sizes, 0)
+        begins = np.cumsum(known) - known
+        begins[new], sizes[new] = len(flat) + new_begins[: len(new)], new_sizes[: len(new)]
+        pool = np.concatenate([flat, new_flat, specials.astype(np.int32)])
+        begins = np.concatenate([begins, len(flat) + new_begins[len(new) :], len(flat) + len(new_flat) + np.arange(len(specials))])
+        sizes = np.concatenate([sizes, new_sizes[len(new) :], np.ones(len(specials), np.int64)])
+        of_codes = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(of_codes)])
+        to = np.cumsum(counts)
+        return gathered(pool, begins[codes], of_codes), ends[to] - ends[to - counts]
+
+    def written(self, flat: np.ndarray, counts: np.ndarray) -> tuple[list, list]:
+        """Of each text the ids in decimal, joined by commas, and the bytes that they decode to."""
+        bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
+        out = []
+        for each, between in ((self.vocabulary.names, ","), (self.vocabulary.raw, b"")):
+            done = pc.binary_join(pa.LargeListArray.from_arrays(bounds, each.take(pa.array(flat))), pa.scalar(between, each.type))
+            at, data = np.frombuffer(done.buffers()[1] or b"", np.int64)[: len(done) + 1].tolist(), memoryview(done.buffers()[2] or b"")
+            out.append([data[a:b] for a, b in zip(at, at[1:])])
+        return out[0], out[1]
 
     def batch(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
-        """The pieces of each text. What stands between spaces is looked up once; all that is new is cut, looked up and merged together."""
-        self.ready = {}
-        get, before, met, words = self.after.get, self.after.before, self.met, self.vocabulary.words
-        out, holes, new = [], [], {}
-        for text in texts:
-            first, *rest = text.split(" ")
-            if not first or first[-1].isspace() or self.vocabulary.split is not None and any(s in text for s in self.vocabulary.special):
-                out.append(None)
-                continue
-            found = [*map(get, rest)]
-            if None in found:
-                empty = [i for i, ids in enumerate(found) if ids is None]
-                chunks = [rest[i] for i in empty]
-                if any(not c or c[0].isspace() or c[-1].isspace() for c in chunks):
-                    out.append(None)
-                    continue
-                holes.append((found, empty, chunks))
-                new.update(dict.fromkeys(chunks))
-            out.append((first, found))
-        cut = {}
-        for c in new:
-            if (ids := before.get(c)) is not None:
-                new[c] = ids
-            else:
-                cut[c] = [" " + c] if PLAIN.fullmatch(c) else [" " + c[:-1], c[-1]] if c[-1] in ".," and PLAIN.fullmatch(c, 0, len(c) - 1) else words.findall(" " + c)
-        self.look_up([w for w in {w for found in cut.values() for w in found} if w not in met and w not in met.before])
-        ready = self.ready
-        for c, found in cut.items():
-            pieces = [ready[w] if w in ready else met[w] for w in found]
-            new[c] = pieces[0] if len(pieces) == 1 else joined(pieces)
-        for c, ids in new.items():
-            if len(c) < 64:
-                self.after.put(c, ids)
-        for found, empty, chunks in holes:
-            for i, c in zip(empty, chunks):
-                found[i] = new[c]
-        parts = []
-        for text, done in zip(texts, out):
-            parts.append(self.parts(text) if done is None else [*map(met.__getitem__, words.findall(done[0])), *done[1]])
-        return parts
-
-    def parts(self, text: str) -> list[tuple[str, bytes]]:
-        """The pieces of a text in order: ids in decimal, joined by commas, and what they decode to."""
-        if not text:
-            return []
-        if self.vocabulary.split is None or not any(s in text for s in self.vocabulary.special):
-            try:
-                first, *rest = text.split(" ")
-                if first and not first[-1].isspace():
-                    return [*map(self.met.__getitem__, self.vocabulary.words.findall(first)), *map(self.after.__getitem__, rest)]
-            except Apart:
-                pass
-        out: list[tuple[str, bytes]] = []
-        for words, special in self.vocabulary.pieces(text):
-            out += map(self.met.__getitem__, words)
-            if special is not None:
-                out.append((str(special), self.vocabulary.bytes_of[special]))
-        return out
-
-    def encode_text(self, text: str) -> str:
-        """The ids in decimal, joined by commas."""
-        return joined(self.parts(text))[0]
+        """Of each text its ids in decimal, joined by commas, with what they decode to; nothing if there are none."""
+        ids, raw = self.written(*self.ids_of(pa.array(texts, pa.string())))
+        return [[(str(i, "ascii"), bytes(r))] if len(i) else [] for i, r in zip(ids, raw)]
 
     def encode(self, text: str) -> list[int]:
-        joined = self.encode_text(text)
-        return [int(x) for x in joined.split(",")] if joined else []
+        return self.ids_of(pa.array([text], pa.string()))[0].tolist()
 
 
-def decoded(raw: bytes) -> str:
+def decoded(raw) -> str:
     """The text of the bytes of all tokens in a row: read as UTF-8, with U+FFFD for what is none."""
-    return raw.decode("utf-8", "replace")
+    return str(raw, "utf-8", "replace")
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
@@ -517,18 +606,19 @@ def encoded(docs: DataFrame, tokenizer: str, words: int = WORDS, with_ids: bool
             return Encoder(vocabulary, Lexicon(mapped_file(path)))
 
         encoder = per_worker(path, fresh)
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches):
             with no_cycles():
-                found = [joined(pieces) for pieces in encoder.batch(batch.column(1).to_pylist())]
+                flat, counts = encoder.ids_of(batch.column(1))
+                ids, raw = encoder.written(flat, counts)
             columns = [
                 batch.column(0),
-                pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in found], pa.int64()),
-                pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in found], pa.string()),
-                pa.array([hashlib.sha256(decoded(raw).encode("utf-8", "surrogatepass")).hexdigest() for _, raw in found], pa.string()),
+                pa.array(counts, pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(decoded(x).encode("utf-8", "surrogatepass")).hexdigest() for x in raw], pa.string()),
             ]
             names = [f.split()[0] for f in RESULT.split(", ")]
             if with_ids:
-                columns.append(pa.array([[int(i) for i in ids.split(",")] if ids else [] for ids, _ in found], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -1,4 +1,6 @@
+import cProfile
 import hashlib
+import random
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -111,3 +113,25 @@ def test_frequent_words_are_the_most_frequent(spark):
 def test_a_batch_is_as_each_text(texts):
     got = [[int(i) for ids, _ in parts for i in ids.split(",")] for parts in B.Encoder(VOCABULARY, None, most=12).batch(texts)]
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_and_known_words_cost_no_calls_each():
+    """Calls of functions stand for CPU seconds, which a test can't hold still: 19 for each new word before, from which the budget was missed."""
+    dice = random.Random(5)
+    words = ["".join(dice.choices("abdeghinorstué", k=dice.randint(6, 12))) for _ in range(20_000)]
+    texts = [" ".join(words[i : i + 100]) + ", " + " ".join(words[:100]) + "." for i in range(0, len(words), 100)]
+    encoder, seen = B.Encoder(VOCABULARY, None), cProfile.Profile()
+    got = seen.runcall(encoder.batch, texts)
+    assert [[int(i) for ids, _ in parts for i in ids.split(",")] for parts in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    calls = sum(x.callcount for x in seen.getstats())
+    assert calls < len(words)
+
+
+def test_what_is_kept_is_bounded_and_right():
+    dice = random.Random(6)
+    encoder = B.Encoder(VOCABULARY, None, most=40)
+    for _ in range(12):
+        texts = [" ".join(dice.choice(["", "\n", "\x1c", "a,", "b's", "Wört", "x\n\ny", "<|endoftext|>", "é" * 70, str(dice.randrange(99))]) if dice.random() < 0.2 else f"w{dice.randrange(200)}" for _ in range(dice.randrange(30))) for _ in range(20)]
+        got = [[int(i) for ids, _ in parts for i in ids.split(",")] for parts in encoder.batch(texts)]
+        assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.met.now) <= 40 and len(encoder.met.then) <= 40
