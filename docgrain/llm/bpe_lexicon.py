@@ -354,10 +354,10 @@ def frequent_words(docs: DataFrame, vocabulary_json: str, words: int = WORDS, te
             counts = pc.value_counts(pc.list_flatten(pc.split_pattern(pa.chunked_array(held), " ")))
             return pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], names=["chunk", "n"])
 
-        for batch in small_batches(batches, 32 << 20):
+        for batch in small_batches(batches, 16 << 20):
             held.append(batch.column(0))
             size += batch.nbytes
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield out()
                 held, size = [], 0
         if held:
@@ -606,7 +606,7 @@ def encoded(docs: DataFrame, tokenizer: str, words: int = WORDS, with_ids: bool
             return Encoder(vocabulary, Lexicon(mapped_file(path)))
 
         encoder = per_worker(path, fresh)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4 << 20):
             with no_cycles():
                 flat, counts = encoder.ids_of(batch.column(1))
                 ids, raw = encoder.written(flat, counts)
